@@ -6,7 +6,7 @@
    probability (1 - 0.85^7)^36, about 1 in a million.
 3. Each bucket gives a star of candidates, centre to member; they are confirmed on the full sets and joined to components.
 4. Links that a star cannot see: in buckets that still hold several components, the members outside the largest one are held
-   against all members by their sketches (4 standard deviations below the threshold), in blocks of at most
+   against all members by their sketches, two of them once (4 standard deviations below the threshold), in blocks of at most
    ``BLOCK_ROWS`` x ``BLOCK_ROWS``; only pairs of different components go on to confirmation, each from the first
    bucket that it shares. So no link that connects two components is lost, and no bucket gives all its pairs.
 
@@ -82,7 +82,8 @@ def _block_pairs(percent: int):
         for i in mine:
             near = (codes[other] == codes[i]).sum(1) >= enough
             small, large = np.minimum(rows["n"][other], rows["n"][i]), np.maximum(rows["n"][other], rows["n"][i])
-            hit = other[near & (rows["root"][other] != rows["root"][i]) & (100 * small >= percent * large)]
+            once = ~rows["outside"][other] | (rows["node"][other] > rows["node"][i])
+            hit = other[near & once & (rows["root"][other] != rows["root"][i]) & (100 * small >= percent * large)]
             if len(hit):
                 shared = (codes[hit, : BANDS * ROWS] == codes[i, : BANDS * ROWS]).reshape(len(hit), BANDS, ROWS).all(2).argmax(1)
                 hit = hit[shared == rows["band"][i]]
@@ -97,7 +98,7 @@ def _block_pairs(percent: int):
 
         def done() -> pa.RecordBatch:
             t = pa.Table.from_batches(held)
-            rows = {k: t.column(k).to_numpy() for k in ("node", "root", "n", "band", "asks")}
+            rows = {k: t.column(k).to_numpy() for k in ("node", "root", "n", "band", "asks", "outside")}
             rows["codes"] = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, BINS)
             a, b = block(rows)
             return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
@@ -144,13 +145,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labelled = written(labelled, "labelled")
     mixed = labelled.groupBy("band", "code", "root").agg(F.count(F.lit(1)).alias("k")).groupBy("band", "code").agg(F.count(F.lit(1)).alias("roots"), F.max(F.struct("k", "root")).alias("most"), F.sum("k").alias("size")).where("roots > 1")
     mixed = written(mixed.select("band", "code", F.col("most.root").alias("top"), F.ceil((F.col("size") - F.col("most.k")) / BLOCK_ROWS).cast("int").alias("ask_blocks"), F.ceil(F.col("size") / BLOCK_ROWS).cast("int").alias("all_blocks")), "mixed")
-    inside = labelled.join(mixed, ["band", "code"])
+    inside = labelled.join(mixed, ["band", "code"]).withColumn("outside", F.col("root") != F.col("top"))
     place = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    asks = inside.where("root != top").withColumn("i", place("ask_blocks")).withColumn("j", each("all_blocks")).withColumn("asks", F.lit(True))
+    asks = inside.where("outside").withColumn("i", place("ask_blocks")).withColumn("j", each("all_blocks")).withColumn("asks", F.lit(True))
     offers = inside.withColumn("j", place("all_blocks")).withColumn("i", each("ask_blocks")).withColumn("asks", F.lit(False))
     blocks = asks.unionByName(offers).join(classes.select("node", "sketch"), "node")
-    blocks = blocks.select(F.concat_ws("/", "band", F.hex("code"), "i", "j").alias("block"), "band", "node", "root", "n", "asks", "sketch")
+    blocks = blocks.select(F.concat_ws("/", "band", F.hex("code"), "i", "j").alias("block"), "band", "node", "root", "n", "asks", "outside", "sketch")
     blocks = blocks.repartition("block").sortWithinPartitions("block")
     more = blocks.mapInArrow(_block_pairs(percent), "a long, b long").distinct()
     extra = written(_confirmed(written(more, "pairs"), sets, percent), "extra")
