@@ -13,7 +13,7 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _STEPS = np.random.default_rng(5).integers(1, 2**63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: For each bin the order in which it looks for a filled one: densification in which every bin draws its own.
 _ORDER = np.stack([np.random.default_rng(1000 + i).permutation(BINS) for i in range(BINS)])
-BLOCK = 1 << 21
+BLOCK = 1 << 19
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
