@@ -58,7 +58,7 @@ def melt(first: DataFrame, second: DataFrame, value: str = "d") -> DataFrame:
 
     keys = ["seq_id", "bin"]
     cols = [c.split()[0] for c in _schema(value).split(", ")]
-    return first.select(cols).groupBy(*keys).cogroup(second.select(cols).groupBy(*keys)).applyInPandas(one, _schema(value))
+    return first.select(cols).groupBy(*keys).cogroup(second.select(cols).toDF(*cols).groupBy(*keys)).applyInPandas(one, _schema(value))
 
 
 def mergesort(first: DataFrame, second: DataFrame, value: str = "d") -> DataFrame:

@@ -246,7 +246,7 @@ def save_sf(sf: DataFrame, extra: DataFrame, grid: Grid, path_of, dtype=np.float
         path = write_container(path_of(key[0]), "sf", arrays, grid.nx, grid.ny, dtype)
         return pd.DataFrame({"path": [path]})
 
-    return [r["path"] for r in sf.groupBy("seq_id").cogroup(extra.groupBy("seq_id")).applyInPandas(one, "path string").collect()]
+    return [r["path"] for r in sf.groupBy("seq_id").cogroup(extra.toDF(*extra.columns).groupBy("seq_id")).applyInPandas(one, "path string").collect()]
 
 
 def save_radial(curves: DataFrame, path_of, edges: list[float], extra: DataFrame | None = None, kind: str = "aa") -> list[str]:
