@@ -253,6 +253,7 @@ def save_radial(curves: DataFrame, path_of, edges: list[float], extra: DataFrame
     """One .aa.ddm or .isf.ddm a sequence; ``extra`` gives the two last columns of an .aa.ddm."""
     value = "d" if kind == "aa" else "f"
     cols = ["power_spec", "var", "power_spec_err", "var_err"]
+    with_extra = extra is not None
     rows = curves if extra is None else curves.join(extra.select("seq_id", "bin", *cols), ["seq_id", "bin"])
 
     def one(key, pdf):
@@ -261,7 +262,7 @@ def save_radial(curves: DataFrame, path_of, edges: list[float], extra: DataFrame
         n = len(pdf) // len(tau)
         cube = lambda c: pdf[c].to_numpy(float).reshape(n, len(tau))
         data, err = cube(value), cube("err")
-        if extra is not None:
+        if with_extra:
             data = np.column_stack([data, cube("power_spec")[:, 0], cube("var")[:, 0]])
             err = np.column_stack([err, cube("power_spec_err")[:, 0], cube("var_err")[:, 0]])
         arrays = {"data": data, "err": err if pdf["err"].notna().any() else None, "k": cube("k")[:, 0], "tau": tau, "bin_edges": np.array(edges)}
