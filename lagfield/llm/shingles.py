@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-BINS, WORDS = 256, 5
+BINS, WORDS = 512, 5
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
@@ -89,7 +89,7 @@ def shingle_set(words: np.ndarray) -> np.ndarray:
 
 def sketch(found: np.ndarray) -> np.ndarray:
     """One byte for each bin: of its smallest hash; empty bins take over the first filled one in their own order."""
-    bins = (found >> np.uint64(56)).astype(np.int64)
+    bins = (found >> np.uint64(64 - BINS.bit_length() + 1)).astype(np.int64)
     first = np.r_[True, bins[1:] != bins[:-1]]
     codes, full = np.zeros(BINS, np.uint8), np.zeros(BINS, bool)
     codes[bins[first]] = (found[first] & np.uint64(255)).astype(np.uint8)
