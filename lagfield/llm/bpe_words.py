@@ -16,14 +16,15 @@ import numpy as np
 _ODD = re.compile("[^\t-\r\x20-\x7e\xa0-ɏ‐-‧]")
 _RUN = re.compile(r"\s\s(?:\s|\Z)")
 _PAIRS = ("  ", " \n", "\n ", "\n\n", "\t", "\x0b", "\x0c", "\r", "\xa0")
-KEPT_WORDS, WORDS_A_CALL = 1_000_000, 2_000
+KEPT_WORDS, WORDS_A_CALL = 1_500_000, 1_000
 _MARKS = ".,;:!?%$&*#|()[]{}\"/-_+=<>@~^"
 
 
-def _byte_letters() -> dict[int, int]:
-    """The byte-level alphabet: printable bytes stand for themselves, the others follow from code point 256 on."""
+def _byte_letters() -> np.ndarray:
+    """Code points of the byte-level alphabet: printable bytes stand for themselves, the others follow from 256 on."""
     shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    return {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in shown)}
+    hidden = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in shown)}
+    return np.array([hidden.get(b, b) for b in range(256)], dtype="<u4")
 
 
 class WordCachedBpe:
@@ -36,9 +37,10 @@ class WordCachedBpe:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.words_only = Tokenizer(self.tokenizer.model)
-        self.words_only.pre_tokenizer = pre_tokenizers.Split("\x00", "removed")
-        self.letters = {k: v for k, v in _byte_letters().items() if k != 10} | {32: 256 + 32, 10: 0}
+        self.words_only.pre_tokenizer = pre_tokenizers.Split(chr(_byte_letters()[10]), "isolated")
+        self.letters = _byte_letters()
         self.line = self.whole("\n")
+        self.line_id = int(np.frombuffer(self.line, "<u4")[0])
         self.kept: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {}
 
@@ -54,43 +56,52 @@ class WordCachedBpe:
             return None
         return text.replace("\n", " \n")[1:].split(" ")
 
-    def _plain(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of letters, or space and letters, which the pre-tokenizer leaves whole: many at a call."""
-        out = {}
+    def _plain(self, words: list[str]) -> list[bytes]:
+        """Ids of letters, or space and letters, which the pre-tokenizer leaves whole: many at a call, with line feeds between."""
+        out: list[bytes] = []
         for at in range(0, len(words), WORDS_A_CALL):
             some = words[at : at + WORDS_A_CALL]
-            joined = "\n".join(some).encode().decode("latin-1").translate(self.letters)
-            e = self.words_only.encode(joined, add_special_tokens=False)
-            raw, start = np.array(e.ids, dtype="<u4").tobytes(), 0
-            for w, end in zip(some, np.cumsum(np.bincount(np.array(e.word_ids), minlength=len(some))).tolist(), strict=True):
-                out[w] = raw[4 * start : 4 * end]
-                start = end
+            joined = self.letters[np.frombuffer("\n".join(some).encode(), np.uint8)].tobytes().decode("utf-32-le")
+            ids = np.array(self.words_only.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype="<u4")
+            raw, ends = ids.tobytes(), (4 * np.flatnonzero(ids == self.line_id)).tolist()
+            if len(ends) != len(some) - 1:
+                raise ValueError("words and line feeds do not agree")
+            out += [raw[x:y] for x, y in zip([0, *(e + 4 for e in ends)], [*ends, len(raw)], strict=True)]
         return out
 
-    def _learn(self, pieces: list[str]) -> None:
-        parts, rest = [], []
-        for p in pieces:
-            w = p.lstrip("\n")
+    def _learn(self, pieces: set[str]) -> None:
+        words = {p for p in pieces if p.isalpha()}
+        heads, marked, rest = set(), [], []
+        for p in pieces - words:
+            line = p[:1] == "\n"
+            w = p[1:] if line else p
             core = w.rstrip(_MARKS)
-            if core.isalpha() and len(p) - len(w) < 2:
-                parts.append((p, w is not p, core if w is not p else " " + core, w[len(core) :]))
-            else:
+            if not core.isalpha():
                 rest.append(p)
-        plain = self._plain(list({x for _, _, x, _ in parts}))
-        for p, line, x, tail in parts:
+                continue
+            tail = w[len(core) :]
             if tail and tail not in self.tails:
                 self.tails[tail] = self.whole(tail)
-            ids = plain[x] + self.tails[tail] if tail else plain[x]
-            self.kept[p] = self.line + ids if line else ids
+            marked.append((p, line, core, tail))
+            if line:
+                heads.add(core)
+            elif core not in self.kept:
+                words.add(core)
+        words, kept = list(words), self.kept
+        kept.update(zip(words, self._plain([" " + w for w in words]), strict=True))
+        heads = list(heads)
+        first = dict(zip(heads, self._plain(heads), strict=True))
+        for p, line, core, tail in marked:
+            kept[p] = (self.line + first[core] if line else kept[core]) + (self.tails[tail] if tail else b"")
         for p in rest:
-            self.kept[p] = self.whole(p if p[:1] == "\n" else " " + p)
+            kept[p] = self.whole(p if p[:1] == "\n" else " " + p)
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         cut = [self._cut(t) if t else [] for t in texts]
         if len(self.kept) > KEPT_WORDS:
             self.kept.clear()
             self.tails.clear()
-        self._learn(list(set().union(*(c for c in cut if c)).difference(self.kept)))
+        self._learn(set().union(*(c for c in cut if c)).difference(self.kept))
         kept = self.kept
         return [self.whole(t) if c is None else b"".join([kept[w] for w in c])[len(self.line) :] for t, c in zip(texts, cut, strict=True)]
 
