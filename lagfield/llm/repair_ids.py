@@ -56,10 +56,11 @@ def compress(ids: np.ndarray, starts: np.ndarray, rounds: int = ROUNDS, pairs: i
             break
         often = often[np.argsort(-counts[often], kind="stable")[:pairs]]
         chosen = np.sort(ordered[cut[often]])
-        left, right = np.zeros(n, bool), np.zeros(n, bool)
-        left[chosen >> shift] = True
-        right[chosen & ((wide(1) << shift) - wide(1))] = True
-        at = np.flatnonzero(inside & left[seq[:-1]] & right[seq[1:]])
+        # A table of 2^16 slots tells nearly all other pairs apart before the search.
+        slot = lambda k: (k * wide(0x9E3779B1)) >> wide(16 if small else 48)
+        may = np.zeros(1 << 16, bool)
+        may[slot(chosen)] = True
+        at = np.flatnonzero(inside & may[slot(keys)])
         rule = np.searchsorted(chosen, keys[at])
         hit = chosen[np.minimum(rule, len(chosen) - 1)] == keys[at]
         at, rule = at[hit], rule[hit]
