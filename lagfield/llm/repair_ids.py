@@ -88,6 +88,14 @@ def _expansions(rules: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
     return table, np.r_[np.arange(base), base + np.cumsum([0, *(len(p) for p in parts)])].astype(np.int64)
 
 
+def _lengths(rules: np.ndarray, base: int) -> np.ndarray:
+    """Expansion lengths of the nonterminals."""
+    out: list[int] = []
+    for a, b in rules.tolist():
+        out.append((out[a - base] if a >= base else 1) + (out[b - base] if b >= base else 1))
+    return np.array(out, "<u4")
+
+
 def expand(seq: np.ndarray, table: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     lengths = offsets[seq + np.int64(1)] - offsets[seq]
     ends = np.cumsum(lengths)
@@ -99,10 +107,9 @@ def write_block(out: BinaryIO, doc_ids: list[int | None], texts_ids: list[np.nda
     sizes = np.array([len(x) for x in texts_ids], np.uint64)
     starts = np.r_[0, np.cumsum(sizes)[:-1]].astype(np.int64)
     seq, places, rules, base = compress(np.concatenate(texts_ids), starts)
-    _, offsets = _expansions(rules, base)
     out.write(HEAD.pack(MAGIC, seq.itemsize, len(doc_ids), len(rules), len(seq), base))
     out.write(np.array([0 if d is None else d for d in doc_ids], "<i8").tobytes() + np.array([d is None for d in doc_ids], "u1").tobytes())
-    out.write(places.astype("<u8").tobytes() + sizes.astype("<u8").tobytes() + rules.tobytes() + np.diff(offsets[base:]).astype("<u4").tobytes())
+    out.write(places.astype("<u8").tobytes() + sizes.astype("<u8").tobytes() + rules.tobytes() + _lengths(rules, base).tobytes())
     out.write(seq.tobytes())
 
 
@@ -131,6 +138,13 @@ class Block:
             raise ValueError("a document's expansion has another length than stored")
         return ids
 
+    def documents(self) -> list[np.ndarray]:
+        """All documents of the block, expanded at once."""
+        ids, ends = expand(self.seq, self.table, self.offsets), np.cumsum(self.sizes)
+        if len(ids) != ends[-1]:
+            raise ValueError("the documents' expansion has another length than stored")
+        return np.split(ids, ends[:-1])
+
 
 def blocks(stream: BinaryIO) -> Iterator[Block]:
     while head := stream.read(HEAD.size):
@@ -187,12 +201,11 @@ def read_ids(spark: SparkSession, files: list[tuple[str, int]], with_ids: bool =
                 with system.open_input_stream(at) as stream:
                     for block in blocks(stream):
                         out: dict = {k: [] for k in schema.names}
-                        for i, d in enumerate(block.doc_ids):
-                            ids = block.document(i)
+                        for d, ids in zip(block.doc_ids, block.documents(), strict=True):
                             out["doc_id"].append(d)
                             out["start"].append(start)
                             out["n_tokens"].append(len(ids))
-                            out["ids_crc32"].append(zlib.crc32(ids.astype("<u4").tobytes()))
+                            out["ids_crc32"].append(zlib.crc32(np.ascontiguousarray(ids, "<u4")))
                             if with_ids:
                                 out["ids"].append(ids.astype(np.int32))
                             start += len(ids)
