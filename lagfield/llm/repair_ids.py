@@ -80,12 +80,12 @@ def compress(ids: np.ndarray, starts: np.ndarray, rounds: int = ROUNDS, pairs: i
 
 def _expansions(rules: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
     """All ids that symbols stand for, one after another, and where each symbol's begin."""
-    parts: list[np.ndarray] = []
-    whole = lambda x: parts[x - base] if x >= base else np.array([x], np.uint32)
+    parts: list[bytes] = []
+    whole = lambda x: parts[x - base] if x >= base else x.to_bytes(4, "little")
     for a, b in rules.tolist():
-        parts.append(np.concatenate([whole(a), whole(b)]))
-    table = np.concatenate([np.arange(base, dtype=np.uint32), *parts]) if parts else np.arange(base, dtype=np.uint32)
-    return table, np.r_[np.arange(base), base + np.cumsum([0, *(len(p) for p in parts)])].astype(np.int64)
+        parts.append(whole(a) + whole(b))
+    table = np.concatenate([np.arange(base, dtype="<u4"), np.frombuffer(b"".join(parts), "<u4")])
+    return table, np.r_[np.arange(base), base + np.cumsum([0, *(len(p) // 4 for p in parts)])].astype(np.int64)
 
 
 def _lengths(rules: np.ndarray, base: int) -> np.ndarray:
