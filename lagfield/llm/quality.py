@@ -1,9 +1,9 @@
 """Quality classifier from compression: dictionaries of good and of bad text, their size difference, a calibrated score.
 
-Half of a bounded sample of labelled texts trains two Zstandard dictionaries, one on good and one on bad text. A text is
+A bounded sample of labelled texts trains two Zstandard dictionaries, one on good and one on bad text. A text is
 compressed with either, in pieces of ``PIECE`` bytes so that the dictionary and not the text's own past tells; d = (bad - good) / (bad + good)
 over all pieces. Repeated text has no d to speak of, since either dictionary makes it vanish; the compressed share of the text
-shows it. A logistic curve on d, that share and the length, fitted on the other half of the sample, turns them into a score.
+shows it. A logistic curve on d, that share and the length, cross-fitted on the sample, turns them into a score.
 
 Defined results: a null text counts as empty; empty texts get the curve's value for no evidence; repeated rows each get a row; a null id
 belongs to no held-out part (its remainder is null: false); labels other than 0 and 1, or null, are not learnt from; a label for a missing
@@ -92,7 +92,8 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 4
 
 
 def train(texts: list[bytes], labels: list[int], weights: list[float]) -> Model:
-    """Even rows make the dictionaries, odd rows the curve (of each class). ``weights`` undo the sample's class balance."""
+    """Cross-fitted: dictionaries of either half of the rows give the features of the other half, on which the curve is fitted;
+    the dictionaries that score are then trained on all rows. ``weights`` undo the sample's class balance."""
     halves: dict[tuple[int, int], list[int]] = {(q, h): [] for q in (0, 1) for h in (0, 1)}
     for q in (0, 1):
         for k, i in enumerate(i for i, y in enumerate(labels) if y == q):
@@ -100,23 +101,25 @@ def train(texts: list[bytes], labels: list[int], weights: list[float]) -> Model:
     if any(len(v) < 5 for v in halves.values()):
         raise ValueError("too few labelled texts of each class to fit on")
 
-    def dictionary(q: int) -> bytes:
-        samples = [p for i in halves[q, 0] for k in range(0, len(texts[i]), PIECE) if len(p := texts[i][k : k + PIECE]) >= 8]
+    def dictionary(rows: list[int]) -> bytes:
+        samples = [p for i in rows for k in range(0, len(texts[i]), PIECE) if len(p := texts[i][k : k + PIECE]) >= 8]
         while 0 < sum(map(len, samples)) < 20 * 1024 or 0 < len(samples) < 16:
             samples = samples * 2
         size = min(DICT_BYTES, max(1024, sum(map(len, samples)) // 4))
         return zstandard.train_dictionary(size, samples).as_bytes()
 
-    m = Model(dictionary(1), dictionary(0), [], [], [])
-    held = halves[0, 1] + halves[1, 1]
-    x, y, w = Scorer(m).features([texts[i] for i in held]), np.array([labels[i] for i in held], float), np.array([weights[i] for i in held])
-    m.mean, m.scale = x.mean(0).tolist(), np.maximum(x.std(0), 1e-6).tolist()
-    coef = _logistic((x - m.mean) / m.scale, y)
+    parts, order = [], []
+    for h in (0, 1):
+        part = Scorer(Model(dictionary(halves[1, h]), dictionary(halves[0, h]), [], [], []))
+        rows = halves[0, 1 - h] + halves[1, 1 - h]
+        parts.append(part.features([texts[i] for i in rows]))
+        order += rows
+    x, y, w = np.concatenate(parts), np.array([labels[i] for i in order], float), np.array([weights[i] for i in order])
+    mean, scale = x.mean(0), np.maximum(x.std(0), 1e-6)
+    coef = _logistic((x - mean) / scale, y)
     # The intercept takes the classes' real shares, which the sample has evened out.
-    w1, w0 = w[y == 1].mean(), w[y == 0].mean()
-    coef[0] += np.log(w1 / w0)
-    m.weights = coef.tolist()
-    return m
+    coef[0] += np.log(w[y == 1].mean() / w[y == 0].mean())
+    return Model(dictionary(halves[1, 0] + halves[1, 1]), dictionary(halves[0, 0] + halves[0, 1]), mean.tolist(), scale.tolist(), coef.tolist())
 
 
 def held_out(id_col: str = "doc_id") -> Column:

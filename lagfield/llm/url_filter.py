@@ -70,7 +70,8 @@ def filter_urls(urls: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return filter_urls(read(spark, sf_dir, "pages"), spark.createDataFrame(RULES, "verdict string, host string, path string"))
+    rules = F.inline(F.array(*[F.struct(F.lit(v).alias("verdict"), F.lit(h).alias("host"), F.lit(p).alias("path")) for v, h, p in RULES]))
+    return filter_urls(read(spark, sf_dir, "pages"), spark.range(1).select(rules))
 
 
 SQL = {
