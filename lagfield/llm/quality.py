@@ -7,8 +7,9 @@ shows it. A logistic curve on d, that share and the length, cross-fitted on the
 
 Defined results: a null text counts as empty; empty texts get the curve's value for no evidence; repeated rows each get a row; a null id
 belongs to no held-out part (its remainder is null: false); labels other than 0 and 1, or null, are not learnt from; a label for a missing
-id or an id with several labels adds what the join gives; an empty table gives an empty result; without labelled rows of both classes
-``fit`` raises ``ValueError``. Texts of any length are scored whole.
+id or an id with several labels adds what the join gives; an empty table gives an empty result; with fewer than
+``LEAST_ROWS`` labelled texts of a class there is nothing to learn from: every text scores the share of good labels (0.5 without any),
+and the pipeline stage rejects nothing. Texts of any length are scored whole.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from .common import read
 from .files import bounded_batches
 
 #: Bounds of the fit: rows of each class, bytes of a text that may take part in it. Scoring has none.
-SAMPLE_ROWS, SAMPLE_BYTES = 2000, 32_768
+SAMPLE_ROWS, SAMPLE_BYTES, LEAST_ROWS = 2000, 32_768, 4
 DICT_BYTES, PIECE, LEVEL, THRESHOLD = 112_640, 2048, 3, 0.7
 
 
@@ -38,12 +39,15 @@ class Model:
     mean: list[float]
     scale: list[float]
     weights: list[float]
+    constant: float | None = None
 
 
 class Scorer:
     def __init__(self, model: Model):
         self.model = model
         self.packs = []
+        if model.constant is not None:
+            return
         for raw in (model.good, model.bad):
             d = zstandard.ZstdCompressionDict(raw)
             d.precompute_compress(level=LEVEL)
@@ -61,6 +65,8 @@ class Scorer:
         return _features(sizes[:, 0], sizes[:, 1], n)
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
+        if self.model.constant is not None:
+            return np.full(len(texts), self.model.constant)
         return _curve(self.features(texts), self.model)
 
 
@@ -98,8 +104,9 @@ def train(texts: list[bytes], labels: list[int], weights: list[float]) -> Model:
     for q in (0, 1):
         for k, i in enumerate(i for i, y in enumerate(labels) if y == q):
             halves[q, k % 2].append(i)
-    if any(len(v) < 5 for v in halves.values()):
-        raise ValueError("too few labelled texts of each class to fit on")
+    if any(len(halves[q, 0]) + len(halves[q, 1]) < LEAST_ROWS for q in (0, 1)):
+        total = sum(weights)
+        return Model(b"", b"", [], [], [], sum(w * y for w, y in zip(weights, labels, strict=True)) / total if total else 0.5)
 
     def dictionary(rows: list[int]) -> bytes:
         samples = [p for i in rows for k in range(0, len(texts[i]), PIECE) if len(p := texts[i][k : k + PIECE]) >= 8]
@@ -164,6 +171,8 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: rejected documents (score below the threshold) go."""
     model = fit(docs, read(spark, sf_dir, "labels"), ~held_out())
+    if model.constant is not None:
+        return docs
     return docs.withColumn("_score", score_column(spark, model)).where(F.col("_score") >= THRESHOLD).drop("_score")
 
 

@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import read
 from .files import bounded_batches
@@ -162,7 +163,7 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
 
 
 def decode(ids: DataFrame, model: str, ids_col: str = "ids") -> DataFrame:
-    """Adds ``text``, the decoded ids (null stays null)."""
+    """Adds ``decoded``, the text of the ids (null stays null)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model)
@@ -170,7 +171,7 @@ def decode(ids: DataFrame, model: str, ids_col: str = "ids") -> DataFrame:
             texts = [None if x is None else c.decode(x) for x in b.column(ids_col).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], [*b.schema.names, "decoded"])
 
-    return ids.mapInArrow(run, ids.schema.add("decoded", "string"))
+    return ids.mapInArrow(run, T.StructType([*ids.schema.fields, T.StructField("decoded", T.StringType())]))
 
 
 def default_model() -> str:

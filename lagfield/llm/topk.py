@@ -27,12 +27,14 @@ OUT = "query_id long, vec_id long, score long"
 
 
 def _matrix(vectors: pd.Series) -> np.ndarray:
-    return np.floor(256.0 * np.array(vectors.tolist(), dtype=np.float64).reshape(len(vectors), -1))
+    return np.floor(256.0 * np.array(vectors.tolist(), dtype=np.float64).reshape(len(vectors), len(vectors.iloc[0])))
 
 
 def block_topk(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Indices (query, candidate) and scores of each query's k best in this block."""
     dims = q.shape[1]
+    if dims == 0:
+        q, c, dims = np.zeros((len(q), 1)), np.zeros((len(c), 1)), 1
     most = max(np.abs(q).max(initial=0), np.abs(c).max(initial=0))
     if most * most * max(dims, 1) >= 2**52:
         q, c = (np.array([[int(x) for x in row] for row in m], dtype=object).reshape(m.shape) for m in (q, c))
