@@ -44,12 +44,12 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def attach_by_key(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int, row_id: list[str], parts: int = 500) -> DataFrame:
+def attach_by_key(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int, row_id: list[str], parts: int = 500, hint: str | None = None) -> DataFrame:
     """Left-joins one row per ``key`` of ``groups`` to ``rows`` when some keys hold a large part of the rows.
 
     A key with over 1/``parts`` of all ``total`` rows is hot: there are fewer than ``parts`` such keys whatever
     the data, so they are broadcast. The others meet in a shuffled join, in which the rows of hot keys
-    are dealt out by ``row_id`` and match nothing.
+    are dealt out by ``row_id`` and match nothing. ``hint`` fixes the kind of that join where its size must not choose it.
     """
     extra = [c for c in groups.columns if c != key]
     hot = groups.where((F.col(size) > 1) & (F.col(size) * parts > total)).select(F.col(key).alias("_k"), F.struct(*extra).alias("_hot"))
@@ -57,7 +57,7 @@ def attach_by_key(rows: DataFrame, groups: DataFrame, key: str, size: str, total
     out = rows.join(F.broadcast(hot), F.col(key) == F.col("_k"), "left")
     own = F.concat(F.lit("\x00"), F.xxhash64(*row_id).cast("string"))
     out = out.withColumn("_j", F.when(F.col("_k").isNull(), F.col(key).cast("string")).otherwise(own))
-    out = out.join(cold, F.col("_j") == F.col("_c"), "left")
+    out = out.join(cold.hint(hint) if hint else cold, F.col("_j") == F.col("_c"), "left")
     for c in extra:
         out = out.withColumn(c, F.coalesce(F.col(f"_hot.{c}"), F.col(f"_cold.{c}")))
     return out.drop("_k", "_hot", "_j", "_c", "_cold")

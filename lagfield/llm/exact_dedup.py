@@ -32,7 +32,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # Bytes: every hash of two or more rows must stand for one text.
     twice = groups.where("group_size > 1").select(F.hex("h").alias("key"), F.col("group_size").alias("rows"))
     again = source.withColumn("h", F.unhex(F.md5(F.encode("norm", "utf-8")))).withColumn("key", F.hex("h"))
-    again = attach_by_key(again, twice, "key", "rows", total, ["doc_id"]).where("rows IS NOT NULL")
+    again = attach_by_key(again, twice, "key", "rows", total, ["doc_id"], hint="merge").where("rows IS NOT NULL")
     texts = again.groupBy("h", "norm").agg(F.count(F.lit(1)).alias("group_size"), best("doc_id").alias("keep_id"))
     clash = texts.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     clash = written(clash.select(F.col("h").alias("ch")), "clash")
