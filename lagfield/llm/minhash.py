@@ -1,9 +1,9 @@
 """Near-duplicates by one-permutation MinHash: densified sketches, banded buckets, star-shaped candidates, exact confirmation.
 
 1. Rows whose shingle sets are the same form a class; from here on only one row a class goes on (copies never meet in pairs).
-2. A set's hashes fall into ``BINS`` bins, the least of each gives one byte, empty bins are filled by a draw of their own. ``BANDS`` bands of
-   ``ROWS`` bytes are the buckets; the bytes themselves are the key. A pair with a similarity of 0.85 shares no bucket with
-   probability (1 - 0.85^7)^36, about 1 in a million.
+2. A set's hashes fall into ``BINS`` bins, the least of each gives one byte, empty bins are filled by a draw of their own. Bands of
+   at most ``ROWS`` bytes are the buckets; the bytes themselves are the key. ``banding`` gives as many as a pair at the threshold needs to share
+   no bucket with a probability of at most ``MISS`` (independent bytes taken): 36 bands of 7 at 85, 59 of 7 at 80.
 3. Each bucket gives a star of candidates, centre to member; they are confirmed on the full sets and joined to components.
 4. Links that a star cannot see: in buckets that still hold several components, the members outside the largest one are held
    against all members by their sketches, two of them once (4 standard deviations below the threshold), in blocks of at most
@@ -30,7 +30,20 @@ from .components import components
 from .files import bounded_batches
 from .shingles import BINS, shingle_set, sketch, word_hashes
 
-BANDS, ROWS, BLOCK_ROWS = 36, 7, 2000
+ROWS, MISS, BLOCK_ROWS = 7, 1e-6, 2000
+#: The threshold of the pipeline stage; the query's is 85.
+STAGE_PERCENT = 80
+
+
+def banding(percent: int) -> tuple[int, int]:
+    """Bands and bytes of a band: the longest bands (``ROWS`` bytes at most) with which a pair at the threshold shares none with a probability of ``MISS`` at most."""
+    if not 1 <= percent <= 100:
+        raise ValueError("percent is 1 to 100")
+    for rows in range(ROWS, 0, -1):
+        bands = 1 if percent == 100 else int(np.ceil(np.log(MISS) / np.log1p(-((percent / 100) ** rows))))
+        if bands * rows <= BINS:
+            return bands, rows
+    raise ValueError(f"no banding of {BINS} bytes finds pairs at {percent} percent")
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[np.ndarray]]]:
@@ -74,6 +87,7 @@ def least_matches(percent: int) -> int:
 def _block_pairs(percent: int):
     """Pairs of different components in blocks of buckets; rows come sorted by block."""
     enough = least_matches(percent)
+    bands, width = banding(percent)
 
     def block(rows: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         mine, codes = np.flatnonzero(rows["asks"]), rows["codes"]
@@ -85,7 +99,7 @@ def _block_pairs(percent: int):
             once = ~rows["outside"][other] | (rows["node"][other] > rows["node"][i])
             hit = other[near & once & (rows["root"][other] != rows["root"][i]) & (100 * small >= percent * large)]
             if len(hit):
-                shared = (codes[hit, : BANDS * ROWS] == codes[i, : BANDS * ROWS]).reshape(len(hit), BANDS, ROWS).all(2).argmax(1)
+                shared = (codes[hit, : bands * width] == codes[i, : bands * width]).reshape(len(hit), bands, width).all(2).argmax(1)
                 hit = hit[shared == rows["band"][i]]
                 a.append(np.full(len(hit), rows["node"][i]))
                 b.append(rows["node"][hit])
@@ -123,11 +137,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """doc_id, n_shingles, component_id (least id reachable) and kept of every row of ``docs``."""
     spark = docs.sparkSession
     bounded_batches(spark)
+    bands, width = banding(percent)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.encode(F.coalesce(F.col(text_col), F.lit("")), "utf-8").alias("text"))
     marks = written(rows.mapInArrow(_sketched, "doc_id long, n_shingles long, key binary, node long, sketch binary"), "sketches")
     whole = marks.where("key IS NOT NULL AND doc_id IS NOT NULL")
     classes = written(whole.groupBy("key", "node", "sketch").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("rows"), F.max("n_shingles").alias("n")), "classes")
-    band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.struct(k.alias("band"), F.substring(F.col("sketch"), k * ROWS + 1, F.lit(ROWS)).alias("code"))))
+    band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda k: F.struct(k.alias("band"), F.substring(F.col("sketch"), k * width + 1, F.lit(width)).alias("code"))))
     spread = classes.select("node", "n", band.alias("x")).select("node", "n", "x.band", "x.code")
     buckets = spread.groupBy("band", "code").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("node", "n")).alias("centre")).where("size > 1")
     buckets = written(buckets.select("band", "code", F.col("centre.node").alias("centre"), F.col("centre.n").alias("centre_n")), "buckets")
@@ -174,7 +189,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each group of near-duplicates the document with the smallest id stays."""
-    gone = near_duplicates(docs).where("NOT kept").select(F.col("doc_id").alias("_id")).distinct()
+    gone = near_duplicates(docs, percent=STAGE_PERCENT).where("NOT kept").select(F.col("doc_id").alias("_id")).distinct()
     return docs.join(gone, F.col("doc_id") == F.col("_id"), "left_anti")
 
 

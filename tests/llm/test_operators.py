@@ -413,6 +413,20 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).isEmpty()
 
 
+def test_banding_follows_the_threshold():
+    assert minhash.banding(85) == (36, 7) and minhash.banding(80) == (59, 7)
+    for percent in (50, 60, 70, 80, 85, 90, 99):
+        bands, width = minhash.banding(percent)
+        assert bands * width <= shingles.BINS and (1 - (percent / 100) ** width) ** bands <= 1e-6
+
+
+def test_near_dedup_stage_takes_pairs_at_80(spark, texts):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    left = {r.doc_id for r in minhash.stage(spark, docs, SF).collect()}
+    assert left == {i for i, (_, c) in brute_near(texts.items(), 80).items() if i == c}
+    assert left != {i for i, (_, c) in brute_near(texts.items(), 85).items() if i == c}
+
+
 # pipeline
 
 
