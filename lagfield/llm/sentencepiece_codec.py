@@ -1,7 +1,8 @@
 """SentencePiece encoding and decoding of whole texts by a shared-prefix dynamic programme over marked words.
 
 The distinct marked words of a batch are sorted, so that neighbours share prefixes, and walked depth-first as a
-trie: the state of every prefix (its last piece and its ids) stays on a stack and is used again by all words that go on from it.
+trie: the state of every prefix (its last piece and where that begins) stays on a stack and is used again by all words that go on
+from it. The ids are read off backwards once a word ends, so memory grows with the length of a word and not with its square.
 
 The public model is a BPE model, for which the best-scoring Viterbi path is not the library's result. The forward state here
 is therefore the one exact for BPE: the last piece of a prefix's encoding. A piece p that ends a prefix is the right one just when
@@ -27,7 +28,7 @@ from pyspark.sql import types as T
 from .common import read
 from .files import bounded_batches
 
-MARK, KEPT_WORDS = "▁", 600_000
+MARK, KEPT_WORDS, KEPT_BYTES = "▁", 600_000, 1 << 27
 _SEGMENT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
@@ -49,6 +50,7 @@ class TrieCodec:
         self.line_alone = "\n" not in joined
         self.fits: dict[tuple[int, int], bool] = {}
         self.kept: dict[str, bytes] = {}
+        self.kept_bytes = 0
 
     @classmethod
     def from_model(cls, path: str) -> TrieCodec:
@@ -76,8 +78,8 @@ class TrieCodec:
             known = self.fits[before, piece] = self._merge("".join(ends)) == ends
         return known
 
-    def _extend(self, word: str, end: int, last: list[int], paths: list[tuple], total: list[float]) -> None:
-        """The state of ``word[:end]`` from those of the shorter prefixes."""
+    def _extend(self, word: str, end: int, last: list[int], begin: list[int], total: list[float]) -> None:
+        """The state of ``word[:end]`` from those of the shorter prefixes: its last piece (-1: a character in bytes) and where that begins."""
         best = None
         for n in range(1, min(self.longest, end) + 1):
             i = self.ids.get(word[end - n : end])
@@ -85,29 +87,41 @@ class TrieCodec:
                 continue
             if self.kind == "bpe":
                 if self._fit(last[end - n], i):
-                    best = (i, (*paths[end - n], i), 0.0)
+                    best = (i, end - n, 0.0)
                     break
             elif best is None or total[end - n] + self.score[i] > best[2]:
-                best = (i, (*paths[end - n], i), total[end - n] + self.score[i])
+                best = (i, end - n, total[end - n] + self.score[i])
         if best is None:
-            raw = tuple(self.byte_ids[b] for b in word[end - 1].encode())
-            best = (-1, paths[end - 1] + raw, total[end - 1] - 100.0 * len(raw))
+            best = (-1, end - 1, total[end - 1] - 100.0 * len(word[end - 1].encode()))
         last.append(best[0])
-        paths.append(best[1])
+        begin.append(best[1])
         total.append(best[2])
 
+    def _path(self, word: str, last: list[int], begin: list[int]) -> list[int]:
+        """The ids of ``word``, from its end back to its start."""
+        out, end = [], len(word)
+        while end:
+            if last[end] >= 0:
+                out.append(last[end])
+            else:
+                out.extend(self.byte_ids[b] for b in reversed(word[end - 1].encode()))
+            end = begin[end]
+        out.reverse()
+        return out
+
     def learn(self, words: list[str]) -> None:
         """Encodes marked words in sorted order, a depth-first walk of their trie."""
-        last, paths, total = [-1], [()], [0.0]
+        last, begin, total = [-1], [0], [0.0]
         before = ""
         for word in sorted(words):
             shared, most = 0, min(len(before), len(word))
             while shared < most and before[shared] == word[shared]:
                 shared += 1
-            del last[shared + 1 :], paths[shared + 1 :], total[shared + 1 :]
+            del last[shared + 1 :], begin[shared + 1 :], total[shared + 1 :]
             for end in range(shared + 1, len(word) + 1):
-                self._extend(word, end, last, paths, total)
-            self.kept[word] = np.array(paths[-1], "<i4").tobytes()
+                self._extend(word, end, last, begin, total)
+            self.kept[word] = np.array(self._path(word, last, begin), "<i4").tobytes()
+            self.kept_bytes += len(self.kept[word]) + len(word)
             before = word
 
     def segments(self, text: str) -> list[str]:
@@ -120,8 +134,9 @@ class TrieCodec:
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian 32-bit bytes."""
         cut = [self.segments(t) if t else [] for t in texts]
-        if len(self.kept) > KEPT_WORDS:
+        if len(self.kept) > KEPT_WORDS or self.kept_bytes > KEPT_BYTES:
             self.kept.clear()
+            self.kept_bytes = 0
         if len(self.fits) > KEPT_WORDS:
             self.fits.clear()
         self.learn(list(set().union(*cut).difference(self.kept)))

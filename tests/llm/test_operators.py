@@ -4,6 +4,7 @@ import hashlib
 import io
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -172,6 +173,33 @@ def test_sentencepiece_odd_rows(odd_docs, no_docs):
     assert sentencepiece_codec.encode(no_docs, model).isEmpty()
 
 
+def test_sentencepiece_unspaced_runs_take_linear_memory():
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_codec.default_model())
+    c = sentencepiece_codec.TrieCodec.from_model(sentencepiece_codec.default_model())
+    r = random.Random(9)
+    run = "".join(r.choice(["the", "ing", "ab", "世", "é", "q", "12", "tion", "\U0001f9ff"]) for _ in range(100_000))[:200_000]
+    c.encode_batch(["warm up"])
+    peaks = []
+    for text in (run[:2000], run[:8000], run):
+        tracemalloc.start()
+        (raw,) = c.encode_batch([text])
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        # A quadratic path shows at 8,000 characters, before the long run would take gigabytes.
+        assert peaks[-1] < 400 * len(text) + 2_000_000
+        assert np.frombuffer(raw, "<i4").tolist() == sp.encode(text)
+
+
+def test_sentencepiece_known_words_are_bounded_in_bytes(monkeypatch):
+    c = sentencepiece_codec.TrieCodec.from_model(sentencepiece_codec.default_model())
+    monkeypatch.setattr(sentencepiece_codec, "KEPT_BYTES", 100_000)
+    for k in range(20):
+        c.encode_batch([f"{k}x" * 10_000])
+    assert sum(map(len, c.kept.values())) < 400_000
+
+
 # 5 mixing
 
 
