@@ -4,6 +4,7 @@
 2. A set's hashes fall into ``BINS`` bins, the least of each gives one byte, empty bins are filled by a draw of their own. Bands of
    at most ``ROWS`` bytes are the buckets; the bytes themselves are the key. ``banding`` gives as many as a pair at the threshold needs to share
    no bucket with a probability of at most ``MISS`` (independent bytes taken): 36 bands of 7 at 85, 59 of 7 at 80.
+   Sets too small to be similar to any other set (``least_size``) stay out: their sketches repeat few bytes, and they would share all buckets.
 3. Each bucket gives a star of candidates, centre to member; they are confirmed on the full sets and joined to components.
 4. Links that a star cannot see: in buckets that still hold several components, the members outside the largest one are held
    against all members by their sketches, two of them once (4 standard deviations below the threshold), in blocks of at most
@@ -78,6 +79,11 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(F.col("i") * 100 >= (F.col("n") - F.col("i")) * percent).select("a", "b")
 
 
+def least_size(percent: int) -> int:
+    """Shingles that a set needs to reach the threshold with a different one: n of n + 1 at best."""
+    return 1 << 62 if percent == 100 else -(-percent // (100 - percent))
+
+
 def least_matches(percent: int) -> int:
     """Equal bytes of two sketches that a pair at the threshold has but for 4 standard deviations."""
     p = percent / 100 + (1 - percent / 100) / 256
@@ -143,7 +149,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     whole = marks.where("key IS NOT NULL AND doc_id IS NOT NULL")
     classes = written(whole.groupBy("key", "node", "sketch").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("rows"), F.max("n_shingles").alias("n")), "classes")
     band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda k: F.struct(k.alias("band"), F.substring(F.col("sketch"), k * width + 1, F.lit(width)).alias("code"))))
-    spread = classes.select("node", "n", band.alias("x")).select("node", "n", "x.band", "x.code")
+    spread = classes.where(F.col("n") >= least_size(percent)).select("node", "n", band.alias("x")).select("node", "n", "x.band", "x.code")
     buckets = spread.groupBy("band", "code").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("node", "n")).alias("centre")).where("size > 1")
     buckets = written(buckets.select("band", "code", F.col("centre.node").alias("centre"), F.col("centre.n").alias("centre_n")), "buckets")
     members = written(spread.join(buckets, ["band", "code"]), "members")

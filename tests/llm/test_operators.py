@@ -412,6 +412,26 @@ def test_near_duplicates_chains_and_near_misses(spark, monkeypatch):
     assert {x.doc_id: (x.n_shingles, x.component_id) for x in got} == brute_near(rows)
 
 
+@pytest.mark.parametrize("percent", [80, 85])
+def test_near_duplicates_of_short_texts(spark, monkeypatch, percent):
+    """Sets too small for the threshold meet in no bucket; the smallest that can reach it are found."""
+    assert minhash.least_size(80) == 4 and minhash.least_size(85) == 6 and minhash.least_size(50) == 1 and minhash.least_size(90) == 9
+    words = [[f"s{k}w{j}" for j in range(14)] for k in range(3)]
+    rows = [(i, f"short {i} text") for i in range(3000)]
+    rows += [(5000 + 20 * k + n, " ".join(w[:n])) for k, w in enumerate(words) for n in range(5, 15)]
+    written = {}
+    real = minhash.written
+
+    def keep(df, name):
+        written[name] = real(df, name)
+        return written[name]
+
+    monkeypatch.setattr(minhash, "written", keep)
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent=percent).collect()
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in got} == brute_near(rows, percent)
+    assert written["members"].where("n < 4").isEmpty() and written["pairs"].count() < 100
+
+
 def test_near_duplicates_odd_rows(odd_docs, no_docs):
     got = minhash.near_duplicates(odd_docs).collect()
     by = {r.doc_id: r for r in got}
