@@ -35,6 +35,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def unused(columns: list[str], name: str) -> str:
+    """``name``, lengthened until no column of ``columns`` has it (letter case does not count)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def keyed(docs: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``docs`` with a key of its own for every row, and the key's column. Written, so that a row has the same key whenever it is read."""
+    key = unused(docs.columns, "row_key")
+    return written(docs.withColumn(key, F.monotonically_increasing_id()), name), key
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z only; null counts as the empty text."""
     return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, attach_by_key, read, written
+from .common import ascii_lower, attach_by_key, keyed, read, written
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min") -> DataFrame:
@@ -54,9 +54,12 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of equal texts the row with the largest id stays (one row, were the id repeated)."""
-    keep = exact_dedup(docs, keep="max").where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(keep, F.col("doc_id") == F.col("_id"), "left_semi")
+    """Pipeline stage: of equal texts the row with the largest id stays: one row, were the id repeated; one without an id only if no other has one."""
+    rows, key = keyed(docs, "exact-rows")
+    # Nulls are the least of a struct's order.
+    order = rows.select(F.struct(F.col("doc_id").alias("id"), F.col(key).alias("row")).alias("doc_id"), "text")
+    keep = exact_dedup(order, keep="max").where("kept").select(F.col("doc_id.row").alias(key))
+    return rows.join(keep, key, "left_semi").select(docs.columns)
 
 
 SQL = {

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import attach_by_key, read, written
+from .common import attach_by_key, keyed, read, written
 from .components import components
 from .files import bounded_batches
 from .shingles import BINS, shingle_set, sketch, word_hashes
@@ -194,9 +194,12 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each group of near-duplicates the document with the smallest id stays."""
-    gone = near_duplicates(docs, percent=STAGE_PERCENT).where("NOT kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_id"), "left_anti")
+    """Pipeline stage: of each group of near-duplicates the row with the smallest id stays: one row, were the id repeated; one without an id only if no other has one."""
+    rows, key = keyed(docs, "near-rows")
+    groups = near_duplicates(rows, id_col=key, percent=STAGE_PERCENT).select(F.col("doc_id").alias("row"), F.col("component_id").alias("component"))
+    ids = rows.select(F.col(key).alias("row"), F.col("doc_id").alias("id"))
+    keep = groups.join(ids, "row").groupBy("component").agg(F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("first"))
+    return rows.join(keep.select(F.col("first.row").alias(key)), key, "left_semi").select(docs.columns)
 
 
 SQL: dict[str, str] = {}

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read, word_count, written
+from .common import keyed, read, word_count, written
 
 WEIGHTS, MAX_EPOCHS, SLOTS, SEED = (1, 2, 3), 3, 4096, 17
 
@@ -39,16 +39,17 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epo
     return w.select("source", "source_size", F.when(F.col("water").isNull() | (F.col("water") * F.col("weight") >= F.col("cap")), F.col("cap")).otherwise(F.col("water") * F.col("weight")).alias("target"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, share: float = 1.0) -> DataFrame:
-    """One row per row of ``docs``: doc_id, size, source_size, target, taken (words, repeats counted), copies."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, share: float = 1.0, row_col: str | None = None) -> DataFrame:
+    """One row per row of ``docs``: doc_id, size, source_size, target, taken (words, repeats counted), copies; and row, the key in ``row_col``."""
+    own = ["row"] if row_col else []
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), *([F.col(row_col).alias("row")] if row_col else []))
     rows = rows.withColumn("at", F.xxhash64(F.lit(SEED), "doc_id", "size"))
     rows = written(rows.withColumn("slot", F.shiftrightunsigned("at", 64 - SLOTS.bit_length() + 1)), "mix-sizes")
     targets = written(source_targets(rows, weights, max_epochs, share), "mix-targets")
     by_slot = Window.partitionBy("source").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
     slots = rows.groupBy("source", "slot").agg(F.sum("size").alias("in_slot")).select("source", "slot", F.coalesce(F.sum("in_slot").over(by_slot), F.lit(0)).alias("base"))
     slots = slots.withColumnsRenamed({"source": "_s", "slot": "_t"})
-    in_slot = Window.partitionBy("source", "slot").orderBy(F.shiftrightunsigned("at", 1), "at", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    in_slot = Window.partitionBy("source", "slot").orderBy(F.shiftrightunsigned("at", 1), "at", "doc_id", "size", *own).rowsBetween(Window.unboundedPreceding, 0)
     queued = rows.withColumn("within", F.sum("size").over(in_slot)).join(slots, F.col("source").eqNullSafe(F.col("_s")) & (F.col("slot") == F.col("_t")))
     queued = queued.withColumn("upto", F.col("base") + F.col("within")).drop("_s", "_t", "base", "within", "at", "slot")
     t = targets.withColumnsRenamed({"source": "_s"})
@@ -79,7 +80,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     counts = counts.select(F.col("source").alias("_s"), F.col("doc_id").alias("_d"), F.col("size").alias("_z"), F.col("upto").alias("_u"), "copies")
     same = F.col("source").eqNullSafe(F.col("_s")) & F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("size") == F.col("_z")) & (F.col("upto") == F.col("_u"))
     out = queued.join(counts, same, "left").withColumn("copies", F.coalesce("copies", F.lit(0)))
-    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
+    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", *own)
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,9 +89,9 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: each document as many times as the mix takes it."""
-    took = mix(docs).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("_n")).withColumnRenamed("doc_id", "_id")
-    out = docs.join(took, F.col("doc_id") == F.col("_id"))
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(docs.columns)
+    rows, key = keyed(docs, "mix-rows")
+    took = mix(rows, row_col=key).where("copies > 0").select(F.col("row").alias(key), F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return rows.join(took.select(key), key).select(docs.columns)
 
 
 SQL: dict[str, str] = {}

@@ -504,6 +504,25 @@ def test_pipeline_stages(spark):
         state = out
 
 
+def test_pipeline_stages_act_by_row(spark):
+    """Repeated rows, null ids and ids with several texts: every row is decided by itself."""
+    long = [f"w{k}" for k in range(60)]
+    near, other, alone = " ".join([*long[:59], "new"]), " ".join(f"o{k}" for k in range(50)), " ".join(f"n{k}" for k in range(40))
+    rows = [(1, " ".join(long)), (2, near), (2, other), (3, "again and again"), (3, "again and again"), (3, "AGAIN and again"), (None, alone), (None, alone), (None, near), (None, "again and again"), (7, ""), (None, None)]
+    docs = spark.createDataFrame([(*r, "s") for r in rows], "doc_id long, text string, source string")
+    low = lambda df: Counter((r.doc_id, (r.text or "").translate(LOW)) for r in df.collect())
+    exact = exact_dedup.stage(spark, docs, SF)
+    assert low(exact) == Counter([(1, " ".join(long)), (2, near), (2, other), (3, "again and again"), (None, alone), (7, "")])
+    want = Counter([(1, " ".join(long)), (2, other), (3, "again and again"), (None, alone), (7, ""), (None, "")])
+    assert low(minhash.stage(spark, docs, SF)) == want and low(minhash.stage(spark, exact, SF)) == want - Counter([(None, "")])
+    for source in (docs, exact):
+        took = Counter()
+        for r in mixing.mix(source).collect():
+            took[r.doc_id, r["size"]] += r.copies
+        got = Counter((r.doc_id, len(WORD.findall(r.text or ""))) for r in mixing.stage(spark, source, SF).collect())
+        assert got == +took and {k for k in got if k[0] is None}
+
+
 def test_pipeline_stages_take_odd_and_empty_tables(spark, odd_docs, no_docs):
     for _, stage in corpus_pipeline.STAGES:
         plain = odd_docs.select("doc_id", "text", "lang", "source", "n_chars", "key", "h")
