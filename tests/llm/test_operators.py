@@ -468,6 +468,23 @@ def test_banding_follows_the_threshold():
         assert bands * width <= shingles.BINS and (1 - (percent / 100) ** width) ** bands <= 1e-6
 
 
+@pytest.mark.parametrize("percent", [80, 85])
+def test_sketches_of_pairs_at_the_threshold_pass_both_filters(percent):
+    """Densified bytes are not independent: small and middle sets stray farther than 4 binomial deviations."""
+    rng = np.random.default_rng(7)
+    bands, width = minhash.banding(percent)
+    least = shingles.BINS
+    for union in (20, 100, 400):
+        both = -(-percent * union // 100)
+        for _ in range(1000):
+            h = rng.integers(0, 2**64, union, dtype=np.uint64)
+            cut = both + rng.integers(0, union - both + 1)
+            a, b = shingles.sketch(np.sort(h[:cut])), shingles.sketch(np.sort(np.r_[h[:both], h[cut:]]))
+            least = min(least, (a == b).sum())
+            assert (a == b)[: bands * width].reshape(bands, width).all(1).any()
+    assert minhash.least_matches(percent) <= least - 10
+
+
 def test_near_dedup_stage_takes_pairs_at_80(spark, texts):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     left = {r.doc_id for r in minhash.stage(spark, docs, SF).collect()}
