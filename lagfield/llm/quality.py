@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import read, unused
 from .files import bounded_batches
 
 #: Bounds of the fit: rows of each class, bytes of a text that may take part in it. Scoring has none.
@@ -141,7 +141,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from: Column, id_col: str = "d
     some = rows.where("_y = 1").orderBy(order, "_id").limit(SAMPLE_ROWS).unionByName(rows.where("_y = 0").orderBy(order, "_id").limit(SAMPLE_ROWS))
     # At most 2 * SAMPLE_ROWS ids: broadcast.
     text = F.encode(F.coalesce(F.col(text_col), F.lit("")), "utf-8")
-    got = docs.where(F.octet_length(F.coalesce(F.col(text_col), F.lit(""))) <= SAMPLE_BYTES).join(F.broadcast(some), F.col(id_col) == F.col("_id")).select("_id", "_y", text.alias("_t")).collect()
+    short = docs.where(F.octet_length(F.coalesce(F.col(text_col), F.lit(""))) <= SAMPLE_BYTES).select(F.col(id_col).alias("_d"), text.alias("_t"))
+    got = short.join(F.broadcast(some), F.col("_d") == F.col("_id")).select("_id", "_y", "_t").collect()
     got = sorted(((r["_id"], r["_y"], bytes(r["_t"])) for r in got), key=lambda r: (zlib.crc32(str(r[0]).encode()), r[2]))
     drawn = {q: max(1, sum(y == q for _, y, _ in got)) for q in (0, 1)}
     return train([t for _, _, t in got], [y for _, y, _ in got], [shares[y] / drawn[y] for _, y, _ in got])
@@ -173,7 +174,8 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = fit(docs, read(spark, sf_dir, "labels"), ~held_out())
     if model.constant is not None:
         return docs
-    return docs.withColumn("_score", score_column(spark, model)).where(F.col("_score") >= THRESHOLD).drop("_score")
+    score = unused(docs.columns, "_score")
+    return docs.withColumn(score, score_column(spark, model)).where(F.col(score) >= THRESHOLD).drop(score)
 
 
 SQL: dict[str, str] = {}

@@ -521,6 +521,18 @@ def test_pipeline_stages(spark):
         state = out
 
 
+def test_pipeline_stages_take_columns_of_helper_names(spark):
+    names = ["_id", "_n", "_copy", "_score", "_y", "_t", "row_key", "Row_Key_", "_s", "_u"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    clash = docs.withColumns({n: F.col("doc_id") + 1000 * k for k, n in enumerate(names)})
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, clash, SF)
+        assert out.columns == clash.columns
+        got = out.collect()
+        assert got and all(r[n] == r.doc_id + 1000 * k for r in got for k, n in enumerate(names))
+        assert Counter(r.doc_id for r in got) == Counter(r.doc_id for r in stage(spark, docs, SF).select("doc_id").collect())
+
+
 def test_pipeline_stages_act_by_row(spark):
     """Repeated rows, null ids and ids with several texts: every row is decided by itself."""
     long = [f"w{k}" for k in range(60)]
