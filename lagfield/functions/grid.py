@@ -32,7 +32,7 @@ def next_fast_len(target: int, rule: str = "py", force_even: bool = False) -> in
     rest = {"py": (1, 11), "cpp": (1, 11, 13), "cuda": (1,)}
     if rule not in rest:
         raise RuntimeError(f"unknown rule {rule}; there are {', '.join(rest)}")
-    n = target
+    n = max(1, target)
     while _smooth(n, (2, 3, 5, 7)) not in rest[rule] or (force_even and n % 2):
         n += 1
     return n

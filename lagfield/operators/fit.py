@@ -39,7 +39,10 @@ def evaluate(expr: str, names: dict[str, float]) -> float:
 
 
 def least_squares(model: Model, x: np.ndarray, y: np.ndarray, hints: dict[str, Hint], weights: np.ndarray | None = None, steps: int = 400) -> tuple[dict[str, float], dict[str, float], bool]:
-    """(values, standard errors, success): damped Gauss-Newton with the bounds kept by projection; errors scaled by the reduced chi square."""
+    """(values, standard errors, success): damped Gauss-Newton with the bounds kept by projection; errors scaled by the reduced chi square.
+
+    ``success`` is false if the start is not finite or the steps ran out before the sum of squares settled.
+    """
     free = [p for p, h in hints.items() if h.vary and h.expr is None]
     low, high = (np.array([getattr(hints[p], side) for p in free], float) for side in ("min", "max"))
     now = np.clip(np.array([hints[p].value for p in free], float), low, high)
@@ -66,8 +69,9 @@ def least_squares(model: Model, x: np.ndarray, y: np.ndarray, hints: dict[str, H
         return out
 
     r = off(now)
-    cost, damp, success = float(r @ r), 1e-3, bool(np.isfinite(r).all())
-    for _ in range(steps if success and free else 0):
+    finite = bool(np.isfinite(r).all())
+    cost, damp, success = float(r @ r), 1e-3, finite and not free
+    for _ in range(steps if finite and free else 0):
         j = slopes(now, r)
         g = j.T @ r
         active = ((now <= low) & (g > 0)) | ((now >= high) & (g < 0))
@@ -92,6 +96,7 @@ def least_squares(model: Model, x: np.ndarray, y: np.ndarray, hints: dict[str, H
                 break
             damp *= 4
         if not moved or (gain <= 1e-14 * max(cost, 1e-300) and size < 1e-9):
+            success = True
             break
     j = slopes(now, r) if free else np.zeros((len(x), 0))
     err = {p: math.nan for p in hints}
@@ -110,6 +115,18 @@ def simple_estimates(x: np.ndarray, y: np.ndarray) -> dict[str, float]:
     return {"A": a, "B": b, "tau": float(x[np.argmin(np.abs((y - b) / a - 0.5))]) if a > 0 else 1.0}
 
 
+def estimates(curves: DataFrame, value: str = "d") -> DataFrame:
+    """seq_id, bin, A, B, tau: starting values of every curve by ``simple_estimates``; NaN for curves that begin with NaN or have under 5 points."""
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("tau")
+        x, y = pdf["tau"].to_numpy(float), pdf[value].to_numpy(float)
+        found = simple_estimates(x, y) if len(y) >= 5 and np.isfinite(y).all() else dict.fromkeys(("A", "B", "tau"), math.nan)
+        return pd.DataFrame([{"seq_id": pdf["seq_id"].iloc[0], "bin": pdf["bin"].iloc[0], **found}])
+
+    return curves.groupBy("seq_id", "bin").applyInPandas(one, "seq_id string, bin int, A double, B double, tau double")
+
+
 def fit_curves(curves: DataFrame, model: Model, value: str = "d", params: dict[str, Hint] | None = None, estimate_simple_parameters: bool = False, use_err: bool = False) -> DataFrame:
     """fit_params, every curve (seq_id, bin) on its own: parallel over all of them."""
 

@@ -109,14 +109,25 @@ def plane_noise(sf: DataFrame, extra: DataFrame, grid_rows: DataFrame, mode: str
             raise RuntimeError("the scaled covariance of a quadratic needs at least 4 points")
         return quadratic(first_lags(sf, ["seq_id", "iy", "ix"], n), ["seq_id", "iy", "ix"], "d", F.lit(1.0), True)
     g = grid_rows.where(mask) if mask is not None else grid_rows
-    g = F.broadcast(g.select("iy", "ix", "k"))
+    g = g.select("iy", "ix", "k")
     if mode == "min":
         start = sf.join(g, ["iy", "ix"]).withColumn("_t0", F.min("tau").over(Window.partitionBy("seq_id"))).where(F.col("tau") == F.col("_t0"))
         one = start.groupBy("seq_id").agg(F.min(F.when(_known(F.col("d")), F.col("d"))).alias("b"))
     else:
         top = grid_rows.agg(F.greatest(F.max("kx"), F.max("ky")).alias("_top"))
         low, high = _limits(k_min, k_max, F.col("_top"))
-        ring = F.broadcast(g.crossJoin(F.broadcast(top)).where((F.col("k") >= low) & (F.col("k") <= high)).select("iy", "ix"))
+        limits = top.select(low.alias("_low"), high.alias("_high")).first()  # one row of two numbers
+        ring = g.where(F.col("k").between(limits["_low"], limits["_high"])).select("iy", "ix")
         source, value, times = (sf, "d", 1.0) if mode == "high_q" else (extra, mode, 2.0)
         one = source.join(ring, ["iy", "ix"]).groupBy("seq_id").agg((times * F.avg(value)).alias("b"))
     return cells.join(one, "seq_id", "left").select("seq_id", "iy", "ix", F.coalesce("b", F.lit(NAN)).alias("b"), F.coalesce("b", F.lit(NAN)).alias("b_err"))
+
+
+def noise_of(curves: DataFrame, extra: DataFrame, mode: str = "zero", grid_rows: DataFrame | None = None, **args) -> DataFrame:
+    """Noise of a radial average (column bin) or of a structure function (columns iy, ix; needs ``grid_rows``); any other input raises ``TypeError``."""
+    columns = set(curves.columns) if isinstance(curves, DataFrame) else set()
+    if {"bin", "k", "tau", "d"} <= columns:
+        return radial_noise(curves, extra, mode, **args)
+    if {"iy", "ix", "tau", "d"} <= columns and grid_rows is not None:
+        return plane_noise(curves, extra, grid_rows, mode, **args)
+    raise TypeError("a radial average, or a structure function with its grid, is needed")

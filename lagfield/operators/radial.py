@@ -6,10 +6,11 @@ import math
 from collections.abc import Iterable
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.grid import Grid, qgrid
+from ..sources.shared import kept
 
 
 def bin_edges(bins: int | Iterable[float], k_range: tuple[float, float] | None, k_all: Iterable[float]) -> tuple[list[float], float]:
@@ -28,46 +29,56 @@ def bin_edges(bins: int | Iterable[float], k_range: tuple[float, float] | None,
 def azimuthal_average(values: DataFrame, grid_rows: DataFrame, edges: list[float], low: float, by: list[str], value: str = "d", mask: Column | None = None, weight: Column | None = None, eval_err: bool = True) -> DataFrame:
     """One row per group of ``by`` and ring: bin, k, avg, err.
 
-    ``grid_rows`` (iy, ix, k, mult, and what mask and weight use) is broadcast: its size is that of one frame. A pixel belongs to the
-    ring i with edge[i-1] < k <= edge[i]; k beyond the edges or below ``low`` drops out, and so do masked pixels and those of weight 0. The
-    error is the unbiased weighted standard deviation (NaN for a single count). Empty rings give NaN and the middle of their edges.
+    ``grid_rows`` has iy, ix, k, mult, and what mask and weight use. A pixel belongs to the ring i with edge[i-1] < k <= edge[i]; k beyond the
+    edges or below ``low`` drops out, and so do masked pixels and those of weight 0; a negative weight raises ``ValueError``. The error is the
+    unbiased weighted standard deviation (NaN for a single count). Empty rings give NaN and the middle of their edges.
+
+    One pass over the pixels: pixels of a ring that weigh the same are reduced to count, mean and variance before the exchange, and the
+    parts of a ring are joined by their distance from the ring's mean, so that no sum of squares cancels.
     """
-    w = F.col("mult").cast("double") * (weight if weight is not None else F.lit(1.0))
-    w2 = F.col("mult").cast("double") * (weight * weight if weight is not None else F.lit(1.0))
+    if weight is not None and not grid_rows.where(weight < 0).isEmpty():
+        raise ValueError("weights must not be negative")
+    given = weight if weight is not None else F.lit(1.0)
     spot = F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e < F.col("k")))
-    g = grid_rows.select("iy", "ix", "k", spot.alias("bin"), w.alias("_w"), w2.alias("_w2"), (mask if mask is not None else F.lit(True)).alias("_in"))
-    g = g.where((F.col("bin") < len(edges)) & (F.col("k") >= low) & F.col("_in") & (F.col("_w") > 0))
-    v = F.col(value)
-    rows = values.join(F.broadcast(g), ["iy", "ix"])
-    agg = rows.groupBy(*by, "bin").agg(F.sum("_w").alias("_sw"), F.sum("_w2").alias("_sw2"), F.sum(F.col("_w") * F.col("k")).alias("_sk"), F.sum(F.col("_w") * v).alias("_sv"))
-    agg = agg.withColumns({"avg": F.col("_sv") / F.col("_sw"), "_k": F.col("_sk") / F.col("_sw")})
-    if eval_err:
-        # Second pass about the mean: sums of squares alone would cancel.
-        key = [F.col(f"r.{c}").eqNullSafe(F.col(f"m.{c}")) for c in [*by, "bin"]]
-        apart = rows.alias("r").join(agg.select(*by, "bin", "avg").alias("m"), key).select(*[F.col(f"r.{c}").alias(c) for c in [*by, "bin"]], (F.col("_w") * (F.col(f"r.{value}") - F.col("m.avg")) * (F.col(f"r.{value}") - F.col("m.avg"))).alias("_x"))
-        agg = agg.join(apart.groupBy(*by, "bin").agg(F.sum("_x").alias("_spread")), [*by, "bin"], "left")
-    spread = F.col("_spread") if eval_err else F.lit(None)
-    bias = F.col("_sw") - F.col("_sw2") / F.col("_sw")
-    err = F.when(bias == 0, float("nan")).otherwise(F.sqrt(spread / bias)) if eval_err else F.lit(None).cast("double")
-    agg = agg.select(*by, "bin", "avg", err.alias("err"), "_k")
-    empty = [edges[0], *((a + b) / 2 for a, b in zip(edges, edges[1:], strict=False))]
-    groups = values.select(*by).distinct()
-    rings = groups.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(len(edges) - 1)))).withColumn("_mid", F.element_at(F.array(*map(F.lit, empty)), F.col("bin") + 1))
-    out = rings.join(agg, [*by, "bin"], "left")
-    nothing = F.col("_k").isNull()
-    err_out = F.when(nothing, float("nan")).otherwise(F.col("err")) if eval_err else F.col("err")
-    return out.select(*by, "bin", F.coalesce("_k", "_mid").alias("k"), F.when(nothing, float("nan")).otherwise(F.col("avg")).alias("avg"), err_out.alias("err"))
+    w = F.col("mult") * given
+    inside = (F.col("bin") < len(edges)) & (F.col("k") >= low) & (mask if mask is not None else F.lit(True)) & (w > 0)
+    # Pixels outside fall into a ring of null, so that a group without any pixel inside still has its empty rings.
+    g = grid_rows.withColumn("bin", spot).select("iy", "ix", "k", F.when(inside, F.col("bin")).alias("bin"), F.when(inside, w).otherwise(0).cast("double").alias("_w"), F.when(inside, w * given).otherwise(0).cast("double").alias("_w2"))
+    part = values.join(g, ["iy", "ix"]).groupBy(*by, "bin", "_w", "_w2").agg(F.count(F.lit(1)).alias("_n"), F.avg(value).alias("_m"), F.var_pop(value).alias("_s"), F.sum("k").alias("_k"))
+    ring = Window.partitionBy(*by, "bin")
+    part = part.withColumn("_wn", F.col("_w") * F.col("_n")).withColumn("avg", F.sum(F.col("_wn") * F.col("_m")).over(ring) / F.nullif(F.sum("_wn").over(ring), F.lit(0.0)))
+    apart = F.col("_m") - F.col("avg")
+    sw = F.nullif(F.sum("_wn"), F.lit(0.0))
+    bias = sw - F.sum(F.col("_w2") * F.col("_n")) / sw
+    spread = F.sum(F.col("_wn") * (F.col("_s") + apart * apart))
+    nan = F.lit(float("nan"))
+    err = F.when(bias == 0, nan).otherwise(F.sqrt(spread / bias)) if eval_err else F.lit(None).cast("double")
+    found = part.groupBy(*by, "bin").agg((F.sum(F.col("_w") * F.col("_k")) / sw).alias("k"), F.first("avg").alias("avg"), err.alias("err"))
+    # A group's rings: those found, and the empty ones.
+    of_group = F.map_from_entries(F.collect_list(F.when(F.col("bin").isNotNull(), F.struct("bin", F.struct("k", "avg", "err")))))
+    middles = [edges[0], *((a + b) / 2 for a, b in zip(edges, edges[1:], strict=False))]
+    out = found.groupBy(*by).agg(of_group.alias("_found")).select(*by, "_found", F.posexplode(F.array(*map(F.lit, middles))).alias("bin", "_middle"))
+    out = out.withColumn("_x", F.try_element_at("_found", F.col("bin")))
+    nothing = F.col("_x").isNull()
+    err_out = F.when(nothing, nan).otherwise(F.col("_x.err")) if eval_err else F.lit(None).cast("double")
+    return out.select(*by, "bin", F.coalesce("_x.k", "_middle").alias("k"), F.when(nothing, nan).otherwise(F.col("_x.avg")).alias("avg"), err_out.alias("err"))
+
 
+def radial(sf: DataFrame, extra: DataFrame, grid: Grid, bins: int | Iterable[float] = 10, k_range: tuple[float, float] | None = None, mask: Column | None = None, weight: Column | None = None, eval_err: bool = True, keep: bool = False) -> tuple[DataFrame, DataFrame, list[float]]:
+    """(aa, aa_extra, edges): rings of the structure function, and of power spectrum and variance, from one pass over both.
 
-def radial(sf: DataFrame, extra: DataFrame, grid: Grid, bins: int | Iterable[float] = 10, k_range: tuple[float, float] | None = None, mask: Column | None = None, weight: Column | None = None, eval_err: bool = True) -> tuple[DataFrame, DataFrame, list[float]]:
-    """(aa, aa_extra, edges): rings of the structure function, and of power spectrum and variance."""
+    ``keep`` writes the rings (a row per ring and slice) once in the shared folder, for callers that go on with both tables.
+    """
     spark: SparkSession = sf.sparkSession
     ky, kx = grid.axes()
     edges, low = bin_edges(bins, k_range, [math.sqrt(a * a + b * b) for a in ky for b in kx])
-    g = qgrid(spark, grid)
-    aa = azimuthal_average(sf, g, edges, low, ["seq_id", "tau"], "d", mask, weight, eval_err).withColumnRenamed("avg", "d")
-    long = extra.select("seq_id", "iy", "ix", F.explode(F.array(F.struct(F.lit("power_spec").alias("what"), F.col("power_spec").alias("v")), F.struct(F.lit("var").alias("what"), F.col("var").alias("v")))).alias("_x")).select("seq_id", "iy", "ix", "_x.what", "_x.v")
-    both = azimuthal_average(long, g, edges, low, ["seq_id", "what"], "v", mask, weight, eval_err)
-    pick = lambda what, c: F.max(F.when(F.col("what") == what, F.col(c)))
-    aa_extra = both.groupBy("seq_id", "bin").agg(F.first("k").alias("k"), pick("power_spec", "avg").alias("power_spec"), pick("power_spec", "err").alias("power_spec_err"), pick("var", "avg").alias("var"), pick("var", "err").alias("var_err"))
-    return aa.select("seq_id", "bin", "k", "tau", "d", "err"), aa_extra, edges
+    pick = lambda name: F.struct(F.lit(name).alias("what"), F.lit(None).cast("double").alias("tau"), F.col(name).alias("v"))
+    slices = sf.select("seq_id", "iy", "ix", F.lit("d").alias("what"), "tau", F.col("d").alias("v"))
+    slices = slices.unionByName(extra.select("seq_id", "iy", "ix", F.explode(F.array(pick("power_spec"), pick("var"))).alias("_x")).select("seq_id", "iy", "ix", "_x.*"))
+    rings = azimuthal_average(slices, qgrid(spark, grid), edges, low, ["seq_id", "what", "tau"], "v", mask, weight, eval_err)
+    if keep:
+        rings = kept(rings, "rings")
+    aa = rings.where("what = 'd'").select("seq_id", "bin", "k", "tau", F.col("avg").alias("d"), "err")
+    of = lambda what, c: F.max(F.when(F.col("what") == what, F.col(c)))
+    aa_extra = rings.where("what <> 'd'").groupBy("seq_id", "bin").agg(F.first("k").alias("k"), of("power_spec", "avg").alias("power_spec"), of("power_spec", "err").alias("power_spec_err"), of("var", "avg").alias("var"), of("var", "err").alias("var_err"))
+    return aa, aa_extra, edges

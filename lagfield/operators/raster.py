@@ -1,7 +1,15 @@
-"""Tables to image sequences: one row per (seq_id, t, y, x) that holds anything; absent cells are 0."""
+"""Tables to image sequences: one row per (seq_id, t, y, x) that holds anything.
+
+Absent cells of a frame are 0. A frame without any cell is missing: it has no spectrum, and pairs that need it are left
+out; ``filled_frames`` makes such frames dark ones instead.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,12 +37,39 @@ def event_cube(events: DataFrame, hours: int = 1) -> DataFrame:
     return raster(events, at, F.col("user_id") % 8, F.element_at(code, F.col("event_type")), F.count(F.lit(1)))
 
 
-def pack(cells: DataFrame, height: int, width: int) -> DataFrame:
-    """frames_packed: one row per frame with its pixels in row-major order. A frame is the unit of work: it fits a task by definition."""
-    entries = F.map_from_entries(F.collect_list(F.struct((F.col("y") * width + F.col("x")).alias("key"), F.col("v").cast("double").alias("value"))))
-    filled = cells.groupBy("seq_id", "t").agg(entries.alias("_m"))
-    pixels = F.transform(F.sequence(F.lit(0), F.lit(height * width - 1)), lambda i: F.coalesce(F.try_element_at(F.col("_m"), i), F.lit(0.0)))
-    return filled.select("seq_id", "t", F.lit(height).alias("height"), F.lit(width).alias("width"), pixels.alias("pixels"))
+def filled_frames(cells: DataFrame, n_frames: int) -> DataFrame:
+    """Gives every frame of 0 to n_frames - 1 that has no cell one cell of value 0: an empty frame then counts as dark, not as missing."""
+    have = cells.select("seq_id", "t").distinct()
+    all_frames = cells.select("seq_id").distinct().withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(n_frames - 1))))
+    dark = all_frames.join(have, ["seq_id", "t"], "left_anti").select("seq_id", F.col("t").cast("int").alias("t"), F.lit(0).alias("y"), F.lit(0).alias("x"), F.lit(0.0).alias("v"))
+    return cells.select("seq_id", "t", "y", "x", F.col("v").cast("double").alias("v")).unionByName(dark)
+
+
+def gathered(cells: DataFrame, width: int, more: list[str]) -> DataFrame:
+    """One row per frame: the places (row-major) and values of its cells, in any order."""
+    both = F.collect_list(F.struct((F.col("y") * width + F.col("x")).cast("int").alias("at"), F.col("v").cast("double").alias("v")))
+    return cells.groupBy("seq_id", "t", *more).agg(both.alias("_b")).select("seq_id", "t", *more, F.col("_b.at").alias("at"), F.col("_b.v").alias("v"))
+
+
+def dense(at: pa.Scalar, v: pa.Scalar, size: int) -> np.ndarray:
+    """The pixels of a frame: absent cells are 0, repeated ones add up."""
+    return np.bincount(at.values.to_numpy(), v.values.to_numpy(), size)
+
+
+def pack(cells: DataFrame, height: int, width: int, more: list[str] | None = None) -> DataFrame:
+    """frames_packed: one row per frame (and ``more`` keys) with its pixels in row-major order. A frame is the unit of work: it fits a task by definition."""
+    keys = ["seq_id", "t", *(more or [])]
+    types = dict(cells.dtypes)
+    schema = ", ".join(f"{k} {types[k]}" for k in keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                pixels = dense(b.column("at")[i], b.column("v")[i], height * width)
+                yield pa.RecordBatch.from_arrays([*(b.column(k).slice(i, 1) for k in keys), pa.array([pixels.tolist()], pa.list_(pa.float64()))], [*keys, "pixels"])
+
+    filled = gathered(cells, width, more or []).mapInArrow(run, f"{schema}, pixels array<double>")
+    return filled.select("seq_id", "t", *(more or []), F.lit(height).alias("height"), F.lit(width).alias("width"), "pixels")
 
 
 def unpack(frames: DataFrame) -> DataFrame:

@@ -11,8 +11,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.grid import Grid
+from .raster import dense, gathered
 
 SPECTRUM = "seq_id string, t int, iy int, ix int, re double, im double"
+#: Pixels of a padded frame up to which the spectrum is two relational sums; each pixel gives nx/2 + ny rows there. Larger frames are transformed whole.
+DFT_PIXELS = 1024
 
 
 def windowed(frames: DataFrame, window: Column | DataFrame | None) -> DataFrame:
@@ -20,20 +23,30 @@ def windowed(frames: DataFrame, window: Column | DataFrame | None) -> DataFrame:
     if window is None:
         return frames
     if isinstance(window, DataFrame):
-        return frames.join(F.broadcast(window.select("y", "x", "w")), ["y", "x"]).withColumn("v", F.col("v") * F.col("w")).drop("w")
+        return frames.join(window.select("y", "x", "w"), ["y", "x"]).withColumn("v", F.col("v") * F.col("w")).drop("w")
     return frames.withColumn("v", F.col("v") * window)
 
 
-def check_window(rows: list[tuple[int, int]], grid: Grid) -> None:
-    if {(y, x) for y, x in rows} != {(y, x) for y in range(grid.height) for x in range(grid.width)}:
+def check_window(window: DataFrame, grid: Grid) -> None:
+    """A window table has each pixel of the unpadded image once, else ``RuntimeError``."""
+    inside = F.col("y").between(0, grid.height - 1) & F.col("x").between(0, grid.width - 1)
+    rows, pixels, within = window.agg(F.count(F.lit(1)), F.count_distinct("y", "x"), F.count(F.when(inside & F.col("w").isNotNull(), 1))).first()
+    if not rows == pixels == within == grid.height * grid.width:
         raise RuntimeError("the window must have the shape of the unpadded image")
 
 
+def spectrum_of(frames: DataFrame, grid: Grid, window: Column | DataFrame | None = None) -> DataFrame:
+    """The spectrum by the form that suits the frame's size: relational sums up to ``DFT_PIXELS``, an FFT a frame beyond."""
+    return (dft_cells if grid.ny * grid.nx <= DFT_PIXELS else rfft2_cells)(frames, grid, window)
+
+
 def dft_cells(frames: DataFrame, grid: Grid, window: Column | DataFrame | None = None) -> DataFrame:
     """Spectrum by two sums, along x and then along y; cells that are absent count as 0, which also pads.
 
     Both aggregations group by (seq_id, t, ...), so one exchange by frame serves both.
     """
+    if isinstance(window, DataFrame):
+        check_window(window, grid)
     cells = windowed(frames.select("seq_id", "t", "y", "x", F.col("v").cast("double").alias("v")), window).repartition("seq_id", "t")
     ax = F.col("jx") * F.col("x") * (2 * math.pi / grid.nx)
     along_x = cells.withColumn("jx", F.explode(F.sequence(F.lit(0), F.lit(grid.nxh - 1))))
@@ -48,20 +61,44 @@ def dft_cells(frames: DataFrame, grid: Grid, window: Column | DataFrame | None =
     return both.select("seq_id", "t", F.pmod(F.col("jy") + grid.ny // 2, F.lit(grid.ny)).cast("int").alias("iy"), F.col("jx").alias("ix"), "re", "im")
 
 
+def _transformed(seq: pa.Scalar, t: pa.Scalar, image: np.ndarray, grid: Grid, iy: np.ndarray, ix: np.ndarray) -> pa.RecordBatch:
+    s = np.fft.fftshift(np.fft.rfft2(image, s=(grid.ny, grid.nx)), axes=0).ravel() / math.sqrt(grid.nx * grid.ny)
+    n = len(s)
+    columns = [pa.array([seq.as_py()] * n, pa.string()), pa.array(np.full(n, t.as_py(), np.int32)), pa.array(iy), pa.array(ix), pa.array(s.real.copy()), pa.array(s.imag.copy())]
+    return pa.RecordBatch.from_arrays(columns, ["seq_id", "t", "iy", "ix", "re", "im"])
+
+
+def _places(grid: Grid) -> tuple[np.ndarray, np.ndarray]:
+    iy, ix = (a.ravel().astype(np.int32) for a in np.indices((grid.ny, grid.nxh)))
+    return iy, ix
+
+
+def rfft2_cells(frames: DataFrame, grid: Grid, window: Column | DataFrame | None = None) -> DataFrame:
+    """The same by an FFT a frame: cells meet by frame in one exchange, a task holds an Arrow batch of frames."""
+    if isinstance(window, DataFrame):
+        check_window(window, grid)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        iy, ix = _places(grid)
+        for b in batches:
+            for seq, t, at, v in zip(*(b.column(c) for c in ("seq_id", "t", "at", "v")), strict=True):
+                yield _transformed(seq, t, dense(at, v, grid.height * grid.width).reshape(grid.height, grid.width), grid, iy, ix)
+
+    cells = windowed(frames.select("seq_id", "t", "y", "x", F.col("v").cast("double").alias("v")), window)
+    return gathered(cells, grid.width, []).mapInArrow(run, SPECTRUM)
+
+
 def rfft2_arrow(packed: DataFrame, grid: Grid, window: np.ndarray | None = None) -> DataFrame:
-    """The same from packed frames, frame by frame in numpy. Needs no exchange; a task holds an Arrow batch of frames."""
+    """The same from packed frames. Needs no exchange."""
     if window is not None and window.shape != (grid.height, grid.width):
         raise RuntimeError("the window must have the shape of the unpadded image")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        iy, ix = (a.ravel().astype(np.int32) for a in np.indices((grid.ny, grid.nxh)))
+        iy, ix = _places(grid)
         for b in batches:
             for seq, t, pixels in zip(*(b.column(c) for c in ("seq_id", "t", "pixels")), strict=True):
                 image = np.asarray(pixels.values, dtype=np.float64).reshape(grid.height, grid.width)
-                image = image if window is None else image * window
-                s = np.fft.fftshift(np.fft.rfft2(image, s=(grid.ny, grid.nx)), axes=0).ravel() / math.sqrt(grid.nx * grid.ny)
-                n = len(s)
-                yield pa.RecordBatch.from_arrays([pa.array([seq.as_py()] * n), pa.array(np.full(n, t.as_py(), np.int32)), pa.array(iy), pa.array(ix), pa.array(s.real.copy()), pa.array(s.imag.copy())], ["seq_id", "t", "iy", "ix", "re", "im"])
+                yield _transformed(seq, t, image if window is None else image * window, grid, iy, ix)
 
     return packed.select("seq_id", "t", "pixels").mapInArrow(run, SPECTRUM)
 

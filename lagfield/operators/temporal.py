@@ -1,8 +1,11 @@
-"""Lagged difference statistics of spectra over time: structure function, mean power spectrum, temporal variance."""
+"""Lagged difference statistics of spectra over time: structure function, mean power spectrum, temporal variance.
+
+Frames may be missing: all strategies leave out the pairs that need a missing frame, and a lag without a pair has no row.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
@@ -12,11 +15,13 @@ from pyspark.sql import functions as F
 from ..functions.grid import Grid
 from ..functions.lags import checked_lags
 from .raster import pack
-from .spectral import dft_cells, rfft2_arrow
+from .spectral import rfft2_arrow, spectrum_of
 
 Q = ["seq_id", "iy", "ix"]
 SF = "seq_id string, lag int, tau double, iy int, ix int, d double, n_pairs int"
 STRATEGIES = ("join", "lead", "prefix", "fft")
+#: Bytes of spectrum that a task of the FFT strategy holds, about.
+BLOCK_BYTES = 1 << 26
 
 
 def power_and_variance(spectrum: DataFrame) -> DataFrame:
@@ -30,81 +35,93 @@ def _out(df: DataFrame, delta_t: float) -> DataFrame:
 
 
 def by_join(spectrum: DataFrame, lags: list[int], delta_t: float = 1.0) -> DataFrame:
-    """Equi self-join on wavevector and shifted time: frames may be missing. Shuffles the spectrum once for each lag's side."""
+    """Equi self-join on wavevector and shifted time. Shuffles the spectrum once for each lag's side."""
     later = spectrum.select(*Q, F.col("t").alias("t2"), F.col("re").alias("re2"), F.col("im").alias("im2"))
     pairs = spectrum.withColumn("lag", F.explode(F.array(*map(F.lit, lags)))).withColumn("t2", F.col("t") + F.col("lag")).join(later, [*Q, "t2"])
     d = (F.col("re2") - F.col("re")) * (F.col("re2") - F.col("re")) + (F.col("im2") - F.col("im")) * (F.col("im2") - F.col("im"))
     return _out(pairs.groupBy(*Q, "lag").agg(F.avg(d).alias("d"), F.count(F.lit(1)).alias("n_pairs")), delta_t)
 
 
-def _later(lags: list[int]) -> tuple[Window, dict[str, Column]]:
+def _at(lags: list[int]) -> dict[str, Column]:
+    """re and im of the frame at t + lag, null if it is missing; a negative lag looks back."""
     w = Window.partitionBy(*Q).orderBy("t")
-    return w, {f"_{part}{lag}": F.lead(part, lag).over(w) for lag in lags for part in ("re", "im")}
+    return {f"_{part}{lag}": F.first(part).over(w.rangeBetween(lag, lag)) for lag in lags for part in ("re", "im")}
+
+
+def _by_lag(rows: DataFrame, sums: list[Column], delta_t: float) -> DataFrame:
+    wide = rows.groupBy(*Q).agg(F.array(*sums).alias("_all"))
+    return _out(wide.select(*Q, F.explode("_all").alias("_x")).select(*Q, "_x.lag", "_x.d", "_x.n_pairs").where("n_pairs > 0"), delta_t)
 
 
 def by_lead(spectrum: DataFrame, lags: list[int], delta_t: float = 1.0) -> DataFrame:
-    """One exchange and one sort by wavevector; frames must be gap-free."""
-    _, later = _later(lags)
-    rows = spectrum.withColumns(later)
+    """One exchange and one sort by wavevector: the window's frame is the time t + lag itself."""
     sums = []
     for lag in lags:
         dr, di = F.col(f"_re{lag}") - F.col("re"), F.col(f"_im{lag}") - F.col("im")
         sums.append(F.struct(F.lit(lag).alias("lag"), F.avg(dr * dr + di * di).alias("d"), F.count(f"_re{lag}").alias("n_pairs")))
-    wide = rows.groupBy(*Q).agg(F.array(*sums).alias("_all"))
-    return _out(wide.select(*Q, F.explode("_all").alias("_x")).select(*Q, "_x.lag", "_x.d", "_x.n_pairs"), delta_t)
+    return _by_lag(spectrum.withColumns(_at(lags)), sums, delta_t)
 
 
 def by_prefix(spectrum: DataFrame, lags: list[int], n_frames: int, delta_t: float = 1.0) -> DataFrame:
-    """(forward sum + reversed sum - 2 autocorrelation) / (N - lag), from running sums in both directions; gap-free frames."""
-    w, later = _later(lags)
+    """(forward sum + reversed sum - 2 autocorrelation) / pairs, from running sums in both directions.
+
+    The running sums end at frames 0 to N - 1 - lag and lag to N - 1; the power of frames whose partner is missing is taken off again.
+    """
+    w = Window.partitionBy(*Q).orderBy("t")
     p = F.col("re") * F.col("re") + F.col("im") * F.col("im")
     forward = F.sum(p).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     back = F.sum(p).over(w.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    rows = spectrum.withColumns({**later, "_c": forward, "_r": back})
+    before = {f"_has{lag}": F.first("re").over(w.rangeBetween(-lag, -lag)).isNotNull() for lag in lags}
+    rows = spectrum.withColumns({**_at(lags), **before, "_c": forward, "_r": back, "_p": p})
     sums = []
     for lag in lags:
+        first, second = F.col("t") <= n_frames - 1 - lag, F.col("t") >= lag
+        ends = F.max(F.when(first, F.col("_c"))) + F.max(F.when(second, F.col("_r")))
+        alone = F.sum(F.when(first & F.col(f"_re{lag}").isNull(), F.col("_p")).otherwise(0.0)) + F.sum(F.when(second & ~F.col(f"_has{lag}"), F.col("_p")).otherwise(0.0))
         ac = F.sum(F.col("re") * F.col(f"_re{lag}") + F.col("im") * F.col(f"_im{lag}"))
-        ends = F.max(F.when(F.col("t") == n_frames - 1 - lag, F.col("_c"))) + F.max(F.when(F.col("t") == lag, F.col("_r")))
-        sums.append(F.struct(F.lit(lag).alias("lag"), ((ends - 2 * ac) / (n_frames - lag)).alias("d"), F.lit(n_frames - lag).alias("n_pairs")))
-    wide = rows.groupBy(*Q).agg(F.array(*sums).alias("_all"))
-    return _out(wide.select(*Q, F.explode("_all").alias("_x")).select(*Q, "_x.lag", "_x.d", "_x.n_pairs"), delta_t)
+        n = F.count(f"_re{lag}")
+        sums.append(F.struct(F.lit(lag).alias("lag"), ((ends - alone - 2 * ac) / F.nullif(n, F.lit(0))).alias("d"), n.alias("n_pairs")))
+    return _by_lag(rows, sums, delta_t)
 
 
 def by_fft(spectrum: DataFrame, lags: list[int], n_frames: int, delta_t: float = 1.0, q_blocks: int = 64) -> DataFrame:
     """Autocorrelation by zero-padded FFT: the factor of the lags goes. A task holds a block of wavevectors with all their frames."""
 
     def block(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["iy", "ix", "t"])
-        keys = pdf[["seq_id", "iy", "ix"]].drop_duplicates()
-        s = (pdf["re"].to_numpy() + 1j * pdf["im"].to_numpy()).reshape(len(keys), n_frames)
+        keys, place = np.unique(pdf[["iy", "ix"]].to_numpy(), axis=0, return_inverse=True)
+        t = pdf["t"].to_numpy()
+        s, here = np.zeros((len(keys), n_frames), complex), np.zeros((len(keys), n_frames))
+        s[place, t], here[place, t] = pdf["re"].to_numpy() + 1j * pdf["im"].to_numpy(), 1.0
         power = s.real**2 + s.imag**2
         ac = np.fft.ifft(np.abs(np.fft.fft(s, n=2 * n_frames, axis=1)) ** 2, axis=1).real[:, :n_frames]
-        forward, back = np.cumsum(power, 1), np.cumsum(power[:, ::-1], 1)
         out = []
         for lag in lags:
-            d = (forward[:, n_frames - 1 - lag] + back[:, n_frames - 1 - lag] - 2 * ac[:, lag]) / (n_frames - lag)
-            out.append(keys.assign(lag=lag, tau=lag * delta_t, d=d, n_pairs=n_frames - lag))
-        return pd.concat(out)[["seq_id", "lag", "tau", "iy", "ix", "d", "n_pairs"]]
+            early, late = slice(None, n_frames - lag), slice(lag, None)
+            n = (here[:, early] * here[:, late]).sum(1)
+            ends = (power[:, early] * here[:, late]).sum(1) + (power[:, late] * here[:, early]).sum(1)
+            with np.errstate(invalid="ignore", divide="ignore"):
+                d = (ends - 2 * ac[:, lag]) / n
+            rows = pd.DataFrame({"seq_id": pdf["seq_id"].iloc[0], "lag": lag, "tau": lag * delta_t, "iy": keys[:, 0], "ix": keys[:, 1], "d": d, "n_pairs": n.astype("int32")})
+            out.append(rows[n > 0])
+        return pd.concat(out)
 
     keyed = spectrum.withColumn("_block", F.pmod(F.xxhash64("iy", "ix"), F.lit(q_blocks)))
-    return keyed.groupBy("seq_id", "_block").applyInPandas(lambda pdf: block(pdf.drop(columns="_block")), SF)
+    return keyed.groupBy("seq_id", "_block").applyInPandas(block, SF)
 
 
-def choose_strategy(n_frames: int, lags: list[int], gap_free: bool = True) -> str:
-    """``fft`` once the lags outweigh the logarithm that it costs; the window form for few lags; the join where frames are missing."""
-    if not gap_free:
-        return "join"
+def choose_strategy(n_frames: int, lags: list[int]) -> str:
+    """``fft`` once the lags outweigh the logarithm that it costs; the window form for few lags."""
     return "fft" if n_frames >= 64 and len(lags) > 2 * np.log2(2 * n_frames) else "lead"
 
 
-def structure_function(frames: DataFrame, grid: Grid, n_frames: int, lags: Iterable[int], window: Column | DataFrame | None = None, strategy: str = "auto", spectrum: DataFrame | None = None, gap_free: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(sf, sf_extra) of frames_cell. Unknown strategies, negative lags and lags beyond the sequence raise ``RuntimeError``."""
+def structure_function(frames: DataFrame, grid: Grid, n_frames: int, lags: Iterable[int], window: Column | DataFrame | None = None, strategy: str = "auto", spectrum: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(sf, sf_extra) of frames_cell, whose t runs from 0 to n_frames - 1. Unknown strategies, negative lags and lags beyond the sequence raise ``RuntimeError``."""
     if strategy != "auto" and strategy not in STRATEGIES:
         raise RuntimeError(f"unknown strategy {strategy}; there are {', '.join(STRATEGIES)}")
     lags = checked_lags(lags, n_frames)
     if spectrum is None:
-        spectrum = dft_cells(frames, grid, window)
-    how = choose_strategy(n_frames, lags, gap_free) if strategy == "auto" else strategy
+        spectrum = spectrum_of(frames, grid, window)
+    how = choose_strategy(n_frames, lags) if strategy == "auto" else strategy
     if how == "join":
         sf = by_join(spectrum, lags, grid.delta_t)
     elif how == "lead":
@@ -112,7 +129,8 @@ def structure_function(frames: DataFrame, grid: Grid, n_frames: int, lags: Itera
     elif how == "prefix":
         sf = by_prefix(spectrum, lags, n_frames, grid.delta_t)
     else:
-        sf = by_fft(spectrum, lags, n_frames, grid.delta_t)
+        blocks = max(64, -(-grid.ny * grid.nxh * n_frames * 16 // BLOCK_BYTES))
+        sf = by_fft(spectrum, lags, n_frames, grid.delta_t, blocks)
     return sf, power_and_variance(spectrum)
 
 

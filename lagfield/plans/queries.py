@@ -12,6 +12,8 @@ from ..functions import grid as G
 from ..functions import lags as lag_lists
 from ..functions.models import MODELS
 from ..operators import fit, isf, merge, noise, radial, raster, spectral, temporal
+from ..sources import container, tiff
+from ..sources.shared import shared_dir
 from . import sql as S
 
 LAGS, N_MONTHS, BINS = [1, 2, 3, 5, 8, 13], 83, 6
@@ -106,6 +108,14 @@ _list_query(
     "WITH RECURSIVE f(i, v, r) AS (SELECT 0, 1.0::DOUBLE, pow(83.0, 1.0 / 13) UNION ALL SELECT i + 1, CASE WHEN v * r - v >= 1 THEN v * r ELSE v + 1 END, CASE WHEN v * r - v >= 1 THEN r ELSE pow(83.0 / (v + 1), 1.0 / (13 - i - 2)) END FROM f WHERE i < 11) SELECT CAST(round_even(v, 0) AS INTEGER) AS lag FROM f",
 )
 
+
+
+@query("fast_lengths", "WITH n AS (SELECT DISTINCT CAST(s_suppkey AS INTEGER) AS n FROM supplier), m AS (SELECT CAST(pow(2, a.range) * pow(3, b.range) * pow(5, c.range) * pow(7, d.range) * (CASE WHEN e.range = 1 THEN 11 ELSE 1 END) AS BIGINT) AS m FROM range(12) a, range(8) b, range(6) c, range(5) d, range(2) e), p AS (SELECT CAST(pow(2, range) AS BIGINT) AS p FROM range(20)) SELECT n, CAST((SELECT min(m) FROM m WHERE m.m >= n.n) AS INTEGER) AS fast, CAST((SELECT min(p) FROM p WHERE p.p >= n.n) AS INTEGER) AS power_of_2 FROM n")
+def fast_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keys = sorted(r[0] for r in _table(spark, sf_dir, "supplier").select("s_suppkey").distinct().collect())
+    return spark.createDataFrame([(n, G.next_fast_len(n), G.next_power_of_2(n)) for n in keys], "n int, fast int, power_of_2 int")
+
+
 _CELLS = "(SELECT CAST(a.range AS INTEGER) AS y, CAST(b.range AS INTEGER) AS x FROM range(6) a, range(9) b)"
 
 
@@ -174,6 +184,17 @@ def spectrum_windowed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spectral.dft_cells(_cube(spark, sf_dir), GRID, G.blackman(8, 8)).select("t", "iy", "ix", *_r("re", "im"))
 
 
+@query("spectrum_window_table", S.with_(S.cube(), "win AS (SELECT t, y, x, v * (1 + y) / (1 + x) AS v FROM frames)", S.spectrum(GRID, "win")) + _SPEC_OUT)
+def spectrum_window_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    window = spark.range(64).select(F.floor(F.col("id") / 8).cast("int").alias("y"), (F.col("id") % 8).cast("int").alias("x")).withColumn("w", (1 + F.col("y")) / (1 + F.col("x")))
+    return spectral.dft_cells(_cube(spark, sf_dir), GRID, window).select("t", "iy", "ix", *_r("re", "im"))
+
+
+@query("spectrum_fft_padded", S.with_(S.cube(13, 7), f"win AS (SELECT t, y, x, v * {_cos_sum('y', 13, G.BLACKMAN_HARRIS)} * {_cos_sum('x', 7, G.BLACKMAN_HARRIS)} AS v FROM frames)", S.spectrum(PAD, "win")) + _SPEC_OUT)
+def spectrum_fft_padded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spectral.rfft2_cells(_cube(spark, sf_dir, 13, 7), PAD, G.blackman_harris(13, 7)).select("t", "iy", "ix", *_r("re", "im"))
+
+
 @query("spectrum_padded", S.with_(S.cube(13, 7), S.spectrum(PAD)) + _SPEC_OUT)
 def spectrum_padded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spectral.dft_cells(_cube(spark, sf_dir, 13, 7), PAD).select("t", "iy", "ix", *_r("re", "im"))
@@ -186,6 +207,25 @@ for _how in temporal.STRATEGIES:
     query(f"sf_{_how}", S.with_(*TO_SF) + _SF_OUT)(lambda spark, sf_dir, how=_how: _sf(spark, sf_dir, how)[0].select("lag", "tau", "iy", "ix", *_r("d"), "n_pairs"))
 
 
+_GAPS = S.with_(S.cube(), "partial AS (SELECT * FROM frames WHERE t % 7 <> 3)", S.spectrum(GRID, "partial"), S.structure(LAGS)) + _SF_OUT
+for _how in temporal.STRATEGIES:
+    query(f"sf_gaps_{_how}", _GAPS)(lambda spark, sf_dir, how=_how: temporal.structure_function(_cube(spark, sf_dir).where("t % 7 <> 3"), GRID, N_MONTHS, LAGS, strategy=how)[0].select("lag", "tau", "iy", "ix", *_r("d"), "n_pairs"))
+
+
+@query("sf_dark_frames", S.with_(S.cube(), f"partial AS (SELECT * FROM frames WHERE t % 7 <> 3 UNION ALL SELECT CAST(range AS INTEGER), 0, 0, 0.0 FROM range({N_MONTHS}) WHERE range % 7 = 3)", S.spectrum(GRID, "partial"), S.structure(LAGS)) + _SF_OUT)
+def sf_dark_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cube = raster.filled_frames(_cube(spark, sf_dir).where("t % 7 <> 3"), N_MONTHS)
+    return temporal.structure_function(cube, GRID, N_MONTHS, LAGS)[0].select("lag", "tau", "iy", "ix", *_r("d"), "n_pairs")
+
+
+_MANY = list(range(1, 41))
+
+
+@query("sf_auto_many_lags", S.with_(S.cube(), S.spectrum(GRID), S.structure(_MANY)) + _SF_OUT)
+def sf_auto_many_lags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return temporal.structure_function(_cube(spark, sf_dir), GRID, N_MONTHS, _MANY)[0].select("lag", "tau", "iy", "ix", *_r("d"), "n_pairs")
+
+
 @query("power_spectrum_and_variance", S.with_(*TO_SF) + f"SELECT iy, ix, {S.r('power_spec', 'power_spec')}, {S.r('"var"', '"var"')} FROM extra")
 def power_spectrum_and_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return temporal.power_and_variance(_spectrum(spark, sf_dir)).select("iy", "ix", *_r("power_spec", "var"))
@@ -193,9 +233,9 @@ def power_spectrum_and_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("sf_units", S.with_(S.cube(), S.spectrum(GRID), S.structure(LAGS, 0.043), S.wave_grid(G.Grid.of(8, 8, 0.123))) + f"SELECT lag, {S.r('tau', 'tau')}, {S.r('ky', 'ky')}, {S.r('kx', 'kx')}, {S.r('d', 'd')} FROM sf JOIN qgrid USING (iy, ix)")
 def sf_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = G.Grid.of(8, 8, 0.123, 0.043)
+    g = G.Grid.of(8, 8, 0.123).with_frame_rate(1 / 0.043)
     sf, _ = temporal.structure_function(_cube(spark, sf_dir), g, N_MONTHS, LAGS)
-    return sf.join(F.broadcast(G.qgrid(spark, g)), ["iy", "ix"]).select("lag", *_r("tau", "ky", "kx", "d"))
+    return sf.join(G.qgrid(spark, g), ["iy", "ix"]).select("lag", *_r("tau", "ky", "kx", "d"))
 
 
 _FULL = """SELECT lag, CAST((CASE WHEN m = 0 THEN iy ELSE (8 - iy) % 8 END) AS INTEGER) AS iy, CAST(((CASE WHEN m = 0 THEN ix ELSE 8 - ix END) + 4) % 8 AS INTEGER) AS ix, round(d, 6) + 0.0 AS d
@@ -269,7 +309,7 @@ _RANGE = {"k_min": 1.0, "k_max": 3.0}
 for _mode in noise.MODES:
     _args = _RANGE if _mode in ("high_q", "power_spec", "var") else {}
     query(f"noise_radial_{_mode}", S.with_(*TO_AA, *_noise_parts(_mode)) + f"SELECT bin, {S.r('b', 'b')}, {S.r('b_err', 'b_err')} FROM noise")(
-        lambda spark, sf_dir, m=_mode, a=_args: noise.radial_noise(*_aa(spark, sf_dir)[:2], m, **a).select("bin", *_r("b", "b_err"))
+        lambda spark, sf_dir, m=_mode, a=_args: noise.noise_of(*_aa(spark, sf_dir, keep=True)[:2], m, **a).select("bin", *_r("b", "b_err"))
     )
 
 _PLANE = {
@@ -285,7 +325,7 @@ for _mode in noise.MODES:
     else:
         _sql = S.with_(*TO_SF, S.wave_grid(GRID), f"noise AS ({_PLANE[_mode]})") + f"SELECT iy, ix, {S.r('b', 'b')}, {S.r('b', 'b_err')} FROM noise"
     _args = _RANGE if _mode in ("high_q", "power_spec", "var") else {}
-    query(f"noise_plane_{_mode}", _sql)(lambda spark, sf_dir, m=_mode, a=_args: noise.plane_noise(*_sf(spark, sf_dir), G.qgrid(spark, GRID), m, mask=G.central_cross(GRID), **a).select("iy", "ix", *_r("b", "b_err")))
+    query(f"noise_plane_{_mode}", _sql)(lambda spark, sf_dir, m=_mode, a=_args: noise.noise_of(*_sf(spark, sf_dir), m, G.qgrid(spark, GRID), mask=G.central_cross(GRID), **a).select("iy", "ix", *_r("b", "b_err")))
 
 
 # Correlation function
@@ -301,7 +341,18 @@ def _isf_sql(mode: str, plateau: str, tail: str = "") -> str:
 
 
 for _mode, _plateau in (("polyfit", "var"), ("zero", "power_spec")):
-    query(f"isf_{_mode}_{_plateau}", _isf_sql(_mode, _plateau))(lambda spark, sf_dir, m=_mode, p=_plateau: isf.intermediate_scattering(*_aa(spark, sf_dir)[:2], m, p).select("bin", *_r("k"), "tau", *_r("f", "err")))
+    query(f"isf_{_mode}_{_plateau}", _isf_sql(_mode, _plateau))(lambda spark, sf_dir, m=_mode, p=_plateau: isf.intermediate_scattering(*_aa(spark, sf_dir, keep=True)[:2], m, p).select("bin", *_r("k"), "tau", *_r("f", "err")))
+
+_CUSTOM = """noise AS (SELECT bin, min(d) / 2 AS b, max(err) / 4 AS b_err FROM aa GROUP BY bin), plateau AS (SELECT bin, 2 * max(d) AS p, NULL::DOUBLE AS p_err FROM aa GROUP BY bin),
+parts AS (SELECT a.bin, a.k, a.tau, a.d, a.err AS sd, n.b, n.b_err AS sb, p.p, coalesce(p.p_err, p.p) AS sp FROM aa a JOIN noise n USING (bin) JOIN plateau p USING (bin))"""
+
+
+@query("isf_custom_tables", S.with_(*TO_AA, _CUSTOM) + f"SELECT bin, {S.r('k', 'k')}, tau, {S.r('1 - (d - b) / (p - b)', 'f')}, {S.r('sqrt(pow((d - b) / pow(p - b, 2) * sp, 2) + pow((p - d) / pow(p - b, 2) * sb, 2) + pow(sd / (p - b), 2))', 'err')} FROM parts")
+def isf_custom_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    aa, extra, _ = _aa(spark, sf_dir, keep=True)
+    noise_table = aa.groupBy("seq_id", "bin").agg((F.min("d") / 2).alias("b"), (F.max("err") / 4).alias("b_err"))
+    plateau = aa.groupBy("seq_id", "bin").agg((2 * F.max("d")).alias("p"), F.lit(None).cast("double").alias("p_err"))
+    return isf.intermediate_scattering(aa, extra, noise_table, plateau).select("bin", *_r("k"), "tau", *_r("f", "err"))
 
 
 # Models
@@ -331,42 +382,98 @@ for _name, _model in MODELS.items():
     )
 
 
-# Merging, resampling, fits
+# Merging, resampling
+
+FAST, SLOW = [1, 2, 3, 5, 8, 13], [1, 2, 3, 4, 5, 6, 7]
+_G85 = G.Grid.of(8, 5)
+_E85 = _edges(_G85, 4)
+
+
+def _rate(spark: SparkSession, sf_dir: str, hours: int, n: int, lags: list[int]) -> tuple[DataFrame, DataFrame]:
+    """Radial averages of the event cube at one frame every so many hours."""
+    g = G.Grid.of(8, 5, delta_t=float(hours))
+    sf, extra = temporal.structure_function(raster.event_cube(_table(spark, sf_dir, "events"), hours), g, n, lags)
+    return radial.radial(sf, extra, g, bins=4, keep=True)[:2]
 
 
 def _two_rates(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Hourly and six-hourly radial averages of the event cube."""
-    out: list[DataFrame] = []
-    for hours, n, lags in ((1, 720, [1, 2, 3, 5, 8, 13]), (6, 120, [1, 2, 3, 4, 5, 6, 7])):
-        g = G.Grid.of(8, 5, delta_t=float(hours))
-        sf, extra = temporal.structure_function(raster.event_cube(_table(spark, sf_dir, "events"), hours), g, n, lags, strategy="join")
-        out += radial.radial(sf, extra, g, bins=4)[:2]
-    return tuple(out)  # type: ignore[return-value]
+    """Hourly and six-hourly radial averages, each with its extras."""
+    return (*_rate(spark, sf_dir, 1, 720, FAST), *_rate(spark, sf_dir, 6, 120, SLOW))
 
 
-_G85 = G.Grid.of(8, 5)
-_E85 = _edges(_G85, 4)
+def _magnitudes(aa: DataFrame, extra: DataFrame) -> DataFrame:
+    """|f|, so that logarithms exist."""
+    return isf.intermediate_scattering(aa, extra, "zero", "power_spec").withColumn("f", F.abs("f"))
+
 
+_MAGNITUDES = "abs(1 - d / (2 * power_spec)) AS f, sqrt(pow(d / pow(2 * power_spec, 2) * 2 * power_spec_err, 2) + pow(a.err / (2 * power_spec), 2)) AS err"
 
-def _rate_sql(hours: int, lags: list[int]) -> str:
-    return "(" + S.with_(EVENTS.replace("3600", str(3600 * hours)), S.spectrum(_G85), S.structure(lags, float(hours)), S.wave_grid(_G85), S.rings(*_E85)) + "SELECT bin, k, tau, d, err FROM aa)"
 
+def _rate_sql(hours: int, lags: list[int], out: str = "SELECT bin, k, tau, d, err FROM aa") -> str:
+    return "(" + S.with_(EVENTS.replace("3600", str(3600 * hours)), S.spectrum(_G85), S.structure(lags, float(hours)), S.wave_grid(_G85), S.rings(*_E85)) + f"{out})"
 
-@query("aa_mergesort", f"SELECT bin, {S.r('k', 'k')}, tau, {S.r('d', 'd')}, {S.r('err', 'err')} FROM ({_rate_sql(1, [1, 2, 3, 5, 8, 13])} UNION ALL {_rate_sql(6, [1, 2, 3, 4, 5, 6, 7])})")
+
+_ISF_RATE = f"SELECT a.bin, a.k, tau, {_MAGNITUDES} FROM aa a JOIN aa_extra e USING (bin)"
+
+
+@query("aa_mergesort", f"SELECT bin, {S.r('k', 'k')}, tau, {S.r('d', 'd')}, {S.r('err', 'err')} FROM ({_rate_sql(1, FAST)} UNION ALL {_rate_sql(6, SLOW)})")
 def aa_mergesort(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, _, b, _ = _two_rates(spark, sf_dir)
     return merge.mergesort(a, b).select("bin", *_r("k"), "tau", *_r("d", "err"))
 
 
-@query("aa_melt")
+@query("isf_mergesort", f"SELECT bin, {S.r('k', 'k')}, tau, {S.r('f', 'f')}, {S.r('err', 'err')} FROM ({_rate_sql(1, FAST, _ISF_RATE)} UNION ALL {_rate_sql(6, SLOW, _ISF_RATE)})")
+def isf_mergesort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, ea, b, eb = _two_rates(spark, sf_dir)
+    return merge.mergesort(_magnitudes(a, ea), _magnitudes(b, eb), "f").select("bin", *_r("k"), "tau", *_r("f", "err"))
+
+
+def _melt_sql(value: str, out: str) -> str:
+    """Two slow times lie below the last fast one; the fast time nearest to the second is the last one, 13."""
+    fast, slow = _rate_sql(1, FAST, out), _rate_sql(6, SLOW, out)
+    return f"""WITH fast AS {fast}, slow AS {slow}, w AS {S.spline_weights(FAST, [6.0, 12.0], 3)},
+over AS (SELECT f.bin, w.tau, exp(sum(w.w * ln(f.{value}))) AS o FROM fast f JOIN w ON w.src = f.tau GROUP BY f.bin, w.tau),
+alpha AS (SELECT o.bin, sum(o.o * s.{value}) / sum(o.o * o.o) AS a FROM over o JOIN slow s ON s.bin = o.bin AND s.tau = o.tau GROUP BY o.bin),
+melted AS (SELECT f.bin, f.k, f.tau, f.{value} * a.a AS v, f.err * a.a AS err FROM fast f JOIN alpha a USING (bin) UNION ALL SELECT bin, k, tau, {value}, err FROM slow WHERE tau > 12)
+SELECT bin, {S.r('k', 'k')}, tau, {S.r('v', value)}, {S.r('err', 'err')} FROM melted"""
+
+
+@query("aa_melt", _melt_sql("d", "SELECT bin, k, tau, d, err FROM aa"))
 def aa_melt(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, _, b, _ = _two_rates(spark, sf_dir)
     return merge.melt(a, b).select("bin", *_r("k"), "tau", *_r("d", "err"))
 
 
-@query("aa_resample")
+@query("isf_melt", _melt_sql("f", _ISF_RATE))
+def isf_melt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, ea, b, eb = _two_rates(spark, sf_dir)
+    return merge.melt(_magnitudes(a, ea), _magnitudes(b, eb), "f").select("bin", *_r("k"), "tau", *_r("f", "err"))
+
+
+_EXTRA_OUT = f"SELECT bin, {S.r('power_spec', 'power_spec')}, {S.r('power_spec_err', 'power_spec_err')}, {S.r('"var"', '"var"')}, {S.r('var_err', 'var_err')}"
+
+
+@query("aa_melt_extra", f"{_EXTRA_OUT} FROM {_rate_sql(6, SLOW, 'SELECT * FROM aa_extra')}")
+def aa_melt_extra(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merge.melt_extra(*_two_rates(spark, sf_dir)).select("bin", *_r("power_spec", "power_spec_err", "var", "var_err"))
+
+
+@query("aa_mergesort_extra", f"{_EXTRA_OUT} FROM {_rate_sql(6, SLOW, 'SELECT * FROM aa_extra')}")
+def aa_mergesort_extra(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merge.mergesort_extra(*_two_rates(spark, sf_dir)).select("bin", *_r("power_spec", "power_spec_err", "var", "var_err"))
+
+
+TO_TAU = [1.5, 2.5, 4.0, 6.0, 10.0, 15.0]
+
+
+def _resample_sql(value: str, out: str) -> str:
+    return f"""WITH curves AS ({out}), w AS {S.spline_weights(LAGS, TO_TAU, 2)}
+SELECT bin, w.tau, {S.r('any_value(k)', 'k')}, {S.r(f'exp(sum(w.w * ln({value})))', value)}, {S.r('exp(sum(w.w * ln(err)))', 'err')} FROM curves c JOIN w ON w.src = c.tau GROUP BY bin, w.tau"""
+
+
+@query("aa_resample", _resample_sql("d", S.with_(*TO_AA) + "SELECT bin, k, tau, d, err FROM aa"))
 def aa_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return merge.resample(_aa(spark, sf_dir)[0], [1.5, 2.5, 4.0, 6.0, 10.0, 15.0]).select("bin", *_r("k"), "tau", *_r("d", "err"))
+    return merge.resample(_aa(spark, sf_dir)[0], TO_TAU).select("bin", *_r("k"), "tau", *_r("d", "err"))
 
 
 @query("aa_resample_own_tau", S.with_(*TO_AA) + f"SELECT bin, tau, {S.r('d', 'd')} FROM aa")
@@ -374,10 +481,12 @@ def aa_resample_own_tau(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.resample(_aa(spark, sf_dir)[0], [float(x) for x in LAGS]).select("bin", "tau", *_r("d"))
 
 
-@query("isf_resample")
+@query("isf_resample", _resample_sql("f", S.with_(*TO_AA) + _ISF_RATE))
 def isf_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = isf.intermediate_scattering(*_aa(spark, sf_dir)[:2], "zero", "power_spec").withColumn("f", F.abs("f"))
-    return merge.resample(f, [1.5, 4.0, 9.0], "f").select("bin", "tau", *_r("f", "err"))
+    return merge.resample(_magnitudes(*_aa(spark, sf_dir, keep=True)[:2]), TO_TAU, "f").select("bin", *_r("k"), "tau", *_r("f", "err"))
+
+
+# Fits: of the rings, and of planted curves whose parameters are aggregates
 
 
 @query("fit_curves")
@@ -390,3 +499,115 @@ def fit_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fit_multik(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = MODELS["simple_exponential"]
     return fit.wide(fit.fit_multik(_aa(spark, sf_dir)[0], m, 2, use_err=True), m)
+
+
+_PLANTED = {
+    "simple_structure_function": {"A": "1 + avg(l_quantity) / 20", "tau": "avg(l_quantity) / 10", "B": "avg(l_discount)"},
+    "generic_exponential": {"A": "1 + avg(l_quantity) / 20", "Gamma": "avg(l_quantity) / 80", "beta": "0.7 + avg(l_tax) * 10", "B": "avg(l_discount)"},
+}
+
+
+def _planted(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A curve for each line number, made with known parameters."""
+    rows = _table(spark, sf_dir, "lineitem").groupBy(F.col("l_linenumber").cast("int").alias("bin")).agg(*[F.expr(e).alias(p) for p, e in _PLANTED[name].items()])
+    rows = rows.withColumn("tau_at", F.explode(F.transform(F.sequence(F.lit(1), F.lit(30)), lambda i: i * 0.4)))
+    d = MODELS[name].column(F.col("tau_at"), **{p: F.col(p) for p in _PLANTED[name]})
+    return rows.select(F.lit("s0").alias("seq_id"), "bin", F.col("bin").cast("double").alias("k"), d.alias("d"), F.col("tau_at").alias("tau"), F.lit(1.0).alias("err"))
+
+
+def _planted_sql(name: str) -> str:
+    return f"SELECT CAST(l_linenumber AS INTEGER) AS bin, {', '.join(f'round({e}, 3) + 0.0 AS {p}' for p, e in _PLANTED[name].items())}, true AS success FROM lineitem GROUP BY l_linenumber"
+
+
+def _found(fits: DataFrame, name: str) -> DataFrame:
+    return fit.wide(fits, MODELS[name]).select("bin", *[(F.round(p, 3) + 0.0).alias(p) for p in _PLANTED[name]], "success")
+
+
+@query("fit_planted_curves", _planted_sql("simple_structure_function"))
+def fit_planted_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = "simple_structure_function"
+    return _found(fit.fit_curves(_planted(spark, sf_dir, name), MODELS[name], estimate_simple_parameters=True), name)
+
+
+@query("fit_planted_multik", _planted_sql("generic_exponential"))
+def fit_planted_multik(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = "generic_exponential"
+    return _found(fit.fit_multik(_planted(spark, sf_dir, name), MODELS[name], 3, use_err=True), name)
+
+
+_ESTIMATES = S.with_(
+    *TO_AA,
+    "ranked AS (SELECT *, row_number() OVER (PARTITION BY bin ORDER BY tau) AS r, count(*) OVER (PARTITION BY bin) AS n FROM aa)",
+    S.quadratic("(SELECT bin, tau - (max(tau) OVER (PARTITION BY bin) + min(tau) OVER (PARTITION BY bin)) / 2 AS tau, d FROM ranked WHERE r <= 5)", "bin", "d"),
+    "ab AS (SELECT r.bin, greatest(p.b, 0.0) AS b, greatest(max(CASE WHEN r = n THEN d END) - greatest(p.b, 0.0), 0.0) AS a FROM ranked r JOIN poly p USING (bin) GROUP BY r.bin, p.b)",
+) + f"SELECT a.bin, {S.r('a.a', '"A"')}, {S.r('a.b', '"B"')}, CASE WHEN a.a > 0 THEN arg_min(r.tau, abs((r.d - a.b) / a.a - 0.5)) ELSE 1.0 END AS tau FROM ab a JOIN ranked r USING (bin) GROUP BY a.bin, a.a, a.b"
+
+
+@query("fit_estimates", _ESTIMATES)
+def fit_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fit.estimates(_aa(spark, sf_dir)[0]).select("bin", *_r("A", "B"), "tau")
+
+
+@query("model_over_rings", S.with_(*TO_AA) + f"SELECT bin, tau, {S.r('1.5 * (1 - exp(-tau / 2.5)) + 0.25', 'model')} FROM aa")
+def model_over_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fit.evaluate_model(_aa(spark, sf_dir)[0], MODELS["simple_structure_function"], A=1.5, tau=2.5, B=0.25).select("bin", "tau", *_r("model"))
+
+
+# Files: written to the shared folder and read again
+
+
+def _names(spark: SparkSession, what: str) -> Callable[[str], str]:
+    folder = shared_dir(spark, what)
+    return lambda seq_id: f"{folder}/{seq_id}"
+
+
+@query("container_sf_roundtrip", S.with_(*TO_SF) + f"SELECT CAST(list_position({LAGS}, lag) - 1 AS INTEGER) AS slice, tau, iy, ix, {S.r('d', 'd')} FROM sf WHERE lag IN (3, 5, 8)")
+def container_sf_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    (path,) = container.save_sf(*_sf(spark, sf_dir), GRID, _names(spark, "sf"))
+    return container.load(spark, path).where("slice >= 2 AND slice >= 1 AND slice < 5 AND slice IN (0, 2, 3, 4) AND slice IN (2, 3, 4, 5)").select("slice", "tau", "iy", "ix", *_r("d"))
+
+
+@query("container_sf_grid", S.with_(S.wave_grid(G.Grid.of(8, 8, 0.5))) + f"SELECT iy, ix, {S.r('ky', 'ky')}, {S.r('kx', 'kx')}, mult FROM qgrid")
+def container_sf_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    (path,) = container.save_sf(*_sf(spark, sf_dir), G.Grid.of(8, 8, 0.5), _names(spark, "sf"))
+    return container.grid_of(spark, path).select("iy", "ix", *_r("ky", "kx"), "mult")
+
+
+@query("container_aa_roundtrip", S.with_(*TO_AA) + _AA_OUT + " WHERE bin >= 1 AND bin <> 3")
+def container_aa_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    aa, extra, edges = _aa(spark, sf_dir, keep=True)
+    (path,) = container.save_radial(aa, _names(spark, "aa"), edges, extra)
+    return container.load(spark, path).where("bin >= 1 AND bin >= 0 AND bin <> 3").select("bin", *_r("k"), "tau", *_r("d", "err"))
+
+
+@query("container_isf_roundtrip", _isf_sql("zero", "power_spec"))
+def container_isf_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    aa, extra, edges = _aa(spark, sf_dir, keep=True)
+    (path,) = container.save_radial(isf.intermediate_scattering(aa, extra, "zero", "power_spec"), _names(spark, "isf"), edges, kind="isf")
+    return container.load(spark, path).select("bin", *_r("k"), "tau", *_r("f", "err"))
+
+
+_FRAMES_OUT = f"SELECT CAST(m.range AS INTEGER) AS t, CAST(a.range AS INTEGER) AS y, CAST(b.range AS INTEGER) AS x, coalesce(f.v, 0.0) AS v FROM range({N_MONTHS}) m, range(8) a, range(8) b LEFT JOIN frames f ON f.t = m.range AND f.y = a.range AND f.x = b.range"
+
+
+@query("tiff_roundtrip", S.with_(S.cube()) + _FRAMES_OUT)
+def tiff_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_dir(spark, "tiff")
+    paths = tiff.save_frames(raster.pack(_cube(spark, sf_dir), 8, 8), lambda s, t: f"{folder}/{s}-{t:04d}.tif", "f8")
+    return raster.unpack(tiff.read_images(spark, sorted(paths))).drop("seq_id")
+
+
+@query("tiff_metadata", "SELECT CAST(8 AS INTEGER) AS width, CAST(8 AS INTEGER) AS height, CAST(64 AS INTEGER) AS bits")
+def tiff_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_dir(spark, "tiff")
+    (path,) = tiff.save_frames(raster.pack(_cube(spark, sf_dir).where("t = 5"), 8, 8), lambda s, t: f"{folder}/{s}-{t:04d}.tif", "f8")
+    return tiff.read_metadata(spark, path).select(*[F.col("tags")[tag].cast("int").alias(name) for name, tag in (("width", "ImageWidth"), ("height", "ImageLength"), ("bits", "BitsPerSample"))])
+
+
+@query("tiff_slices_roundtrip", S.with_(*TO_SF) + "SELECT lag, iy, ix, round(CAST(CAST(d AS FLOAT) AS DOUBLE), 1) + 0.0 AS d FROM (" + _FULL.replace("round(d, 6) + 0.0 AS d", "d") + ")")
+def tiff_slices_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_dir(spark, "tiff")
+    names = {lag: f"{folder}/{i:02d}.tif" for i, lag in enumerate(LAGS)}
+    tiff.save_slices(spectral.full_plane(_sf(spark, sf_dir)[0], GRID), 8, 8, names)
+    back = raster.unpack(tiff.read_images(spark, list(names.values())))
+    return back.select(F.element_at(F.array(*map(F.lit, LAGS)), F.col("t") + 1).alias("lag"), F.col("y").alias("iy"), F.col("x").alias("ix"), (F.round("v", 1) + 0.0).alias("d"))

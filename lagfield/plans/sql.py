@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+
 from ..functions.grid import Grid
 
 
@@ -69,3 +71,16 @@ dets AS (SELECT *, s2*s4-s3*s3 AS c00, s2*s3-s1*s4 AS c01, s1*s3-s2*s2 AS c02, s
 coefs AS (SELECT *, (c00*y0+c01*y1+c02*y2)/det AS p0, (c01*y0+c11*y1+c12*y2)/det AS p1, (c02*y0+c12*y1+c22*y2)/det AS p2,
   (c00 + 2*z*c01 + z*z*(c11+2*c02) + 2*z*z*z*c12 + z*z*z*z*c22) / det AS spread FROM dets),
 poly AS (SELECT {by_comma}p0 + p1*z + p2*z*z AS b, sqrt(spread{' * greatest(yy - p0*y0 - p1*y1 - p2*y2, 0.0) / (n - 3)' if scaled else ''}) AS b_err FROM coefs)"""
+
+
+def spline_weights(taus: list[float], at: list[float], degree: int) -> str:
+    """A table (tau, src, w): the log of a spline's value at ``tau`` is the sum of w times the logs of the curve at ``src``.
+
+    Made apart from the operator: the spline is a polynomial and one-sided powers that begin at the knots, all fixed by the curve's points.
+    """
+    x, to = np.log(np.array(taus, float)), np.log(np.array(at, float))
+    knots = x[(degree + 1) // 2 : -(degree + 1) // 2] if degree % 2 else ((x[1:] + x[:-1]) / 2)[degree // 2 : -(degree // 2)]
+    terms = lambda v: np.column_stack([*(v**n for n in range(degree + 1)), *(np.maximum(v - c, 0) ** degree for c in knots)])
+    w = terms(to) @ np.linalg.inv(terms(x))
+    rows = ", ".join(f"({float(t)!r}::DOUBLE, {float(s)!r}::DOUBLE, {float(w[i, j])!r}::DOUBLE)" for i, t in enumerate(at) for j, s in enumerate(taus))
+    return f"(SELECT * FROM (VALUES {rows}) AS v(tau, src, w))"

@@ -2,6 +2,7 @@
 
 Layout: a 64-byte header, arrays in row-major order, and 64-bit offsets at the end of the file, last array first. Readers
 seek: a reader's partition is a run of slices (lags of a structure function, rings of the others), and filters on them skip the rest.
+All filters on the slice number hold together; the others go back to Spark.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 import os
 import struct
 import sys
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from typing import BinaryIO
 
@@ -18,9 +19,10 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThanOrEqual, In, InputPartition, LessThanOrEqual
+from pyspark.sql.datasource import DataSource, DataSourceReader, Filter, InputPartition
 
 from ..functions.grid import Grid, qgrid
+from .shared import Chosen, open_read, open_write, remove, shared_dir
 
 #: Fixed values of the format: identifiers, version, header length.
 IDS = {"sf": 73, "aa": 22, "isf": 43}
@@ -38,10 +40,8 @@ def array_format(dtype: np.dtype) -> str:
 
 
 def file_name(path: str, kind: str) -> str:
-    """Appends the extension if it is missing, and makes parent folders."""
-    path = path if path.endswith(f".{kind}.ddm") else f"{path}.{kind}.ddm"
-    os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
-    return path
+    """Appends the extension if it is missing."""
+    return path if path.endswith(f".{kind}.ddm") else f"{path}.{kind}.ddm"
 
 
 @dataclass
@@ -58,27 +58,31 @@ class Header:
         return np.dtype(self.order + ("f8" if self.fmt == "d" else "f4"))
 
 
-def write_container(path: str, kind: str, arrays: dict[str, np.ndarray], width: int = 0, height: int = 0, dtype: np.dtype = np.float64) -> str:
-    """``arrays`` by name; sf: data (lags), extra (2 slices), kx, ky, tau, pixel_size, delta_t; others: data with the extra columns, err or None, k, tau, bin_edges."""
+def write_container(path: str, kind: str, arrays: dict[str, np.ndarray | None], width: int = 0, height: int = 0, dtype: np.dtype = np.float64, slices: Iterable[bytes] | None = None) -> str:
+    """``arrays`` by name; sf: data (lags), extra (2 slices), kx, ky, tau, pixel_size, delta_t; others: data with the extra columns, err or None, k, tau, bin_edges.
+
+    ``slices`` gives an sf's data lag by lag, as bytes of ``dtype``, in place of ``data``: only one of them is in memory.
+    """
     fmt, path = array_format(dtype), file_name(path, kind)
     put = {k: None if v is None else np.ascontiguousarray(v, dtype=dtype) for k, v in arrays.items()}
+    nt = put["tau"].size
     if kind == "sf":
-        nt, ny, nx = put["data"].shape
+        ny, nx = put["extra"].shape[1:]
         counts, order = (nt, ny, nx, len(put["extra"]), width, height), ("data", "extra", "kx", "ky", "tau", "pixel_size", "delta_t")
     else:
-        nt = put["tau"].size
         counts, order = (put["data"].shape[0], nt, put["data"].shape[1] - nt), ARRAYS[kind]
     head = (b"LL" if sys.byteorder == "little" else b"BB") + struct.pack("=HBB", IDS[kind], *VERSION) + fmt.encode() + struct.pack(f"={len(counts)}Q", *counts)
     if kind != "sf":
         head += struct.pack("=B", put["err"] is not None)
-    with open(path, "wb") as out:
+    with open_write(path) as out:
         out.write(head.ljust(HEAD, b"\0"))
         at, offsets = HEAD, {}
         for name in order:
             offsets[name] = at
-            if put[name] is not None:
-                out.write(put[name].tobytes())
-                at += put[name].nbytes
+            blocks = slices if name == "data" and slices is not None else [] if put[name] is None else [put[name].tobytes()]
+            for block in blocks:
+                out.write(block)
+                at += len(block)
         out.write(struct.pack(f"={len(offsets)}Q", *(offsets[n] for n in reversed(ARRAYS[kind]))))
     return path
 
@@ -108,15 +112,25 @@ def read_array(f: BinaryIO, h: Header, name: str, shape: tuple[int, ...], skip:
     return np.frombuffer(f.read(n * h.dtype.itemsize), h.dtype).reshape(shape).astype(np.float64)
 
 
-def slice_of(path: str, kind: str, index: int) -> np.ndarray:
-    """Random access: lag slice of .sf.ddm, ring of the others."""
-    with open(path, "rb") as f:
+def slice_of(path: str, kind: str, index: int, err: bool = False, full: bool = False) -> np.ndarray:
+    """Random access: lag slice of .sf.ddm (``full``: of the whole plane), ring of the others (``err``: its errors)."""
+    with open_read(path) as f:
         h = read_header(f, kind)
         c = h.counts
         n, shape = (c["Nt"], (c["Ny"], c["Nx"])) if kind == "sf" else (c["Nk"], (c["Nt"] + c["Nextra"],))
         if not 0 <= index < n:
             raise IndexError(f"slice {index} of {n}")
-        return read_array(f, h, "data", shape, index * int(np.prod(shape)))
+        if err and not h.has_err:
+            raise KeyError("the container holds no errors")
+        out = read_array(f, h, "err" if err else "data", shape, index * int(np.prod(shape)))
+        return whole_plane(out, c["width"]) if full else out
+
+
+def whole_plane(half: np.ndarray, nx: int) -> np.ndarray:
+    """Half plane (y shifted) to full plane (both shifted): the mirror image of a wavevector has the same value."""
+    ny, last = half.shape[0], (nx - 1) // 2
+    back = (ny - np.arange(ny)) % ny if ny % 2 == 0 else ny - 1 - np.arange(ny)
+    return np.roll(np.hstack([half, half[back, last:0:-1]]), nx // 2, 1)
 
 
 def kind_of(path: str) -> str:
@@ -134,28 +148,15 @@ class Slices(InputPartition):
 
 class _Reader(DataSourceReader):
     def __init__(self, path: str, kind: str, parts: int):
-        self.path, self.kind, self.parts = path, kind, parts
-        self.low, self.high, self.only = None, None, None
-        with open(path, "rb") as f:
+        self.path, self.kind, self.parts, self.chosen = path, kind, parts, Chosen()
+        with open_read(path) as f:
             self.header = read_header(f, kind)
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        key = ("slice",) if self.kind == "sf" else ("bin",)
-        for f in filters:
-            if getattr(f, "attribute", None) == key and isinstance(f, EqualTo):
-                self.only = {f.value}
-            elif getattr(f, "attribute", None) == key and isinstance(f, In):
-                self.only = set(f.value)
-            elif getattr(f, "attribute", None) == key and isinstance(f, GreaterThanOrEqual):
-                self.low = f.value
-            elif getattr(f, "attribute", None) == key and isinstance(f, LessThanOrEqual):
-                self.high = f.value
-            else:
-                yield f
+        yield from self.chosen.take(filters, "slice" if self.kind == "sf" else "bin")
 
     def _wanted(self) -> list[int]:
-        n = self.header.counts["Nt" if self.kind == "sf" else "Nk"]
-        return [i for i in range(n) if (self.low is None or i >= self.low) and (self.high is None or i <= self.high) and (self.only is None or i in self.only)]
+        return self.chosen.among(self.header.counts["Nt" if self.kind == "sf" else "Nk"])
 
     def partitions(self) -> list[Slices]:
         w = self._wanted()
@@ -165,7 +166,7 @@ class _Reader(DataSourceReader):
     def read(self, partition: Slices) -> Iterator[pa.RecordBatch]:
         h, c = self.header, self.header.counts
         wanted = self._wanted()[partition.start : partition.stop]
-        with open(self.path, "rb") as f:
+        with open_read(self.path) as f:
             tau = read_array(f, h, "tau", (c["Nt"],))
             if self.kind == "sf":
                 iy, ix = (a.ravel().astype(np.int32) for a in np.indices((c["Ny"], c["Nx"])))
@@ -197,7 +198,7 @@ class ContainerSource(DataSource):
 
 
 def load(spark: SparkSession, path: str, seq_id: str = "s0") -> DataFrame:
-    """A container as a table, by its extension."""
+    """A container as a table, by its extension. Turns filter pushdown of Python sources on for the session."""
     kind_of(path)
     spark.dataSource.register(ContainerSource)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
@@ -206,7 +207,7 @@ def load(spark: SparkSession, path: str, seq_id: str = "s0") -> DataFrame:
 
 def metadata(path: str) -> dict:
     kind = kind_of(path)
-    with open(path, "rb") as f:
+    with open_read(path) as f:
         h = read_header(f, kind)
         out = {"kind": kind, "dtype": h.fmt, **h.counts}
         if kind == "sf":
@@ -217,7 +218,7 @@ def metadata(path: str) -> dict:
 def extras(path: str) -> dict[str, np.ndarray]:
     """Power spectrum and variance, axes and edges."""
     kind = kind_of(path)
-    with open(path, "rb") as f:
+    with open_read(path) as f:
         h = read_header(f, kind)
         c = h.counts
         if kind == "sf":
@@ -234,19 +235,39 @@ def extras(path: str) -> dict[str, np.ndarray]:
 
 
 def save_sf(sf: DataFrame, extra: DataFrame, grid: Grid, path_of, dtype=np.float64) -> list[str]:
-    """One .sf.ddm a sequence, written by the task that holds it (a container is one sequence's dense cube). ``path_of(seq_id)`` names it on a path that all tasks share."""
-    ky, kx = (np.array(a) for a in grid.axes())
-
-    def one(key, a, b):
-        a, b = a.sort_values(["lag", "iy", "ix"]), b.sort_values(["iy", "ix"])
-        tau = np.sort(a["tau"].unique())
-        data = a["d"].to_numpy().reshape(len(tau), grid.ny, grid.nxh)
-        extra = np.stack([b[c].to_numpy().reshape(grid.ny, grid.nxh) for c in ("power_spec", "var")])
-        arrays = {"data": data, "extra": extra, "kx": kx, "ky": ky, "tau": tau, "pixel_size": np.array([grid.pixel_size]), "delta_t": np.array([grid.delta_t])}
-        path = write_container(path_of(key[0]), "sf", arrays, grid.nx, grid.ny, dtype)
-        return pd.DataFrame({"path": [path]})
+    """One .sf.ddm a sequence; ``path_of(seq_id)`` names it on a path that all tasks share.
 
-    return [r["path"] for r in sf.groupBy("seq_id").cogroup(extra.toDF(*extra.columns).groupBy("seq_id")).applyInPandas(one, "path string").collect()]
+    Every lag is written by a task of its own to a file; one task a sequence then strings them together, one lag in memory at a time.
+    """
+    ky, kx = (np.array(a) for a in grid.axes())
+    folder = shared_dir(sf.sparkSession, "slices")
+
+    def one_lag(key, pdf):
+        plane = np.full((grid.ny, grid.nxh), np.nan, dtype)
+        plane[pdf["iy"], pdf["ix"]] = pdf["d"]
+        part = f"{folder}/{key[0].encode().hex()}-{key[1]}"
+        with open_write(part) as out:
+            out.write(plane.tobytes())
+        return pd.DataFrame({"seq_id": [key[0]], "lag": [key[1]], "tau": [pdf["tau"].iloc[0]], "part": [part]})
+
+    def whole(key, parts, pixels):
+        parts, planes = parts.sort_values("lag"), np.full((2, grid.ny, grid.nxh), np.nan)
+        for i, name in enumerate(("power_spec", "var")):
+            planes[i, pixels["iy"], pixels["ix"]] = pixels[name]
+
+        def slices():
+            for part in parts["part"]:
+                with open_read(part) as f:
+                    yield f.read()
+
+        arrays = {"data": None, "extra": planes, "kx": kx, "ky": ky, "tau": parts["tau"].to_numpy(), "pixel_size": np.array([grid.pixel_size]), "delta_t": np.array([grid.delta_t])}
+        return pd.DataFrame({"path": [write_container(path_of(key[0]), "sf", arrays, grid.nx, grid.ny, dtype, slices())]})
+
+    parts = sf.groupBy("seq_id", "lag").applyInPandas(one_lag, "seq_id string, lag int, tau double, part string")
+    paths = [r["path"] for r in parts.groupBy("seq_id").cogroup(extra.toDF(*extra.columns).groupBy("seq_id")).applyInPandas(whole, "path string").collect()]
+    if paths:
+        remove(folder)
+    return paths
 
 
 def save_radial(curves: DataFrame, path_of, edges: list[float], extra: DataFrame | None = None, kind: str = "aa") -> list[str]:

@@ -1,78 +1,100 @@
 """Uncompressed TIFF: pages, tags and a writer, in the standard library; sequences as a batch data source of packed frames.
 
-Grey pages of 8 to 64 bit, whole or floating; colour as interleaved samples. Compressed files raise ``NotImplementedError``.
+Grey pages of 8 to 64 bit, whole or floating; colour as interleaved or planar samples. Compressed files raise ``NotImplementedError``.
+Files are read by seeking: the driver reads the page directory, a task the strips of its own pages. Pixels never pass the driver.
 """
 
 from __future__ import annotations
 
+import io
 import os
 import struct
 import warnings
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThanOrEqual, In, InputPartition, LessThanOrEqual
+from pyspark.sql.datasource import DataSource, DataSourceReader, Filter, InputPartition
+
+from ..operators.raster import pack, rank_frames
+from .shared import Chosen, open_read, open_write
 
 #: Fixed values of the format: field types (code: struct letter), tag numbers.
 TYPES = {1: "B", 2: "s", 3: "H", 4: "I", 5: "II", 6: "b", 7: "B", 8: "h", 9: "i", 10: "ii", 11: "f", 12: "d", 16: "Q"}
 TAGS = {256: "ImageWidth", 257: "ImageLength", 258: "BitsPerSample", 259: "Compression", 262: "PhotometricInterpretation", 270: "ImageDescription", 271: "Make", 272: "Model", 273: "StripOffsets", 277: "SamplesPerPixel", 278: "RowsPerStrip", 279: "StripByteCounts", 282: "XResolution", 283: "YResolution", 284: "PlanarConfiguration", 296: "ResolutionUnit", 305: "Software", 306: "DateTime", 339: "SampleFormat"}
 
 
-def _order(raw: bytes) -> str:
+def _opened(source: bytes | BinaryIO) -> BinaryIO:
+    return io.BytesIO(source) if isinstance(source, bytes) else source
+
+
+def _order(f: BinaryIO) -> str:
+    f.seek(0)
+    raw = f.read(4)
     order = {b"II": "<", b"MM": ">"}.get(raw[:2])
-    if order is None or struct.unpack(f"{order}H", raw[2:4])[0] != 42:
+    if order is None or len(raw) < 4 or struct.unpack(f"{order}H", raw[2:])[0] != 42:
         raise RuntimeError("not a TIFF file")
     return order
 
 
-def pages(raw: bytes) -> list[dict]:
-    """Tags of every page, by name (unknown ones by number)."""
-    order = _order(raw)
-    (at,) = struct.unpack(f"{order}I", raw[4:8])
+def _at(f: BinaryIO, order: str, where: int, form: str) -> tuple:
+    f.seek(where)
+    return struct.unpack(f"{order}{form}", f.read(struct.calcsize(f"{order}{form}")))
+
+
+def pages(source: bytes | BinaryIO) -> list[dict]:
+    """Tags of every page, by name (unknown ones by number), and ``order``, the byte order. Only the directory is read."""
+    f = _opened(source)
+    order = _order(f)
+    (at,) = _at(f, order, 4, "I")
     out, seen = [], set()
     while at and at not in seen:
         seen.add(at)
-        (n,) = struct.unpack_from(f"{order}H", raw, at)
-        tags = {}
+        (n,) = _at(f, order, at, "H")
+        f.seek(at + 2)
+        raw, tags = f.read(12 * n + 4), {"order": order}
         for i in range(n):
-            tag, kind, count = struct.unpack_from(f"{order}HHI", raw, at + 2 + 12 * i)
+            tag, kind, count = struct.unpack_from(f"{order}HHI", raw, 12 * i)
             letter = TYPES.get(kind)
             if letter is None:
                 continue
-            size = struct.calcsize(f"={letter}") * count
-            where = at + 10 + 12 * i
-            if size > 4:
-                (where,) = struct.unpack_from(f"{order}I", raw, where)
-            if letter == "s":
-                value: object = raw[where : where + count].split(b"\0")[0].decode("utf-8", "replace")
-            else:
-                got = struct.unpack_from(f"{order}{letter * count}", raw, where)
-                value = got[0] if len(got) == 1 else list(got)
+            form = f"{count}s" if letter == "s" else letter * count
+            size, inline = struct.calcsize(f"{order}{form}"), 12 * i + 8
+            got = struct.unpack_from(f"{order}{form}", raw, inline) if size <= 4 else _at(f, order, struct.unpack_from(f"{order}I", raw, inline)[0], form)
+            value = got[0].split(b"\0")[0].decode("utf-8", "replace") if letter == "s" else got[0] if len(got) == 1 else list(got)
             tags[TAGS.get(tag, str(tag))] = value
         out.append(tags)
-        (at,) = struct.unpack_from(f"{order}I", raw, at + 2 + 12 * n)
+        (at,) = struct.unpack_from(f"{order}I", raw, 12 * n)
     return out
 
 
-def page_array(raw: bytes, tags: dict) -> np.ndarray:
+def page_shape(tags: dict) -> tuple[int, ...]:
     """(y, x) of a grey page, (c, y, x) of a coloured one."""
+    plane, n = (tags["ImageLength"], tags["ImageWidth"]), tags.get("SamplesPerPixel", 1)
+    return plane if n == 1 else (n, *plane)
+
+
+def page_array(source: bytes | BinaryIO, tags: dict) -> np.ndarray:
+    """The pixels of a page, in its shape; only its strips are read."""
+    f = _opened(source)
     if tags.get("Compression", 1) != 1:
         raise NotImplementedError("only uncompressed TIFF is read")
     each = lambda v: v if isinstance(v, list) else [v]
-    bits, form, n = each(tags.get("BitsPerSample", 1))[0], each(tags.get("SampleFormat", 1))[0], tags.get("SamplesPerPixel", 1)
+    bits, form, shape = each(tags.get("BitsPerSample", 1))[0], each(tags.get("SampleFormat", 1))[0], page_shape(tags)
     if bits % 8:
         raise NotImplementedError(f"{bits} bits a sample")
-    dtype = np.dtype(f"{_order(raw)}{ {1: 'u', 2: 'i', 3: 'f'}[form] }{bits // 8}")
-    data = b"".join(raw[o : o + c] for o, c in zip(each(tags["StripOffsets"]), each(tags["StripByteCounts"]), strict=True))
-    shape = (tags["ImageLength"], tags["ImageWidth"])
-    if n == 1:
-        return np.frombuffer(data, dtype).reshape(shape)
-    planar = tags.get("PlanarConfiguration", 1) == 2
-    return np.frombuffer(data, dtype).reshape(n, *shape) if planar else np.moveaxis(np.frombuffer(data, dtype).reshape(*shape, n), -1, 0)
+    data = []
+    for offset, count in zip(each(tags["StripOffsets"]), each(tags["StripByteCounts"]), strict=True):
+        f.seek(offset)
+        data.append(f.read(count))
+    flat = np.frombuffer(b"".join(data), np.dtype(f"{tags['order']}{ {1: 'u', 2: 'i', 3: 'f'}[form] }{bits // 8}"))
+    if len(shape) == 2 or tags.get("PlanarConfiguration", 1) == 2:
+        return flat.reshape(shape)
+    return np.moveaxis(flat.reshape(*shape[1:], shape[0]), -1, 0)
 
 
 def tiff_bytes(frames: list[np.ndarray], description: str = "") -> bytes:
@@ -99,93 +121,116 @@ def tiff_bytes(frames: list[np.ndarray], description: str = "") -> bytes:
     return bytes(out)
 
 
-def reordered(stack: np.ndarray, input_order: str) -> np.ndarray:
-    """Axes named by ``input_order`` (of C, T, Y, X) into the order (c,) t, y, x; a missing t becomes one of length 1."""
-    names = input_order.upper()
-    if len(set(names)) != stack.ndim or not set(names) <= set("CTYX") or not {"Y", "X"} <= set(names):
-        raise RuntimeError("input_order names each axis once, of C, T, Y, X")
-    out = np.transpose(stack, [names.index(a) for a in "CTYX" if a in names])
-    return out if "T" in names else np.expand_dims(out, 1 if "C" in names else 0)
-
-
-class _Page(InputPartition):
-    def __init__(self, start: int, stop: int):
-        self.start, self.stop = start, stop
+class _Pages(InputPartition):
+    def __init__(self, pages: list[tuple[int, dict]]):
+        self.pages = pages
 
 
 class _TiffReader(DataSourceReader):
     def __init__(self, path: str, seq_id: str, parts: int):
-        self.path, self.seq_id, self.parts = path, seq_id, parts
-        self.keep: list = []
+        self.path, self.seq_id, self.parts, self.chosen = path, seq_id, parts, Chosen()
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        for f in filters:
-            test = {EqualTo: lambda v: lambda t: t == v, In: lambda v: lambda t: t in v, GreaterThanOrEqual: lambda v: lambda t: t >= v, LessThanOrEqual: lambda v: lambda t: t <= v}.get(type(f))
-            if test and f.attribute == ("t",):
-                self.keep.append((type(f).__name__, f.value))
-            else:
-                yield f
-
-    def _wanted(self, n: int) -> list[int]:
-        tests = {"EqualTo": lambda t, v: t == v, "In": lambda t, v: t in v, "GreaterThanOrEqual": lambda t, v: t >= v, "LessThanOrEqual": lambda t, v: t <= v}
-        return [t for t in range(n) if all(tests[k](t, v) for k, v in self.keep)]
-
-    def _raw(self) -> bytes:
-        with open(self.path, "rb") as f:
-            return f.read()
-
-    def partitions(self) -> list[_Page]:
-        w = self._wanted(len(pages(self._raw())))
-        size = max(1, -(-len(w) // self.parts))
-        return [_Page(i, i + size) for i in range(0, len(w), size)]
-
-    def read(self, partition: _Page) -> Iterator[tuple]:
-        raw = self._raw()
-        tags = pages(raw)
-        for t in self._wanted(len(tags))[partition.start : partition.stop]:
-            a = page_array(raw, tags[t])
-            if a.ndim == 3:
-                raise RuntimeError("a coloured page: use image_files with a channel")
-            yield self.seq_id, t, a.shape[0], a.shape[1], a.astype(float).ravel().tolist()
+        yield from self.chosen.take(filters, "t")
+
+    def partitions(self) -> list[_Pages]:
+        with open_read(self.path) as f:
+            tags = pages(f)
+        wanted = [(t, tags[t]) for t in self.chosen.among(len(tags))]
+        size = max(1, -(-len(wanted) // self.parts))
+        return [_Pages(wanted[i : i + size]) for i in range(0, len(wanted), size)]
+
+    def read(self, partition: _Pages) -> Iterator[tuple]:
+        with open_read(self.path) as f:
+            for t, tags in partition.pages:
+                a = page_array(f, tags)
+                for c, plane in enumerate(a) if a.ndim == 3 else [(None, a)]:
+                    yield self.seq_id, t, c, plane.shape[0], plane.shape[1], plane.astype(float).ravel().tolist()
 
 
 class TiffSource(DataSource):
-    """``spark.read.format("tiff_pages").load(path)``: frames_packed; filters on t choose pages."""
+    """``spark.read.format("tiff_pages").load(path)``: frames_packed with ``c`` (null for grey pages); filters on t choose pages."""
 
     @classmethod
     def name(cls) -> str:
         return "tiff_pages"
 
     def schema(self) -> str:
-        return "seq_id string, t int, height int, width int, pixels array<double>"
+        return "seq_id string, t int, c int, height int, width int, pixels array<double>"
 
     def reader(self, schema) -> DataSourceReader:
         return _TiffReader(self.options["path"], self.options.get("seq_id", "s0"), int(self.options.get("parts", 8)))
 
 
 def read_pages(spark: SparkSession, path: str, frames: list[int] | None = None, seq_id: str = "s0") -> DataFrame:
+    """The pages of a file as frames. Turns filter pushdown of Python sources on for the session."""
     spark.dataSource.register(TiffSource)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     df = spark.read.format("tiff_pages").option("path", path).option("seq_id", seq_id).load()
     return df if frames is None else df.where(F.col("t").isin(*frames))
 
 
+def _bare(path: Column) -> Column:
+    """A path without scheme and authority."""
+    return F.regexp_replace(path, r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "")
+
+
 def image_files(spark: SparkSession, paths: list[str], channels: list[int] | None = None, seq_id: str = "s0") -> DataFrame:
-    """One image a file, in the list's order: frames_packed, and ``c`` for coloured images (``channels`` picks by number). All must share the first one's shape."""
-    order = F.create_map(*[x for i, p in enumerate(paths) for x in (F.lit(os.path.basename(p)), F.lit(i))])
-    raw = spark.read.format("binaryFile").load(paths).select(F.element_at(order, F.element_at(F.split("path", "/"), -1)).alias("t"), "content")
+    """One image a file, in the list's order: frames_packed, and ``c`` for coloured images (``channels`` picks by number).
+
+    Files are told apart by their whole path. All must have the first one's shape: another one raises ``RuntimeError`` in its task.
+    """
+    named = [p if ":" in p.split("/")[0] else os.path.abspath(p) for p in paths]
+    order = spark.createDataFrame(list(enumerate(named)), "t int, _name string").select("t", _bare(F.col("_name")).alias("_path"))
+    raw = lambda some: spark.read.format("binaryFile").load(some)
     schema = pa.schema([("seq_id", pa.string()), ("t", pa.int32()), ("c", pa.int32()), ("height", pa.int32()), ("width", pa.int32()), ("pixels", pa.list_(pa.float64()))])
 
+    def shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"shape": [list(page_shape(pages(x)[0])) for x in b.column("content").to_pylist()]}, pa.schema([("shape", pa.list_(pa.int32()))]))
+
+    first = tuple(raw(named[:1]).select("content").mapInArrow(shapes, "shape array<int>").first()["shape"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
             for t, content in zip(b.column("t").to_pylist(), b.column("content").to_pylist(), strict=True):
                 a = page_array(content, pages(content)[0])
-                planes = [(None, a)] if a.ndim == 2 else [(c, a[c]) for c in (channels or range(a.shape[0]))]
-                rows += [{"seq_id": seq_id, "t": t, "c": c, "height": p.shape[0], "width": p.shape[1], "pixels": p.astype(float).ravel().tolist()} for c, p in planes]
-            yield pa.RecordBatch.from_pylist(rows, schema)
-
-    return raw.mapInArrow(run, "seq_id string, t int, c int, height int, width int, pixels array<double>")
+                if a.shape != first:
+                    raise RuntimeError(f"image {t} has the shape {a.shape}, the first one {first}")
+                planes = [(None, a)] if a.ndim == 2 else [(c, a[c]) for c in (range(a.shape[0]) if channels is None else channels)]
+                yield pa.RecordBatch.from_pylist([{"seq_id": seq_id, "t": t, "c": c, "height": p.shape[0], "width": p.shape[1], "pixels": p.astype(float).ravel().tolist()} for c, p in planes], schema)
+
+    files = raw(sorted(set(named))).select(_bare(F.col("path")).alias("_path"), "content").join(order, "_path")
+    return files.select("t", "content").mapInArrow(run, "seq_id string, t int, c int, height int, width int, pixels array<double>")
+
+
+def image_folder(spark: SparkSession, pattern: str, seq_id: str = "s0") -> DataFrame:
+    """(seq_id, t, path) of the files that match, t being the rank of the path."""
+    return rank_frames(spark.read.format("binaryFile").load(pattern).select(F.lit(seq_id).alias("seq_id"), "path"))
+
+
+def _ordered(spark: SparkSession, path: str, input_order: str, seq_id: str) -> DataFrame:
+    """Frames of a file whose axes are named by ``input_order`` (of C, T, Y, X; axes of length 1 left out)."""
+    with open_read(path) as f:
+        tags = pages(f)
+    sizes = [("page", len(tags)), *zip(("c", "y", "x")[-len(page_shape(tags[0])) :], page_shape(tags[0]), strict=True)]
+    names, axes = input_order.upper(), [a for a, n in sizes if n > 1]
+    if len(names) < len(axes) or len(names) > len(sizes):
+        axes = []
+    elif len(names) > len(axes):
+        axes = [a for a, _ in sizes][-len(names) :]
+    if not axes or len(set(names)) != len(names) or not set(names) <= set("CTYX") or not {"Y", "X"} <= set(names):
+        raise RuntimeError("input_order names each axis once, of C, T, Y, X")
+    to, length = dict(zip(names, axes, strict=True)), dict(sizes)
+    read = read_pages(spark, path, seq_id=seq_id).withColumnRenamed("t", "page")
+    number = lambda axis: F.col(to[axis]).cast("int") if axis in to else F.lit(None if axis == "C" else 0).cast("int")
+    if (to["Y"], to["X"]) == ("y", "x"):
+        return read.select("seq_id", number("T").alias("t"), number("C").alias("c"), "height", "width", "pixels")
+    # A frame's pixels lie in several pages: they meet by frame.
+    cells = read.select("seq_id", "page", "c", "width", F.posexplode("pixels").alias("_p", "v"))
+    cells = cells.withColumns({"y": F.floor(F.col("_p") / F.col("width")).cast("int"), "x": (F.col("_p") % F.col("width")).cast("int")})
+    cells = cells.select("seq_id", number("T").alias("t"), number("C").alias("c"), number("Y").alias("y"), number("X").alias("x"), "v")
+    return pack(cells, length[to["Y"]], length[to["X"]], ["c"]).select("seq_id", "t", "c", "height", "width", "pixels")
 
 
 def read_images(spark: SparkSession, src: str | list[str], seq: list[int] | None = None, color_seq: list[int] | None = None, input_order: str | None = None, seq_id: str = "s0") -> DataFrame:
@@ -198,29 +243,39 @@ def read_images(spark: SparkSession, src: str | list[str], seq: list[int] | None
         raise NotImplementedError("nd2 is a closed format; export it to TIFF")
     if not src.endswith(".tif"):
         warnings.warn("the suffix is not .tif; read as TIFF all the same", stacklevel=2)
-    if input_order is None:
-        return read_pages(spark, src, seq, seq_id)
-    with open(src, "rb") as f:
-        raw = f.read()
-    stack = reordered(np.squeeze(np.stack([page_array(raw, t) for t in pages(raw)])), input_order)
-    planes = stack if stack.ndim == 4 else stack[None]
-    rows = [(seq_id, t, c if stack.ndim == 4 else None, planes.shape[2], planes.shape[3], planes[c, t].astype(float).ravel().tolist()) for c in (color_seq or range(planes.shape[0])) for t in (seq or range(planes.shape[1]))]
-    return spark.createDataFrame(rows, "seq_id string, t int, c int, height int, width int, pixels array<double>")
+    out = read_pages(spark, src, seq_id=seq_id) if input_order is None else _ordered(spark, src, input_order, seq_id)
+    out = out if seq is None else out.where(F.col("t").isin(*seq))
+    return out if color_seq is None else out.where(F.col("c").isin(*color_seq))
 
 
 def read_metadata(spark: SparkSession, src: str) -> DataFrame:
     """(path, tags) of the first page. A folder is not implemented, a missing file is not found, another suffix raises ``RuntimeError``."""
     if os.path.isdir(src):
         raise NotImplementedError("metadata of a folder")
-    if not os.path.exists(src):
+    if ":" not in src.split("/")[0] and not os.path.exists(src):
         raise FileNotFoundError(src)
     if src.endswith(".nd2"):
         raise NotImplementedError("nd2 is a closed format")
     if not src.endswith(".tif"):
         raise RuntimeError("metadata are read from .tif files")
-    with open(src, "rb") as f:
-        tags = pages(f.read())[0]
-    return spark.createDataFrame([(src, {k: str(v) for k, v in tags.items()})], "path string, tags map<string,string>")
+    with open_read(src) as f:
+        tags = pages(f)[0]
+    return spark.createDataFrame([(src, {k: str(v) for k, v in tags.items() if k != "order"})], "path string, tags map<string,string>")
+
+
+def save_frames(frames: DataFrame, path_of, dtype=np.float64) -> list[str]:
+    """frames_packed to one grey single-page TIFF a frame; ``path_of(seq_id, t)`` names it on a path that all tasks share."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            paths = []
+            for r in b.to_pylist():
+                paths.append(path_of(r["seq_id"], r["t"]))
+                with open_write(paths[-1]) as out:
+                    out.write(tiff_bytes([np.array(r["pixels"], dtype).reshape(r["height"], r["width"])]))
+            yield pa.RecordBatch.from_pydict({"path": paths})
+
+    return [r["path"] for r in frames.select("seq_id", "t", "height", "width", "pixels").mapInArrow(run, "path string").collect()]
 
 
 def save_slices(sf: DataFrame, height: int, width: int, names: dict[int, str]) -> list[str]:
@@ -233,8 +288,7 @@ def save_slices(sf: DataFrame, height: int, width: int, names: dict[int, str]) -
         plane = np.zeros((height, width), np.float32)
         plane[pdf["iy"], pdf["ix"]] = pdf["d"]
         path = names[int(key[0])]
-        os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
-        with open(path, "wb") as f:
+        with open_write(path) as f:
             f.write(tiff_bytes([plane]))
         return pd.DataFrame({"path": [path]})
 

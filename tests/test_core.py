@@ -161,6 +161,9 @@ def test_resample_and_merge(spark):
     assert np.allclose(m.d, 2 * m.tau**0.5) and m.tau.is_unique and m.tau.max() == 56
     both, again = (merge.mergesort(a, b).orderBy("tau", "d").toPandas() for a, b in ((fast, slow), (slow, fast)))
     pd.testing.assert_frame_equal(both, again)
+    extra = lambda n: fast.select("seq_id", "bin").distinct().withColumn("power_spec", F.lit(n))
+    for a, b in (((fast, extra(1)), (slow, extra(2))), ((slow, extra(2)), (fast, extra(1)))):
+        assert merge.melt_extra(*a, *b).first().power_spec == 2 and merge.mergesort_extra(*a, *b).first().power_spec == 2
     bare = fast.withColumn("err", F.lit(None).cast("double"))
     assert merge.mergesort(bare, slow).where("err IS NOT NULL").isEmpty()
 
@@ -202,11 +205,87 @@ def test_logspace_rises(stop, num, endpoint):
 
 
 def test_fast_lengths():
-    assert [G.next_fast_len(n) for n in (13, 11, 97, 8)] == [14, 11, 98, 8]
+    assert [G.next_fast_len(n) for n in (13, 11, 97, 8, 0)] == [14, 11, 98, 8, 1]
     assert G.next_fast_len(13, "cpp") == 13 and G.next_fast_len(11, "cuda") == 12 and G.next_fast_len(7, "cuda", True) == 8
     assert [G.next_power_of_2(n) for n in (1, 2, 3, 9)] == [1, 2, 4, 16]
 
 
+@pytest.mark.parametrize("missing", [[2], [0, 1, 5], [3, 4, 7, 11]])
+def test_strategies_agree_where_frames_are_missing(cells, movie, missing):
+    g, s = G.Grid.of(H, W), spectra(movie)
+    some = cells.where(~F.col("t").isin(missing))
+    for how in temporal.STRATEGIES:
+        got = temporal.structure_function(some, g, N, [1, 2, 3, 9, 11], strategy=how)[0].toPandas()
+        for lag in (1, 2, 3, 9, 11):
+            pairs = [(t, t + lag) for t in range(N - lag) if t not in missing and t + lag not in missing]
+            rows = got[got.lag == lag]
+            assert len(rows) == (g.ny * g.nxh if pairs else 0), how
+            for r in rows.itertuples():
+                want = np.mean([abs(s[b, r.iy, r.ix] - s[a, r.iy, r.ix]) ** 2 for a, b in pairs])
+                assert np.isclose(r.d, want, rtol=1e-9) and r.n_pairs == len(pairs), how
+
+
+def test_empty_frames_are_missing_unless_filled(cells, movie):
+    g = G.Grid.of(H, W)
+    dark = np.where((np.arange(N) == 4)[:, None, None], 0, movie)
+    s = spectra(dark)
+    got = temporal.structure_function(raster.filled_frames(cells.where("t <> 4"), N), g, N, [2])[0].toPandas()
+    for r in got.itertuples():
+        assert r.n_pairs == N - 2 and np.isclose(r.d, (np.abs(s[2:, r.iy, r.ix] - s[:-2, r.iy, r.ix]) ** 2).mean())
+
+
+def test_large_frames_take_the_fft_and_agree(cells, monkeypatch):
+    g = G.Grid.of(H, W)
+    small = spectral.spectrum_of(cells, g, G.blackman(H, W))
+    monkeypatch.setattr(spectral, "DFT_PIXELS", 0)
+    large = spectral.spectrum_of(cells, g, G.blackman(H, W))
+    assert "MapInArrow" in large._jdf.queryExecution().toString() and "MapInArrow" not in small._jdf.queryExecution().toString()
+    a, b = (x.orderBy("t", "iy", "ix").toPandas() for x in (small, large))
+    assert np.allclose(a.re, b.re) and np.allclose(a.im, b.im)
+    assert temporal.choose_strategy(N, [1, 2]) == "lead" and temporal.choose_strategy(1000, list(range(1, 60))) == "fft"
+
+
+def test_pack_adds_up_repeated_cells_and_fills_gaps(spark):
+    c = spark.createDataFrame([("s", 0, 0, 1, 2.0), ("s", 0, 0, 1, 3.0), ("s", 2, 1, 0, 1.0)], "seq_id string, t int, y int, x int, v double")
+    assert {r.t: r.pixels for r in raster.pack(c, 2, 2).collect()} == {0: [0.0, 5.0, 0.0, 0.0], 2: [0.0, 0.0, 1.0, 0.0]}
+
+
+def test_window_tables_have_the_images_shape(cells, spark):
+    g = G.Grid.of(H, W)
+    whole = spark.range(H * W).select(F.floor(F.col("id") / W).cast("int").alias("y"), (F.col("id") % W).cast("int").alias("x"), F.lit(2.0).alias("w"))
+    twice = spectral.dft_cells(cells, g, whole).where("t = 1 AND iy = 0 AND ix = 1").first()
+    once = spectral.dft_cells(cells, g).where("t = 1 AND iy = 0 AND ix = 1").first()
+    assert np.isclose(twice.re, 2 * once.re)
+    for bad in (whole.where("y > 0"), whole.unionByName(whole.where("y = 1")), whole.withColumn("x", F.col("x") + 1)):
+        with pytest.raises(RuntimeError):
+            spectral.dft_cells(cells, g, bad)
+        with pytest.raises(RuntimeError):
+            spectral.rfft2_cells(cells, g, bad)
+
+
+def test_negative_weights_and_foreign_inputs_raise(sf):
+    g = G.Grid.of(H, W)
+    with pytest.raises(ValueError):
+        radial.radial(*sf, g, bins=4, weight=F.col("ky"))
+    nothing = radial.radial(*sf, g, bins=4, mask=F.lit(False))[0].toPandas()
+    assert len(nothing) == 4 * 5 and nothing.d.isna().all() and nothing.err.isna().all() and nothing.k.notna().all()
+    aa, extra, _ = radial.radial(*sf, g, bins=4)
+    assert noise.noise_of(aa, extra).columns == ["seq_id", "bin", "b", "b_err"] and noise.noise_of(*sf, grid_rows=G.qgrid(aa.sparkSession, g)).columns == ["seq_id", "iy", "ix", "b", "b_err"]
+    for wrong in (3, extra, sf[0]):
+        with pytest.raises(TypeError):
+            noise.noise_of(wrong, extra)
+    table = aa.groupBy("seq_id", "bin").agg(F.lit(0.1).alias("b"), F.lit(0.0).alias("b_err"))
+    for bad in (table.where("bin > 0"), table.unionByName(table.where("bin = 1"))):
+        with pytest.raises(RuntimeError):
+            isf.intermediate_scattering(aa, extra, bad)
+
+
+def test_fits_that_run_out_of_steps_do_not_succeed():
+    m, x = MODELS["stretched_exponential"], np.linspace(0.2, 12, 40)
+    y = m(x, A=2.0, Gamma=0.3, beta=0.8, B=0.1)
+    assert not fit.least_squares(m, x, y, dict(m.hints), steps=1)[2] and fit.least_squares(m, x, y, dict(m.hints))[2]
+
+
 def test_container_round_trip(spark, sf, tmp_path):
     g = G.Grid(H, W, H, W, 0.123, 0.043)
     (path,) = container.save_sf(*sf, g, lambda s, d=str(tmp_path): f"{d}/sub/{s}")
@@ -218,10 +297,17 @@ def test_container_round_trip(spark, sf, tmp_path):
     assert container.slice_of(path, "sf", 4).shape == (H, W // 2 + 1)
     with pytest.raises(IndexError):
         container.slice_of(path, "sf", 5)
+    for where, kept in (("slice >= 3 AND slice >= 1", {3, 4}), ("slice <= 2 AND slice <= 4", {0, 1, 2}), ("slice IN (1, 2, 3) AND slice IN (2, 3, 4)", {2, 3}), ("slice > 1 AND slice < 4 AND slice <> 2", {3}), ("slice = 1 AND slice = 2", set())):
+        assert {r.slice for r in got.where(where).select("slice").distinct().collect()} == kept
+    plane = spectral.full_plane(sf[0].where("lag = 3"), g).toPandas()
+    full = container.slice_of(path, "sf", 2, full=True)
+    assert full.shape == (H, W) and all(np.isclose(full[r.iy, r.ix], r.d) for r in plane.itertuples())
+    assert container.grid_of(spark, path).count() == H * (W // 2 + 1)
     aa, extra, edges = radial.radial(*sf, g, bins=4)
     (path,) = container.save_radial(aa, lambda s, d=str(tmp_path): f"{d}/{s}", edges, extra)
     back = container.load(spark, path).orderBy("bin", "tau").toPandas()
     assert np.allclose(back.d, aa.orderBy("bin", "tau").toPandas().d, equal_nan=True) and np.allclose(container.extras(path)["bin_edges"], edges)
+    assert np.allclose(container.slice_of(path, "aa", 1, err=True)[:5], back[back.bin == 1].err, equal_nan=True)
     f = isf.intermediate_scattering(aa, extra, "zero")
     (path,) = container.save_radial(f, lambda s, d=str(tmp_path): f"{d}/{s}", edges, kind="isf")
     assert np.allclose(container.load(spark, path).orderBy("bin", "tau").toPandas().f, f.orderBy("bin", "tau").toPandas().f, equal_nan=True)
@@ -249,6 +335,23 @@ def test_tiff_round_trip(spark, tmp_path, dtype):
     assert tiff.read_metadata(spark, path).first().tags["ImageDescription"] == "made here"
 
 
+@pytest.mark.parametrize("order", ["TYX", "YXT", "XYT", "tyx", "CYX", "YCX"])
+def test_axis_orders(spark, tmp_path, order):
+    stack = np.random.default_rng(3).integers(0, 99, (4, 3, 5)).astype("u2")
+    path = str(tmp_path / "a.tif")
+    with open(path, "wb") as f:
+        f.write(tiff.tiff_bytes(list(stack)))
+    names = order.upper()
+    want = np.transpose(stack, [names.index(a) for a in "CTYX" if a in names])
+    rows = tiff.read_images(spark, path, input_order=order).collect()
+    got = {(r.c if r.t == 0 and "C" in names else r.t): np.array(r.pixels).reshape(r.height, r.width) for r in rows}
+    assert len(rows) == len(want) and all((got[i] == want[i]).all() for i in range(len(want)))
+    assert {r.t for r in tiff.read_images(spark, path, seq=[0], input_order=order).collect()} == {0}
+    for bad in ("TYXC", "YX", "TTX", "ABC"):
+        with pytest.raises(RuntimeError):
+            tiff.read_images(spark, path, input_order=bad)
+
+
 def test_image_lists_orders_and_errors(spark, tmp_path, sf):
     paths = []
     for i in range(3):
@@ -256,7 +359,14 @@ def test_image_lists_orders_and_errors(spark, tmp_path, sf):
         with open(paths[-1], "wb") as f:
             f.write(tiff.tiff_bytes([np.full((2, 2), i, "u2")]))
     assert [r.pixels[0] for r in tiff.read_images(spark, paths).orderBy("t").collect()] == [0, 1, 2]
-    assert tiff.reordered(np.zeros((4, 5, 6)), "YXT").shape == (6, 4, 5)
+    other = tmp_path / "other" / "f0.tif"
+    other.parent.mkdir()
+    other.write_bytes(tiff.tiff_bytes([np.full((2, 2), 9, "u2")]))
+    assert [r.pixels[0] for r in tiff.read_images(spark, [str(other), *paths, str(other)]).orderBy("t").collect()] == [9, 0, 1, 2, 9]
+    assert [r.path[-6:] for r in tiff.image_folder(spark, str(tmp_path / "f*.tif")).orderBy("t").collect()] == ["f0.tif", "f1.tif", "f2.tif"]
+    other.write_bytes(tiff.tiff_bytes([np.zeros((3, 2), "u2")]))
+    with pytest.raises(Exception, match="has the shape"):
+        tiff.read_images(spark, [paths[0], str(other)]).collect()
     for src, error in ((str(tmp_path), NotImplementedError), (str(tmp_path / "no.tif"), FileNotFoundError)):
         with pytest.raises(error):
             tiff.read_metadata(spark, src)
