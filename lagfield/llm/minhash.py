@@ -1,18 +1,21 @@
 """Near-duplicates by one-permutation MinHash: densified sketches, banded buckets, star-shaped candidates, exact confirmation.
 
-1. Rows whose shingle sets are the same form a class; from here on only one row a class goes on (copies never meet in pairs).
+1. Rows whose shingle sets are the same (128 bits of the set's digest) form a class, a node with a number of its own; from here on only one
+   row a class goes on (copies never meet in pairs).
 2. A set's hashes fall into ``BINS`` bins, the least of each gives one byte, empty bins are filled by a draw of their own. Bands of
-   at most ``ROWS`` bytes are the buckets; the bytes themselves are the key. ``banding`` gives as many as a pair at the threshold needs to share
+   at most ``ROWS`` bytes are the buckets. ``banding`` gives as many as a pair at the threshold needs to share
    no bucket with a probability of at most ``MISS`` (independent bytes taken): 36 bands of 7 at 85, 59 of 7 at 80.
    Sets too small to be similar to any other set (``least_size``) stay out: their sketches repeat few bytes, and they would share all buckets.
 3. Each bucket gives a star of candidates, centre to member; they are confirmed on the full sets and joined to components.
 4. Links that a star cannot see: in buckets that still hold several components, the members outside the largest one are held
-   against all members by their sketches, two of them once (6 standard deviations below the threshold), in blocks of at most
-   ``BLOCK_ROWS`` x ``BLOCK_ROWS``; only pairs of different components go on to confirmation, each from the first
-   bucket that it shares. So a link that connects two components is lost only if its sketches say too little, and no bucket gives all its pairs.
+   against all members by their sketches (6 standard deviations below the threshold), in blocks bounded in rows and in shingles. What remains of a
+   block, a list of nodes and not of pairs, meets again with the full sets; of the exact links found there a block
+   gives one for each two components that it joins, fewer than it has members.
 
-Measured on simulated pairs at the threshold (3,000 each at unions of 20, 40, 60, 100, 150, 200, 400 and 1,000; 24,000 at 85 and as many at 80):
-without a shared band 0 and 0; below 6 deviations 0 and 0 (below 4, the bound before: 5 and 4, densified bytes not being independent).
+So a link between two components is lost only if its sketches share no band or stray by 6 deviations. Measured on simulated pairs at the
+threshold (3,000 each at unions of 20, 40, 60, 100, 150, 200, 400 and 1,000; 24,000 at 85 and as many at 80):
+without a shared band 0 and 0; below 6 deviations 0 and 0 (below 4: 5 and 4, densified bytes not being independent).
+The comparisons of step 4 grow with (members outside the largest component) x (members) of a bucket: sketches of 512 bytes, exchanged once for ``BLOCK_ROWS``.
 
 Defined results: null and wordless texts have an empty set and stay alone; fewer than five words are one shingle; rows that repeat
 an id share that id's component if their texts do; null ids are linked with nothing (component null, not kept); an empty table gives an
@@ -29,12 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import attach_by_key, keyed, read, written
+from .common import Scratch, attach_by_key, keep_one, maybe_among, read
 from .components import components
 from .files import bounded_batches
 from .shingles import BINS, shingle_set, sketch, word_hashes
 
-ROWS, MISS, BLOCK_ROWS = 7, 1e-6, 2000
+ROWS, MISS, BLOCK_ROWS, BLOCK_SHINGLES, SEEN = 7, 1e-6, 2000, 1_000_000, 200_000
 #: The threshold of the pipeline stage; the query's is 85.
 STAGE_PERCENT = 80
 
@@ -50,36 +53,42 @@ def banding(percent: int) -> tuple[int, int]:
     raise ValueError(f"no banding of {BINS} bytes finds pairs at {percent} percent")
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[np.ndarray]]]:
-    for b in batches:
-        yield b.column("doc_id"), [shingle_set(w) for w in word_hashes(b.column("text").to_pylist())]
-
-
 def _node(found: np.ndarray) -> bytes:
     return hashlib.md5(found.tobytes()).digest()
 
 
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for ids, sets in _sets(batches):
+    for b in batches:
+        sets = [shingle_set(w) for w in word_hashes(b.column("text").to_pylist())]
         key = [_node(s) if len(s) else None for s in sets]
         codes = [sketch(s).tobytes() if len(s) else None for s in sets]
-        node = [int.from_bytes(k[:8], "little", signed=True) if k else None for k in key]
-        yield pa.RecordBatch.from_arrays([ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(key, pa.binary()), pa.array(node, pa.int64()), pa.array(codes, pa.binary())], ["doc_id", "n_shingles", "key", "node", "sketch"])
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("t"), b.column("h"), pa.array([len(s) for s in sets], pa.int64()), pa.array(key, pa.binary()), pa.array(codes, pa.binary())], ["doc_id", "t", "h", "n_shingles", "key", "sketch"])
 
 
 def _full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for _, sets in _sets(batches):
-        node = [int.from_bytes(_node(s)[:8], "little", signed=True) for s in sets]
+    """Full sets; of equal texts that a task has just seen only the first."""
+    seen: set[bytes] = set()
+    for b in batches:
+        if len(seen) > SEEN:
+            seen.clear()
+        new = []
+        for i, t in enumerate(b.column("t").to_pylist()):
+            if t not in seen:
+                seen.add(t)
+                new.append(i)
+        some = b.take(pa.array(new, pa.int64()))
+        sets = [shingle_set(w) for w in word_hashes(some.column("text").to_pylist())]
         offsets = np.cumsum([0, *(len(s) for s in sets)]).astype(np.int32)
         values = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], ["node", "hashes"])
+        yield pa.RecordBatch.from_arrays([pa.array([_node(s) for s in sets], pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], ["key", "hashes"])
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of ``pairs`` (a, b) whose full sets are similar enough."""
     left, right = (sets.select(F.col("node").alias(k), F.col("hashes").alias(h)) for k, h in (("a", "sa"), ("b", "sb")))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("i"), (F.size("sa") + F.size("sb")).alias("n"))
-    return both.where(F.col("i") * 100 >= (F.col("n") - F.col("i")) * percent).select("a", "b")
+    both = pairs.join(left, "a").join(right, "b").withColumn("n", F.size("sa") + F.size("sb"))
+    both = both.where(F.least(F.size("sa"), F.size("sb")) * 100 >= F.greatest(F.size("sa"), F.size("sb")) * percent)
+    return both.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("i"), "n").where(F.col("i") * 100 >= (F.col("n") - F.col("i")) * percent).select("a", "b")
 
 
 def least_size(percent: int) -> int:
@@ -93,101 +102,149 @@ def least_matches(percent: int) -> int:
     return int(np.floor(BINS * p - 6 * np.sqrt(BINS * p * (1 - p))))
 
 
-def _block_pairs(percent: int):
-    """Pairs of different components in blocks of buckets; rows come sorted by block."""
+def _by_block(batches: Iterator[pa.RecordBatch], of_block) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by block: ``of_block`` gets the rows of each as a table."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        keys = batch.column("block").to_pylist()
+        cut = [0, *(k for k in range(1, len(keys)) if keys[k] != keys[k - 1]), len(keys)]
+        for x, y in zip(cut, cut[1:], strict=False):
+            if y > x:
+                if held and keys[x] != last:
+                    yield of_block(last, pa.Table.from_batches(held))
+                    held = []
+                held.append(batch.slice(x, y - x))
+                last = keys[x]
+    if held:
+        yield of_block(last, pa.Table.from_batches(held))
+
+
+def _possible(percent: int):
+    """The nodes of a block that may have a link to another component there, by their sketches: (block, node, root, asks)."""
     enough = least_matches(percent)
     bands, width = banding(percent)
 
-    def block(rows: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        mine, codes = np.flatnonzero(rows["asks"]), rows["codes"]
-        other = np.flatnonzero(~rows["asks"])
-        a, b = [], []
-        for i in mine:
+    def of_block(name: str, t: pa.Table) -> pa.RecordBatch:
+        rows = {k: t.column(k).to_numpy() for k in ("node", "root", "n", "band", "asks", "outside")}
+        codes = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, BINS)
+        other, marked = np.flatnonzero(~rows["asks"]), np.zeros(len(codes), bool)
+        for i in np.flatnonzero(rows["asks"]):
             near = (codes[other] == codes[i]).sum(1) >= enough
             small, large = np.minimum(rows["n"][other], rows["n"][i]), np.maximum(rows["n"][other], rows["n"][i])
             once = ~rows["outside"][other] | (rows["node"][other] > rows["node"][i])
             hit = other[near & once & (rows["root"][other] != rows["root"][i]) & (100 * small >= percent * large)]
             if len(hit):
+                # A pair is dealt with in the first bucket that it shares.
                 shared = (codes[hit, : bands * width] == codes[i, : bands * width]).reshape(len(hit), bands, width).all(2).argmax(1)
                 hit = hit[shared == rows["band"][i]]
-                a.append(np.full(len(hit), rows["node"][i]))
-                b.append(rows["node"][hit])
-        none = np.zeros(0, np.int64)
-        return np.concatenate([none, *a]), np.concatenate([none, *b])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        last = None
-
-        def done() -> pa.RecordBatch:
-            t = pa.Table.from_batches(held)
-            rows = {k: t.column(k).to_numpy() for k in ("node", "root", "n", "band", "asks", "outside")}
-            rows["codes"] = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, BINS)
-            a, b = block(rows)
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
-
-        for batch in batches:
-            keys = batch.column("block").to_pylist()
-            cut = [0, *(k for k in range(1, len(keys)) if keys[k] != keys[k - 1]), len(keys)]
-            for x, y in zip(cut, cut[1:], strict=False):
-                if y > x:
-                    if held and keys[x] != last:
-                        yield done()
-                        held = []
-                    held.append(batch.slice(x, y - x))
-                    last = keys[x]
-        if held:
-            yield done()
-
-    return run
-
-
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
-    """doc_id, n_shingles, component_id (least id reachable) and kept of every row of ``docs``."""
-    spark = docs.sparkSession
-    bounded_batches(spark)
+                marked[hit] = True
+                marked[i] |= len(hit) > 0
+        at = np.flatnonzero(marked)
+        return pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(rows["node"][at]), pa.array(rows["root"][at]), pa.array(rows["asks"][at])], ["block", "node", "root", "asks"])
+
+    return lambda batches: _by_block(batches, of_block)
+
+
+def _linked(percent: int):
+    """The links (a, b) that join components in a block, found on the full sets; rows have block, node, root, asks, hashes."""
+
+    def of_block(name: str, t: pa.Table) -> pa.RecordBatch:
+        node, root, asks = (t.column(k).to_numpy() for k in ("node", "root", "asks"))
+        sets = t.column("hashes").combine_chunks()
+        begin = sets.offsets.to_numpy()
+        size = np.diff(begin)
+        _, word = np.unique(sets.values.to_numpy()[begin[0] : begin[-1]], return_inverse=True)
+        begin = begin - begin[0]
+        top = {r: r for r in root.tolist()}
+
+        def of(r: int) -> int:
+            while top[r] != r:
+                top[r] = top[top[r]]
+                r = top[r]
+            return r
+
+        a, b, other = [], [], np.flatnonzero(~asks)
+        has = np.zeros(int(word.max(initial=0)) + 1, bool)
+        for i in np.flatnonzero(asks) if len(other) else ():
+            mine = word[begin[i] : begin[i + 1]]
+            has[mine] = True
+            both = np.add.reduceat(has[word], begin[:-1], dtype=np.int64)[other]
+            has[mine] = False
+            for j in other[both * 100 >= (size[i] + size[other] - both) * percent]:
+                if (x := of(int(root[i]))) != (y := of(int(root[j]))):
+                    top[x] = y
+                    a.append(min(node[i], node[j]))
+                    b.append(max(node[i], node[j]))
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return lambda batches: _by_block(batches, of_block)
+
+
+def _graph(docs: DataFrame, id_col: str, text_col: str, percent: int, null_ids: bool, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(marks, graph), both written: marks has a row per row of ``docs`` (doc_id, t: the text's md5, n_shingles, key),
+    graph one per class (key in hex, root, component_id: the least id of the component, rows). ``null_ids``: rows without an id are linked too."""
+    bounded_batches(docs.sparkSession)
     bands, width = banding(percent)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.encode(F.coalesce(F.col(text_col), F.lit("")), "utf-8").alias("text"))
-    marks = written(rows.mapInArrow(_sketched, "doc_id long, n_shingles long, key binary, node long, sketch binary"), "sketches")
-    whole = marks.where("key IS NOT NULL AND doc_id IS NOT NULL")
-    classes = written(whole.groupBy("key", "node", "sketch").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("rows"), F.max("n_shingles").alias("n")), "classes")
-    band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda k: F.struct(k.alias("band"), F.substring(F.col("sketch"), k * width + 1, F.lit(width)).alias("code"))))
-    spread = classes.where(F.col("n") >= least_size(percent)).select("node", "n", band.alias("x")).select("node", "n", "x.band", "x.code")
-    buckets = spread.groupBy("band", "code").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("node", "n")).alias("centre")).where("size > 1")
-    buckets = written(buckets.select("band", "code", F.col("centre.node").alias("centre"), F.col("centre.n").alias("centre_n")), "buckets")
-    members = written(spread.join(buckets, ["band", "code"]), "members")
-    near_size = F.least("n", "centre_n") * 100 >= F.greatest("n", "centre_n") * percent
-    stars = members.where((F.col("node") != F.col("centre")) & near_size).select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
-    asked = members.select("node").distinct()
-    texts = classes.join(asked, "node", "left_semi").select(F.col("first").alias("doc_id"), F.col("node").alias("_n")).distinct()
-    again = rows.join(texts.select("doc_id").distinct(), "doc_id", "left_semi")
-    sets = written(again.mapInArrow(_full, "node long, hashes array<long>").join(asked, "node", "left_semi"), "sets")
-    links = written(_confirmed(stars, sets, percent), "links")
-    roots = written(components(links), "roots")
+    text = F.encode(F.coalesce(F.col(text_col), F.lit("")), "utf-8")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).withColumns({"t": F.unhex(F.md5("text")), "h": F.xxhash64("text")})
+    marks = scratch.written(rows.mapInArrow(_sketched, "doc_id long, t binary, h long, n_shingles long, key binary, sketch binary"), "marks")
+    whole = marks.where("key IS NOT NULL" if null_ids else "key IS NOT NULL AND doc_id IS NOT NULL")
+    classes = whole.groupBy("key", "sketch").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("rows"), F.max("n_shingles").alias("n"), F.min("h").alias("h"))
+    # Written, so that a class keeps its number.
+    classes = scratch.written(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    code = lambda k: F.substring(F.col("sketch"), k * width + 1, F.lit(width))
+    bucket = F.explode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda k: F.struct(k.alias("band"), F.xxhash64(k, code(k)).alias("bucket"))))
+    spread = classes.where(F.col("n") >= least_size(percent)).select("node", "n", bucket.alias("x")).select("node", "n", "x.band", "x.bucket")
+    buckets = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("centre")).where("size > 1")
+    buckets = scratch.written(buckets.select("bucket", "centre"), "buckets")
+    shared, flag = maybe_among(spread, F.col("bucket"), buckets, F.col("bucket"))
+    members = scratch.written(shared.where(F.col(flag)).drop(flag).join(buckets, "bucket"), "members")
+    stars = members.where(F.col("node") != F.col("centre")).select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
+    # The sets of classes that share a bucket are made anew, from the texts of the class's least hash.
+    asked = scratch.written(classes.join(members.select("node").distinct(), "node", "left_semi").select("key", "node", "h"), "asked")
+    again, flag = maybe_among(rows, F.col("h"), asked, F.col("h"))
+    sets = again.where(F.col(flag)).select("t", "text").mapInArrow(_full, "key binary, hashes array<long>")
+    sets = scratch.written(sets.join(asked, "key").dropDuplicates(["key"]).select("node", "hashes"), "sets")
+    links = scratch.written(_confirmed(stars, sets, percent), "links")
+    roots = scratch.written(components(links), "roots")
     # What a star cannot see: buckets of several components.
-    labelled = members.select("band", "code", "node", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    labelled = written(labelled, "labelled")
-    mixed = labelled.groupBy("band", "code", "root").agg(F.count(F.lit(1)).alias("k")).groupBy("band", "code").agg(F.count(F.lit(1)).alias("roots"), F.max(F.struct("k", "root")).alias("most"), F.sum("k").alias("size")).where("roots > 1")
-    mixed = written(mixed.select("band", "code", F.col("most.root").alias("top"), F.ceil((F.col("size") - F.col("most.k")) / BLOCK_ROWS).cast("int").alias("ask_blocks"), F.ceil(F.col("size") / BLOCK_ROWS).cast("int").alias("all_blocks")), "mixed")
-    inside = labelled.join(mixed, ["band", "code"]).withColumn("outside", F.col("root") != F.col("top"))
+    labelled = members.select("bucket", "band", "node", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    labelled = scratch.written(labelled, "labelled")
+    parts = labelled.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("w"))
+    mixed = parts.groupBy("bucket").agg(F.count(F.lit(1)).alias("roots"), F.max(F.struct("k", "w", "root")).alias("most"), F.sum("k").alias("size"), F.sum("w").alias("weight")).where("roots > 1")
+    blocks_of = lambda k, w: F.greatest(F.ceil(k / BLOCK_ROWS), F.ceil(w / BLOCK_SHINGLES)).cast("int")
+    mixed = mixed.select("bucket", F.col("most.root").alias("top"), blocks_of(F.col("size") - F.col("most.k"), F.col("weight") - F.col("most.w")).alias("ask_blocks"), blocks_of(F.col("size"), F.col("weight")).alias("all_blocks"))
+    inside = scratch.written(labelled.join(scratch.written(mixed, "mixed"), "bucket").withColumn("outside", F.col("root") != F.col("top")), "inside")
     place = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     asks = inside.where("outside").withColumn("i", place("ask_blocks")).withColumn("j", each("all_blocks")).withColumn("asks", F.lit(True))
     offers = inside.withColumn("j", place("all_blocks")).withColumn("i", each("ask_blocks")).withColumn("asks", F.lit(False))
-    blocks = asks.unionByName(offers).join(classes.select("node", "sketch"), "node")
-    blocks = blocks.select(F.concat_ws("/", "band", F.hex("code"), "i", "j").alias("block"), "band", "node", "root", "n", "asks", "outside", "sketch")
+    sketches, flag = maybe_among(classes.select("node", "sketch"), F.col("node"), inside, F.col("node"))
+    blocks = asks.unionByName(offers).join(sketches.where(F.col(flag)), "node")
+    blocks = blocks.select(F.concat_ws("/", "bucket", "i", "j").alias("block"), "band", "node", "root", "n", "asks", "outside", "sketch")
     blocks = blocks.repartition("block").sortWithinPartitions("block")
-    more = blocks.mapInArrow(_block_pairs(percent), "a long, b long").distinct()
-    extra = written(_confirmed(written(more, "pairs"), sets, percent), "extra")
+    possible = scratch.written(blocks.mapInArrow(_possible(percent), "block string, node long, root long, asks boolean"), "possible")
+    some, flag = maybe_among(sets, F.col("node"), possible, F.col("node"))
+    again = possible.join(some.where(F.col(flag)), "node").select("block", "node", "root", "asks", "hashes").repartition("block").sortWithinPartitions("block")
+    extra = scratch.written(again.mapInArrow(_linked(percent), "a long, b long").distinct(), "extra")
     if not extra.isEmpty():
-        roots = written(components(links.unionByName(extra)), "roots")
+        roots = scratch.written(components(links.unionByName(extra)), "all-roots")
     graph = classes.select("key", "node", "first", "rows").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = graph.groupBy("root").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("k"))
-    graph = written(attach_by_key(graph, least, "root", "k", max(1, classes.count()), ["node"]).select(F.hex("key").alias("key"), "component_id", "rows"), "graph")
+    least = graph.groupBy("root").agg(F.min("first").alias("component_id"), F.sum("rows").alias("members"), F.count(F.lit(1)).alias("k"))
+    graph = attach_by_key(graph, least, "root", "k", max(1, classes.count()), ["node"])
+    graph = scratch.written(graph.select(F.hex("key").alias("key"), "root", "component_id", "rows", "members"), "graph")
+    scratch.clear("marks", "graph")
+    return marks.drop("sketch", "h"), graph
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
+    """doc_id, n_shingles, component_id (least id reachable) and kept of every row of ``docs``."""
+    marks, graph = _graph(docs, id_col, text_col, percent, False, Scratch(docs.sparkSession, "near"))
     out = marks.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.hex("key")).alias("key"))
     # Rows without a class match nothing: their key is their own.
     out = out.withColumn("key", F.coalesce("key", F.concat(F.lit("-"), F.xxhash64("doc_id").cast("string"))))
-    out = attach_by_key(out, graph, "key", "rows", max(1, marks.count()), ["doc_id", "key"])
+    out = attach_by_key(out, graph.select("key", "component_id", "rows"), "key", "rows", max(1, marks.count()), ["doc_id", "key"])
     out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
@@ -198,11 +255,20 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each group of near-duplicates the row with the smallest id stays: one row, were the id repeated; one without an id only if no other has one."""
-    rows, key = keyed(docs, "near-rows")
-    groups = near_duplicates(rows, id_col=key, percent=STAGE_PERCENT).select(F.col("doc_id").alias("row"), F.col("component_id").alias("component"))
-    ids = rows.select(F.col(key).alias("row"), F.col("doc_id").alias("id"))
-    keep = groups.join(ids, "row").groupBy("component").agg(F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("first"))
-    return rows.join(keep.select(F.col("first.row").alias(key)), key, "left_semi").select(docs.columns)
+    scratch = Scratch(spark, "near-stage")
+    marks, graph = _graph(docs, "doc_id", "text", STAGE_PERCENT, True, scratch)
+    total = max(1, marks.count())
+    groups = graph.where("members > 1").select("key", "root", "component_id", "rows")
+    rows = marks.where("key IS NOT NULL").select("doc_id", F.hex("t").alias("t"), F.hex("key").alias("key"))
+    rows = scratch.written(attach_by_key(rows, groups, "key", "rows", total, ["doc_id", "t"]).where("root IS NOT NULL").select("doc_id", "t", "root", "component_id"), "grouped")
+    # The text that stays is one of those that the smallest id has.
+    stays = rows.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("t").alias("keep_key"))
+    texts = rows.groupBy("t", "root", "component_id").agg(F.count(F.lit(1)).alias("size"))
+    sizes = texts.groupBy("root").agg(F.count(F.lit(1)).alias("k")).join(stays, "root")
+    texts = attach_by_key(texts, sizes, "root", "k", max(1, rows.count()), ["t"])
+    texts = scratch.written(texts.select(F.col("t").alias("key"), "size", F.col("component_id").alias("keep_id"), "keep_key"), "texts-of-groups")
+    scratch.clear("texts-of-groups")
+    return keep_one(docs, F.hex(F.unhex(F.md5(F.encode(F.coalesce("text", F.lit("")), "utf-8")))), texts, total)
 
 
 SQL: dict[str, str] = {}

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import keyed, read, word_count, written
+from .common import Scratch, keyed, read, word_count
 
 WEIGHTS, MAX_EPOCHS, SLOTS, SEED = (1, 2, 3), 3, 4096, 17
 
@@ -42,10 +42,11 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epo
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, share: float = 1.0, row_col: str | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, size, source_size, target, taken (words, repeats counted), copies; and row, the key in ``row_col``."""
     own = ["row"] if row_col else []
+    scratch = Scratch(docs.sparkSession, "mix")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), *([F.col(row_col).alias("row")] if row_col else []))
     rows = rows.withColumn("at", F.xxhash64(F.lit(SEED), "doc_id", "size"))
-    rows = written(rows.withColumn("slot", F.shiftrightunsigned("at", 64 - SLOTS.bit_length() + 1)), "mix-sizes")
-    targets = written(source_targets(rows, weights, max_epochs, share), "mix-targets")
+    rows = scratch.written(rows.withColumn("slot", F.shiftrightunsigned("at", 64 - SLOTS.bit_length() + 1)), "sizes")
+    targets = scratch.written(source_targets(rows, weights, max_epochs, share), "targets")
     by_slot = Window.partitionBy("source").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
     slots = rows.groupBy("source", "slot").agg(F.sum("size").alias("in_slot")).select("source", "slot", F.coalesce(F.sum("in_slot").over(by_slot), F.lit(0)).alias("base"))
     slots = slots.withColumnsRenamed({"source": "_s", "slot": "_t"})
@@ -53,7 +54,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     queued = rows.withColumn("within", F.sum("size").over(in_slot)).join(slots, F.col("source").eqNullSafe(F.col("_s")) & (F.col("slot") == F.col("_t")))
     queued = queued.withColumn("upto", F.col("base") + F.col("within")).drop("_s", "_t", "base", "within", "at", "slot")
     t = targets.withColumnsRenamed({"source": "_s"})
-    queued = written(queued.join(F.broadcast(t) if t.count() <= 100_000 else t, F.col("source").eqNullSafe(F.col("_s"))).drop("_s"), "mix-queue")
+    queued = scratch.written(queued.join(F.broadcast(t) if t.count() <= 100_000 else t, F.col("source").eqNullSafe(F.col("_s"))).drop("_s"), "queue")
+    scratch.clear("queue")
     # Virtual finish times of all copies; beyond 1 + the largest step no copy can be within the budget.
     copies = queued.where("size > 0 AND target > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(max_epochs - 1))))
     copies = copies.withColumn("finish", (F.col("epoch") * F.col("source_size") + F.col("upto")) / F.col("target"))

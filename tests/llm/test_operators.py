@@ -99,6 +99,19 @@ def test_exact_dedup_tells_hash_collisions_apart(odd_docs, monkeypatch):
     assert rows_of(exact_dedup.exact_dedup(odd_docs, keep="max")) == brute_exact(rows, max)
 
 
+def test_bit_tables_lose_no_wanted_key(spark, monkeypatch):
+    rows = spark.range(20_000).select(F.col("id"), F.concat(F.lit("k"), F.col("id")).alias("word"), F.lit(1).alias("maybe"))
+    wanted = rows.where("id % 100 = 7").select(F.col("word").alias("w"))
+    for bits in (20, 2):
+        monkeypatch.setattr(common, "FILTER_BITS", bits)
+        out, flag = common.maybe_among(rows, F.col("word"), wanted, F.col("w"))
+        got = {r.id for r in out.where(F.col(flag)).collect()}
+        assert out.drop(flag).columns == rows.columns and got >= set(range(7, 20_000, 100)) and (bits == 2 or len(got) < 250)
+        assert "Exchange hash" not in out.where(F.col(flag))._jdf.queryExecution().executedPlan().toString().split("BroadcastExchange")[0]
+    out, flag = common.maybe_among(rows, F.col("word"), wanted.where("false"), F.col("w"))
+    assert out.where(F.col(flag)).isEmpty()
+
+
 def test_hot_keys_are_attached_whole(spark):
     rows = spark.range(5000).select(F.col("id"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 900)).alias("key"))
     groups = rows.groupBy("key").agg(F.count("*").alias("n"))
@@ -419,17 +432,18 @@ def test_near_duplicates_of_short_texts(spark, monkeypatch, percent):
     words = [[f"s{k}w{j}" for j in range(14)] for k in range(3)]
     rows = [(i, f"short {i} text") for i in range(3000)]
     rows += [(5000 + 20 * k + n, " ".join(w[:n])) for k, w in enumerate(words) for n in range(5, 15)]
-    written = {}
-    real = minhash.written
+    rows_of_step = {}
+    real = common.Scratch.written
 
-    def keep(df, name):
-        written[name] = real(df, name)
-        return written[name]
+    def keep(self, df, name):
+        out = real(self, df, name)
+        rows_of_step[name] = out.where("n < 4").count() if name == "members" else out.count()
+        return out
 
-    monkeypatch.setattr(minhash, "written", keep)
+    monkeypatch.setattr(common.Scratch, "written", keep)
     got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent=percent).collect()
     assert {x.doc_id: (x.n_shingles, x.component_id) for x in got} == brute_near(rows, percent)
-    assert written["members"].where("n < 4").isEmpty() and written["pairs"].count() < 100
+    assert rows_of_step["members"] == 0 and rows_of_step["possible"] < 100
 
 
 def test_near_duplicates_odd_rows(odd_docs, no_docs):
@@ -485,6 +499,32 @@ def test_sketches_of_pairs_at_the_threshold_pass_both_filters(percent):
     assert minhash.least_matches(percent) <= least - 10
 
 
+@pytest.mark.parametrize("percent", [80, 85])
+def test_blocks_find_the_exact_links_and_give_few_rows(spark, percent):
+    """One hot group of copies edited at random: nearly all pairs lie around the threshold; a block gives fewer links than it has members."""
+    r = random.Random(11)
+    base = [f"b{k}" for k in range(120)]
+    rows = []
+    for i in range(150):
+        text = list(base)
+        for _ in range(r.choice([1, 2, 3])):
+            text[r.randrange(len(text))] = f"x{i}y{r.randrange(999)}"
+        rows.append((i, " ".join(text)))
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent=percent).collect()
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in got} == brute_near(rows, percent)
+    sets = [shingles.shingle_set(w) for w in shingles.word_hashes([t.encode() for _, t in rows])]
+    import pyarrow as pa
+
+    n = len(sets)
+    block = pa.RecordBatch.from_pydict({"block": ["b"] * 2 * n, "node": [*range(n)] * 2, "root": [*range(n)] * 2, "asks": [True] * n + [False] * n, "hashes": [s.view(np.int64).tolist() for s in sets] * 2}, pa.schema([("block", pa.string()), ("node", pa.int64()), ("root", pa.int64()), ("asks", pa.bool_()), ("hashes", pa.list_(pa.int64()))]))
+    (links,) = minhash._linked(percent)(iter([block]))
+    want = brute_near(rows, percent)
+    assert links.num_rows == n - len({c for _, c in want.values()})
+    for a, b in zip(*(links.column(k).to_pylist() for k in "ab"), strict=True):
+        both = len(np.intersect1d(sets[a], sets[b]))
+        assert 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both)
+
+
 def test_near_dedup_stage_takes_pairs_at_80(spark, texts):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     left = {r.doc_id for r in minhash.stage(spark, docs, SF).collect()}
@@ -512,7 +552,7 @@ def test_pipeline_stages(spark):
                 newest[t] = max(i, newest.get(t, -1))
             assert set(left) == set(newest.values())
         if k == 2:
-            assert set(left) == {i for i, (_, c) in brute_near(text.items()).items() if i == c}
+            assert set(left) == {i for i, (_, c) in brute_near(text.items(), 80).items() if i == c}
         if k == 3:
             want = {r.doc_id: r.copies for r in mixing.mix(state).collect() if r.copies}
             assert left == Counter(want)
