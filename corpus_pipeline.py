@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lagfield.llm import exact_dedup, minhash, mixing, quality, sentencepiece_codec
-from lagfield.llm.common import read, shared_dir
+from lagfield.llm.common import Scratch, read
 
 STAGES = [
     ("quality classifier", quality.stage),
@@ -23,9 +23,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        path = shared_dir(spark, f"stage-{k}")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+    docs, scratch = read(spark, sf_dir, "documents"), Scratch(spark, "pipeline")
+    for name, stage in STAGES:
+        docs = scratch.written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        scratch.clear(name.replace(" ", "-"))
     return docs
