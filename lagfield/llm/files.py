@@ -30,11 +30,11 @@ def replacing(path: str) -> Iterator:
 
 
 def bounded_batches(spark: SparkSession, rows: int = 1000, size: str = "16m") -> None:
-    """Arrow batches to Python hold so many rows and bytes at most: long texts must not meet by the thousand in one worker."""
+    """Arrow batches to Python hold so many rows and bytes at most, from here on in the session: long texts must not meet by the thousand in one worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
-def one_task_each(spark: SparkSession, rows: list[tuple], schema: str, key: str) -> DataFrame:
-    """A table of files, dealt out so that each task gets about one; the list has one row per written file."""
-    return spark.createDataFrame(rows, schema).repartition(max(1, len(rows)), key)
+def one_task_each(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A table of files, one task for each; the list has one row per written file."""
+    return spark.createDataFrame(spark.sparkContext.parallelize(rows, max(1, len(rows))), schema)

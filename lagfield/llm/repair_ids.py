@@ -1,12 +1,16 @@
 """Token ids in a binary format with Re-Pair grammars: frequent id pairs become nonterminals, shard by shard.
 
-A file holds blocks of about ``BLOCK_IDS`` ids, each with its own grammar. Over ``ROUNDS`` rounds the pairs of neighbours in a block are
-counted (never across two documents), the ``PAIRS_A_ROUND`` most frequent of at least ``LEAST`` occurrences become rules, and their
-occurrences are replaced from left to right. A block stores its rules, the expansion length of each nonterminal and, per
-document, its place in the compressed sequence, so that any document decodes alone.
+A file holds blocks of about ``BLOCK_IDS`` ids, each with its own grammar over the ids that occur in it. Round by round the pairs of neighbours in
+a block are counted (never across two documents); those of at least ``SHARE`` of the top count, and of ``LEAST`` occurrences, are replaced, where two
+overlap the more frequent one and else the left one. Rounds go on until no pair occurs ``LEAST`` times. A block stores its rules,
+the expansion length of each nonterminal and, per document, its place in the compressed sequence, so that any document decodes alone.
 
-Block layout, little-endian: magic, width of a symbol in bytes, counts of documents, rules and symbols, first nonterminal; then
-document ids (int64, and a byte that marks null), places (uint64), token counts (uint64), rules (2 symbols each), expansion lengths (uint32), symbols.
+Block layout, little-endian: magic, width of a symbol in bytes, counts of documents, rules, symbols and distinct ids (the first nonterminal); then
+document ids (int64, and a byte that marks null), places (uint64), token counts (uint64), distinct ids (uint32), rules (2 symbols each), expansion
+lengths (uint32), symbols.
+
+Order: by id, then by a hash of the text; rows alike in both have the same ids, so that ``start`` is fixed. Files are cut by range of
+(id, hash, row), about ``FILE_BYTES`` of text each, so that a repeated id is no file of its own kind.
 
 Defined results: null text counts as empty and gives the end id alone; rows that repeat an id stay rows, next to each
 other in the order; null ids come first; an empty table writes no file and returns no row; long texts pass whole (a block holds one document at least).
@@ -29,63 +33,76 @@ from .bpe_words import word_cached
 from .common import read, shared_dir
 from .files import bounded_batches, one_task_each, open_fs, replacing
 
-BLOCK_IDS, ROUNDS, PAIRS_A_ROUND, LEAST, END_ID = 1 << 19, 4, 1024, 8, 2
-MAGIC = b"RPGRAM01"
+BLOCK_IDS, LEAST, SHARE, END_ID = 1 << 19, 8, 0.1, 2
+FILE_BYTES, TABLE_IDS = 128 << 20, 1 << 24
+MAGIC = b"RPGRAM02"
 HEAD = struct.Struct("<8sBQIQI")
 
 
-def compress(ids: np.ndarray, starts: np.ndarray, rounds: int = ROUNDS, pairs: int = PAIRS_A_ROUND, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """``starts``: where documents begin in ``ids``. Returns symbols, starts in them, rules (n, 2) and the first nonterminal."""
-    base = int(ids.max(initial=0)) + 1
-    small = base + rounds * pairs < 1 << 16
-    seq, rules, n = ids.astype(np.uint16 if small else np.uint32), [], base
-    wide = np.uint32 if small else np.uint64
-    shift = wide(16 if small else 32)
-    first = np.zeros(len(seq) + 1, bool)
+def _round(seq: np.ndarray, first: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where pairs are replaced (never two that overlap), by which of the round's rules, and these rules' pairs; nothing once no pair occurs ``least`` times."""
+    none = np.zeros(0, np.int64)
+    if len(seq) < 2:
+        return none, none, np.zeros((0, 2), seq.dtype)
+    wide, bits = (np.uint32, 16) if seq.dtype == np.uint16 else (np.uint64, 32)
+    keys = (seq[:-1].astype(wide) << wide(bits)) | seq[1:]
+    keys[first[1:-1]] = np.iinfo(wide).max  # across two documents
+    ordered = np.sort(keys)
+    cut = np.r_[0, np.flatnonzero(ordered[1:] != ordered[:-1]) + 1, len(ordered)]
+    counts = np.diff(cut)
+    if ordered[-1] == np.iinfo(wide).max:
+        counts[-1] = 0
+    if counts.max() < least:
+        return none, none, np.zeros((0, 2), seq.dtype)
+    often = np.flatnonzero(counts >= max(least, int(counts.max() * SHARE)))
+    pairs, weights = ordered[cut[often]], counts[often]
+    # A table of 2^18 slots tells nearly all other pairs apart before the search.
+    slot = lambda k: (k * wide(0x9E3779B1)) >> wide(2 * bits - 18)
+    may = np.zeros(1 << 18, bool)
+    may[slot(pairs)] = True
+    at = np.flatnonzero(may[slot(keys)])
+    rule = np.minimum(np.searchsorted(pairs, keys[at]), len(pairs) - 1)
+    hit = pairs[rule] == keys[at]
+    at, rule = at[hit], rule[hit]
+    w, touch = weights[rule], np.diff(at) == 1
+    beaten = np.r_[touch & (w[1:] > w[:-1]), False] | np.r_[False, touch & (w[:-1] > w[1:])]
+    # Of overlapping pairs of one weight every second one, from the left.
+    tied = np.r_[False, touch & (w[:-1] == w[1:])]
+    number = np.arange(len(at))
+    take = ((number - np.maximum.accumulate(np.where(tied, 0, number))) % 2 == 0) & ~beaten
+    at, rule = at[take], rule[take]
+    used = np.bincount(rule, minlength=len(pairs))
+    # Pairs that lost most places to others wait for a later round; one at least goes on.
+    good = used >= least // 2
+    if not good.any():
+        good = used == used.max()
+    stay = good[rule]
+    low = (wide(1) << wide(bits)) - wide(1)
+    return at[stay], (np.cumsum(good) - 1)[rule[stay]], np.stack([pairs[good] >> wide(bits), pairs[good] & low], 1)
+
+
+def compress(ids: np.ndarray, starts: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``starts``: where documents begin in ``ids``. Returns symbols, starts in them, rules (n, 2) and the distinct ids; symbols below their number stand for them."""
+    seen = np.zeros(int(ids.max(initial=0)) + 1, bool)
+    seen[ids] = True
+    alphabet = np.flatnonzero(seen).astype("<u4")
+    seq, n = (np.cumsum(seen) - 1)[ids], len(alphabet)
+    seq = seq.astype(np.uint16 if n < 1 << 16 else np.uint32)
+    first, rules = np.zeros(len(seq) + 1, bool), []
     first[starts] = True
-    for _ in range(rounds):
-        if len(seq) < 2:
-            break
-        keys = (seq[:-1].astype(wide) << shift) | seq[1:]
-        inside = ~first[1:-1]
-        ordered = np.sort(keys[inside])
-        cut = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]]) if len(ordered) else np.zeros(0, int)
-        counts = np.diff(np.r_[cut, len(ordered)])
-        often = np.flatnonzero(counts >= least)
-        if not len(often):
+    while True:
+        at, rule, pairs = _round(seq, first, least)
+        if not len(pairs):
             break
-        often = often[np.argsort(-counts[often], kind="stable")[:pairs]]
-        chosen = np.sort(ordered[cut[often]])
-        # A table of 2^16 slots tells nearly all other pairs apart before the search.
-        slot = lambda k: (k * wide(0x9E3779B1)) >> wide(16 if small else 48)
-        may = np.zeros(1 << 16, bool)
-        may[slot(chosen)] = True
-        at = np.flatnonzero(inside & may[slot(keys)])
-        rule = np.searchsorted(chosen, keys[at])
-        hit = chosen[np.minimum(rule, len(chosen) - 1)] == keys[at]
-        at, rule = at[hit], rule[hit]
-        # Of overlapping occurrences every second one, from the left of each run.
-        head = np.r_[True, np.diff(at) != 1] if len(at) else np.zeros(0, bool)
-        place = np.arange(len(at)) - np.maximum.accumulate(np.where(head, np.arange(len(at)), 0))
-        take = place % 2 == 0
-        at, rule = at[take], rule[take]
-        seq[at] = (rule + n).astype(seq.dtype)
+        if n + len(pairs) >= 1 << 16:
+            seq = seq.astype(np.uint32)
+        seq[at] = rule + n
         stay = np.ones(len(seq), bool)
         stay[at + 1] = False
         seq, first = seq[stay], np.r_[first[:-1][stay], False]
-        rules.append(np.stack([chosen >> shift, chosen & ((wide(1) << shift) - wide(1))], 1).astype(seq.dtype))
-        n += len(chosen)
-    return seq, np.flatnonzero(first), np.concatenate(rules) if rules else np.zeros((0, 2), seq.dtype), base
-
-
-def _expansions(rules: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
-    """All ids that symbols stand for, one after another, and where each symbol's begin."""
-    parts: list[bytes] = []
-    whole = lambda x: parts[x - base] if x >= base else x.to_bytes(4, "little")
-    for a, b in rules.tolist():
-        parts.append(whole(a) + whole(b))
-    table = np.concatenate([np.arange(base, dtype="<u4"), np.frombuffer(b"".join(parts), "<u4")])
-    return table, np.r_[np.arange(base), base + np.cumsum([0, *(len(p) // 4 for p in parts)])].astype(np.int64)
+        rules.append(pairs)
+        n += len(pairs)
+    return seq, np.flatnonzero(first), np.concatenate(rules).astype(seq.dtype) if rules else np.zeros((0, 2), seq.dtype), alphabet
 
 
 def _lengths(rules: np.ndarray, base: int) -> np.ndarray:
@@ -96,20 +113,42 @@ def _lengths(rules: np.ndarray, base: int) -> np.ndarray:
     return np.array(out, "<u4")
 
 
-def expand(seq: np.ndarray, table: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    lengths = offsets[seq + np.int64(1)] - offsets[seq]
-    ends = np.cumsum(lengths)
-    total = int(ends[-1]) if len(ends) else 0
-    return table[np.repeat(offsets[seq] - (ends - lengths), lengths) + np.arange(total)]
+class Grammar:
+    """Expands symbols: by a table of all expansions, or, where that would be large, level by level."""
+
+    def __init__(self, alphabet: np.ndarray, rules: np.ndarray):
+        self.alphabet, self.rules, base = alphabet, rules, len(alphabet)
+        self.lengths = _lengths(rules, base)
+        self.table = None
+        if self.lengths.sum(dtype=np.int64) <= TABLE_IDS:
+            raw, parts = alphabet.tobytes(), []
+            whole = lambda x: parts[x - base] if x >= base else raw[4 * x : 4 * x + 4]
+            for a, b in rules.tolist():
+                parts.append(whole(a) + whole(b))
+            self.table = np.concatenate([alphabet, np.frombuffer(b"".join(parts), "<u4")])
+            self.offsets = np.r_[np.arange(base), base + np.cumsum(np.r_[0, self.lengths.astype(np.int64)])].astype(np.int64)
+
+    def expand(self, seq: np.ndarray) -> np.ndarray:
+        if self.table is None:
+            base, seq = len(self.alphabet), seq.astype(np.int64)
+            while (high := seq >= base).any():
+                pair, ends = self.rules[seq[high] - base], np.cumsum(np.where(high, 2, 1))
+                seq = np.repeat(seq, np.where(high, 2, 1))
+                seq[ends[high] - 2], seq[ends[high] - 1] = pair[:, 0], pair[:, 1]
+            return self.alphabet[seq]
+        lengths = self.offsets[seq + np.int64(1)] - self.offsets[seq]
+        ends = np.cumsum(lengths)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.table[np.repeat(self.offsets[seq] - (ends - lengths), lengths) + np.arange(total)]
 
 
 def write_block(out: BinaryIO, doc_ids: list[int | None], texts_ids: list[np.ndarray]) -> None:
     sizes = np.array([len(x) for x in texts_ids], np.uint64)
     starts = np.r_[0, np.cumsum(sizes)[:-1]].astype(np.int64)
-    seq, places, rules, base = compress(np.concatenate(texts_ids), starts)
-    out.write(HEAD.pack(MAGIC, seq.itemsize, len(doc_ids), len(rules), len(seq), base))
+    seq, places, rules, alphabet = compress(np.concatenate(texts_ids), starts)
+    out.write(HEAD.pack(MAGIC, seq.itemsize, len(doc_ids), len(rules), len(seq), len(alphabet)))
     out.write(np.array([0 if d is None else d for d in doc_ids], "<i8").tobytes() + np.array([d is None for d in doc_ids], "u1").tobytes())
-    out.write(places.astype("<u8").tobytes() + sizes.astype("<u8").tobytes() + rules.tobytes() + _lengths(rules, base).tobytes())
+    out.write(places.astype("<u8").tobytes() + sizes.astype("<u8").tobytes() + alphabet.tobytes() + rules.tobytes() + _lengths(rules, len(alphabet)).tobytes())
     out.write(seq.tobytes())
 
 
@@ -124,23 +163,23 @@ class Block:
         ids, null = take("<i8", n), take("u1", n)
         self.doc_ids = [None if z else d for d, z in zip(ids.tolist(), null.tolist(), strict=True)]
         self.places, self.sizes = take("<u8", n).astype(np.int64), take("<u8", n).astype(np.int64)
-        symbol = f"<u{width}"
-        rules, lengths = take(symbol, 2 * n_rules).reshape(-1, 2), take("<u4", n_rules)
+        symbol, alphabet = f"<u{width}", take("<u4", base)
+        self.grammar = Grammar(alphabet, take(symbol, 2 * n_rules).reshape(-1, 2))
+        lengths = take("<u4", n_rules)
         self.seq = take(symbol, n_seq)
-        self.table, self.offsets = _expansions(rules, base)
-        if not np.array_equal(np.diff(self.offsets[base:]), lengths):
+        if not np.array_equal(self.grammar.lengths, lengths):
             raise ValueError("expansion lengths do not agree with the rules")
 
     def document(self, i: int) -> np.ndarray:
         end = self.places[i + 1] if i + 1 < len(self.places) else len(self.seq)
-        ids = expand(self.seq[self.places[i] : end], self.table, self.offsets)
+        ids = self.grammar.expand(self.seq[self.places[i] : end])
         if len(ids) != self.sizes[i]:
             raise ValueError("a document's expansion has another length than stored")
         return ids
 
     def documents(self) -> list[np.ndarray]:
         """All documents of the block, expanded at once."""
-        ids, ends = expand(self.seq, self.table, self.offsets), np.cumsum(self.sizes)
+        ids, ends = self.grammar.expand(self.seq), np.cumsum(self.sizes)
         if len(ids) != ends[-1]:
             raise ValueError("the documents' expansion has another length than stored")
         return np.split(ids, ends[:-1])
@@ -155,9 +194,11 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_i
     """Encodes and writes the documents in ascending order of their ids; returns (path, ids before it) for each file in this order."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // FILE_BYTES))
+    order = ["doc_id", "_hash", "_row"]
+    rows = rows.withColumns({"_hash": F.xxhash64("text"), "_row": F.monotonically_increasing_id()}).repartitionByRange(n, *order).sortWithinPartitions(*order).select("doc_id", "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, part = word_cached(tokenizer), TaskContext.get().partitionId()
@@ -212,7 +253,7 @@ def read_ids(spark: SparkSession, files: list[tuple[str, int]], with_ids: bool =
                         yield pa.RecordBatch.from_pydict(out, schema)
 
     kind = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
-    return one_task_each(spark, files, "path string, before long", "path").mapInArrow(load, kind)
+    return one_task_each(spark, files, "path string, before long").mapInArrow(load, kind)
 
 
 def op8_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import attach_by_key, read, shared_dir, written
 from .files import bounded_batches, one_task_each, open_fs, replacing
 
-MIN_REVISIT, PIECE = 100, 1 << 18
+MIN_REVISIT, PIECE, MOST_HEADER = 100, 1 << 18, 1 << 24
 END = b"\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -86,7 +86,7 @@ class _Inflated:
 
     def until(self, mark: bytes) -> bytes:
         while mark not in self.data:
-            if not self.more():
+            if len(self.data) > MOST_HEADER or not self.more():
                 raise ValueError("a header has no end")
         found, _, self.data = self.data.partition(mark)
         return found
@@ -182,7 +182,7 @@ def read_archives(spark: SparkSession, archives: list[tuple[str, int]]) -> DataF
                             held = []
                     yield pa.RecordBatch.from_pylist(held, schema)
 
-    return one_task_each(spark, archives, "path string, records long", "path").mapInArrow(load, RECORD)
+    return one_task_each(spark, archives, "path string, records long").mapInArrow(load, RECORD)
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
