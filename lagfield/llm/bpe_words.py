@@ -16,7 +16,7 @@ import numpy as np
 _ODD = re.compile("[^\t-\r\x20-\x7e\xa0-ɏ‐-‧]")
 _RUN = re.compile(r"\s\s(?:\s|\Z)")
 _PAIRS = ("  ", " \n", "\n ", "\n\n", "\t", "\x0b", "\x0c", "\r", "\xa0")
-KEPT_WORDS, WORDS_A_CALL = 1_500_000, 1_000
+KEPT_WORDS, KEPT_BYTES, WORDS_A_CALL = 1_500_000, 1 << 27, 1_000
 _MARKS = ".,;:!?%$&*#|()[]{}\"/-_+=<>@~^"
 
 
@@ -42,6 +42,7 @@ class WordCachedBpe:
         self.line = self.whole("\n")
         self.line_id = int(np.frombuffer(self.line, "<u4")[0])
         self.kept: dict[str, bytes] = {}
+        self.kept_bytes = 0
         self.tails: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
@@ -98,10 +99,14 @@ class WordCachedBpe:
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         cut = [self._cut(t) if t else [] for t in texts]
-        if len(self.kept) > KEPT_WORDS:
+        if len(self.kept) > KEPT_WORDS or self.kept_bytes > KEPT_BYTES:
             self.kept.clear()
             self.tails.clear()
-        self._learn(set().union(*(c for c in cut if c)).difference(self.kept))
+            self.kept_bytes = 0
+        new = set().union(*(c for c in cut if c)).difference(self.kept)
+        self._learn(new)
+        # A word's ids take about as many bytes as four of its letters each, at most.
+        self.kept_bytes += 5 * sum(map(len, new))
         kept = self.kept
         return [self.whole(t) if c is None else b"".join([kept[w] for w in c])[len(self.line) :] for t, c in zip(texts, cut, strict=True)]
 
