@@ -6,7 +6,8 @@ order until the total budget is used up. Targets share the budget by weight, a s
 ``max_epochs`` times its size, and what it leaves is shared again by weight (the water level is found in closed form).
 
 Running sums have two levels, so that no task holds a source or the whole order: rows fall into slots by range of the
-order, slot totals are summed up (``SLOTS`` rows a source, or in all), and a window adds within one slot.
+order, slot totals are summed up (``SLOTS`` rows a source, or in all), and a window adds within one slot. The targets come from one row a source in
+one window: sources may be many thousands (crawls, sites), not a row's own.
 
 Defined results: null text has size 0; a null source is a source, last in the order; documents of size 0 are never
 taken and move nothing; rows that repeat an id are rows of their own; ties in the hash go by id and size;
@@ -20,7 +21,9 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, keyed, read, word_count
 
-WEIGHTS, MAX_EPOCHS, SLOTS, SEED = (1, 2, 3), 3, 4096, 17
+WEIGHTS, MAX_EPOCHS, SEED = (1, 2, 3), 3, 17
+#: Three hex digits of the shuffle's hash.
+SLOTS = 4096
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, share: float = 1.0) -> DataFrame:
@@ -44,13 +47,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     own = ["row"] if row_col else []
     scratch = Scratch(docs.sparkSession, "mix")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), *([F.col(row_col).alias("row")] if row_col else []))
-    rows = rows.withColumn("at", F.xxhash64(F.lit(SEED), "doc_id", "size"))
-    rows = scratch.written(rows.withColumn("slot", F.shiftrightunsigned("at", 64 - SLOTS.bit_length() + 1)), "sizes")
+    rows = rows.withColumn("at", F.substring(F.md5(F.concat_ws("-", F.lit(str(SEED)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("size").cast("string")).cast("binary")), 1, 16))
+    rows = scratch.written(rows.withColumn("slot", F.conv(F.substring("at", 1, 3), 16, 10).cast("int")), "sizes")
     targets = scratch.written(source_targets(rows, weights, max_epochs, share), "targets")
     by_slot = Window.partitionBy("source").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
     slots = rows.groupBy("source", "slot").agg(F.sum("size").alias("in_slot")).select("source", "slot", F.coalesce(F.sum("in_slot").over(by_slot), F.lit(0)).alias("base"))
     slots = slots.withColumnsRenamed({"source": "_s", "slot": "_t"})
-    in_slot = Window.partitionBy("source", "slot").orderBy(F.shiftrightunsigned("at", 1), "at", "doc_id", "size", *own).rowsBetween(Window.unboundedPreceding, 0)
+    in_slot = Window.partitionBy("source", "slot").orderBy("at", "doc_id", "size", *own).rowsBetween(Window.unboundedPreceding, 0)
     queued = rows.withColumn("within", F.sum("size").over(in_slot)).join(slots, F.col("source").eqNullSafe(F.col("_s")) & (F.col("slot") == F.col("_t")))
     queued = queued.withColumn("upto", F.col("base") + F.col("within")).drop("_s", "_t", "base", "within", "at", "slot")
     t = targets.withColumnsRenamed({"source": "_s"})
@@ -96,4 +99,21 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return rows.join(took.select(key), key).select(docs.columns)
 
 
-SQL: dict[str, str] = {}
+SQL = {
+    "op5_mixing": r"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+w AS (SELECT *, CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS DOUBLE) AS weight, source_size * 3.0::DOUBLE AS cap, CAST(sum(source_size) OVER () AS DOUBLE) AS budget FROM s),
+r AS (SELECT *, row_number() OVER (ORDER BY cap / weight, source NULLS LAST) AS i, sum(weight) OVER () AS all_weight,
+  coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cap_before,
+  coalesce(sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS weight_before FROM w),
+l AS (SELECT *, (budget - cap_before) / (all_weight - weight_before) AS level FROM r),
+f AS (SELECT *, (SELECT arg_min(level, i) FROM l WHERE level <= cap / weight) AS water FROM l),
+t AS (SELECT source, source_size, budget, CASE WHEN water IS NULL OR water * weight >= cap THEN cap ELSE water * weight END AS target FROM f),
+q AS (SELECT d.doc_id, d.size, d.source, t.source_size, t.target, t.budget, row_number() OVER () AS row, CAST(sum(d.size) OVER (PARTITION BY d.source ORDER BY substr(md5('17-' || coalesce(CAST(d.doc_id AS VARCHAR), '') || '-' || d.size), 1, 16), d.doc_id NULLS FIRST, d.size ROWS UNBOUNDED PRECEDING) AS BIGINT) AS upto
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+c AS (SELECT *, CAST(epoch * source_size + upto AS DOUBLE) / target AS finish FROM q, (SELECT unnest([0, 1, 2]) AS epoch) WHERE size > 0 AND target > 0),
+o AS (SELECT *, sum(size) OVER (ORDER BY finish, source NULLS FIRST, doc_id NULLS FIRST, size, epoch ROWS UNBOUNDED PRECEDING) AS so_far FROM c),
+k AS (SELECT row, count(*) AS copies FROM o WHERE so_far <= budget GROUP BY row)
+SELECT doc_id, size, source_size, target, CAST(size * coalesce(copies, 0) AS BIGINT) AS taken FROM q LEFT JOIN k USING (row)"""
+}
