@@ -134,14 +134,16 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn_from: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
-    """Fits on at most ``SAMPLE_ROWS`` labelled rows of each class, those with the lowest hash of their id."""
+    """Fits on at most ``SAMPLE_ROWS`` labelled rows of each class, those with the lowest hash of their id among texts of ``SAMPLE_BYTES`` at most."""
+    size = F.octet_length(F.coalesce(F.col(text_col), F.lit("")))
+    short = docs.where(size <= SAMPLE_BYTES)
     rows = labels.where(learn_from & F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y"))
+    rows = rows.join(short.select(F.col(id_col).alias("_id")), "_id", "left_semi")
     shares = {r["_y"]: r["count"] for r in rows.groupBy("_y").count().collect()}
     order = F.xxhash64(F.lit(11), "_id")
     some = rows.where("_y = 1").orderBy(order, "_id").limit(SAMPLE_ROWS).unionByName(rows.where("_y = 0").orderBy(order, "_id").limit(SAMPLE_ROWS))
     # At most 2 * SAMPLE_ROWS ids: broadcast.
-    text = F.encode(F.coalesce(F.col(text_col), F.lit("")), "utf-8")
-    short = docs.where(F.octet_length(F.coalesce(F.col(text_col), F.lit(""))) <= SAMPLE_BYTES).select(F.col(id_col).alias("_d"), text.alias("_t"))
+    short = short.select(F.col(id_col).alias("_d"), F.encode(F.coalesce(F.col(text_col), F.lit("")), "utf-8").alias("_t"))
     got = short.join(F.broadcast(some), F.col("_d") == F.col("_id")).select("_id", "_y", "_t").collect()
     got = sorted(((r["_id"], r["_y"], bytes(r["_t"])) for r in got), key=lambda r: (zlib.crc32(str(r[0]).encode()), r[2]))
     drawn = {q: max(1, sum(y == q for _, y, _ in got)) for q in (0, 1)}
