@@ -72,19 +72,38 @@ class TokenCounts:
         signed_sums(changes).write.mode("overwrite").parquet(f"{self.folder}/batch-{batch_id}")
         return True
 
-    def totals(self) -> DataFrame:
+    def _state(self) -> tuple[str | None, set[str], list[str]]:
+        """One view of the folder: the latest fold, the ids in it, and the batches beside it."""
         fold, inside = self._folded()
-        parts = [n for n in self._list() if n.startswith("batch-") and n.removeprefix("batch-") not in inside] + [n for n in [fold] if n]
+        return fold, inside, [n for n in self._list() if n.startswith("batch-") and n.removeprefix("batch-") not in inside]
+
+    def _sum(self, fold: str | None, batches: list[str]) -> DataFrame:
+        parts = batches + [n for n in [fold] if n]
         if not parts:
             return self.spark.createDataFrame([], DELTA)
         return self.spark.read.schema(DELTA).parquet(*[f"{self.folder}/{n}" for n in parts]).groupBy(*KEYS).agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens"))
 
+    def totals(self) -> DataFrame:
+        fold, _, batches = self._state()
+        return self._sum(fold, batches)
+
     def compact(self) -> None:
-        """Folds all committed batches into one table; the ids are written before the fold counts."""
-        ids, (last, _) = self.committed(), self._folded()
+        """Folds the batches of one view into one table: ids and totals are of the same batches, whatever is committed meanwhile. The ids are written before the fold counts."""
+        last, inside, batches = self._state()
         n = 1 + int(last.removeprefix("fold-")) if last else 0
+        ids = sorted(inside | {b.removeprefix("batch-") for b in batches})
         self.spark.createDataFrame([(i,) for i in ids], "batch string").coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/ids-of-fold-{n}")
-        self.totals().write.mode("overwrite").parquet(f"{self.folder}/fold-{n}")
+        self._sum(last, batches).write.mode("overwrite").parquet(f"{self.folder}/fold-{n}")
+
+    def clean(self) -> None:
+        """Removes what the latest fold holds already, for when no reader has an older view."""
+        last, inside, _ = self._state()
+        for name in self._list():
+            folded = name.startswith("batch-") and name.removeprefix("batch-") in inside
+            older = name.startswith(("fold-", "ids-of-fold-")) and name.removeprefix("ids-of-") != last
+            if folded or older:
+                system, at = open_fs(f"{self.folder}/{name}")
+                system.delete_dir(at)
 
 
 def bpe_count(spark: SparkSession, text: Column, tokenizer: str) -> Column:
