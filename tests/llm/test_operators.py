@@ -285,6 +285,34 @@ def test_topk_block_prunes_exactly():
     assert topk.block_topk(np.array([1, 2]), big, np.array([3]), np.array([[1.0, 2.0, 3.0]]) * 2**20, 2)[2].tolist() == [6 * 2**60] * 2
 
 
+def test_topk_bounds_save_work():
+    """On the vectors of sf0.1 the second half of the dimensions costs under half of all its products."""
+    rows = duckdb.sql("select vec_id, embedding from '/root/testdata/sf0.1/embeddings.parquet' order by vec_id").fetchall()
+    ids, v = np.array([r[0] for r in rows]), np.floor(256.0 * np.array([r[1] for r in rows], float))
+    asks, work = ids % 50 == 0, np.zeros(v.shape[1] // topk.STEP, np.int64)
+    a, b, s = topk.block_topk(ids[asks], v[asks], ids, v, 5, work)
+    share = work / (asks.sum() * len(ids) * topk.STEP)
+    assert share[0] == 1 and share[len(share) // 2 :].mean() < 0.25
+    exact = v[asks] @ v.T
+    exact[ids[asks][:, None] == ids] = -np.inf
+    for i in range(asks.sum()):
+        assert [(-x, ids[j]) for x, j in zip(s[a == i], b[a == i], strict=True)] == sorted(zip(-exact[i], ids))[:5]
+
+
+def test_topk_repeated_ids_and_huge_components(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(1, 60)] + [(0, [1.0] * 8), (0, [1.0] * 8), (0, [-1.0] * 8), (50, [3e38] + [0.0] * 7), (61, [-3e38] * 8), (62, [1e30] * 8)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = Counter(tuple(r) for r in topk.exact_topk(df.where("vec_id % 50 = 0"), df, 5).collect())
+    v = [(i, [int(x) for x in np.floor(256.0 * np.array(x, "f4").astype(float))]) for i, x in rows]
+    want = Counter()
+    for i, q in v:
+        if i % 50 == 0:
+            scores = sorted((-min(max(sum(a * b for a, b in zip(q, c)), -(2**63)), 2**63 - 1), j) for j, c in v if j != i)[:5]
+            want.update((i, r + 1, j, -x) for r, (x, j) in enumerate(scores))
+    assert got == want
+
+
 # 7 rollups
 
 
@@ -352,6 +380,38 @@ def test_grammar_round_trip_and_random_access(n, kinds):
     assert all((a == b).all() for a, b in zip(block.documents(), docs, strict=True))
 
 
+def test_grammar_is_not_cut_short(texts, monkeypatch):
+    """No pair of neighbours in a document is left that occurs LEAST times, whatever overlaps; rules are older than what uses them."""
+    bpe = WordCachedBpe(BPE)
+    prose = [np.frombuffer(x, "<u4") for x in bpe.encode_batch([t for t in texts.values() if t])]
+    rng = np.random.default_rng(4)
+    runs = [np.full(3000, 7, np.uint32), np.tile(np.array([1, 2, 1, 2, 2], np.uint32), 400), np.tile(rng.integers(0, 9, 700).astype(np.uint32), 9), rng.integers(0, 4, 5000).astype(np.uint32)]
+    for docs in (prose, runs, [np.arange(70_000, dtype=np.uint32), np.tile(np.arange(65_000, 65_500, dtype=np.uint32), 20)]):
+        sizes = [len(d) for d in docs]
+        seq, places, rules, alphabet = repair_ids.compress(np.concatenate(docs), np.r_[0, np.cumsum(sizes)[:-1]])
+        left = Counter()
+        for part in np.split(seq, places[1:]):
+            left.update(zip(part[:-1].tolist(), part[1:].tolist(), strict=True))
+        assert max(left.values(), default=0) < repair_ids.LEAST and len(seq) < sum(sizes)
+        assert all(max(r) < len(alphabet) + k for k, r in enumerate(rules.tolist()))
+        by_table = repair_ids.Grammar(alphabet, rules).expand(seq)
+        with monkeypatch.context() as m:
+            m.setattr(repair_ids, "TABLE_IDS", 0)
+            assert (by_table == np.concatenate(docs)).all() and (repair_ids.Grammar(alphabet, rules).expand(seq) == by_table).all()
+
+
+def test_token_ids_of_a_repeated_id_are_split_and_ordered(spark):
+    rows = [(5, f"text number {k % 40} of one id") for k in range(2000)] + [(None, "none"), (4, "before"), (6, "after")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = []
+    for parts in (8, 3):
+        files = repair_ids.write_ids(docs.repartition(parts), common.shared_dir(spark, "t"), BPE)
+        got = sorted(repair_ids.read_ids(spark, files).collect(), key=lambda r: r.start)
+        out.append([(r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in got])
+        assert len(files) > 4 and [r[0] for r in out[-1]] == [None, 4, *[5] * 2000, 6]
+    assert out[0] == out[1]
+
+
 # 9 URLs
 
 
@@ -408,9 +468,11 @@ def test_near_duplicates_of_the_table(spark, texts):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_near(texts.items()) and all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
-def test_near_duplicates_chains_and_near_misses(spark, monkeypatch):
-    """Chains of copies of copies around the threshold: stars alone lose links, blocks are forced to be small."""
+@pytest.mark.parametrize("hot", [20_000, 3])
+def test_near_duplicates_chains_and_near_misses(spark, monkeypatch, hot):
+    """Chains of copies of copies around the threshold: stars alone lose links, blocks are forced to be small, buckets to be divided."""
     monkeypatch.setattr(minhash, "BLOCK_ROWS", 7)
+    monkeypatch.setattr(minhash, "HOT_ROWS", hot)
     r, rows, n = random.Random(8), [], 0
     for family in range(6):
         text = [f"f{family}w{r.randint(0, 300)}" for _ in range(r.choice([12, 60, 150]))]
@@ -597,3 +659,80 @@ def test_pipeline_stages_take_odd_and_empty_tables(spark, odd_docs, no_docs):
         plain = odd_docs.select("doc_id", "text", "lang", "source", "n_chars", "key", "h")
         stage(spark, plain, SF).collect()
         assert stage(spark, no_docs, SF).isEmpty()
+
+
+def test_queries_without_sql_are_run_here(spark, texts):
+    """The token query itself against the library, on the whole table."""
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_codec.default_model())
+    got = queries()["op4_sentencepiece"](spark, SF).collect()
+    assert {r.doc_id: list(r.ids) for r in got} == {i: sp.encode(t or "") for i, t in texts.items()} and all(r.n_tokens == len(r.ids) and r.round_trip for r in got)
+    t, start, want = Tokenizer.from_file(BPE), 0, {}
+    for i in sorted(texts):
+        ids = np.array([*t.encode(texts[i] or "", add_special_tokens=False).ids, 2], "<u4")
+        want[i] = (start, len(ids), zlib.crc32(ids.tobytes()))
+        start += len(ids)
+    assert {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in queries()["op8_token_ids"](spark, SF).collect()} == want
+
+
+def test_quality_scores_are_made_anew_without_spark(spark, texts):
+    """Draw, dictionaries, features and curve once more, in plain Python; the query and the stage give the same."""
+    import zstandard
+
+    labels = dict(duckdb.sql(f"select doc_id, quality from '{SF}/labels.parquet'").fetchall())
+    assert len(labels) < quality.SAMPLE_ROWS
+    draw = sorted((zlib.crc32(str(i).encode()), texts[i].encode(), y) for i, y in labels.items() if zlib.crc32(str(i).encode()) % 4 != 2 and y in (0, 1) and i in texts and len(texts[i].encode()) <= quality.SAMPLE_BYTES)
+    model = quality.train([t for _, t, _ in draw], [y for _, _, y in draw], [1.0] * len(draw))
+
+    def score(text):
+        sizes = []
+        for raw in (model.good, model.bad):
+            pack = zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=zstandard.ZstdCompressionDict(raw), write_checksum=False, write_content_size=False, write_dict_id=False)
+            nothing = len(pack.compress(b""))
+            sizes.append(sum(len(pack.compress(text[k : k + quality.PIECE])) - nothing for k in range(0, len(text), quality.PIECE)))
+        good, bad = sizes
+        d = max(-0.2, min(0.2, (bad - good) / max(good + bad, 1)))
+        share, length = (max(good + bad, 1) / (2 * len(text)), np.log1p(len(text))) if text else (0.35, 0.0)
+        x = [d, min(share, 0.35), min(share, 0.2), length, d * length]
+        z = model.weights[0] + sum(w * (v - m) / s for w, v, m, s in zip(model.weights[1:], x, model.mean, model.scale, strict=True))
+        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+    want = {i: score((t or "").encode()) for i, t in texts.items()}
+    got = queries()["op1_quality"](spark, SF).collect()
+    assert all(np.isclose(r.score, want[r.doc_id], atol=1e-9) and r.predicted == int(r.score >= 0.7) for r in got) and len(got) == len(texts)
+    left = {r.doc_id for r in quality.stage(spark, spark.read.parquet(f"{SF}/documents.parquet"), SF).collect()}
+    assert left == {i for i, s in want.items() if s >= 0.7}
+
+
+def test_shared_prefixes_of_long_words():
+    import sentencepiece
+
+    assert [sentencepiece_codec._shared(a, b) for a, b in (("", "x"), ("ab", "ab"), ("abc", "abd"), ("x" * 1000 + "a", "x" * 1000 + "b"), ("x" * 999, "x" * 1000))] == [0, 2, 2, 1000, 999]
+    r = random.Random(3)
+    for _ in range(300):
+        a, b = ("".join(r.choice("ab") for _ in range(r.randint(0, 9))) for _ in range(2))
+        assert sentencepiece_codec._shared(a, b) == next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    sp = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_codec.default_model())
+    c = sentencepiece_codec.TrieCodec.from_model(sentencepiece_codec.default_model())
+    prefix = "".join(r.choice(["the", "ing", "世", "q"]) for _ in range(6000))
+    many = [prefix + "".join(r.choice("abc") for _ in range(5)) for _ in range(60)]
+    assert [np.frombuffer(x, "<i4").tolist() for x in c.encode_batch(many)] == [sp.encode(t) for t in many]
+    text = "".join(r.choice("一二三四五六七八九十abc") for _ in range(1_000_000))
+    tracemalloc.start()
+    (raw,) = c.encode_batch([text])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200_000_000 and c.decode(np.frombuffer(raw, "<i4").tolist()) == text
+
+
+def test_rollups_clean_up_and_keep_their_totals(spark):
+    schema = "kind string, source string, lang string, tokenizer string, tokens long, old_tokens long"
+    c = token_counts.TokenCounts(spark, common.shared_dir(spark, "t"))
+    for n in range(4):
+        c.apply(f"b{n}", spark.createDataFrame([("insert", "a", "en", "v", n + 1, None)], schema))
+        if n % 2:
+            c.compact()
+    c.clean()
+    assert rows_of(c.totals()) == Counter({("a", "en", "v", 4, 10): 1}) and c.committed() == ["b0", "b1", "b2", "b3"] and c._list() == ["fold-1", "ids-of-fold-1"]
+    assert not c.apply("b1", spark.createDataFrame([("insert", "a", "en", "v", 9, None)], schema))
