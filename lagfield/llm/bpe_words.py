@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import re
+from itertools import chain
 
 import numpy as np
 
@@ -103,12 +104,12 @@ class WordCachedBpe:
             self.kept.clear()
             self.tails.clear()
             self.kept_bytes = 0
-        new = set().union(*(c for c in cut if c)).difference(self.kept)
+        new = set(chain.from_iterable(c for c in cut if c)).difference(self.kept)
         self._learn(new)
         # A word's ids take about as many bytes as four of its letters each, at most.
         self.kept_bytes += 5 * sum(map(len, new))
         kept = self.kept
-        return [self.whole(t) if c is None else b"".join([kept[w] for w in c])[len(self.line) :] for t, c in zip(texts, cut, strict=True)]
+        return [self.whole(t) if c is None else b"".join(map(kept.__getitem__, c))[len(self.line) :] for t, c in zip(texts, cut, strict=True)]
 
 
 _OF: dict[str, WordCachedBpe] = {}

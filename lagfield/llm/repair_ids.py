@@ -39,31 +39,41 @@ MAGIC = b"RPGRAM02"
 HEAD = struct.Struct("<8sBQIQI")
 
 
-def _round(seq: np.ndarray, first: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Where pairs are replaced (never two that overlap), by which of the round's rules, and these rules' pairs; nothing once no pair occurs ``least`` times."""
-    none = np.zeros(0, np.int64)
-    if len(seq) < 2:
-        return none, none, np.zeros((0, 2), seq.dtype)
+def _round(seq: np.ndarray, places: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]:
+    """Replaces the pairs that begin at some of ``places`` (rising): where (never two that overlap), by which of the round's rules, these rules' pairs, and
+    the places of all frequent pairs if the round has looked at all of them. Nothing once no pair occurs ``least`` times."""
     wide, bits = (np.uint32, 16) if seq.dtype == np.uint16 else (np.uint64, 32)
-    keys = (seq[:-1].astype(wide) << wide(bits)) | seq[1:]
-    keys[first[1:-1]] = np.iinfo(wide).max  # across two documents
+    none = np.zeros(0, np.int64)
+    if not len(places):
+        return none, none, np.zeros((0, 2), wide), None
+    keys = seq[places].astype(wide)
+    keys <<= wide(bits)
+    keys |= seq[places + 1]
     ordered = np.sort(keys)
     cut = np.r_[0, np.flatnonzero(ordered[1:] != ordered[:-1]) + 1, len(ordered)]
     counts = np.diff(cut)
-    if ordered[-1] == np.iinfo(wide).max:
-        counts[-1] = 0
-    if counts.max() < least:
-        return none, none, np.zeros((0, 2), seq.dtype)
-    often = np.flatnonzero(counts >= max(least, int(counts.max() * SHARE)))
+    top = counts.max()
+    if top < least:
+        return none, none, np.zeros((0, 2), wide), None
+    enough = max(least, int(top * SHARE))
+    often = np.flatnonzero(counts >= enough)
     pairs, weights = ordered[cut[often]], counts[often]
-    # A table of 2^18 slots tells nearly all other pairs apart before the search.
+    # A table of 2^18 slots gives a key's pair; the few pairs that share a slot with another one are searched for.
     slot = lambda k: (k * wide(0x9E3779B1)) >> wide(2 * bits - 18)
-    may = np.zeros(1 << 18, bool)
-    may[slot(pairs)] = True
-    at = np.flatnonzero(may[slot(keys)])
-    rule = np.minimum(np.searchsorted(pairs, keys[at]), len(pairs) - 1)
-    hit = pairs[rule] == keys[at]
-    at, rule = at[hit], rule[hit]
+    table = np.zeros(1 << 18, np.int32)
+    table[slot(pairs)] = np.arange(1, len(pairs) + 1)
+    rule = table[slot(keys)]
+    some = np.flatnonzero(rule)
+    rule, found = rule[some] - 1, keys[some]
+    wrong = np.flatnonzero(pairs[rule] != found)
+    hidden = np.flatnonzero(table[slot(pairs)] != np.arange(1, len(pairs) + 1))
+    rule[wrong] = -1
+    if len(hidden) and len(wrong):
+        which = np.minimum(np.searchsorted(pairs[hidden], found[wrong]), len(hidden) - 1)
+        rule[wrong] = np.where(pairs[hidden][which] == found[wrong], hidden[which], -1)
+    hit = rule >= 0
+    at, rule = places[some[hit]], rule[hit]
+    frequent = at if enough == least else None
     w, touch = weights[rule], np.diff(at) == 1
     beaten = np.r_[touch & (w[1:] > w[:-1]), False] | np.r_[False, touch & (w[:-1] > w[1:])]
     # Of overlapping pairs of one weight every second one, from the left.
@@ -78,20 +88,27 @@ def _round(seq: np.ndarray, first: np.ndarray, least: int) -> tuple[np.ndarray,
         good = used == used.max()
     stay = good[rule]
     low = (wide(1) << wide(bits)) - wide(1)
-    return at[stay], (np.cumsum(good) - 1)[rule[stay]], np.stack([pairs[good] >> wide(bits), pairs[good] & low], 1)
+    return at[stay], (np.cumsum(good) - 1)[rule[stay]], np.stack([pairs[good] >> wide(bits), pairs[good] & low], 1), frequent
 
 
 def compress(ids: np.ndarray, starts: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """``starts``: where documents begin in ``ids``. Returns symbols, starts in them, rules (n, 2) and the distinct ids; symbols below their number stand for them."""
+    """``starts``: where documents begin in ``ids``. Returns symbols, starts in them, rules (n, 2) and the distinct ids; symbols below their number stand for them.
+
+    Once a round has looked at all frequent pairs, later ones count only around what it replaced and at the frequent pairs that it left: no other pair
+    can have become frequent.
+    """
     seen = np.zeros(int(ids.max(initial=0)) + 1, bool)
     seen[ids] = True
     alphabet = np.flatnonzero(seen).astype("<u4")
-    seq, n = (np.cumsum(seen) - 1)[ids], len(alphabet)
-    seq = seq.astype(np.uint16 if n < 1 << 16 else np.uint32)
+    n = len(alphabet)
+    seq = (np.cumsum(seen) - 1).astype(np.uint16 if n < 1 << 16 else np.uint32)[ids]
     first, rules = np.zeros(len(seq) + 1, bool), []
     first[starts] = True
+    near: np.ndarray | None = None
     while True:
-        at, rule, pairs = _round(seq, first, least)
+        inside = ~first[1:-1]
+        places = np.flatnonzero(inside) if near is None else near[inside[near]]
+        at, rule, pairs, frequent = _round(seq, places, least)
         if not len(pairs):
             break
         if n + len(pairs) >= 1 << 16:
@@ -99,6 +116,13 @@ def compress(ids: np.ndarray, starts: np.ndarray, least: int = LEAST) -> tuple[n
         seq[at] = rule + n
         stay = np.ones(len(seq), bool)
         stay[at + 1] = False
+        if frequent is not None:
+            mark = np.zeros(len(seq), bool)
+            mark[frequent] = mark[at] = True
+            mark = mark[stay]
+            new = at - np.arange(len(at))  # one symbol went for every earlier replacement
+            mark[np.maximum(new - 1, 0)] = True
+            near = np.flatnonzero(mark[:-1])
         seq, first = seq[stay], np.r_[first[:-1][stay], False]
         rules.append(pairs)
         n += len(pairs)
