@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.grid import Grid, qgrid
 from ..sources.shared import kept
+from .temporal import slices_of
 
 
 def bin_edges(bins: int | Iterable[float], k_range: tuple[float, float] | None, k_all: Iterable[float]) -> tuple[list[float], float]:
@@ -64,17 +65,14 @@ def azimuthal_average(values: DataFrame, grid_rows: DataFrame, edges: list[float
     return out.select(*by, "bin", F.coalesce("_x.k", "_middle").alias("k"), F.when(nothing, nan).otherwise(F.col("_x.avg")).alias("avg"), err_out.alias("err"))
 
 
-def radial(sf: DataFrame, extra: DataFrame, grid: Grid, bins: int | Iterable[float] = 10, k_range: tuple[float, float] | None = None, mask: Column | None = None, weight: Column | None = None, eval_err: bool = True, keep: bool = False) -> tuple[DataFrame, DataFrame, list[float]]:
-    """(aa, aa_extra, edges): rings of the structure function, and of power spectrum and variance, from one pass over both.
+def radial_slices(slices: DataFrame, grid: Grid, bins: int | Iterable[float] = 10, k_range: tuple[float, float] | None = None, mask: Column | None = None, weight: Column | None = None, eval_err: bool = True, keep: bool = False) -> tuple[DataFrame, DataFrame, list[float]]:
+    """(aa, aa_extra, edges) of the slices of ``temporal.structure_slices``: one pass over all of them.
 
     ``keep`` writes the rings (a row per ring and slice) once in the shared folder, for callers that go on with both tables.
     """
-    spark: SparkSession = sf.sparkSession
+    spark: SparkSession = slices.sparkSession
     ky, kx = grid.axes()
     edges, low = bin_edges(bins, k_range, [math.sqrt(a * a + b * b) for a in ky for b in kx])
-    pick = lambda name: F.struct(F.lit(name).alias("what"), F.lit(None).cast("double").alias("tau"), F.col(name).alias("v"))
-    slices = sf.select("seq_id", "iy", "ix", F.lit("d").alias("what"), "tau", F.col("d").alias("v"))
-    slices = slices.unionByName(extra.select("seq_id", "iy", "ix", F.explode(F.array(pick("power_spec"), pick("var"))).alias("_x")).select("seq_id", "iy", "ix", "_x.*"))
     rings = azimuthal_average(slices, qgrid(spark, grid), edges, low, ["seq_id", "what", "tau"], "v", mask, weight, eval_err)
     if keep:
         rings = kept(rings, "rings")
@@ -82,3 +80,8 @@ def radial(sf: DataFrame, extra: DataFrame, grid: Grid, bins: int | Iterable[flo
     of = lambda what, c: F.max(F.when(F.col("what") == what, F.col(c)))
     aa_extra = rings.where("what <> 'd'").groupBy("seq_id", "bin").agg(F.first("k").alias("k"), of("power_spec", "avg").alias("power_spec"), of("power_spec", "err").alias("power_spec_err"), of("var", "avg").alias("var"), of("var", "err").alias("var_err"))
     return aa, aa_extra, edges
+
+
+def radial(sf: DataFrame, extra: DataFrame, grid: Grid, bins: int | Iterable[float] = 10, k_range: tuple[float, float] | None = None, mask: Column | None = None, weight: Column | None = None, eval_err: bool = True, keep: bool = False) -> tuple[DataFrame, DataFrame, list[float]]:
+    """(aa, aa_extra, edges): rings of the structure function, and of power spectrum and variance; as ``radial_slices``."""
+    return radial_slices(slices_of(sf, extra), grid, bins, k_range, mask, weight, eval_err, keep)

@@ -62,6 +62,26 @@ def by_lead(spectrum: DataFrame, lags: list[int], delta_t: float = 1.0) -> DataF
     return _by_lag(spectrum.withColumns(_at(lags)), sums, delta_t)
 
 
+def slices_by_lead(spectrum: DataFrame, lags: list[int], delta_t: float = 1.0) -> DataFrame:
+    """What ``slices_of`` gives, from one pass over the spectrum: its exchange by wavevector serves lags, power spectrum and variance."""
+    p = F.col("re") * F.col("re") + F.col("im") * F.col("im")
+    entry = lambda what, lag, v, n: F.struct(F.lit(what).alias("what"), F.lit(lag).cast("int").alias("lag"), v.alias("v"), n.alias("n_pairs"))
+    sums = [entry("power_spec", None, F.avg(p), F.count(F.lit(1))), entry("var", None, F.var_pop("re") + F.var_pop("im"), F.count(F.lit(1)))]
+    for lag in lags:
+        dr, di = F.col(f"_re{lag}") - F.col("re"), F.col(f"_im{lag}") - F.col("im")
+        sums.append(entry("d", lag, F.avg(dr * dr + di * di), F.count(f"_re{lag}")))
+    wide = spectrum.withColumns(_at(lags)).groupBy(*Q).agg(F.array(*sums).alias("_all"))
+    out = wide.select(*Q, F.explode("_all").alias("_x")).where("_x.n_pairs > 0")
+    return out.select(*Q, "_x.what", (F.col("_x.lag") * float(delta_t)).alias("tau"), "_x.v")
+
+
+def slices_of(sf: DataFrame, extra: DataFrame) -> DataFrame:
+    """Structure function, power spectrum and variance below one another: seq_id, iy, ix, what (d, power_spec, var), tau (null for the two), v."""
+    pick = lambda name: F.struct(F.lit(name).alias("what"), F.lit(None).cast("double").alias("tau"), F.col(name).alias("v"))
+    both = extra.select(*Q, F.explode(F.array(pick("power_spec"), pick("var"))).alias("_x")).select(*Q, "_x.*")
+    return sf.select(*Q, F.lit("d").alias("what"), "tau", F.col("d").alias("v")).unionByName(both)
+
+
 def by_prefix(spectrum: DataFrame, lags: list[int], n_frames: int, delta_t: float = 1.0) -> DataFrame:
     """(forward sum + reversed sum - 2 autocorrelation) / pairs, from running sums in both directions.
 
@@ -114,14 +134,18 @@ def choose_strategy(n_frames: int, lags: list[int]) -> str:
     return "fft" if n_frames >= 64 and len(lags) > 2 * np.log2(2 * n_frames) else "lead"
 
 
-def structure_function(frames: DataFrame, grid: Grid, n_frames: int, lags: Iterable[int], window: Column | DataFrame | None = None, strategy: str = "auto", spectrum: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(sf, sf_extra) of frames_cell, whose t runs from 0 to n_frames - 1. Unknown strategies, negative lags and lags beyond the sequence raise ``RuntimeError``."""
+def _chosen(n_frames: int, lags: Iterable[int], strategy: str) -> tuple[list[int], str]:
     if strategy != "auto" and strategy not in STRATEGIES:
         raise RuntimeError(f"unknown strategy {strategy}; there are {', '.join(STRATEGIES)}")
     lags = checked_lags(lags, n_frames)
+    return lags, choose_strategy(n_frames, lags) if strategy == "auto" else strategy
+
+
+def structure_function(frames: DataFrame, grid: Grid, n_frames: int, lags: Iterable[int], window: Column | DataFrame | None = None, strategy: str = "auto", spectrum: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(sf, sf_extra) of frames_cell, whose t runs from 0 to n_frames - 1. Unknown strategies, negative lags and lags beyond the sequence raise ``RuntimeError``."""
+    lags, how = _chosen(n_frames, lags, strategy)
     if spectrum is None:
         spectrum = spectrum_of(frames, grid, window)
-    how = choose_strategy(n_frames, lags) if strategy == "auto" else strategy
     if how == "join":
         sf = by_join(spectrum, lags, grid.delta_t)
     elif how == "lead":
@@ -134,5 +158,13 @@ def structure_function(frames: DataFrame, grid: Grid, n_frames: int, lags: Itera
     return sf, power_and_variance(spectrum)
 
 
+def structure_slices(frames: DataFrame, grid: Grid, n_frames: int, lags: Iterable[int], window: Column | DataFrame | None = None, strategy: str = "auto") -> DataFrame:
+    """The same as one table of slices, for callers that need both: one pass where the strategy is ``lead``."""
+    checked, how = _chosen(n_frames, lags, strategy)
+    if how == "lead":
+        return slices_by_lead(spectrum_of(frames, grid, window), checked, grid.delta_t)
+    return slices_of(*structure_function(frames, grid, n_frames, checked, window, how))
+
+
 def spectrum_arrow(frames: DataFrame, grid: Grid, window: np.ndarray | None = None) -> DataFrame:
     return rfft2_arrow(pack(frames, grid.height, grid.width), grid, window)

@@ -64,7 +64,7 @@ def _sf(spark: SparkSession, sf_dir: str, strategy: str = "lead") -> tuple[DataF
 
 
 def _aa(spark: SparkSession, sf_dir: str, **args) -> tuple[DataFrame, DataFrame, list[float]]:
-    return radial.radial(*_sf(spark, sf_dir), GRID, bins=BINS, **args)
+    return radial.radial_slices(temporal.structure_slices(_cube(spark, sf_dir), GRID, N_MONTHS, LAGS), GRID, bins=BINS, **args)
 
 
 # Rasters, packing, chunks
@@ -392,8 +392,8 @@ _E85 = _edges(_G85, 4)
 def _rate(spark: SparkSession, sf_dir: str, hours: int, n: int, lags: list[int]) -> tuple[DataFrame, DataFrame]:
     """Radial averages of the event cube at one frame every so many hours."""
     g = G.Grid.of(8, 5, delta_t=float(hours))
-    sf, extra = temporal.structure_function(raster.event_cube(_table(spark, sf_dir, "events"), hours), g, n, lags)
-    return radial.radial(sf, extra, g, bins=4, keep=True)[:2]
+    slices = temporal.structure_slices(raster.event_cube(_table(spark, sf_dir, "events"), hours), g, n, lags)
+    return radial.radial_slices(slices, g, bins=4, keep=True)[:2]
 
 
 def _two_rates(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:

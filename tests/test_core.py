@@ -99,6 +99,16 @@ def test_number_of_bins_is_the_edge_list(sf):
     assert radial.radial(*sf, g, bins=4, eval_err=False)[0].where("err IS NOT NULL").isEmpty()
 
 
+def test_slices_are_the_two_tables(cells, sf):
+    g = G.Grid.of(H, W)
+    want = temporal.slices_of(*sf).orderBy("what", "tau", "iy", "ix").toPandas()
+    for how in ("lead", "fft", "auto"):
+        got = temporal.structure_slices(cells, g, N, [5, 1, 2, 3, 4], strategy=how).orderBy("what", "tau", "iy", "ix").toPandas()
+        assert (got.what == want.what).all() and np.allclose(got.v, want.v, atol=1e-12) and np.allclose(got.tau.fillna(0), want.tau.fillna(0))
+    with pytest.raises(RuntimeError):
+        temporal.structure_slices(cells, g, N, [1], strategy="gpu")
+
+
 def test_radial_average_by_hand(sf):
     g = G.Grid.of(H, W)
     aa, _, edges = radial.radial(*sf, g, bins=5)
