@@ -99,6 +99,17 @@ def test_exact_dedup_tells_hash_collisions_apart(odd_docs, monkeypatch):
     assert rows_of(exact_dedup.exact_dedup(odd_docs, keep="max")) == brute_exact(rows, max)
 
 
+def test_exact_stage_tells_hash_collisions_apart(odd_docs, spark, monkeypatch):
+    want = {}
+    for i, t in ((r.doc_id, (r.text or "").translate(LOW)) for r in odd_docs.collect()):
+        want[t] = max(want.get(t, (False, 0)), (i is not None, i or 0))
+    monkeypatch.setattr(exact_dedup.F, "md5", lambda c: F.lpad(F.hex(F.length(c) % 3), 32, "0"))
+    got = exact_dedup.stage(spark, odd_docs, SF)
+    assert got.columns == odd_docs.columns
+    assert Counter((r.text or "").translate(LOW) for r in got.collect()) == Counter(list(want))
+    assert {((r.text or "").translate(LOW)): (r.doc_id is not None, r.doc_id or 0) for r in got.collect()} == want
+
+
 def test_bit_tables_lose_no_wanted_key(spark, monkeypatch):
     rows = spark.range(20_000).select(F.col("id"), F.concat(F.lit("k"), F.col("id")).alias("word"), F.lit(1).alias("maybe"))
     wanted = rows.where("id % 100 = 7").select(F.col("word").alias("w"))
