@@ -39,19 +39,23 @@ MAGIC = b"RPGRAM02"
 HEAD = struct.Struct("<8sBQIQI")
 
 
-def _round(seq: np.ndarray, places: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]:
-    """Replaces the pairs that begin at some of ``places`` (rising): where (never two that overlap), by which of the round's rules, these rules' pairs, and
+def _round(seq: np.ndarray, inside: np.ndarray, places: np.ndarray | None, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]:
+    """Chooses among the pairs that begin at ``places`` (rising; all if None) and lie ``inside`` a document: where (never two that overlap), by which of the round's rules, these rules' pairs, and
     the places of all frequent pairs if the round has looked at all of them. Nothing once no pair occurs ``least`` times."""
     wide, bits = (np.uint32, 16) if seq.dtype == np.uint16 else (np.uint64, 32)
     none = np.zeros(0, np.int64)
-    if not len(places):
+    if not len(inside) or (places is not None and not len(places)):
         return none, none, np.zeros((0, 2), wide), None
-    keys = seq[places].astype(wide)
+    keys = (seq[:-1] if places is None else seq[places]).astype(wide)
     keys <<= wide(bits)
-    keys |= seq[places + 1]
+    keys |= seq[1:] if places is None else seq[places + 1]
+    if places is None:
+        keys[~inside] = np.iinfo(wide).max
     ordered = np.sort(keys)
     cut = np.r_[0, np.flatnonzero(ordered[1:] != ordered[:-1]) + 1, len(ordered)]
     counts = np.diff(cut)
+    if ordered[-1] == np.iinfo(wide).max:
+        counts[-1] = 0
     top = counts.max()
     if top < least:
         return none, none, np.zeros((0, 2), wide), None
@@ -72,7 +76,7 @@ def _round(seq: np.ndarray, places: np.ndarray, least: int) -> tuple[np.ndarray,
         which = np.minimum(np.searchsorted(pairs[hidden], found[wrong]), len(hidden) - 1)
         rule[wrong] = np.where(pairs[hidden][which] == found[wrong], hidden[which], -1)
     hit = rule >= 0
-    at, rule = places[some[hit]], rule[hit]
+    at, rule = some[hit] if places is None else places[some[hit]], rule[hit]
     frequent = at if enough == least else None
     w, touch = weights[rule], np.diff(at) == 1
     beaten = np.r_[touch & (w[1:] > w[:-1]), False] | np.r_[False, touch & (w[:-1] > w[1:])]
@@ -107,8 +111,7 @@ def compress(ids: np.ndarray, starts: np.ndarray, least: int = LEAST) -> tuple[n
     near: np.ndarray | None = None
     while True:
         inside = ~first[1:-1]
-        places = np.flatnonzero(inside) if near is None else near[inside[near]]
-        at, rule, pairs, frequent = _round(seq, places, least)
+        at, rule, pairs, frequent = _round(seq, inside, None if near is None else near[inside[near]], least)
         if not len(pairs):
             break
         if n + len(pairs) >= 1 << 16:
