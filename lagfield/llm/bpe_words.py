@@ -17,7 +17,7 @@ import numpy as np
 _ODD = re.compile("[^\t-\r\x20-\x7e\xa0-ɏ‐-‧]")
 _RUN = re.compile(r"\s\s(?:\s|\Z)")
 _PAIRS = ("  ", " \n", "\n ", "\n\n", "\t", "\x0b", "\x0c", "\r", "\xa0")
-KEPT_WORDS, KEPT_BYTES, WORDS_A_CALL = 1_500_000, 1 << 27, 1_000
+KEPT_WORDS, KEPT_BYTES, WORDS_A_CALL = 1_500_000, 1 << 27, 1 << 14
 _MARKS = ".,;:!?%$&*#|()[]{}\"/-_+=<>@~^"
 
 
@@ -58,45 +58,41 @@ class WordCachedBpe:
             return None
         return text.replace("\n", " \n")[1:].split(" ")
 
-    def _plain(self, words: list[str]) -> list[bytes]:
-        """Ids of letters, or space and letters, which the pre-tokenizer leaves whole: many at a call, with line feeds between."""
+    def _plain(self, words: list[str], mark: str) -> list[bytes]:
+        """Ids of letters with ``mark`` (a space or nothing) before them, which the pre-tokenizer leaves whole: many at a call, with line feeds between."""
         out: list[bytes] = []
         for at in range(0, len(words), WORDS_A_CALL):
             some = words[at : at + WORDS_A_CALL]
-            joined = self.letters[np.frombuffer("\n".join(some).encode(), np.uint8)].tobytes().decode("utf-32-le")
+            joined = self.letters[np.frombuffer((mark + f"\n{mark}".join(some)).encode(), np.uint8)].tobytes().decode("utf-32-le")
             ids = np.array(self.words_only.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype="<u4")
-            raw, ends = ids.tobytes(), (4 * np.flatnonzero(ids == self.line_id)).tolist()
+            raw, ends = ids.tobytes(), 4 * np.flatnonzero(ids == self.line_id)
             if len(ends) != len(some) - 1:
                 raise ValueError("words and line feeds do not agree")
-            out += [raw[x:y] for x, y in zip([0, *(e + 4 for e in ends)], [*ends, len(raw)], strict=True)]
+            out += map(raw.__getitem__, map(slice, [0, *(ends + 4).tolist()], [*ends.tolist(), len(raw)]))
         return out
 
     def _learn(self, pieces: set[str]) -> None:
-        words = {p for p in pieces if p.isalpha()}
-        heads, marked, rest = set(), [], []
-        for p in pieces - words:
-            line = p[:1] == "\n"
-            w = p[1:] if line else p
-            core = w.rstrip(_MARKS)
-            if not core.isalpha():
-                rest.append(p)
+        """Letters are encoded many at a call; a piece of letters and marks is the ids of both, one after the other."""
+        kept, tails, stems, marked = self.kept, self.tails, set(), []
+        for p in pieces:
+            stem = p.rstrip(_MARKS)
+            if not (stem.isalpha() or (stem[:1] == "\n" and stem[1:].isalpha())):
+                kept[p] = self.whole(p if p[:1] == "\n" else " " + p)
                 continue
-            tail = w[len(core) :]
-            if tail and tail not in self.tails:
-                self.tails[tail] = self.whole(tail)
-            marked.append((p, line, core, tail))
-            if line:
-                heads.add(core)
-            elif core not in self.kept:
-                words.add(core)
-        words, kept = list(words), self.kept
-        kept.update(zip(words, self._plain([" " + w for w in words]), strict=True))
-        heads = list(heads)
-        first = dict(zip(heads, self._plain(heads), strict=True))
-        for p, line, core, tail in marked:
-            kept[p] = (self.line + first[core] if line else kept[core]) + (self.tails[tail] if tail else b"")
-        for p in rest:
-            kept[p] = self.whole(p if p[:1] == "\n" else " " + p)
+            stems.add(stem)
+            if len(stem) < len(p):
+                marked.append((p, stem))
+        stems.difference_update(kept)
+        words, lines = [s for s in stems if s[0] != "\n"], [s for s in stems if s[0] == "\n"]
+        kept.update(zip(words, self._plain(words, " "), strict=True))
+        kept.update(zip(lines, map(self.line.__add__, self._plain([s[1:] for s in lines], "")), strict=True))
+        for p, stem in marked:
+            tail = p[len(stem) :]
+            if tail not in tails:
+                tails[tail] = self.whole(tail)
+            kept[p] = kept[stem] + tails[tail]
+        # A word's ids take about as many bytes as four of its letters each, at most.
+        self.kept_bytes += 5 * sum(map(len, pieces | stems))
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         cut = [self._cut(t) if t else [] for t in texts]
@@ -104,10 +100,7 @@ class WordCachedBpe:
             self.kept.clear()
             self.tails.clear()
             self.kept_bytes = 0
-        new = set(chain.from_iterable(c for c in cut if c)).difference(self.kept)
-        self._learn(new)
-        # A word's ids take about as many bytes as four of its letters each, at most.
-        self.kept_bytes += 5 * sum(map(len, new))
+        self._learn(set(chain.from_iterable(c for c in cut if c)).difference(self.kept))
         kept = self.kept
         return [self.whole(t) if c is None else b"".join(map(kept.__getitem__, c))[len(self.line) :] for t, c in zip(texts, cut, strict=True)]
 
