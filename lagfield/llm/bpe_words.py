@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import os
 import re
-from itertools import chain
 
 import numpy as np
 
@@ -73,7 +72,7 @@ class WordCachedBpe:
 
     def _learn(self, pieces: set[str]) -> None:
         """Letters are encoded many at a call; a piece of letters and marks is the ids of both, one after the other."""
-        kept, tails, stems, marked = self.kept, self.tails, set(), []
+        kept, tails, stems, marked, marks = self.kept, self.tails, set(), [], []
         for p in pieces:
             stem = p.rstrip(_MARKS)
             if not (stem.isalpha() or (stem[:1] == "\n" and stem[1:].isalpha())):
@@ -81,28 +80,34 @@ class WordCachedBpe:
                 continue
             stems.add(stem)
             if len(stem) < len(p):
-                marked.append((p, stem))
-        stems.difference_update(kept)
+                marked.append(p)
+                marks.append(p[len(stem) :])
+        stems = stems.difference(kept)
         words, lines = [s for s in stems if s[0] != "\n"], [s for s in stems if s[0] == "\n"]
         kept.update(zip(words, self._plain(words, " "), strict=True))
         kept.update(zip(lines, map(self.line.__add__, self._plain([s[1:] for s in lines], "")), strict=True))
-        for p, stem in marked:
-            tail = p[len(stem) :]
-            if tail not in tails:
-                tails[tail] = self.whole(tail)
-            kept[p] = kept[stem] + tails[tail]
+        tails.update({t: self.whole(t) for t in set(marks).difference(tails)})
+        for p, t in zip(marked, marks, strict=True):
+            kept[p] = kept[p[: -len(t)]] + tails[t]
         # A word's ids take about as many bytes as four of its letters each, at most.
         self.kept_bytes += 5 * sum(map(len, pieces | stems))
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
-        cut = [self._cut(t) if t else [] for t in texts]
         if len(self.kept) > KEPT_WORDS or self.kept_bytes > KEPT_BYTES:
             self.kept.clear()
             self.tails.clear()
             self.kept_bytes = 0
-        self._learn(set(chain.from_iterable(c for c in cut if c)).difference(self.kept))
-        kept = self.kept
-        return [self.whole(t) if c is None else b"".join(map(kept.__getitem__, c))[len(self.line) :] for t, c in zip(texts, cut, strict=True)]
+        kept, new = self.kept, set()
+        cut = [self._cut(t) if t else [] for t in texts]
+        found = [None if c is None else list(map(kept.get, c)) for c in cut]
+        gaps = [[i for i, x in enumerate(f) if x is None] if f else [] for f in found]
+        for c, g in zip(cut, gaps, strict=True):
+            new.update([c[i] for i in g])
+        self._learn(new)
+        for c, f, g in zip(cut, found, gaps, strict=True):
+            for i in g:
+                f[i] = kept[c[i]]
+        return [self.whole(t) if f is None else b"".join(f)[len(self.line) :] for t, f in zip(texts, found, strict=True)]
 
 
 _OF: dict[str, WordCachedBpe] = {}
