@@ -33,7 +33,7 @@ from .bpe_words import word_cached
 from .common import read, shared_dir
 from .files import bounded_batches, one_task_each, open_fs, replacing
 
-BLOCK_IDS, LEAST, SHARE, END_ID = 1 << 19, 8, 0.1, 2
+BLOCK_IDS, LEAST, SHARE, LOW, END_ID = 1 << 19, 8, 0.1, 4, 2
 FILE_BYTES, TABLE_IDS = 128 << 20, 1 << 24
 MAGIC = b"RPGRAM02"
 HEAD = struct.Struct("<8sBQIQI")
@@ -60,7 +60,9 @@ def _round(seq: np.ndarray, inside: np.ndarray, places: np.ndarray | None, least
     if top < least:
         return none, none, np.zeros((0, 2), wide), None
     enough = max(least, int(top * SHARE))
-    often = np.flatnonzero(counts >= enough)
+    # Once the top is low, all frequent pairs are looked up, for the rounds to come; before that only those that this round may replace.
+    known = least if places is not None or enough <= LOW * least else enough
+    often = np.flatnonzero(counts >= known)
     pairs, weights = ordered[cut[often]], counts[often]
     # A table of 2^18 slots gives a key's pair; the few pairs that share a slot with another one are searched for.
     slot = lambda k: (k * wide(0x9E3779B1)) >> wide(2 * bits - 18)
@@ -77,7 +79,10 @@ def _round(seq: np.ndarray, inside: np.ndarray, places: np.ndarray | None, least
         rule[wrong] = np.where(pairs[hidden][which] == found[wrong], hidden[which], -1)
     hit = rule >= 0
     at, rule = some[hit] if places is None else places[some[hit]], rule[hit]
-    frequent = at if enough == least else None
+    frequent = at if known == least else None
+    if known < enough:
+        may = weights[rule] >= enough
+        at, rule = at[may], rule[may]
     w, touch = weights[rule], np.diff(at) == 1
     beaten = np.r_[touch & (w[1:] > w[:-1]), False] | np.r_[False, touch & (w[:-1] > w[1:])]
     # Of overlapping pairs of one weight every second one, from the left.
@@ -87,7 +92,7 @@ def _round(seq: np.ndarray, inside: np.ndarray, places: np.ndarray | None, least
     at, rule = at[take], rule[take]
     used = np.bincount(rule, minlength=len(pairs))
     # Pairs that lost most places to others wait for a later round; one at least goes on.
-    good = used >= least // 2
+    good = used >= max(1, least // 2)
     if not good.any():
         good = used == used.max()
     stay = good[rule]
