@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from lagfield.llm import common, components, exact_dedup, minhash, mixing, quality, repair_ids, sentencepiece_codec, shingles, token_counts, topk, url_filter, warc
+from lagfield.llm import bpe_words, common, components, exact_dedup, minhash, mixing, quality, repair_ids, sentencepiece_codec, shingles, token_counts, topk, url_filter, warc
 from lagfield.llm.bpe_words import WordCachedBpe
 from lagfield.llm.registry import oracle_sql, queries
 
@@ -365,6 +365,18 @@ def test_word_cached_bpe_is_the_librarys(texts):
     assert all(raw == b.whole(t) for t, raw in zip(some, b.encode_batch(some), strict=True))
 
 
+def test_word_cached_bpe_with_few_kept_words_and_short_calls(texts, monkeypatch):
+    monkeypatch.setattr(bpe_words, "KEPT_WORDS", 40)
+    monkeypatch.setattr(bpe_words, "WORDS_A_CALL", 3)
+    b = WordCachedBpe(BPE)
+    odd = ["", "a", "\n", "\na", "a\nb", "one, one one,\none,", "(x) x) x", "a\n\nb", "é é, é", "!? !?", "a  b", "x" * 5000 + "."]
+    some = odd + [t or "" for t in list(texts.values())[:60]]
+    for k in (1, 7):
+        for i in range(0, len(some), k):
+            assert b.encode_batch(some[i : i + k]) == [b.whole(t) for t in some[i : i + k]]
+    assert b.encode_batch([]) == []
+
+
 def test_token_ids_files(spark, odd_docs, no_docs):
     got = repair_ids.read_ids(spark, repair_ids.write_ids(odd_docs, common.shared_dir(spark, "t"), BPE), with_ids=True).toPandas().sort_values("start")
     t, start = Tokenizer.from_file(BPE), 0
