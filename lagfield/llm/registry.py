@@ -7,9 +7,9 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, minhash, mixing, quality, repair_ids, sentencepiece_codec, token_counts, topk, url_filter, warc
+from . import exact_dedup, fertility, minhash, mixing, quality, repair_ids, sentencepiece_codec, token_counts, topk, url_filter, warc
 
-MODULES = (quality, exact_dedup, warc, sentencepiece_codec, mixing, topk, token_counts, repair_ids, url_filter, minhash)
+MODULES = (quality, exact_dedup, warc, sentencepiece_codec, mixing, topk, token_counts, repair_ids, url_filter, minhash, fertility)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
