@@ -92,11 +92,20 @@ class WordCachedBpe:
         # A word's ids take about as many bytes as four of its letters each, at most.
         self.kept_bytes += 5 * sum(map(len, pieces | stems))
 
-    def encode_batch(self, texts: list[str]) -> list[bytes]:
+    def _bound(self) -> None:
         if len(self.kept) > KEPT_WORDS or self.kept_bytes > KEPT_BYTES:
             self.kept.clear()
             self.tails.clear()
             self.kept_bytes = 0
+
+    def words(self, words: list[str]) -> list[bytes]:
+        """Ids of words without white space or special tokens in them, a space before each; of those that begin with a line feed without one."""
+        self._bound()
+        self._learn(set(words).difference(self.kept))
+        return list(map(self.kept.__getitem__, words))
+
+    def encode_batch(self, texts: list[str]) -> list[bytes]:
+        self._bound()
         kept, new = self.kept, set()
         cut = [self._cut(t) if t else [] for t in texts]
         found = [None if c is None else list(map(kept.get, c)) for c in cut]

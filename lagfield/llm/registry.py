@@ -7,9 +7,9 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, fertility, minhash, mixing, periodic, quality, repair_ids, sentencepiece_codec, token_counts, topk, url_filter, warc
+from . import alignment, exact_dedup, fertility, minhash, mixing, periodic, quality, repair_ids, sentencepiece_codec, token_counts, topk, url_filter, warc
 
-MODULES = (quality, exact_dedup, warc, sentencepiece_codec, mixing, topk, token_counts, repair_ids, url_filter, minhash, periodic, fertility)
+MODULES = (quality, exact_dedup, warc, sentencepiece_codec, mixing, topk, token_counts, repair_ids, url_filter, minhash, periodic, alignment, fertility)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lagfield.llm import fertility, periodic, words
+from lagfield.llm import alignment, fertility, periodic, words
 from lagfield.llm.registry import queries
 
 SF = "/root/testdata/sf0.001"
@@ -132,6 +132,103 @@ def test_tails_keep_null_ids_and_texts(spark):
     assert got[None] == "a b" and got[ids[0]] is None and got[ids[1]] == " \n " and len(got[ids[2]].split()) == 8
 
 
+# 12 alignment
+
+
+@pytest.fixture(scope="module")
+def libraries():
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    a = Tokenizer.from_file(BPE)
+    a.encode_special_tokens = True
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    letters = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
+    sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    raw_b = lambda i: bytes([int(sp.id_to_piece(i)[3:-1], 16)]) if sp.is_byte(i) else sp.id_to_piece(i).replace("\u2581", " ").encode()
+    return a, sp, lambda i: bytes(letters[c] for c in a.id_to_token(i)), raw_b
+
+
+def intervals(ids, raw):
+    at, out = 0, []
+    for i in ids:
+        n = len(raw(i))
+        out.append((i, at, at + n))
+        at += n
+    return out
+
+
+def brute_alignment(rows, libraries):
+    """Every document's tokens by the libraries, all pairs of them compared."""
+    a, sp, raw_a, raw_b = libraries
+    parts, held, corpus = [], [], Counter()
+    for _, text in rows:
+        x = intervals(a.encode(" " + text, add_special_tokens=False).ids, raw_a) if text else []
+        y = intervals(sp.encode(text), raw_b) if text else []
+        whole = (" " + text).encode() if text else b""
+        if not text or b"".join(raw_a(i) for i, _, _ in x) != whole or b"".join(raw_b(i) for i, _, _ in y) != whole:
+            x, y = [], []
+        links = []
+        first = 0
+        for i, s, e in x:
+            while first < len(y) and y[first][2] <= s:
+                first += 1
+            k = first
+            while k < len(y) and y[k][1] < e:
+                links.append((i, y[k][0]))
+                k += 1
+        ends = sorted({e for _, _, e in x} & {e for _, _, e in y})
+        groups, low = [], 0
+        for e in ends:
+            groups.append(",".join(str(i) for i, s, t in x if low <= s and t <= e) + "|" + ",".join(str(i) for i, s, t in y if low <= s and t <= e))
+            low = e
+        parts.append((len(x), len(y), len(groups), len(links), ";".join(groups)))
+        held.append(Counter(links))
+        corpus.update(set(links))
+    top = {}
+    for (i, _), n in corpus.items():
+        top[i] = max(n, top.get(i, 0))
+    out = Counter()
+    for (doc_id, _), (*counts, groups), links in zip(rows, parts, held, strict=True):
+        best = sum(n for p, n in links.items() if corpus[p] == top[p[0]])
+        out[(doc_id, *counts, groups, best, sum(n * corpus[p] for p, n in links.items()))] += 1
+    return out, corpus, top
+
+
+DOCUMENT = ["doc_id", *alignment.COUNTS, "groups", "n_best", "count_sum"]
+
+
+def aligned(df):
+    out, pairs = alignment.align(df, BPE, PIECES)
+    return Counter(tuple(r[c] for c in DOCUMENT) for r in out.collect()), {(r.a, r.b): (r.documents, r.best) for r in pairs.collect()}
+
+
+@pytest.mark.parametrize("block", [1 << 22, 2000])
+def test_alignment_equals_brute_force(spark, odd_docs, libraries, texts, monkeypatch, block):
+    monkeypatch.setattr(alignment, "BLOCK_BYTES", block)
+    odd = ["a  b", " lead", "trail ", "x\n\ny", "\n", "tab\there", "a\u2581b", "it's we'll 'tis", "<|endoftext|> and </s> <0x41>", "世界 🙂 na\u0308ive", "e\u00a0f\u2003g", "A\x00B", "x \n y", "p\nq r\n\ns", "ÀÉ ɏɏ zz…", "don't\nstop", "1234 5678\n90", "\r\nq"]
+    rows = [(r.doc_id, r.text) for r in odd_docs.collect() if len(r.text or "") < 5000] + [(100 + k, t) for k, t in enumerate(odd)] + sorted(texts.items())[:25]
+    got, pairs = aligned(spark.createDataFrame([(*r, 1, "own") for r in rows], "doc_id long, text string, block long, at string"))
+    want, corpus, top = brute_alignment(rows, libraries)
+    assert got == want and pairs == {p: (n, n == top[p[0]]) for p, n in corpus.items()}
+
+
+def test_op12_equals_brute_force(spark, texts, libraries):
+    names = [*DOCUMENT[:5], "groups_sha256", *DOCUMENT[6:]]
+    got = Counter(tuple(r[c] for c in names) for r in queries()["op12_alignment"](spark, SF).collect())
+    want, _, _ = brute_alignment(sorted(texts.items()), libraries)
+    assert got == Counter({(*k[:5], hashlib.sha256(k[5].encode()).hexdigest() if k[5] else "", *k[6:]): n for k, n in want.items()})
+
+
+def test_alignment_of_empty_tables_and_forgotten_pieces(spark, no_docs, texts, libraries, monkeypatch):
+    out, pairs = alignment.align(no_docs, BPE, PIECES)
+    assert out.isEmpty() and pairs.isEmpty()
+    of, some = alignment.Aligner(BPE, PIECES), [t or "" for _, t in sorted(texts.items())[:12]]
+    want = of.block(some)["groups"]
+    monkeypatch.setattr(alignment, "KEPT_PIECES", 5)
+    assert [g for t in some for g in of.block([t])["groups"]] == want and of.block([])["groups"] == []
+
+
 # 13 quality rules
 
 
