@@ -249,7 +249,7 @@ def align(docs: DataFrame, byte_level: str, pieces: str, id_col: str = "doc_id",
     counts = counts.join(F.broadcast(top), "a").select("pair", "a", F.col("pair").bitwiseAND(F.lit((1 << 32) - 1)).alias("b"), "documents", (F.col("documents") == F.col("most")).alias("best"))
     back = partial.join(counts.select("pair", "documents", "best"), "pair").select("block", "at", "documents", "best")
     of_docs = blocks.where("n_a IS NOT NULL").select("block", "doc_id", *COUNTS, "groups", "at", "n")
-    out = of_docs.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(_with_counts, f"doc_id long, {', '.join(f'{c} long' for c in COUNTS)}, groups string, n_best long, count_sum long")
+    out = of_docs.groupBy("block").cogroup(back.toDF(*back.columns).groupBy("block")).applyInArrow(_with_counts, f"doc_id long, {', '.join(f'{c} long' for c in COUNTS)}, groups string, n_best long, count_sum long")
     return out, counts.select("a", "b", "documents", "best")
 
 
