@@ -21,7 +21,7 @@ from __future__ import annotations
 import hashlib
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from itertools import chain
 
@@ -33,11 +33,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe_words import _byte_letters, word_cached
+from .bpe_words import WordCachedBpe, _byte_letters
 from .common import Scratch, read
 from .files import bounded_batches
 
-BLOCK_BYTES, KEPT_PIECES, DUCK_MEMORY = 1 << 22, 250_000, "700MB"
+BLOCK_BYTES, KEPT_PIECES, DUCK_MEMORY = 3 << 20, 200_000, "400MB"
 MARK, PLAIN = "▁", "!-~À-ɏ"
 #: Texts of plain words with single spaces or line feeds between; where any other text may be cut; pieces of one plain word.
 PLAIN_TEXT = re.compile(f"[{PLAIN}]+(?:[ \n][{PLAIN}]+)*")
@@ -70,9 +70,9 @@ class Tokens:
     size: np.ndarray
 
     @classmethod
-    def of(cls, ids: list[list[int]], size: np.ndarray) -> Tokens:
-        at = np.cumsum([0, *map(len, ids)])
-        return cls(np.fromiter(chain.from_iterable(ids), np.int64, int(at[-1])), at, size)
+    def of(cls, ids: Sequence[bytes], size: np.ndarray) -> Tokens:
+        """From each piece's ids as little-endian 32-bit bytes."""
+        return cls(np.frombuffer(b"".join(ids), "<u4").astype(np.int64), np.cumsum([0, *map(len, ids)]) // 4, size)
 
     def only(self, pieces: np.ndarray) -> Tokens:
         """The tokens of some pieces; the others have none."""
@@ -103,8 +103,8 @@ class Aligner:
         inner = [t for t in names if len(t) > 1 and not t.startswith("<0x")]
         if any(MARK in t.lstrip(MARK) for t in inner) or any("\n" in t for t in names):
             raise ValueError("a piece of B goes on after a space, or has a line feed in it")
-        self.words, self.special = word_cached(byte_level), [t.content for t in self.a.get_added_tokens_decoder().values()]
-        self.kept: dict[str, tuple[list[int], list[int]]] = {}
+        self.words, self.special = WordCachedBpe(byte_level, KEPT_PIECES // 2), [t.content for t in self.a.get_added_tokens_decoder().values()]
+        self.kept: dict[str, tuple[bytes, bytes]] = {}
         self.duck = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": DUCK_MEMORY, "temp_directory": "", "autoinstall_known_extensions": False, "autoload_known_extensions": False})
 
     def pieces_of(self, text: str) -> list[str]:
@@ -117,19 +117,26 @@ class Aligner:
 
     def _learn(self, pieces: list[str]) -> None:
         """A piece begins with the space that B adds by itself, or with a line feed: then B gives back a space of its own, which goes."""
-        plain = [bool(PLAIN_PIECE.fullmatch(p)) and not any(s in p for s in self.special) for p in pieces]
-        words = iter(self.words.words([p[1:] if p[0] == " " else p for p, ok in zip(pieces, plain, strict=True) if ok]))
-        others = iter(self.a.encode_batch_fast([p for p, ok in zip(pieces, plain, strict=True) if not ok], add_special_tokens=False))
+        text = "\n".join(pieces)
+        special = any(s in text for s in self.special)
+        plain = [p for p in pieces if PLAIN_PIECE.fullmatch(p) and not (special and any(s in p for s in self.special))]
+        others = list(set(pieces).difference(plain))
+        a = dict(zip(plain, self.words.words([p[1:] if p[0] == " " else p for p in plain]), strict=True))
+        for p, e in zip(others, self.a.encode_batch_fast(others, add_special_tokens=False), strict=True):
+            a[p] = np.array(e.ids, "<u4").tobytes()
         b = self.b.encode([p[1:] if p[0] == " " else p for p in pieces], num_threads=1)
-        for p, ok, y in zip(pieces, plain, b, strict=True):
-            self.kept[p] = (np.frombuffer(next(words), "<u4").tolist() if ok else next(others).ids, y if p[0] == " " else y[1:])
+        ends = 4 * np.cumsum([0, *map(len, b)])
+        raw = np.fromiter(chain.from_iterable(b), "<u4", int(ends[-1]) // 4).tobytes()
+        begins = (ends[:-1] + [0 if p[0] == " " else 4 for p in pieces]).tolist()
+        self.kept.update(zip(pieces, zip(map(a.__getitem__, pieces), map(raw.__getitem__, map(slice, begins, ends[1:].tolist())), strict=True), strict=True))
 
     def encode(self, pieces: list[str]) -> tuple[Tokens, Tokens]:
         if len(self.kept) > KEPT_PIECES:
             self.kept.clear()
-        self._learn([p for p in pieces if p not in self.kept])
-        found = list(map(self.kept.__getitem__, pieces))
-        return Tokens.of([x for x, _ in found], self.size_a), Tokens.of([y for _, y in found], self.size_b)
+        if new := [p for p in pieces if p not in self.kept]:
+            self._learn(new)
+        a, b = zip(*map(self.kept.__getitem__, pieces), strict=True) if pieces else ((), ())
+        return Tokens.of(a, self.size_a), Tokens.of(b, self.size_b)
 
     def _same(self, raw: list[bytes], a: Tokens, b: Tokens) -> np.ndarray:
         """Which pieces come back from the tokens of both."""

@@ -30,7 +30,8 @@ def _byte_letters() -> np.ndarray:
 class WordCachedBpe:
     """``encode_batch(texts)`` gives each text's ids as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kept_words: int = KEPT_WORDS):
+        self.kept_words = kept_words
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -93,7 +94,7 @@ class WordCachedBpe:
         self.kept_bytes += 5 * sum(map(len, pieces | stems))
 
     def _bound(self) -> None:
-        if len(self.kept) > KEPT_WORDS or self.kept_bytes > KEPT_BYTES:
+        if len(self.kept) > self.kept_words or self.kept_bytes > KEPT_BYTES:
             self.kept.clear()
             self.tails.clear()
             self.kept_bytes = 0
