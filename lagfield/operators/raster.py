@@ -30,10 +30,10 @@ def lineitem_cube(lineitem: DataFrame, height: int = 8, width: int = 8) -> DataF
 EVENT_CODES = {"click": 0, "error": 1, "purchase": 2, "signup": 3, "view": 4}
 
 
-def event_cube(events: DataFrame, hours: int = 1) -> DataFrame:
-    """Hours x users x event types, counts."""
+def event_cube(events: DataFrame, hours: float = 1) -> DataFrame:
+    """Hours x users x event types, counts. Whole seconds a frame: ``hours`` is a multiple of 1 / 3600."""
     code = F.create_map(*[F.lit(a) for kv in EVENT_CODES.items() for a in kv])
-    at = F.floor(F.unix_timestamp("ts") / (3600 * hours))
+    at = F.floor(F.unix_timestamp("ts") / round(3600 * hours))
     return raster(events, at, F.col("user_id") % 8, F.element_at(code, F.col("event_type")), F.count(F.lit(1)))
 
 

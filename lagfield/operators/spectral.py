@@ -16,6 +16,11 @@ from .raster import dense, gathered
 SPECTRUM = "seq_id string, t int, iy int, ix int, re double, im double"
 #: Pixels of a padded frame up to which the spectrum is two relational sums; each pixel gives nx/2 + ny rows there. Larger frames are transformed whole.
 DFT_PIXELS = 1024
+#: Pixels of a padded frame beyond which no row holds a frame: rows and columns are transformed apart.
+FRAME_PIXELS = 1 << 24
+#: Bytes of a column block of one frame, about.
+COLUMN_BYTES = 1 << 22
+LINES = "seq_id string, t int, y int, part int, re array<double>, im array<double>"
 
 
 def windowed(frames: DataFrame, window: Column | DataFrame | None) -> DataFrame:
@@ -36,8 +41,9 @@ def check_window(window: DataFrame, grid: Grid) -> None:
 
 
 def spectrum_of(frames: DataFrame, grid: Grid, window: Column | DataFrame | None = None) -> DataFrame:
-    """The spectrum by the form that suits the frame's size: relational sums up to ``DFT_PIXELS``, an FFT a frame beyond."""
-    return (dft_cells if grid.ny * grid.nx <= DFT_PIXELS else rfft2_cells)(frames, grid, window)
+    """The spectrum by the form that suits the frame's size: relational sums up to ``DFT_PIXELS``, an FFT a frame beyond, FFTs of rows and columns beyond ``FRAME_PIXELS``."""
+    size = grid.ny * grid.nx
+    return (dft_cells if size <= DFT_PIXELS else rfft2_cells if size <= FRAME_PIXELS else rfft2_pencil)(frames, grid, window)
 
 
 def dft_cells(frames: DataFrame, grid: Grid, window: Column | DataFrame | None = None) -> DataFrame:
@@ -103,6 +109,45 @@ def rfft2_arrow(packed: DataFrame, grid: Grid, window: np.ndarray | None = None)
     return packed.select("seq_id", "t", "pixels").mapInArrow(run, SPECTRUM)
 
 
+def rfft2_pencil(frames: DataFrame, grid: Grid, window: Column | DataFrame | None = None, columns: int | None = None) -> DataFrame:
+    """The same by two passes of one-dimensional FFTs and an exchange between them; a row holds a line of a frame at most, a task a block of columns.
+
+    Cells meet by (sequence, t, y) and every line is transformed along x and cut in blocks of ``columns`` wavevectors, which meet by (sequence, t, block)
+    to be transformed along y. Lines without a cell are zeros and need no row.
+    """
+    if isinstance(window, DataFrame):
+        check_window(window, grid)
+    columns = columns or max(1, COLUMN_BYTES // (16 * grid.ny))
+    cuts = range(0, grid.nxh, columns)
+
+    def along_x(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                f = np.fft.rfft(dense(b.column("at")[i], b.column("v")[i], grid.width), grid.nx)
+                parts = [f[k : k + columns] for k in cuts]
+                same = [pa.array([b.column(c)[i].as_py()] * len(parts), kind) for c, kind in (("seq_id", pa.string()), ("t", pa.int32()), ("y", pa.int32()))]
+                ends = pa.array(np.r_[[*cuts], grid.nxh].astype(np.int32))
+                lists = [pa.ListArray.from_arrays(ends, pa.array(np.ascontiguousarray(x))) for x in (f.real, f.imag)]
+                yield pa.RecordBatch.from_arrays([*same, pa.array(np.arange(len(parts), dtype=np.int32)), *lists], ["seq_id", "t", "y", "part", "re", "im"])
+
+    def along_y(table: pa.Table) -> pa.Table:
+        begin = table.column("part")[0].as_py() * columns
+        width, y = min(columns, grid.nxh - begin), table.column("y").to_numpy()
+        lines = np.zeros((grid.ny, width), complex)
+        re, im = (table.column(c).combine_chunks().flatten().to_numpy().reshape(-1, width) for c in ("re", "im"))
+        lines[y] = re + 1j * im
+        s = np.fft.fftshift(np.fft.fft(lines, axis=0), axes=0).ravel() / math.sqrt(grid.nx * grid.ny)
+        iy, ix = (a.ravel().astype(np.int32) for a in np.indices((grid.ny, width)))
+        same = [pa.array([table.column("seq_id")[0].as_py()] * len(s), pa.string()), pa.array(np.full(len(s), table.column("t")[0].as_py(), np.int32))]
+        return pa.Table.from_arrays([*same, pa.array(iy), pa.array(ix + np.int32(begin)), pa.array(s.real.copy()), pa.array(s.imag.copy())], ["seq_id", "t", "iy", "ix", "re", "im"])
+
+    cells = windowed(frames.select("seq_id", "t", "y", "x", F.col("v").cast("double").alias("v")), window)
+    line = F.collect_list(F.struct(F.col("x").cast("int").alias("at"), "v"))
+    lines = cells.groupBy("seq_id", F.col("t").cast("int").alias("t"), F.col("y").cast("int").alias("y")).agg(line.alias("_b"))
+    lines = lines.select("seq_id", "t", "y", F.col("_b.at").alias("at"), F.col("_b.v").alias("v")).mapInArrow(along_x, LINES)
+    return lines.groupBy("seq_id", "t", "part").applyInArrow(along_y, SPECTRUM)
+
+
 def full_plane(half: DataFrame, grid: Grid) -> DataFrame:
     """Half plane to full plane by point symmetry, x shifted too. Rows keep their other columns; a spectrum's im changes sign in the mirror."""
     half_x = (grid.nx + 1) // 2 if grid.nx % 2 else grid.nxh - 1

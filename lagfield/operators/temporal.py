@@ -14,12 +14,15 @@ from pyspark.sql import functions as F
 
 from ..functions.grid import Grid
 from ..functions.lags import checked_lags
+from .blocked import by_block_scan, by_fft_blocks, by_halo
 from .raster import pack
 from .spectral import rfft2_arrow, spectrum_of
 
 Q = ["seq_id", "iy", "ix"]
 SF = "seq_id string, lag int, tau double, iy int, ix int, d double, n_pairs int"
-STRATEGIES = ("join", "lead", "prefix", "fft")
+STRATEGIES = ("join", "lead", "prefix", "fft", "halo", "block_scan", "fft_blocks")
+#: Frames of a sequence from which ``auto`` cuts the time axis in blocks.
+LONG_FRAMES = 8192
 #: Bytes of spectrum that a task of the FFT strategy holds, about.
 BLOCK_BYTES = 1 << 26
 
@@ -130,8 +133,9 @@ def by_fft(spectrum: DataFrame, lags: list[int], n_frames: int, delta_t: float =
 
 
 def choose_strategy(n_frames: int, lags: list[int]) -> str:
-    """``fft`` once the lags outweigh the logarithm that it costs; the window form for few lags."""
-    return "fft" if n_frames >= 64 and len(lags) > 2 * np.log2(2 * n_frames) else "lead"
+    """``fft`` once the lags outweigh the logarithm that it costs; the window form for few lags; either in blocks of the time axis once a sequence is long."""
+    many, long = n_frames >= 64 and len(lags) > 2 * np.log2(2 * n_frames), n_frames >= LONG_FRAMES
+    return ("fft_blocks" if long else "fft") if many else ("halo" if long else "lead")
 
 
 def _chosen(n_frames: int, lags: Iterable[int], strategy: str) -> tuple[list[int], str]:
@@ -152,6 +156,12 @@ def structure_function(frames: DataFrame, grid: Grid, n_frames: int, lags: Itera
         sf = by_lead(spectrum, lags, grid.delta_t)
     elif how == "prefix":
         sf = by_prefix(spectrum, lags, n_frames, grid.delta_t)
+    elif how == "halo":
+        sf = by_halo(spectrum, lags, grid.delta_t)
+    elif how == "block_scan":
+        sf = by_block_scan(spectrum, lags, n_frames, grid.delta_t)
+    elif how == "fft_blocks":
+        sf = by_fft_blocks(spectrum, lags, grid.delta_t, wavevectors=grid.ny * grid.nxh)
     else:
         blocks = max(64, -(-grid.ny * grid.nxh * n_frames * 16 // BLOCK_BYTES))
         sf = by_fft(spectrum, lags, n_frames, grid.delta_t, blocks)

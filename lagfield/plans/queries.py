@@ -195,6 +195,11 @@ def spectrum_fft_padded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spectral.rfft2_cells(_cube(spark, sf_dir, 13, 7), PAD, G.blackman_harris(13, 7)).select("t", "iy", "ix", *_r("re", "im"))
 
 
+@query("spectrum_pencil", S.with_(S.cube(13, 7), f"win AS (SELECT t, y, x, v * {_cos_sum('y', 13, G.BLACKMAN_HARRIS)} * {_cos_sum('x', 7, G.BLACKMAN_HARRIS)} AS v FROM frames)", S.spectrum(PAD, "win")) + _SPEC_OUT)
+def spectrum_pencil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spectral.rfft2_pencil(_cube(spark, sf_dir, 13, 7), PAD, G.blackman_harris(13, 7), columns=3).select("t", "iy", "ix", *_r("re", "im"))
+
+
 @query("spectrum_padded", S.with_(S.cube(13, 7), S.spectrum(PAD)) + _SPEC_OUT)
 def spectrum_padded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spectral.dft_cells(_cube(spark, sf_dir, 13, 7), PAD).select("t", "iy", "ix", *_r("re", "im"))
@@ -203,15 +208,31 @@ def spectrum_padded(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Temporal statistics
 
 _SF_OUT = f"SELECT lag, tau, iy, ix, {S.r('d', 'd')}, n_pairs FROM sf"
-for _how in temporal.STRATEGIES:
+WHOLE = ("join", "lead", "prefix", "fft")
+for _how in WHOLE:
     query(f"sf_{_how}", S.with_(*TO_SF) + _SF_OUT)(lambda spark, sf_dir, how=_how: _sf(spark, sf_dir, how)[0].select("lag", "tau", "iy", "ix", *_r("d"), "n_pairs"))
 
 
 _GAPS = S.with_(S.cube(), "partial AS (SELECT * FROM frames WHERE t % 7 <> 3)", S.spectrum(GRID, "partial"), S.structure(LAGS)) + _SF_OUT
-for _how in temporal.STRATEGIES:
+for _how in WHOLE:
     query(f"sf_gaps_{_how}", _GAPS)(lambda spark, sf_dir, how=_how: temporal.structure_function(_cube(spark, sf_dir).where("t % 7 <> 3"), GRID, N_MONTHS, LAGS, strategy=how)[0].select("lag", "tau", "iy", "ix", *_r("d"), "n_pairs"))
 
 
+# One frame a minute, most of them missing: blocks of the time axis.
+MINUTES, MINUTE_LAGS = 30 * 24 * 60, [1, 2, 5, 15, 60, 720]
+
+
+def _minute_spectrum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spectral.dft_cells(raster.event_cube(_table(spark, sf_dir, "events"), 1 / 60), G.Grid.of(8, 5))
+
+
+_MINUTES_SQL = S.with_(EVENTS.replace("3600", "60"), S.spectrum(G.Grid.of(8, 5)), S.structure(MINUTE_LAGS)) + _SF_OUT
+for _how in ("halo", "block_scan", "fft_blocks"):
+    query(f"sf_{_how}", _MINUTES_SQL)(
+        lambda spark, sf_dir, how=_how: temporal.structure_function(None, G.Grid.of(8, 5), MINUTES, MINUTE_LAGS, strategy=how, spectrum=_minute_spectrum(spark, sf_dir))[0].select("lag", "tau", "iy", "ix", *_r("d"), "n_pairs")
+    )
+
+
 @query("sf_dark_frames", S.with_(S.cube(), f"partial AS (SELECT * FROM frames WHERE t % 7 <> 3 UNION ALL SELECT CAST(range AS INTEGER), 0, 0, 0.0 FROM range({N_MONTHS}) WHERE range % 7 = 3)", S.spectrum(GRID, "partial"), S.structure(LAGS)) + _SF_OUT)
 def sf_dark_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     cube = raster.filled_frames(_cube(spark, sf_dir).where("t % 7 <> 3"), N_MONTHS)
