@@ -23,7 +23,8 @@ def _limits(k_min: float | None, k_max: float | None, default: Column) -> tuple[
 
 
 def _all_bins(aa: DataFrame) -> DataFrame:
-    return aa.select("seq_id", "bin", "k").distinct()
+    # Not by k: a ring's k may differ in its last bit from slice to slice.
+    return aa.select("seq_id", "bin").distinct()
 
 
 def _spread(aa: DataFrame, one: DataFrame) -> DataFrame:
@@ -88,7 +89,7 @@ def radial_noise(aa: DataFrame, aa_extra: DataFrame, mode: str = "zero", k_min:
         source, value, err, times = aa, "d", "err", 1.0
     else:
         source, value, err, times = aa_extra, mode, f"{mode}_err", 2.0
-    inside = source.join(F.broadcast(top), "seq_id").where((F.col("k") >= low) & (F.col("k") <= high))
+    inside = source.join(top, "seq_id").where((F.col("k") >= low) & (F.col("k") <= high))
     v, e = F.col(value), F.col(err)
     mean = times * F.avg(F.when(_known(v), v))
     spread = F.sqrt(F.sum(F.when(_known(e), e * e))) / F.count(F.lit(1)) * times

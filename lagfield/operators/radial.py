@@ -31,7 +31,7 @@ def azimuthal_average(values: DataFrame, grid_rows: DataFrame, edges: list[float
     """One row per group of ``by`` and ring: bin, k, avg, err.
 
     ``grid_rows`` has iy, ix, k, mult, and what mask and weight use. A pixel belongs to the ring i with edge[i-1] < k <= edge[i]; k beyond the
-    edges or below ``low`` drops out, and so do masked pixels and those of weight 0; a negative weight raises ``ValueError``. The error is the
+    edges or below ``low`` drops out, and so do masked pixels and those of weight 0, NaN or null; a negative weight raises ``ValueError``. The error is the
     unbiased weighted standard deviation (NaN for a single count). Empty rings give NaN and the middle of their edges.
 
     One pass over the pixels: pixels of a ring that weigh the same are reduced to count, mean and variance before the exchange, and the
@@ -42,7 +42,7 @@ def azimuthal_average(values: DataFrame, grid_rows: DataFrame, edges: list[float
     given = weight if weight is not None else F.lit(1.0)
     spot = F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e < F.col("k")))
     w = F.col("mult") * given
-    inside = (F.col("bin") < len(edges)) & (F.col("k") >= low) & (mask if mask is not None else F.lit(True)) & (w > 0)
+    inside = (F.col("bin") < len(edges)) & (F.col("k") >= low) & (mask if mask is not None else F.lit(True)) & (w > 0) & ~F.isnan(w.cast("double"))
     # Pixels outside fall into a ring of null, so that a group without any pixel inside still has its empty rings.
     g = grid_rows.withColumn("bin", spot).select("iy", "ix", "k", F.when(inside, F.col("bin")).alias("bin"), F.when(inside, w).otherwise(0).cast("double").alias("_w"), F.when(inside, w * given).otherwise(0).cast("double").alias("_w2"))
     part = values.join(g, ["iy", "ix"]).groupBy(*by, "bin", "_w", "_w2").agg(F.count(F.lit(1)).alias("_n"), F.avg(value).alias("_m"), F.var_pop(value).alias("_s"), F.sum("k").alias("_k"))

@@ -577,34 +577,59 @@ def model_over_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Files: written to the shared folder and read again
 
 
-def _names(spark: SparkSession, what: str) -> Callable[[str], str]:
-    folder = shared_dir(spark, what)
-    return lambda seq_id: f"{folder}/{seq_id}"
-
-
 @query("container_sf_roundtrip", S.with_(*TO_SF) + f"SELECT CAST(list_position({LAGS}, lag) - 1 AS INTEGER) AS slice, tau, iy, ix, {S.r('d', 'd')} FROM sf WHERE lag IN (3, 5, 8)")
 def container_sf_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    (path,) = container.save_sf(*_sf(spark, sf_dir), GRID, _names(spark, "sf"))
+    (path,) = container.save_sf(*_sf(spark, sf_dir), GRID, shared_dir(spark, "sf"))
     return container.load(spark, path).where("slice >= 2 AND slice >= 1 AND slice < 5 AND slice IN (0, 2, 3, 4) AND slice IN (2, 3, 4, 5)").select("slice", "tau", "iy", "ix", *_r("d"))
 
 
 @query("container_sf_grid", S.with_(S.wave_grid(G.Grid.of(8, 8, 0.5))) + f"SELECT iy, ix, {S.r('ky', 'ky')}, {S.r('kx', 'kx')}, mult FROM qgrid")
 def container_sf_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    (path,) = container.save_sf(*_sf(spark, sf_dir), G.Grid.of(8, 8, 0.5), _names(spark, "sf"))
+    (path,) = container.save_sf(*_sf(spark, sf_dir), G.Grid.of(8, 8, 0.5), shared_dir(spark, "sf"))
     return container.grid_of(spark, path).select("iy", "ix", *_r("ky", "kx"), "mult")
 
 
 @query("container_aa_roundtrip", S.with_(*TO_AA) + _AA_OUT + " WHERE bin >= 1 AND bin <> 3")
 def container_aa_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     aa, extra, edges = _aa(spark, sf_dir, keep=True)
-    (path,) = container.save_radial(aa, _names(spark, "aa"), edges, extra)
+    (path,) = container.save_radial(aa, shared_dir(spark, "aa"), edges, extra)
     return container.load(spark, path).where("bin >= 1 AND bin >= 0 AND bin <> 3").select("bin", *_r("k"), "tau", *_r("d", "err"))
 
 
+_BOTH_RATES = f"({_rate_sql(1, FAST)} UNION ALL {_rate_sql(6, SLOW)})"
+
+
+@query("container_merged_roundtrip", f"SELECT bin, {S.r('k', 'k')}, tau, {S.r('d', 'd')}, {S.r('err', 'err')} FROM {_BOTH_RATES.replace(str(SLOW), str([1, 2, 3]))} UNION ALL SELECT bin, {S.r('k', 'k')}, tau, {S.r('d', 'd')}, {S.r('err', 'err')} FROM {_rate_sql(1, [3, 6, 12])}")
+def container_merged_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merged curves of two rates and a third one, whose lists of tau have 3, 6 and 12 in common: the file keeps the repeats."""
+    fast, slow, more = (_rate(spark, sf_dir, h, n, lags)[0] for h, n, lags in ((1, 720, FAST), (6, 120, [1, 2, 3]), (1, 720, [3, 6, 12])))
+    (path,) = container.save_radial(merge.mergesort(merge.mergesort(fast, slow), more), shared_dir(spark, "merged"), _E85[0])
+    return container.load(spark, path).select("bin", *_r("k"), "tau", *_r("d", "err"))
+
+
+# A sequence for each return flag, a container each.
+_FLAGS = S.with_(
+    "cells AS (SELECT l_returnflag AS seq_id, year(l_shipdate) * 12 + month(l_shipdate) AS m, l_suppkey % 8 AS y, l_partkey % 8 AS x, sum(l_quantity) AS v FROM lineitem GROUP BY ALL)",
+    "frames AS (SELECT seq_id, CAST(m - (SELECT min(m) FROM cells) AS INTEGER) AS t, y, x, v FROM cells)",
+    S.spectrum(GRID).replace("SELECT t,", "SELECT seq_id, t,").replace("GROUP BY t, jy, jx", "GROUP BY seq_id, t, jy, jx"),
+    S.structure(LAGS).split("extra AS")[0].rstrip(",\n ").replace("SELECT CAST(lag", "SELECT a.seq_id, CAST(lag").replace("b.iy = a.iy", "b.seq_id = a.seq_id AND b.iy = a.iy").replace("GROUP BY lag,", "GROUP BY a.seq_id, lag,"),
+)
+
+
+@query("container_folder_scan", _FLAGS + f"SELECT seq_id, tau, iy, ix, {S.r('d', 'd')} FROM sf WHERE seq_id <> 'A' AND tau BETWEEN 2 AND 7")
+def container_folder_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_dir(spark, "folder")
+    month = (F.year("l_shipdate") * 12 + F.month("l_shipdate")).cast("int")
+    cells = _table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("seq_id"), month.alias("m"), (F.col("l_suppkey") % 8).cast("int").alias("y"), (F.col("l_partkey") % 8).cast("int").alias("x")).agg(F.sum("l_quantity").cast("double").alias("v"))
+    frames = cells.crossJoin(F.broadcast(cells.agg(F.min("m").alias("first")))).select("seq_id", (F.col("m") - F.col("first")).alias("t"), "y", "x", "v")
+    container.save_sf(*temporal.structure_function(frames, GRID, N_MONTHS, LAGS), GRID, folder)
+    return container.load_folder(spark, folder, "sf").where("seq_id > 'A' AND tau >= 2 AND tau <= 7").select("seq_id", "tau", "iy", "ix", *_r("d"))
+
+
 @query("container_isf_roundtrip", _isf_sql("zero", "power_spec"))
 def container_isf_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     aa, extra, edges = _aa(spark, sf_dir, keep=True)
-    (path,) = container.save_radial(isf.intermediate_scattering(aa, extra, "zero", "power_spec"), _names(spark, "isf"), edges, kind="isf")
+    (path,) = container.save_radial(isf.intermediate_scattering(aa, extra, "zero", "power_spec"), shared_dir(spark, "isf"), edges, kind="isf")
     return container.load(spark, path).select("bin", *_r("k"), "tau", *_r("f", "err"))
 
 
@@ -614,21 +639,20 @@ _FRAMES_OUT = f"SELECT CAST(m.range AS INTEGER) AS t, CAST(a.range AS INTEGER) A
 @query("tiff_roundtrip", S.with_(S.cube()) + _FRAMES_OUT)
 def tiff_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_dir(spark, "tiff")
-    paths = tiff.save_frames(raster.pack(_cube(spark, sf_dir), 8, 8), lambda s, t: f"{folder}/{s}-{t:04d}.tif", "f8")
-    return raster.unpack(tiff.read_images(spark, sorted(paths))).drop("seq_id")
+    paths = tiff.save_frames(raster.pack(_cube(spark, sf_dir), 8, 8), folder, dtype="f8")
+    return raster.unpack(tiff.read_images(spark, paths)).drop("seq_id")
 
 
 @query("tiff_metadata", "SELECT CAST(8 AS INTEGER) AS width, CAST(8 AS INTEGER) AS height, CAST(64 AS INTEGER) AS bits")
 def tiff_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_dir(spark, "tiff")
-    (path,) = tiff.save_frames(raster.pack(_cube(spark, sf_dir).where("t = 5"), 8, 8), lambda s, t: f"{folder}/{s}-{t:04d}.tif", "f8")
+    (path,) = tiff.save_frames(raster.pack(_cube(spark, sf_dir).where("t = 5"), 8, 8), folder, dtype="f8")
     return tiff.read_metadata(spark, path).select(*[F.col("tags")[tag].cast("int").alias(name) for name, tag in (("width", "ImageWidth"), ("height", "ImageLength"), ("bits", "BitsPerSample"))])
 
 
 @query("tiff_slices_roundtrip", S.with_(*TO_SF) + "SELECT lag, iy, ix, round(CAST(CAST(d AS FLOAT) AS DOUBLE), 1) + 0.0 AS d FROM (" + _FULL.replace("round(d, 6) + 0.0 AS d", "d") + ")")
 def tiff_slices_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_dir(spark, "tiff")
-    names = {lag: f"{folder}/{i:02d}.tif" for i, lag in enumerate(LAGS)}
-    tiff.save_slices(spectral.full_plane(_sf(spark, sf_dir)[0], GRID), 8, 8, names)
-    back = raster.unpack(tiff.read_images(spark, list(names.values())))
+    paths = tiff.save_slices(spectral.full_plane(_sf(spark, sf_dir)[0], GRID), 8, 8, folder, {lag: f"{i:02d}.tif" for i, lag in enumerate(LAGS)})
+    back = raster.unpack(tiff.read_images(spark, paths))
     return back.select(F.element_at(F.array(*map(F.lit, LAGS)), F.col("t") + 1).alias("lag"), F.col("y").alias("iy"), F.col("x").alias("ix"), (F.round("v", 1) + 0.0).alias("d"))

@@ -2,7 +2,7 @@
 
 Layout: a 64-byte header, arrays in row-major order, and 64-bit offsets at the end of the file, last array first. Readers
 seek: a reader's partition is a run of slices (lags of a structure function, rings of the others), and filters on them skip the rest.
-All filters on the slice number hold together; the others go back to Spark.
+All filters on the slice number hold together; the others go back to Spark. Writers give every value its position in the file and stream it there.
 """
 
 from __future__ import annotations
@@ -10,19 +10,20 @@ from __future__ import annotations
 import os
 import struct
 import sys
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from typing import BinaryIO
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, Filter, InputPartition
 
 from ..functions.grid import Grid, qgrid
-from .shared import Chosen, open_read, open_write, remove, shared_dir
+from .shared import Chosen, files_below, kept, open_read
+from .writing import CommittedFiles
 
 #: Fixed values of the format: identifiers, version, header length.
 IDS = {"sf": 73, "aa": 22, "isf": 43}
@@ -31,6 +32,10 @@ COUNTS = {"sf": ("Nt", "Ny", "Nx", "Nextra", "width", "height"), "aa": ("Nk", "N
 ARRAYS = {"sf": ("data", "kx", "ky", "tau", "pixel_size", "delta_t", "extra"), "aa": ("data", "err", "k", "tau", "bin_edges"), "isf": ("data", "err", "k", "tau", "bin_edges")}
 
 
+#: Headers that the driver reads at the same time.
+HEADERS_AT_ONCE = 32
+
+
 def array_format(dtype: np.dtype) -> str:
     if np.dtype(dtype) == np.float64:
         return "d"
@@ -58,33 +63,20 @@ class Header:
         return np.dtype(self.order + ("f8" if self.fmt == "d" else "f4"))
 
 
-def write_container(path: str, kind: str, arrays: dict[str, np.ndarray | None], width: int = 0, height: int = 0, dtype: np.dtype = np.float64, slices: Iterable[bytes] | None = None) -> str:
-    """``arrays`` by name; sf: data (lags), extra (2 slices), kx, ky, tau, pixel_size, delta_t; others: data with the extra columns, err or None, k, tau, bin_edges.
-
-    ``slices`` gives an sf's data lag by lag, as bytes of ``dtype``, in place of ``data``: only one of them is in memory.
-    """
-    fmt, path = array_format(dtype), file_name(path, kind)
-    put = {k: None if v is None else np.ascontiguousarray(v, dtype=dtype) for k, v in arrays.items()}
-    nt = put["tau"].size
-    if kind == "sf":
-        ny, nx = put["extra"].shape[1:]
-        counts, order = (nt, ny, nx, len(put["extra"]), width, height), ("data", "extra", "kx", "ky", "tau", "pixel_size", "delta_t")
-    else:
-        counts, order = (put["data"].shape[0], nt, put["data"].shape[1] - nt), ARRAYS[kind]
-    head = (b"LL" if sys.byteorder == "little" else b"BB") + struct.pack("=HBB", IDS[kind], *VERSION) + fmt.encode() + struct.pack(f"={len(counts)}Q", *counts)
+def file_ends(kind: str, streamed: dict[str, int], after: dict[str, np.ndarray], counts: dict[str, int], dtype: np.dtype) -> tuple[bytes, bytes, int]:
+    """What stands before and after the streamed arrays (their numbers of values by name, in order): header, and the short arrays with the table of offsets; and how many values are between."""
+    fmt, size = array_format(dtype), np.dtype(dtype).itemsize
+    head = (b"LL" if sys.byteorder == "little" else b"BB") + struct.pack("=HBB", IDS[kind], *VERSION) + fmt.encode() + struct.pack(f"={len(COUNTS[kind])}Q", *(counts[c] for c in COUNTS[kind]))
     if kind != "sf":
-        head += struct.pack("=B", put["err"] is not None)
-    with open_write(path) as out:
-        out.write(head.ljust(HEAD, b"\0"))
-        at, offsets = HEAD, {}
-        for name in order:
-            offsets[name] = at
-            blocks = slices if name == "data" and slices is not None else [] if put[name] is None else [put[name].tobytes()]
-            for block in blocks:
-                out.write(block)
-                at += len(block)
-        out.write(struct.pack(f"={len(offsets)}Q", *(offsets[n] for n in reversed(ARRAYS[kind]))))
-    return path
+        head += struct.pack("=B", streamed["err"] > 0)
+    at, offsets, tail = HEAD, {}, b""
+    for name, n in streamed.items():
+        offsets[name] = at
+        at += n * size
+    for name, values in after.items():
+        offsets[name] = at + len(tail)
+        tail += np.ascontiguousarray(values, dtype).tobytes()
+    return head.ljust(HEAD, b"\0"), tail + struct.pack(f"={len(offsets)}Q", *(offsets[n] for n in reversed(ARRAYS[kind]))), sum(streamed.values())
 
 
 def read_header(f: BinaryIO, kind: str) -> Header:
@@ -142,59 +134,99 @@ def kind_of(path: str) -> str:
 
 @dataclass
 class Slices(InputPartition):
-    start: int
-    stop: int
+    """Slices (lags of an sf, rings of the others) of some files: (path, numbers) each."""
+
+    files: list[tuple[str, list[int]]]
+
+
+def seq_id_of(path: str, kind: str) -> str:
+    return path.rstrip("/").rpartition("/")[2].removesuffix(f".{kind}.ddm")
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, path: str, kind: str, parts: int):
-        self.path, self.kind, self.parts, self.chosen = path, kind, parts, Chosen()
-        with open_read(path) as f:
-            self.header = read_header(f, kind)
+    """One file, or those of a folder. Filters on the sequence choose files by name, those on slice, ring and tau are held against headers; what is left is cut into partitions."""
+
+    def __init__(self, path: str, kind: str, parts: int, folder: bool):
+        self.path, self.kind, self.parts, self.folder, self.chosen = path, kind, parts, folder, Chosen()
+        self.number = "slice" if kind == "sf" else "bin"
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        yield from self.chosen.take(filters, "slice" if self.kind == "sf" else "bin")
+        yield from self.chosen.take(filters, self.number, "tau", *["seq_id"] * self.folder)
 
-    def _wanted(self) -> list[int]:
-        return self.chosen.among(self.header.counts["Nt" if self.kind == "sf" else "Nk"])
+    def _wanted(self, path: str) -> list[int]:
+        """The slices of a file that its header lets through."""
+        with open_read(path) as f:
+            h = read_header(f, self.kind)
+            n = self.chosen.among(h.counts["Nt" if self.kind == "sf" else "Nk"], self.number)
+            if n and any(c == "tau" for c, _, _ in self.chosen.tests):
+                fits = [self.chosen.has("tau", x) for x in read_array(f, h, "tau", (h.counts["Nt"],)).tolist()]
+                n = [i for i in n if fits[i]] if self.kind == "sf" else n if any(fits) else []
+            return n
 
     def partitions(self) -> list[Slices]:
-        w = self._wanted()
-        size = max(1, -(-len(w) // self.parts))
-        return [Slices(i, i + size) for i in range(0, len(w), size)]
+        paths = [p for p in files_below(self.path, f".{self.kind}.ddm") if not self.folder or self.chosen.has("seq_id", seq_id_of(p, self.kind))]
+        with ThreadPoolExecutor(HEADERS_AT_ONCE) as pool:
+            wanted = list(zip(paths, pool.map(self._wanted, paths), strict=True))
+        size = max(1, -(-sum(len(n) for _, n in wanted) // self.parts))
+        out: list[Slices] = []
+        left = 0
+        for path, n in wanted:
+            while n:
+                if not left:
+                    out.append(Slices([]))
+                    left = size
+                out[-1].files.append((path, n[:left]))
+                n, left = n[left:], left - len(n[:left])
+        return out
 
     def read(self, partition: Slices) -> Iterator[pa.RecordBatch]:
-        h, c = self.header, self.header.counts
-        wanted = self._wanted()[partition.start : partition.stop]
-        with open_read(self.path) as f:
-            tau = read_array(f, h, "tau", (c["Nt"],))
-            if self.kind == "sf":
-                iy, ix = (a.ravel().astype(np.int32) for a in np.indices((c["Ny"], c["Nx"])))
-                for i in wanted:
-                    d = read_array(f, h, "data", (c["Ny"], c["Nx"]), i * c["Ny"] * c["Nx"]).ravel()
-                    yield pa.RecordBatch.from_pydict({"slice": np.full(len(d), i, np.int32), "tau": np.full(len(d), tau[i]), "iy": iy, "ix": ix, "d": d})
-                return
-            k, wide = read_array(f, h, "k", (c["Nk"],)), c["Nt"] + c["Nextra"]
-            name = "d" if self.kind == "aa" else "f"
+        for path, wanted in partition.files:
+            with open_read(path) as f:
+                for b in self._slices(f, read_header(f, self.kind), wanted):
+                    yield b.append_column("seq_id", pa.array([seq_id_of(path, self.kind)] * b.num_rows, pa.string())) if self.folder else b
+
+    def _slices(self, f: BinaryIO, h: Header, wanted: list[int]) -> Iterator[pa.RecordBatch]:
+        c = h.counts
+        tau = read_array(f, h, "tau", (c["Nt"],))
+        if self.kind == "sf":
+            iy, ix = (a.ravel().astype(np.int32) for a in np.indices((c["Ny"], c["Nx"])))
             for i in wanted:
-                v = read_array(f, h, "data", (wide,), i * wide)[: c["Nt"]]
-                e = read_array(f, h, "err", (wide,), i * wide)[: c["Nt"]] if h.has_err else [None] * c["Nt"]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), i, np.int32)), pa.array(np.full(len(v), k[i])), pa.array(tau), pa.array(v), pa.array(e, pa.float64())], ["bin", "k", "tau", name, "err"])
+                d = read_array(f, h, "data", (c["Ny"], c["Nx"]), i * c["Ny"] * c["Nx"]).ravel()
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(d), i, np.int32)), pa.array(np.full(len(d), tau[i])), pa.array(iy), pa.array(ix), pa.array(d)], ["slice", "tau", "iy", "ix", "d"])
+            return
+        k, wide = read_array(f, h, "k", (c["Nk"],)), c["Nt"] + c["Nextra"]
+        name, fits = "d" if self.kind == "aa" else "f", np.flatnonzero([self.chosen.has("tau", x) for x in tau.tolist()])
+        if not len(fits):
+            return
+        # Of a ring only the stretch from the first wanted tau to the last is read.
+        first, n = int(fits[0]), int(fits[-1] - fits[0]) + 1
+        for i in wanted:
+            v = read_array(f, h, "data", (n,), i * wide + first)[fits - first]
+            e = read_array(f, h, "err", (n,), i * wide + first)[fits - first] if h.has_err else [None] * len(v)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), i, np.int32)), pa.array(np.full(len(v), k[i])), pa.array(tau[fits]), pa.array(v), pa.array(e, pa.float64())], ["bin", "k", "tau", name, "err"])
 
 
 class ContainerSource(DataSource):
-    """``spark.read.format("ddm").load(path)``; option ``parts``: partitions at most."""
+    """``spark.read.format("ddm").load(path)``; option ``parts``: partitions at most. With option ``kind`` (sf, aa, isf) the path is a folder, whose files
+    come with ``seq_id``, their name. Written by way of ``save_sf`` and ``save_radial``."""
 
     @classmethod
     def name(cls) -> str:
         return "ddm"
 
+    def _kind(self) -> str:
+        return self.options.get("kind") or kind_of(self.options["path"])
+
     def schema(self) -> str:
-        kind = kind_of(self.options["path"])
-        return "slice int, tau double, iy int, ix int, d double" if kind == "sf" else f"bin int, k double, tau double, {'d' if kind == 'aa' else 'f'} double, err double"
+        kind = self._kind()
+        own = "slice int, tau double, iy int, ix int, d double" if kind == "sf" else f"bin int, k double, tau double, {'d' if kind == 'aa' else 'f'} double, err double"
+        return f"{own}, seq_id string" if "kind" in self.options else own
 
     def reader(self, schema) -> DataSourceReader:
-        return _Reader(self.options["path"], kind_of(self.options["path"]), int(self.options.get("parts", 8)))
+        return _Reader(self.options["path"], self._kind(), int(self.options.get("parts", 8)), "kind" in self.options)
+
+    def writer(self, schema, overwrite: bool) -> CommittedFiles:
+        return CommittedFiles(self.options["path"], overwrite, self.options.get("dtype", "f8"))
 
 
 def load(spark: SparkSession, path: str, seq_id: str = "s0") -> DataFrame:
@@ -205,6 +237,19 @@ def load(spark: SparkSession, path: str, seq_id: str = "s0") -> DataFrame:
     return spark.read.format("ddm").option("path", path).load().withColumn("seq_id", F.lit(seq_id))
 
 
+def load_folder(spark: SparkSession, folder: str, kind: str, parts: int = 200) -> DataFrame:
+    """The containers of a kind below ``folder`` as one table with ``seq_id``, their names without the suffix.
+
+    Filters prune before anything is read: on seq_id by name, on slice, bin and tau by the headers, which the driver reads many at a time; a
+    task opens only files, and reads only slices, that are left. Of a ring it reads from the first wanted tau to the last.
+    """
+    if kind not in IDS:
+        raise RuntimeError(f"kind is {', '.join(IDS)}")
+    spark.dataSource.register(ContainerSource)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    return spark.read.format("ddm").option("path", folder).option("kind", kind).option("parts", parts).load()
+
+
 def metadata(path: str) -> dict:
     kind = kind_of(path)
     with open_read(path) as f:
@@ -234,62 +279,94 @@ def extras(path: str) -> dict[str, np.ndarray]:
         return out
 
 
-def save_sf(sf: DataFrame, extra: DataFrame, grid: Grid, path_of, dtype=np.float64) -> list[str]:
-    """One .sf.ddm a sequence; ``path_of(seq_id)`` names it on a path that all tasks share.
+def _place(rows: DataFrame, by: list[str], order: list[str], out: str) -> DataFrame:
+    return rows.withColumn(out, (F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1).cast("long"))
+
+
+def _heads(about: DataFrame, name_of: Callable[[str], str], kind: str, ends: Callable[[dict], tuple[bytes, bytes, int]]) -> DataFrame:
+    """(seq_id, name, head, tail, total): one row a sequence, from the short lists of ``about``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = b.to_pylist()
+            both = [ends(r) for r in rows]
+            yield pa.RecordBatch.from_arrays([b.column("seq_id"), pa.array([file_name(name_of(r["seq_id"]), kind) for r in rows], pa.string()), pa.array([x[0] for x in both], pa.binary()), pa.array([x[1] for x in both], pa.binary()), pa.array([x[2] for x in both], pa.int64())], ["seq_id", "name", "head", "tail", "total"])
 
-    Every lag is written by a task of its own to a file; one task a sequence then strings them together, one lag in memory at a time.
+    return about.mapInArrow(run, "seq_id string, name string, head binary, tail binary, total long")
+
+
+def _save(values: DataFrame, heads: DataFrame, folder: str, dtype: np.dtype) -> list[str]:
+    """Writes (seq_id, pos, v) as one file a sequence: header, values by position (NaN where there is none), the rest. A file is written from its begin
+    to its end by one task, a batch in memory at a time; it appears when the whole write is committed."""
+    spark = values.sparkSession
+    heads = heads.select("seq_id", "name", F.explode(F.array(F.struct(F.lit(-1).cast("long").alias("pos"), F.col("head").alias("content")), F.struct(F.col("total").alias("pos"), F.col("tail").alias("content")))).alias("x"))
+    heads = kept(heads, "heads")
+    rows = values.join(heads.select("seq_id", "name").distinct(), "seq_id").select("name", "pos", F.coalesce("v", F.lit(float("nan"))).alias("v"), F.lit(None).cast("binary").alias("content"))
+    rows = rows.unionByName(heads.select("name", "x.pos", F.lit(None).cast("double").alias("v"), "x.content"))
+    spark.dataSource.register(ContainerSource)
+    rows.repartition("name").sortWithinPartitions("name", "pos").write.format("ddm").mode("overwrite").option("dtype", np.dtype(dtype).str).save(folder)
+    return [f"{folder}/{r['name']}" for r in heads.select("name").distinct().orderBy("name").collect()]
+
+
+def save_sf(sf: DataFrame, extra: DataFrame, grid: Grid, folder: str, name_of: Callable[[str], str] = str, dtype: np.dtype = np.float64) -> list[str]:
+    """One .sf.ddm a sequence in ``folder``, which all tasks share; ``name_of(seq_id)`` names it. Files of the same name are replaced.
+
+    A wavevector without a value is NaN; two values for one lag and wavevector raise ``ValueError``.
+    """
+    array_format(dtype)
+    plane = grid.ny * grid.nxh
+    lags = _place(sf.select("seq_id", "lag", "tau").distinct(), ["seq_id"], ["lag"], "place")
+    lags = kept(lags, "lags")
+    about = extra.select("seq_id").distinct().join(lags.groupBy("seq_id").agg(F.sort_array(F.collect_list(F.struct("place", "tau"))).alias("taus")), "seq_id", "left").withColumn("taus", F.coalesce("taus.tau", F.array().cast("array<double>")))
+    at = lambda place: place * plane + F.col("iy") * grid.nxh + F.col("ix")
+    ky, kx = grid.axes()
+
+    def ends(r: dict) -> tuple[bytes, bytes, int]:
+        n = len(r["taus"])
+        after = {"kx": kx, "ky": ky, "tau": r["taus"], "pixel_size": [grid.pixel_size], "delta_t": [grid.delta_t]}
+        return file_ends("sf", {"data": n * plane, "extra": 2 * plane}, after, {"Nt": n, "Ny": grid.ny, "Nx": grid.nxh, "Nextra": 2, "width": grid.nx, "height": grid.ny}, dtype)
+
+    data = sf.join(lags.select("seq_id", "lag", "place"), ["seq_id", "lag"]).select("seq_id", at(F.col("place")).alias("pos"), F.col("d").alias("v"))
+    both = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(c).alias("v")) for k, c in enumerate(("power_spec", "var"))])).alias("x")
+    last = extra.select("seq_id", "iy", "ix", both).join(about.select("seq_id", F.size("taus").alias("n")), "seq_id").select("seq_id", at(F.col("n") + F.col("x.k")).alias("pos"), "x.v")
+    return _save(data.unionByName(last), _heads(about, name_of, "sf", ends), folder, dtype)
+
+
+def save_radial(curves: DataFrame, folder: str, edges: list[float], extra: DataFrame | None = None, kind: str = "aa", name_of: Callable[[str], str] = str, dtype: np.dtype = np.float64) -> list[str]:
+    """One .aa.ddm or .isf.ddm a sequence, as ``save_sf``; ``extra`` gives the two last columns of an .aa.ddm.
+
+    A ring's points lie by tau, repeated ones (of merged curves) all kept, those by value. The format has one list of tau: sequences
+    whose rings differ in it raise ``ValueError``.
     """
-    ky, kx = (np.array(a) for a in grid.axes())
-    folder = shared_dir(sf.sparkSession, "slices")
-
-    def one_lag(key, pdf):
-        plane = np.full((grid.ny, grid.nxh), np.nan, dtype)
-        plane[pdf["iy"], pdf["ix"]] = pdf["d"]
-        part = f"{folder}/{key[0].encode().hex()}-{key[1]}"
-        with open_write(part) as out:
-            out.write(plane.tobytes())
-        return pd.DataFrame({"seq_id": [key[0]], "lag": [key[1]], "tau": [pdf["tau"].iloc[0]], "part": [part]})
-
-    def whole(key, parts, pixels):
-        parts, planes = parts.sort_values("lag"), np.full((2, grid.ny, grid.nxh), np.nan)
-        for i, name in enumerate(("power_spec", "var")):
-            planes[i, pixels["iy"], pixels["ix"]] = pixels[name]
-
-        def slices():
-            for part in parts["part"]:
-                with open_read(part) as f:
-                    yield f.read()
-
-        arrays = {"data": None, "extra": planes, "kx": kx, "ky": ky, "tau": parts["tau"].to_numpy(), "pixel_size": np.array([grid.pixel_size]), "delta_t": np.array([grid.delta_t])}
-        return pd.DataFrame({"path": [write_container(path_of(key[0]), "sf", arrays, grid.nx, grid.ny, dtype, slices())]})
-
-    parts = sf.groupBy("seq_id", "lag").applyInPandas(one_lag, "seq_id string, lag int, tau double, part string")
-    paths = [r["path"] for r in parts.groupBy("seq_id").cogroup(extra.toDF(*extra.columns).groupBy("seq_id")).applyInPandas(whole, "path string").collect()]
-    if paths:
-        remove(folder)
-    return paths
-
-
-def save_radial(curves: DataFrame, path_of, edges: list[float], extra: DataFrame | None = None, kind: str = "aa") -> list[str]:
-    """One .aa.ddm or .isf.ddm a sequence; ``extra`` gives the two last columns of an .aa.ddm."""
-    value = "d" if kind == "aa" else "f"
-    cols = ["power_spec", "var", "power_spec_err", "var_err"]
-    with_extra = extra is not None
-    rows = curves if extra is None else curves.join(extra.select("seq_id", "bin", *cols), ["seq_id", "bin"])
-
-    def one(key, pdf):
-        pdf = pdf.sort_values(["bin", "tau"])
-        tau = np.sort(pdf["tau"].unique())
-        n = len(pdf) // len(tau)
-        cube = lambda c: pdf[c].to_numpy(float).reshape(n, len(tau))
-        data, err = cube(value), cube("err")
-        if with_extra:
-            data = np.column_stack([data, cube("power_spec")[:, 0], cube("var")[:, 0]])
-            err = np.column_stack([err, cube("power_spec_err")[:, 0], cube("var_err")[:, 0]])
-        arrays = {"data": data, "err": err if pdf["err"].notna().any() else None, "k": cube("k")[:, 0], "tau": tau, "bin_edges": np.array(edges)}
-        return pd.DataFrame({"path": [write_container(path_of(key[0]), kind, arrays)]})
-
-    return [r["path"] for r in rows.groupBy("seq_id").applyInPandas(one, "path string").collect()]
+    value, cols = ("d" if kind == "aa" else "f"), ["power_spec", "var"]
+    array_format(dtype)
+    more = 0 if extra is None else len(cols)
+    rows = _place(curves.select("seq_id", "bin", "k", "tau", F.col(value).cast("double").alias("v"), F.col("err").cast("double").alias("err")), ["seq_id", "bin"], ["tau", "v", "err"], "place")
+    rings = rows.groupBy("seq_id", "bin").agg(F.first("k").alias("k"), F.sort_array(F.collect_list("tau")).alias("taus"), F.count("err").alias("errs"))
+    rings = kept(_place(rings, ["seq_id"], ["bin"], "ring"), "rings")
+    about = rings.groupBy("seq_id").agg(F.collect_set("taus").alias("lists"), F.sort_array(F.collect_list(F.struct("ring", "k"))).alias("ks"), F.sum("errs").alias("errs"))
+    # Checked before any file is begun.
+    ragged = about.where(F.size("lists") > 1).select("seq_id").first()
+    if ragged:
+        raise ValueError(f"the rings of sequence {ragged['seq_id']} differ in their lists of tau")
+    about = about.select("seq_id", F.col("lists")[0].alias("taus"), F.col("ks.k").alias("ks"), "errs")
+
+    def ends(r: dict) -> tuple[bytes, bytes, int]:
+        nt, nk = len(r["taus"]), len(r["ks"])
+        values = nk * (nt + more)
+        return file_ends(kind, {"data": values, "err": values if r["errs"] else 0}, {"k": r["ks"], "tau": r["taus"], "bin_edges": edges}, {"Nk": nk, "Nt": nt, "Nextra": more}, dtype)
+
+    shape = about.select("seq_id", F.size("taus").alias("nt"), F.size("ks").alias("nk"), "errs")
+    parts = rows.select("seq_id", "bin", "place", "v", "err")
+    if extra is not None:
+        one = lambda k, c: F.struct(F.lit(k).cast("long").alias("k"), F.col(c).cast("double").alias("v"), F.col(f"{c}_err").cast("double").alias("err"))
+        last = extra.select("seq_id", "bin", F.explode(F.array(*[one(k, c) for k, c in enumerate(cols)])).alias("x")).join(shape.select("seq_id", "nt"), "seq_id")
+        parts = parts.unionByName(last.select("seq_id", "bin", (F.col("nt") + F.col("x.k")).alias("place"), "x.v", "x.err"))
+    parts = parts.join(rings.select("seq_id", "bin", "ring"), ["seq_id", "bin"]).join(shape, "seq_id")
+    wide = F.col("nt") + more
+    pos = F.col("ring") * wide + F.col("place")
+    each = F.explode(F.filter(F.array(F.struct(pos.alias("pos"), F.col("v").alias("v")), F.when(F.col("errs") > 0, F.struct((pos + F.col("nk") * wide).alias("pos"), F.col("err").alias("v")))), lambda x: x.isNotNull())).alias("x")
+    return _save(parts.select("seq_id", each).select("seq_id", "x.pos", "x.v"), _heads(about, name_of, kind, ends), folder, dtype)
 
 
 def grid_of(spark: SparkSession, path: str) -> DataFrame:

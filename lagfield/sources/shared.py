@@ -17,21 +17,24 @@ TESTS = {"EqualTo": operator.eq, "In": lambda x, among: x in among, "GreaterThan
 
 
 class Chosen:
-    """The numbers of a column that all pushed filters together let through."""
+    """The values of some columns that all pushed filters together let through."""
 
     def __init__(self) -> None:
         self.tests: list[tuple] = []
 
-    def take(self, filters: list[Filter], column: str) -> Iterator[Filter]:
-        """Keeps the filters on ``column``, gives the others back to Spark."""
+    def take(self, filters: list[Filter], *columns: str) -> Iterator[Filter]:
+        """Keeps the filters on ``columns``, gives the others back to Spark."""
         for f in filters:
-            if type(f).__name__ in TESTS and f.attribute == (column,) and f.value is not None:
-                self.tests.append((type(f).__name__, f.value))
+            if type(f).__name__ in TESTS and len(f.attribute) == 1 and f.attribute[0] in columns and f.value is not None:
+                self.tests.append((f.attribute[0], type(f).__name__, f.value))
             else:
                 yield f
 
-    def among(self, n: int) -> list[int]:
-        return [i for i in range(n) if all(TESTS[name](i, value) for name, value in self.tests)]
+    def has(self, column: str, value) -> bool:
+        return all(TESTS[name](value, bound) for c, name, bound in self.tests if c == column)
+
+    def among(self, n: int, column: str) -> list[int]:
+        return [i for i in range(n) if self.has(column, i)]
 
 
 def file_system(path: str) -> tuple[fs.FileSystem, str]:
@@ -44,18 +47,18 @@ def open_read(path: str) -> BinaryIO:
     return system.open_input_file(at)
 
 
-def open_write(path: str) -> BinaryIO:
-    """A new file; parent folders are made."""
-    system, at = file_system(path)
-    if "/" in at:
-        system.create_dir(at.rpartition("/")[0], recursive=True)
-    return system.open_output_stream(at)
-
-
-def remove(path: str) -> None:
-    """Removes a folder and what is in it."""
+def files_below(path: str, suffix: str) -> list[str]:
+    """The files of a folder whose names end in ``suffix``, by name; folders that begin with _ are left out. A path that is a file is the only one."""
     system, at = file_system(path)
-    system.delete_dir(at)
+    info = system.get_file_info(at)
+    if info.type == fs.FileType.File:
+        return [path]
+    if info.type != fs.FileType.Directory:
+        raise FileNotFoundError(path)
+    found = system.get_file_info(fs.FileSelector(at, recursive=True))
+    inner = lambda p: p[len(at.rstrip("/")) + 1 :]
+    names = sorted(inner(i.path) for i in found if i.type == fs.FileType.File and i.path.endswith(suffix))
+    return [f"{path.rstrip('/')}/{n}" for n in names if not any(x.startswith("_") for x in n.split("/"))]
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:

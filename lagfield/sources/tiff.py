@@ -10,18 +10,18 @@ import io
 import os
 import struct
 import warnings
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import BinaryIO
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, Filter, InputPartition
 
 from ..operators.raster import pack, rank_frames
-from .shared import Chosen, open_read, open_write
+from .shared import Chosen, kept, open_read
+from .writing import CommittedFiles
 
 #: Fixed values of the format: field types (code: struct letter), tag numbers.
 TYPES = {1: "B", 2: "s", 3: "H", 4: "I", 5: "II", 6: "b", 7: "B", 8: "h", 9: "i", 10: "ii", 11: "f", 12: "d", 16: "Q"}
@@ -83,6 +83,8 @@ def page_array(source: bytes | BinaryIO, tags: dict) -> np.ndarray:
     f = _opened(source)
     if tags.get("Compression", 1) != 1:
         raise NotImplementedError("only uncompressed TIFF is read")
+    if "StripOffsets" not in tags:
+        raise NotImplementedError("only TIFF in strips is read, not in tiles")
     each = lambda v: v if isinstance(v, list) else [v]
     bits, form, shape = each(tags.get("BitsPerSample", 1))[0], each(tags.get("SampleFormat", 1))[0], page_shape(tags)
     if bits % 8:
@@ -136,16 +138,18 @@ class _TiffReader(DataSourceReader):
     def partitions(self) -> list[_Pages]:
         with open_read(self.path) as f:
             tags = pages(f)
-        wanted = [(t, tags[t]) for t in self.chosen.among(len(tags))]
+        wanted = [(t, tags[t]) for t in self.chosen.among(len(tags), "t")]
         size = max(1, -(-len(wanted) // self.parts))
         return [_Pages(wanted[i : i + size]) for i in range(0, len(wanted), size)]
 
-    def read(self, partition: _Pages) -> Iterator[tuple]:
+    def read(self, partition: _Pages) -> Iterator[pa.RecordBatch]:
         with open_read(self.path) as f:
             for t, tags in partition.pages:
                 a = page_array(f, tags)
                 for c, plane in enumerate(a) if a.ndim == 3 else [(None, a)]:
-                    yield self.seq_id, t, c, plane.shape[0], plane.shape[1], plane.astype(float).ravel().tolist()
+                    numbers = [pa.array([x], pa.int32()) for x in (t, c, *plane.shape)]
+                    pixels = pa.ListArray.from_arrays(pa.array([0, plane.size], pa.int32()), pa.array(plane.astype(np.float64).ravel()))
+                    yield pa.RecordBatch.from_arrays([pa.array([self.seq_id], pa.string()), *numbers, pixels], ["seq_id", "t", "c", "height", "width", "pixels"])
 
 
 class TiffSource(DataSource):
@@ -161,6 +165,9 @@ class TiffSource(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return _TiffReader(self.options["path"], self.options.get("seq_id", "s0"), int(self.options.get("parts", 8)))
 
+    def writer(self, schema, overwrite: bool) -> CommittedFiles:
+        return CommittedFiles(self.options["path"], overwrite)
+
 
 def read_pages(spark: SparkSession, path: str, frames: list[int] | None = None, seq_id: str = "s0") -> DataFrame:
     """The pages of a file as frames. Turns filter pushdown of Python sources on for the session."""
@@ -263,33 +270,45 @@ def read_metadata(spark: SparkSession, src: str) -> DataFrame:
     return spark.createDataFrame([(src, {k: str(v) for k, v in tags.items() if k != "order"})], "path string, tags map<string,string>")
 
 
-def save_frames(frames: DataFrame, path_of, dtype=np.float64) -> list[str]:
-    """frames_packed to one grey single-page TIFF a frame; ``path_of(seq_id, t)`` names it on a path that all tasks share."""
+def _save(images: DataFrame, folder: str, names: DataFrame) -> list[str]:
+    """Writes (keys of ``names``, content) as the files that ``names`` gives; they appear once all are written."""
+    spark, keys = images.sparkSession, [c for c in names.columns if c != "name"]
+    spark.dataSource.register(TiffSource)
+    rows = images.join(names, keys).select("name", F.lit(-1).cast("long").alias("pos"), F.lit(None).cast("double").alias("v"), "content")
+    rows.write.format("tiff_pages").mode("overwrite").save(folder)
+    return [f"{folder.rstrip('/')}/{r['name']}" for r in names.select("name").orderBy("name").collect()]
+
+
+def _images(frames: DataFrame, dtype) -> DataFrame:
+    """(seq_id, t, content): each frame as a grey TIFF of one page."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                shape = b.column("height")[i].as_py(), b.column("width")[i].as_py()
+                page = np.asarray(b.column("pixels")[i].values, np.float64).astype(dtype).reshape(shape)
+                yield pa.RecordBatch.from_arrays([b.column("seq_id").slice(i, 1), b.column("t").slice(i, 1), pa.array([tiff_bytes([page])], pa.binary())], ["seq_id", "t", "content"])
+
+    return frames.select("seq_id", F.col("t").cast("int").alias("t"), "height", "width", "pixels").mapInArrow(run, "seq_id string, t int, content binary")
+
+
+def save_frames(frames: DataFrame, folder: str, name_of: Callable[[str, int], str] = "{}-{:06d}.tif".format, dtype=np.float64) -> list[str]:
+    """frames_packed to one grey single-page TIFF a frame in ``folder``, which all tasks share; ``name_of(seq_id, t)`` names it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            paths = []
-            for r in b.to_pylist():
-                paths.append(path_of(r["seq_id"], r["t"]))
-                with open_write(paths[-1]) as out:
-                    out.write(tiff_bytes([np.array(r["pixels"], dtype).reshape(r["height"], r["width"])]))
-            yield pa.RecordBatch.from_pydict({"path": paths})
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([name_of(*r) for r in zip(*(c.to_pylist() for c in b.columns), strict=True)], pa.string())], ["seq_id", "t", "name"])
 
-    return [r["path"] for r in frames.select("seq_id", "t", "height", "width", "pixels").mapInArrow(run, "path string").collect()]
+    names = frames.select("seq_id", F.col("t").cast("int").alias("t")).distinct().mapInArrow(run, "seq_id string, t int, name string")
+    return _save(_images(frames, dtype), folder, kept(names, "names"))
 
 
-def save_slices(sf: DataFrame, height: int, width: int, names: dict[int, str]) -> list[str]:
-    """Lag slices as float32 TIFF, the whole plane each; ``names`` gives a file (on a path that all tasks share) for every lag."""
+def save_slices(sf: DataFrame, height: int, width: int, folder: str, names: dict[int, str]) -> list[str]:
+    """Lag slices as float32 TIFF in ``folder``, the whole plane each; ``names`` gives a file for every lag. Several sequences raise ``ValueError``: their planes would meet in one file."""
     have = {r["lag"] for r in sf.select("lag").distinct().collect()}
     if have != set(names):
         raise RuntimeError("there must be one file name for each lag")
-
-    def one(key, pdf):
-        plane = np.zeros((height, width), np.float32)
-        plane[pdf["iy"], pdf["ix"]] = pdf["d"]
-        path = names[int(key[0])]
-        with open_write(path) as f:
-            f.write(tiff_bytes([plane]))
-        return pd.DataFrame({"path": [path]})
-
-    return [r["path"] for r in sf.groupBy("lag").applyInPandas(one, "path string").collect()]
+    if sf.select("seq_id").distinct().limit(2).count() > 1:
+        raise ValueError("one sequence at a time")
+    planes = pack(sf.select("seq_id", F.col("lag").alias("t"), F.col("iy").alias("y"), F.col("ix").alias("x"), F.col("d").alias("v")), height, width)
+    return _save(_images(planes, np.float32).drop("seq_id"), folder, sf.sparkSession.createDataFrame(list(names.items()), "t int, name string"))

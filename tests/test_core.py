@@ -298,7 +298,7 @@ def test_fits_that_run_out_of_steps_do_not_succeed():
 
 def test_container_round_trip(spark, sf, tmp_path):
     g = G.Grid(H, W, H, W, 0.123, 0.043)
-    (path,) = container.save_sf(*sf, g, lambda s, d=str(tmp_path): f"{d}/sub/{s}")
+    (path,) = container.save_sf(*sf, g, str(tmp_path), "sub/{}".format)
     got = container.load(spark, path)
     want = sf[0].toPandas().sort_values(["lag", "iy", "ix"]).d.to_numpy()
     assert np.array_equal(got.orderBy("slice", "iy", "ix").toPandas().d, want)
@@ -314,12 +314,12 @@ def test_container_round_trip(spark, sf, tmp_path):
     assert full.shape == (H, W) and all(np.isclose(full[r.iy, r.ix], r.d) for r in plane.itertuples())
     assert container.grid_of(spark, path).count() == H * (W // 2 + 1)
     aa, extra, edges = radial.radial(*sf, g, bins=4)
-    (path,) = container.save_radial(aa, lambda s, d=str(tmp_path): f"{d}/{s}", edges, extra)
+    (path,) = container.save_radial(aa, str(tmp_path), edges, extra)
     back = container.load(spark, path).orderBy("bin", "tau").toPandas()
     assert np.allclose(back.d, aa.orderBy("bin", "tau").toPandas().d, equal_nan=True) and np.allclose(container.extras(path)["bin_edges"], edges)
     assert np.allclose(container.slice_of(path, "aa", 1, err=True)[:5], back[back.bin == 1].err, equal_nan=True)
     f = isf.intermediate_scattering(aa, extra, "zero")
-    (path,) = container.save_radial(f, lambda s, d=str(tmp_path): f"{d}/{s}", edges, kind="isf")
+    (path,) = container.save_radial(f, str(tmp_path), edges, kind="isf")
     assert np.allclose(container.load(spark, path).orderBy("bin", "tau").toPandas().f, f.orderBy("bin", "tau").toPandas().f, equal_nan=True)
     bad = tmp_path / "x.aa.ddm"
     bad.write_bytes(b"LL" + b"\x49\x00" + b"\0" * 80)
@@ -384,14 +384,13 @@ def test_image_lists_orders_and_errors(spark, tmp_path, sf):
         tiff.read_images(spark, "a.nd2")
     with pytest.raises(RuntimeError):
         tiff.read_images(spark, ("a.tif",))
-    names = {lag: str(tmp_path / f"lag{lag}.tif") for lag in (1, 2, 3, 4, 5)}
-    tiff.save_slices(sf[0], H, W // 2 + 1, names)
-    with open(names[3], "rb") as f:
+    paths = tiff.save_slices(sf[0], H, W // 2 + 1, str(tmp_path), {lag: f"lag{lag}.tif" for lag in (1, 2, 3, 4, 5)})
+    with open(paths[2], "rb") as f:
         raw = f.read()
     plane = tiff.page_array(raw, tiff.pages(raw)[0])
     assert plane.shape == (H, W // 2 + 1) and np.isclose(plane[2, 1], sf[0].where("lag = 3 AND iy = 2 AND ix = 1").first().d)
     with pytest.raises(RuntimeError):
-        tiff.save_slices(sf[0], H, W, {1: "x"})
+        tiff.save_slices(sf[0], H, W, str(tmp_path), {1: "x"})
 
 
 def test_chunks(spark):
