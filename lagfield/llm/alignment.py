@@ -37,7 +37,7 @@ from .bpe_words import WordCachedBpe, _byte_letters
 from .common import Scratch, read
 from .files import bounded_batches
 
-BLOCK_BYTES, KEPT_PIECES, DUCK_MEMORY = 3 << 20, 200_000, "400MB"
+BLOCK_BYTES, KEPT_PIECES, DUCK_MEMORY = 3 << 20, 300_000, "400MB"
 MARK, PLAIN = "▁", "!-~À-ɏ"
 #: Texts of plain words with single spaces or line feeds between; where any other text may be cut; pieces of one plain word.
 PLAIN_TEXT = re.compile(f"[{PLAIN}]+(?:[ \n][{PLAIN}]+)*")
@@ -52,15 +52,20 @@ WITH spans AS (SELECT a.piece, a.id, f.i AS first, l.i AS last FROM a ASOF JOIN
 each AS (SELECT piece, id, unnest(range(first, last + 1)) AS i FROM spans)
 SELECT each.piece, (each.id << 32) | b.id AS pair, count(*) AS n FROM each JOIN b USING (i) GROUP BY ALL"""
 
+ENDS = "CREATE OR REPLACE TABLE ends AS SELECT a.i AS a, b.i AS b FROM a JOIN b ON a.stop = b.stop"
 GROUPS = """
-SELECT count(e.i) OVER (ORDER BY x.i ROWS UNBOUNDED PRECEDING) - (e.i IS NOT NULL)::INT AS g
-FROM {of} x LEFT JOIN (SELECT {of}.i FROM a JOIN b ON a.stop = b.stop) e ON x.i = e.i ORDER BY x.i"""
+SELECT count(e.{of}) OVER (ORDER BY x.i ROWS UNBOUNDED PRECEDING) - (e.{of} IS NOT NULL)::INT AS g
+FROM {of} x LEFT JOIN ends e ON x.i = e.{of} ORDER BY x.i"""
 
 OF_DOCUMENTS = """
 CREATE OR REPLACE TABLE held AS SELECT doc, pair, sum(o.n * l.n) AS n FROM occurrences o JOIN links l USING (piece) GROUP BY ALL"""
 OF_BLOCK = "CREATE OR REPLACE TABLE listed AS SELECT pair, count(*) AS documents, row_number() OVER (ORDER BY pair) - 1 AS place FROM held GROUP BY pair"
 
 
+#: Ids of a piece that does not come back.
+NOTHING = (b"", b"")
+
+
 @dataclass
 class Tokens:
     """Token ids of pieces, one piece after the other: piece k has those from at[k] to at[k + 1]; ``size`` is the bytes of each id of the vocabulary."""
@@ -74,11 +79,6 @@ class Tokens:
         """From each piece's ids as little-endian 32-bit bytes."""
         return cls(np.frombuffer(b"".join(ids), "<u4").astype(np.int64), np.cumsum([0, *map(len, ids)]) // 4, size)
 
-    def only(self, pieces: np.ndarray) -> Tokens:
-        """The tokens of some pieces; the others have none."""
-        counts = np.diff(self.at)
-        return Tokens(self.ids[np.repeat(pieces, counts)], np.r_[0, np.cumsum(counts * pieces)], self.size)
-
     def table(self) -> pa.Table:
         """Token intervals in the bytes of all pieces."""
         stop = np.cumsum(self.size[self.ids])
@@ -128,7 +128,10 @@ class Aligner:
         ends = 4 * np.cumsum([0, *map(len, b)])
         raw = np.fromiter(chain.from_iterable(b), "<u4", int(ends[-1]) // 4).tobytes()
         begins = (ends[:-1] + [0 if p[0] == " " else 4 for p in pieces]).tolist()
-        self.kept.update(zip(pieces, zip(map(a.__getitem__, pieces), map(raw.__getitem__, map(slice, begins, ends[1:].tolist())), strict=True), strict=True))
+        both = list(map(a.__getitem__, pieces)), list(map(raw.__getitem__, map(slice, begins, ends[1:].tolist())))
+        same = self._same(pieces, Tokens.of(both[0], self.size_a), Tokens.of(both[1], self.size_b))
+        # A piece that does not come back has no tokens.
+        self.kept.update(zip(pieces, [(x, y) if ok else NOTHING for x, y, ok in zip(*both, same.tolist(), strict=True)], strict=True))
 
     def encode(self, pieces: list[str]) -> tuple[Tokens, Tokens]:
         if len(self.kept) > KEPT_PIECES:
@@ -138,8 +141,9 @@ class Aligner:
         a, b = zip(*map(self.kept.__getitem__, pieces), strict=True) if pieces else ((), ())
         return Tokens.of(a, self.size_a), Tokens.of(b, self.size_b)
 
-    def _same(self, raw: list[bytes], a: Tokens, b: Tokens) -> np.ndarray:
+    def _same(self, pieces: list[str], a: Tokens, b: Tokens) -> np.ndarray:
         """Which pieces come back from the tokens of both."""
+        raw = [p.encode() for p in pieces]
         back_a, back_b = (b"".join(map(of.__getitem__, t.ids.tolist())) for of, t in ((self.raw_a, a), (self.raw_b, b)))
         if back_a == back_b == b"".join(raw):
             return np.ones(len(raw), bool)
@@ -148,6 +152,7 @@ class Aligner:
 
     def _groups(self, a: Tokens, b: Tokens, n: int) -> tuple[list[str], np.ndarray]:
         """The group string of every piece and the number of its groups."""
+        self.duck.execute(ENDS)
         of = [self.duck.execute(GROUPS.format(of=x)).fetchnumpy()["g"] for x in ("a", "b")]
         total = int(of[0][-1]) + 1 if len(of[0]) else 0
         begin = [np.searchsorted(g, np.arange(total + 1)) for g in of]
@@ -163,11 +168,9 @@ class Aligner:
         places = [np.array([number.setdefault(p, len(number)) for p in c], np.int64) for c in cut]
         names, d = list(number), self.duck
         a, b = self.encode(names)
-        same = self._same([p.encode() for p in names], a, b)
-        if not same.all():
-            # A piece that does not come back takes its texts out, and stays out of the tables.
-            a, b = a.only(same), b.only(same)
-            places = [p if same[p].all() else p[:0] for p in places]
+        if not (some := np.diff(a.at) > 0).all():
+            # A piece without tokens takes its texts out.
+            places = [p if some[p].all() else p[:0] for p in places]
         d.register("a", a.table())
         d.register("b", b.table())
         d.execute(LINKS)
