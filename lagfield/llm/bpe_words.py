@@ -30,8 +30,8 @@ def _byte_letters() -> np.ndarray:
 class WordCachedBpe:
     """``encode_batch(texts)`` gives each text's ids as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, path: str, kept_words: int = KEPT_WORDS):
-        self.kept_words = kept_words
+    def __init__(self, path: str, kept_words: int | None = None):
+        self.kept_words = KEPT_WORDS if kept_words is None else kept_words
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 

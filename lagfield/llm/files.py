@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+from py4j.protocol import Py4JJavaError
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,6 +31,35 @@ def replacing(path: str) -> Iterator:
         system.move(part, at)
 
 
+def create_new(spark: SparkSession, path: str, text: str) -> bool:
+    """Makes a small file, unless it is there already: of several writers one gets True. Exclusive creation is the file system's own."""
+    system, at = open_fs(path)
+    if isinstance(system, fs.LocalFileSystem):
+        system.create_dir(at.rpartition("/")[0], recursive=True)
+        # The text is whole before the name is there.
+        part = f"{at}.{uuid.uuid4().hex}.part"
+        with open(part, "w") as out:
+            out.write(text)
+        try:
+            os.link(part, at)
+            return True
+        except FileExistsError:
+            return False
+        finally:
+            os.unlink(part)
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    try:
+        out = store.create(target, False)
+    except Py4JJavaError:
+        if store.exists(target):
+            return False
+        raise
+    out.write(bytearray(text.encode()))
+    out.close()
+    return True
+
+
 def bounded_batches(spark: SparkSession, rows: int = 1000, size: str = "16m") -> None:
     """Arrow batches to Python hold so many rows and bytes at most, from here on in the session: long texts must not meet by the thousand in one worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -1,11 +1,11 @@
 """WARC archives: a writer with payload de-duplication and a sequential, incremental reader.
 
 Each record is a gzip member of its own. The reader inflates in pieces of ``PIECE`` bytes, frames by
-Content-Length, and checks the payload digest of every response; it never holds more than a piece and one header.
+Content-Length, and checks the payload digest of every response; it never holds more than a piece and one header, which holds the URL whole.
 
 Defined results: null html is an empty payload; payloads of under ``MIN_REVISIT`` bytes are always responses; of equal
 longer payloads those rows with the smallest id are the response (all of them, were that id repeated); null ids come back null and are a
-response only if all ids of that payload are null; a null or odd URL is left out or percent-encoded; an empty table makes no
+response only if all ids of that payload are null; a null or odd URL is left out or percent-encoded, a long one passes whole; columns beside id, URL and html are not read, whatever their names; an empty table makes no
 archive and no row. A broken member, length or digest raises ``ValueError``.
 """
 
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import attach_by_key, read, shared_dir, written
 from .files import bounded_batches, one_task_each, open_fs, replacing
 
-MIN_REVISIT, PIECE, MOST_HEADER = 100, 1 << 18, 1 << 24
+MIN_REVISIT, PIECE = 100, 1 << 18
 END = b"\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -85,11 +85,18 @@ class _Inflated:
         return False
 
     def until(self, mark: bytes) -> bytes:
-        while mark not in self.data:
-            if len(self.data) > MOST_HEADER or not self.more():
+        """The bytes up to ``mark``, which goes. Only what is new is searched, and pieces are joined once: linear in a header of any length."""
+        held, tail = [], b""
+        while (at := (tail + self.data).find(mark)) < 0:
+            held.append(self.data)
+            tail = (tail + self.data)[-len(mark) + 1 :]
+            self.data = b""
+            if not self.more():
                 raise ValueError("a header has no end")
-        found, _, self.data = self.data.partition(mark)
-        return found
+        whole = b"".join([*held, self.data])
+        end = len(whole) - len(self.data) - len(tail) + at
+        self.data = whole[end + len(mark) :]
+        return whole[:end]
 
     def pieces(self, n: int) -> Iterator[bytes]:
         while n:

@@ -133,6 +133,24 @@ def test_hot_keys_are_attached_whole(spark):
 # 3 WARC
 
 
+def test_a_url_and_a_header_of_any_length_pass(spark, tmp_path):
+    url = "http://a/" + "é/x y" * 4_000_000
+    pages = spark.createDataFrame([(1, url, "p" * 300_000), (2, "u", "q")], "page_id long, url string, html string")
+    got = warc.read_archives(spark, warc.write_archives(pages, str(tmp_path))).orderBy("page_id").collect()
+    assert [(r.page_id, r.payload_bytes, r.record_type) for r in got] == [(1, 300_000, "response"), (2, 1, "response")]
+    for piece in (1, 2, 3, 5, 1000):
+        source = warc._Inflated(io.BytesIO(b""))
+        data = b"ab\r\ncd\r\n\r\r\n\r\nrest" * 3
+        left = [data[i : i + piece] for i in range(0, len(data), piece)]
+
+        def more(source=source, left=left):
+            source.data += left.pop(0) if left else b""
+            return bool(source.data)
+
+        source.more = more
+        assert source.until(b"\r\n\r\n") == b"ab\r\ncd\r\n\r" and (source.data + b"".join(left)).startswith(b"rest")
+
+
 def test_warc_odd_pages(spark):
     big = "x" * 700_000
     rows = [(1, None, None), (2, "http://a/ b", ""), (3, "u", big), (4, "u", big), (5, "u", "short"), (6, "u", "short"), (None, "u", big), (0, "é\n", "é" * 60), (9, "u", "é" * 60), (9, "u", "é" * 60)]
@@ -348,7 +366,7 @@ def test_rollup_batches(spark):
     want = Counter({("a", None, "v1", 1, 7): 1, (None, "en", "v1", 1, 0): 1})
     assert rows_of(c.totals()) == want
     c.compact()
-    assert rows_of(c.totals()) == want and not c.apply("two", first) and c.committed() == ["none", "one", "two"]
+    assert rows_of(c.totals()) == want and not c.apply("two", first) and sorted(r.batch for r in c.committed().collect()) == ["none", "one", "two"]
     c.apply("three", make(("delete", "a", None, "v1", 7, None)))
     c.compact()
     assert rows_of(c.totals()) == Counter({("a", None, "v1", 0, 0): 1, (None, "en", "v1", 1, 0): 1})
@@ -356,6 +374,83 @@ def test_rollup_batches(spark):
         c.apply("bad", make(("merge", "a", "b", "c", 1, 1)))
 
 
+@pytest.fixture
+def rollup(spark):
+    """A rollup of two batches, one of them folded, and a way to send more."""
+    c = token_counts.TokenCounts(spark, common.shared_dir(spark, "t"))
+    send = lambda of, name, n: of.apply(name, spark.createDataFrame([("insert", "a", "en", "v", n, None)], "kind string, source string, lang string, tokenizer string, tokens long, old_tokens long"))
+    send(c, "b1", 1)
+    c.compact()
+    send(c, "b2", 10)
+    return c, token_counts.TokenCounts(spark, c.folder), send
+
+
+def state_of(c):
+    return [(r.documents, r.tokens) for r in c.totals().collect()], sorted(r.batch for r in c.committed().collect())
+
+
+def test_two_compactions_at_once_lose_no_batch(rollup, monkeypatch):
+    """A folds b1 and b2; before it publishes, b3 comes in and B folds and publishes all three; A loses, and begins again."""
+    a, b, send = rollup
+    real, begun = token_counts.TokenCounts._fold, []
+
+    def between(self, fold, batches):
+        table = real(self, fold, batches)
+        begun.append([x for x, _ in batches])
+        if self is a and len(begun) == 1:
+            send(b, "b3", 100)
+            b.compact()
+            b.clean()
+        return table
+
+    monkeypatch.setattr(token_counts.TokenCounts, "_fold", between)
+    a.compact()
+    assert begun == [["b2"], ["b2", "b3"]] and state_of(a) == state_of(b) == ([(3, 111)], ["b1", "b2", "b3"])
+    send(a, "b4", 1000)
+    a.compact()
+    a.clean()
+    assert state_of(b) == ([(4, 1111)], ["b1", "b2", "b3", "b4"]) and len(a._names("tables")) == 1
+
+
+@pytest.mark.parametrize("after", ["totals", "ids", "all"])
+def test_a_compaction_that_dies_changes_nothing(rollup, monkeypatch, spark, after):
+    a, b, send = rollup
+    real = token_counts.TokenCounts._fold
+
+    def dies(self, fold, batches):
+        if after == "totals":
+            self._sum(fold, batches).write.parquet(f"{self.folder}/tables/fold-dead/totals")
+        elif after == "ids":
+            self._ids(fold).write.parquet(f"{self.folder}/tables/fold-dead/batches")
+        else:
+            real(self, fold, batches)
+        raise KeyboardInterrupt
+
+    monkeypatch.setattr(token_counts.TokenCounts, "_fold", dies)
+    with pytest.raises(KeyboardInterrupt):
+        a.compact()
+    monkeypatch.undo()
+    assert state_of(b) == ([(2, 11)], ["b1", "b2"])
+    b.compact()
+    assert state_of(b) == ([(2, 11)], ["b1", "b2"]) and not send(a, "b2", 10)
+    b.clean()
+    assert state_of(a) == ([(2, 11)], ["b1", "b2"]) and len(a._names("tables")) == 1
+
+
+def test_one_of_two_writers_of_a_batch_commits(rollup, monkeypatch):
+    a, b, send = rollup
+    real, won = token_counts.create_new, []
+
+    def later(spark, path, text):
+        if path.endswith("batch-b5") and not won:
+            won.append(True)
+            assert send(b, "b5", 5)
+        return real(spark, path, text)
+
+    monkeypatch.setattr(token_counts, "create_new", later)
+    assert not send(a, "b5", 5) and state_of(a) == ([(3, 16)], ["b1", "b2", "b5"])
+
+
 # 8 token ids
 
 
@@ -757,5 +852,5 @@ def test_rollups_clean_up_and_keep_their_totals(spark):
         if n % 2:
             c.compact()
     c.clean()
-    assert rows_of(c.totals()) == Counter({("a", "en", "v", 4, 10): 1}) and c.committed() == ["b0", "b1", "b2", "b3"] and c._list() == ["fold-1", "ids-of-fold-1"]
+    assert rows_of(c.totals()) == Counter({("a", "en", "v", 4, 10): 1}) and sorted(r.batch for r in c.committed().collect()) == ["b0", "b1", "b2", "b3"] and c._names() == ["published-1", "tables"] and len(c._names("tables")) == 1
     assert not c.apply("b1", spark.createDataFrame([("insert", "a", "en", "v", 9, None)], schema))
