@@ -38,6 +38,19 @@ def next_fast_len(target: int, rule: str = "py", force_even: bool = False) -> in
     return n
 
 
+def fast_len(n: Column, most: int) -> Column:
+    """``next_fast_len`` (rule ``py``) of a column whose values are ``most`` at most: the first of all such sizes that is not smaller."""
+    sizes = [1]
+    while sizes[-1] < most:
+        sizes.append(next_fast_len(sizes[-1] + 1))
+    return F.array_min(F.filter(F.array(*map(F.lit, sizes)), lambda s: s >= n))
+
+
+def power_of_2(n: Column) -> Column:
+    """``next_power_of_2`` of a column of ints."""
+    return F.array_min(F.filter(F.array(*[F.lit(1 << e) for e in range(32)]), lambda p: p >= n))
+
+
 @dataclass(frozen=True)
 class Grid:
     """Sizes of the frames and of the padded transform; scale of the axes."""

@@ -34,6 +34,12 @@ def interpolate(x: np.ndarray, y: np.ndarray, at: np.ndarray, degree: int) -> np
     return _basis(at, knots, degree) @ np.linalg.solve(_basis(x, knots, degree), y)
 
 
+def weights(x: np.ndarray, at: np.ndarray, degree: int) -> np.ndarray:
+    """A row for each of ``at``: what the values at x weigh in the spline's value there, in log-log (the log of the value is the sum of weights times logs)."""
+    x, at = np.log(np.asarray(x, float)), np.log(np.asarray(at, float))
+    return np.array([interpolate(x, unit, at, degree) for unit in np.eye(len(x))]).T.reshape(len(at), len(x))
+
+
 def loglog(x: np.ndarray, y: np.ndarray, at: np.ndarray, degree: int) -> np.ndarray:
     with np.errstate(all="ignore"):
         return np.exp(interpolate(np.log(x), np.log(y), np.log(at), degree))

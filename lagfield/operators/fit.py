@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 
 from ..functions.models import Hint, Model
 
-RESULT = "seq_id string, bin int, k double, success boolean, params map<string,double>, stderr map<string,double>"
+RESULT = "seq_id string, bin int, k double, success boolean, params map<string,double>, stderr map<string,double>, chisqr double, redchi double, n_points int, n_free int, varied array<string>, covariance array<array<double>>"
+#: Cosine between residuals and a slope at most, where a fit has settled.
+SETTLED = 1e-4
 _OPS = {ast.Add: operator.add, ast.Sub: operator.sub, ast.Mult: operator.mul, ast.Div: operator.truediv, ast.Pow: operator.pow, ast.USub: operator.neg, ast.UAdd: operator.pos}
 _CALLS = {"exp": math.exp, "log": math.log, "sqrt": math.sqrt, "abs": abs, "min": min, "max": max}
 
@@ -38,10 +40,12 @@ def evaluate(expr: str, names: dict[str, float]) -> float:
     return walk(ast.parse(expr, mode="eval").body)
 
 
-def least_squares(model: Model, x: np.ndarray, y: np.ndarray, hints: dict[str, Hint], weights: np.ndarray | None = None, steps: int = 400) -> tuple[dict[str, float], dict[str, float], bool]:
-    """(values, standard errors, success): damped Gauss-Newton with the bounds kept by projection; errors scaled by the reduced chi square.
+def least_squares(model: Model, x: np.ndarray, y: np.ndarray, hints: dict[str, Hint], weights: np.ndarray | None = None, steps: int = 400) -> tuple[dict[str, float], dict[str, float], bool, dict]:
+    """(values, standard errors, success, statistics): damped Gauss-Newton with the bounds kept by projection; errors scaled by the reduced chi square.
 
-    ``success`` is false if the start is not finite or the steps ran out before the sum of squares settled.
+    ``success`` means that the sum of squares settled and its gradient there, but for parameters that their bounds hold, is finite and ``SETTLED`` of the slopes' and
+    residuals' own size at most. Statistics: chisqr, redchi, n_points, n_free, varied (the free parameters) and their covariance. A parameter given by an expression has the error that
+    the covariance of the free ones gives it.
     """
     free = [p for p, h in hints.items() if h.vary and h.expr is None]
     low, high = (np.array([getattr(hints[p], side) for p in free], float) for side in ("min", "max"))
@@ -70,7 +74,7 @@ def least_squares(model: Model, x: np.ndarray, y: np.ndarray, hints: dict[str, H
 
     r = off(now)
     finite = bool(np.isfinite(r).all())
-    cost, damp, success = float(r @ r), 1e-3, finite and not free
+    cost, damp, success, settled = float(r @ r), 1e-3, finite and not free, False
     for _ in range(steps if finite and free else 0):
         j = slopes(now, r)
         g = j.T @ r
@@ -96,16 +100,31 @@ def least_squares(model: Model, x: np.ndarray, y: np.ndarray, hints: dict[str, H
                 break
             damp *= 4
         if not moved or (gain <= 1e-14 * max(cost, 1e-300) and size < 1e-9):
-            success = True
+            settled = True
             break
     j = slopes(now, r) if free else np.zeros((len(x), 0))
+    if settled:
+        g = j.T @ r
+        held = ((now <= low) & (g > 0)) | ((now >= high) & (g < 0))
+        # Against rounding: the residuals' own size, or that of the data where the model meets them.
+        size = np.sqrt(cost) + 1e-8 * float(np.linalg.norm(y if weights is None else y * weights))
+        success = bool(np.isfinite(j).all() and np.isfinite(cost) and (np.abs(g) <= SETTLED * np.linalg.norm(j, axis=0) * size + 1e-300)[~held].all())
     err = {p: math.nan for p in hints}
+    redchi = cost / max(1, len(x) - len(free))
+    cov = np.full((len(free), len(free)), math.nan)
     try:
-        cov = np.linalg.inv(j.T @ j) * cost / max(1, len(x) - len(free))
+        cov = np.linalg.inv(j.T @ j) * redchi
         err |= dict(zip(free, np.sqrt(np.maximum(np.diag(cov), 0)).tolist(), strict=True))
+        for p in (p for p, h in hints.items() if h.expr is not None):
+            slope = []
+            for k in range(len(free)):
+                h = 1e-6 * max(abs(now[k]), 1e-4)
+                up, down = (values(now + np.eye(len(free))[k] * s)[p] for s in (h, -h))
+                slope.append((up - down) / (2 * h))
+            err[p] = math.sqrt(max(0.0, float(np.array(slope) @ cov @ np.array(slope)))) if free else math.nan
     except np.linalg.LinAlgError:
         pass
-    return values(now), err, success
+    return values(now), err, success, {"chisqr": cost, "redchi": redchi, "n_points": len(x), "n_free": len(free), "varied": free, "covariance": cov.tolist()}
 
 
 def simple_estimates(x: np.ndarray, y: np.ndarray) -> dict[str, float]:
@@ -138,18 +157,19 @@ def fit_curves(curves: DataFrame, model: Model, value: str = "d", params: dict[s
     return curves.groupBy("seq_id", "bin").applyInPandas(one, RESULT)
 
 
-def _fit_one(model: Model, x: np.ndarray, y: np.ndarray, params: dict[str, Hint] | None, estimate: bool, weights: np.ndarray | None) -> tuple[dict, dict, bool]:
+def _fit_one(model: Model, x: np.ndarray, y: np.ndarray, params: dict[str, Hint] | None, estimate: bool, weights: np.ndarray | None) -> tuple[dict, dict, bool, dict]:
     if np.isnan(y[0]):
         nothing = {p: math.nan for p in model.params}
-        return nothing, nothing, False
+        return nothing, nothing, False, {}
     hints = dict(model.hints)
     if estimate:
         hints |= {p: replace(hints[p], value=v) for p, v in simple_estimates(x, y).items() if p in hints}
     return least_squares(model, x, y, hints | (params or {}), weights)
 
 
-def _row(pdf: pd.DataFrame, values: dict, err: dict, success: bool) -> dict:
-    return {"seq_id": pdf["seq_id"].iloc[0], "bin": int(pdf["bin"].iloc[0]), "k": float(pdf["k"].iloc[0]), "success": success, "params": values, "stderr": err}
+def _row(pdf: pd.DataFrame, values: dict, err: dict, success: bool, statistics: dict) -> dict:
+    about = {"chisqr": math.nan, "redchi": math.nan, "n_points": len(pdf), "n_free": 0, "varied": [], "covariance": []} | statistics
+    return {"seq_id": pdf["seq_id"].iloc[0], "bin": int(pdf["bin"].iloc[0]), "k": float(pdf["k"].iloc[0]), "success": success, "params": values, "stderr": err, **about}
 
 
 def fit_multik(curves: DataFrame, model: Model, ref: int, value: str = "d", ref_params: dict[str, Hint] | None = None, use_err: bool = False, fixed_params: dict[str, list[float]] | None = None, fixed_params_min: dict[str, list[float]] | None = None, fixed_params_max: dict[str, list[float]] | None = None, fixed_params_expr: dict[str, list[str]] | None = None) -> DataFrame:
@@ -175,7 +195,7 @@ def fit_multik(curves: DataFrame, model: Model, ref: int, value: str = "d", ref_
             x, y = g["tau"].to_numpy(float), g[value].to_numpy(float)
             if np.isnan(y[0]):
                 nothing = {p: math.nan for p in model.params}
-                rows[i] = _row(g, nothing, nothing, False)
+                rows[i] = _row(g, nothing, nothing, False, {})
                 return {p: h.value for p, h in hints.items()}
             w = 1 / g["err"].to_numpy(float) if weigh and g["err"].notna().all() else None
             found = least_squares(model, x, y, at(hints, i), w)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,7 +65,7 @@ def _sf(spark: SparkSession, sf_dir: str, strategy: str = "lead") -> tuple[DataF
 
 
 def _aa(spark: SparkSession, sf_dir: str, **args) -> tuple[DataFrame, DataFrame, list[float]]:
-    return radial.radial_slices(temporal.structure_slices(_cube(spark, sf_dir), GRID, N_MONTHS, LAGS), GRID, bins=BINS, **args)
+    return radial.radial_slices(temporal.structure_slices(_cube(spark, sf_dir), GRID, N_MONTHS, LAGS), GRID, **{"bins": BINS, **args})
 
 
 # Rasters, packing, chunks
@@ -94,59 +95,17 @@ def chunkify_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raster.chunk_frames(_cube(spark, sf_dir), N_MONTHS, 20, 5).groupBy("chunk", "t").agg(F.sum("v").alias("v"))
 
 
-# Generators
-
-
-def _list_query(name: str, values: Callable[[], list[int]], sql: str) -> None:
-    query(name, sql)(lambda spark, sf_dir: lag_lists.lag_table(spark, values()))
-
-
-_list_query("lags_fibonacci", lambda: lag_lists.fibonacci(83), "WITH RECURSIVE f(a, b) AS (SELECT 1, 2 UNION ALL SELECT b, a + b FROM f WHERE b < 83) SELECT CAST(a AS INTEGER) AS lag FROM f")
-_list_query(
-    "lags_logspace",
-    lambda: lag_lists.logspace_int(83, 12),
-    "WITH RECURSIVE f(i, v, r) AS (SELECT 0, 1.0::DOUBLE, pow(83.0, 1.0 / 13) UNION ALL SELECT i + 1, CASE WHEN v * r - v >= 1 THEN v * r ELSE v + 1 END, CASE WHEN v * r - v >= 1 THEN r ELSE pow(83.0 / (v + 1), 1.0 / (13 - i - 2)) END FROM f WHERE i < 11) SELECT CAST(round_even(v, 0) AS INTEGER) AS lag FROM f",
-)
-
-
-
-@query("fast_lengths", "WITH n AS (SELECT DISTINCT CAST(s_suppkey AS INTEGER) AS n FROM supplier), m AS (SELECT CAST(pow(2, a.range) * pow(3, b.range) * pow(5, c.range) * pow(7, d.range) * (CASE WHEN e.range = 1 THEN 11 ELSE 1 END) AS BIGINT) AS m FROM range(12) a, range(8) b, range(6) c, range(5) d, range(2) e), p AS (SELECT CAST(pow(2, range) AS BIGINT) AS p FROM range(20)) SELECT n, CAST((SELECT min(m) FROM m WHERE m.m >= n.n) AS INTEGER) AS fast, CAST((SELECT min(p) FROM p WHERE p.p >= n.n) AS INTEGER) AS power_of_2 FROM n")
-def fast_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keys = sorted(r[0] for r in _table(spark, sf_dir, "supplier").select("s_suppkey").distinct().collect())
-    return spark.createDataFrame([(n, G.next_fast_len(n), G.next_power_of_2(n)) for n in keys], "n int, fast int, power_of_2 int")
-
-
-_CELLS = "(SELECT CAST(a.range AS INTEGER) AS y, CAST(b.range AS INTEGER) AS x FROM range(6) a, range(9) b)"
+# Forms of windows and weights in SQL
 
 
 def _cos_sum(var: str, n: int, c: tuple[float, ...]) -> str:
     return "(" + " + ".join(f"{(-1) ** m * v!r} * cos(2 * pi() * {m} * {var} / {n})" for m, v in enumerate(c)) + ")"
 
 
-for _name, _c, _f in (("blackman", G.BLACKMAN, G.blackman), ("blackman_harris", G.BLACKMAN_HARRIS, G.blackman_harris)):
-    query(f"window_{_name}", f"SELECT y, x, {S.r(_cos_sum('y', 6, _c) + ' * ' + _cos_sum('x', 9, _c), 'w')} FROM {_CELLS}")(
-        lambda spark, sf_dir, f=_f: spark.range(54).select(F.floor(F.col("id") / 9).cast("int").alias("y"), (F.col("id") % 9).cast("int").alias("x")).withColumn("w", f(6, 9)).select("y", "x", *_r("w"))
-    )
-
 PAD = G.Grid.of(13, 7, 0.5)
 RECT = G.Grid.of(6, 9)
 
 
-@query("qgrid", S.with_(S.wave_grid(PAD)) + f"SELECT iy, ix, {S.r('ky', 'ky')}, {S.r('kx', 'kx')}, {S.r('k', 'k')}, mult FROM qgrid")
-def q_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.qgrid(spark, PAD).select("iy", "ix", *_r("ky", "kx", "k"), "mult")
-
-
-@query("qgrid_full", f"SELECT CAST(a.range AS INTEGER) AS iy, CAST(b.range AS INTEGER) AS ix, {S.r('2 * pi() * (a.range - 3) / 6', 'ky')}, {S.r('2 * pi() * (b.range - 4) / 9', 'kx')} FROM range(6) a, range(9) b")
-def q_grid_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.qgrid(spark, RECT, full=True).select("iy", "ix", *_r("ky", "kx"))
-
-
-@query("mask_central_cross", S.with_(S.wave_grid(GRID)) + "SELECT iy, ix, ix <> 0 AND iy <> 4 AS by_index, kx <> 0 AND ky <> 0 AS by_axes FROM qgrid")
-def mask_central_cross(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.qgrid(spark, GRID).select("iy", "ix", G.central_cross(GRID).alias("by_index"), G.central_cross(GRID, True).alias("by_axes"))
-
-
 def _sector_sql(kind: str, theta: float, delta: float, rep: int) -> str:
     terms = []
     for n in range(rep):
@@ -156,14 +115,6 @@ def _sector_sql(kind: str, theta: float, delta: float, rep: int) -> str:
     return " + ".join(terms)
 
 
-for _kind in ("uniform", "gauss"):
-    query(f"weights_sector_{_kind}", S.with_(S.wave_grid(GRID)) + f"SELECT iy, ix, {S.r(_sector_sql(_kind, 10, 70, 2), 'w')} FROM qgrid")(lambda spark, sf_dir, k=_kind: G.qgrid(spark, GRID).withColumn("w", G.sector_weight(10, 70, 2, k)).select("iy", "ix", *_r("w")))
-
-_AMPLITUDE = f"0.8 * {4 / 3 * math.pi * 1.5**3!r} * CASE WHEN k = 0 THEN 1.0 / 3 ELSE (sin(k * 1.5) - k * 1.5 * cos(k * 1.5)) / pow(k * 1.5, 3) END"
-for _kind, _e in (("amplitude", _AMPLITUDE), ("intensity", f"4 * pi() * pow({_AMPLITUDE}, 2)")):
-    query(f"form_factor_{_kind}", S.with_(S.wave_grid(GRID)) + f"SELECT iy, ix, {S.r(_e, 'w')} FROM qgrid")(lambda spark, sf_dir, k=_kind: G.qgrid(spark, GRID).withColumn("w", G.sphere_form_factor(1.5, 0.8, k)).select("iy", "ix", *_r("w")))
-
-
 # Spectra
 
 _SPEC_OUT = f"SELECT t, iy, ix, {S.r('re', 're')}, {S.r('im', 'im')} FROM spectrum"
@@ -268,6 +219,55 @@ def sf_full_plane(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spectral.full_plane(_sf(spark, sf_dir)[0], GRID).select("lag", "iy", "ix", *_r("d"))
 
 
+# Lag lists, grids, windows and weights at work
+
+
+_LAG_LISTS = {
+    "fibonacci": (lambda: lag_lists.fibonacci(720), "f(a, b) AS (SELECT 1, 2 UNION ALL SELECT b, a + b FROM f WHERE b < 720), lag_list AS (SELECT a AS lag FROM f)"),
+    "logspace": (
+        lambda: lag_lists.logspace_int(720, 12),
+        "f(i, v, r) AS (SELECT 0, 1.0::DOUBLE, pow(720.0, 1.0 / 13) UNION ALL SELECT i + 1, CASE WHEN v * r - v >= 1 THEN v * r ELSE v + 1 END, CASE WHEN v * r - v >= 1 THEN r ELSE pow(720.0 / (v + 1), 1.0 / (13 - i - 2)) END FROM f WHERE i < 11), lag_list AS (SELECT CAST(round_even(v, 0) AS INTEGER) AS lag FROM f)",
+    ),
+}
+for _name, (_lags, _sql) in _LAG_LISTS.items():
+    _parts = (_sql, EVENTS, S.spectrum(G.Grid.of(8, 5)), S.structure([]).replace("(SELECT unnest([]) AS lag)", "lag_list"))
+    query(f"lags_{_name}", "WITH RECURSIVE " + ",\n".join(_parts) + _SF_OUT)(
+        lambda spark, sf_dir, lags=_lags: temporal.structure_function(raster.event_cube(_table(spark, sf_dir, "events")), G.Grid.of(8, 5), 720, lags())[0].select("lag", "tau", "iy", "ix", *_r("d"), "n_pairs")
+    )
+
+
+@query("fast_lengths", "WITH n AS (SELECT DISTINCT CAST(s_suppkey AS INTEGER) AS n FROM supplier), m AS (SELECT CAST(pow(2, a.range) * pow(3, b.range) * pow(5, c.range) * pow(7, d.range) * (CASE WHEN e.range = 1 THEN 11 ELSE 1 END) AS BIGINT) AS m FROM range(12) a, range(8) b, range(6) c, range(5) d, range(2) e), p AS (SELECT CAST(pow(2, range) AS BIGINT) AS p FROM range(20)) SELECT n, CAST((SELECT min(m) FROM m WHERE m.m >= n.n) AS INTEGER) AS fast, CAST((SELECT min(p) FROM p WHERE p.p >= n.n) AS INTEGER) AS power_of_2 FROM n")
+def fast_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("n")
+    keys = _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("int").alias("n")).distinct()
+    most = keys.agg(F.max("n")).first()[0] or 1
+    return keys.select("n", G.fast_len(n, most).cast("int").alias("fast"), G.power_of_2(n).cast("int").alias("power_of_2"))
+
+
+for _name, _c, _f in (("blackman", G.BLACKMAN, G.blackman), ("blackman_harris", G.BLACKMAN_HARRIS, G.blackman_harris)):
+    query(f"window_{_name}", S.with_(S.cube(6, 9)) + f"SELECT t, y, x, {S.r('v * ' + _cos_sum('y', 6, _c) + ' * ' + _cos_sum('x', 9, _c), 'v')} FROM frames")(
+        lambda spark, sf_dir, f=_f: spectral.windowed(_cube(spark, sf_dir, 6, 9), f(6, 9)).select("t", "y", "x", *_r("v"))
+    )
+
+
+@query("qgrid", S.with_(S.cube(13, 7), S.spectrum(PAD), S.structure(LAGS), S.wave_grid(PAD)) + f"SELECT iy, ix, {S.r('ky', 'ky')}, {S.r('kx', 'kx')}, {S.r('k', 'k')}, mult, {S.r('power_spec', 'power_spec')} FROM extra JOIN qgrid USING (iy, ix)")
+def q_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    extra = temporal.power_and_variance(spectral.dft_cells(_cube(spark, sf_dir, 13, 7), PAD))
+    return extra.join(G.qgrid(spark, PAD), ["iy", "ix"]).select("iy", "ix", *_r("ky", "kx", "k"), "mult", *_r("power_spec"))
+
+
+@query("qgrid_full", S.with_(*TO_SF) + f"SELECT lag, iy, ix, {S.r('2 * pi() * (iy - 4) / 8', 'ky')}, {S.r('2 * pi() * (ix - 4) / 8', 'kx')}, d FROM ({_FULL})")
+def q_grid_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plane = spectral.full_plane(_sf(spark, sf_dir)[0], GRID)
+    return plane.join(G.qgrid(spark, GRID, full=True), ["iy", "ix"]).select("lag", "iy", "ix", *_r("ky", "kx", "d"))
+
+
+@query("mask_central_cross", S.with_(*TO_SF, S.wave_grid(GRID)) + f"SELECT iy, ix, ix <> 0 AND iy <> 4 AS by_index, kx <> 0 AND ky <> 0 AS by_axes, {S.r('power_spec', 'power_spec')} FROM extra JOIN qgrid USING (iy, ix)")
+def mask_central_cross(spark: SparkSession, sf_dir: str) -> DataFrame:
+    extra = temporal.power_and_variance(_spectrum(spark, sf_dir)).join(G.qgrid(spark, GRID), ["iy", "ix"])
+    return extra.select("iy", "ix", G.central_cross(GRID).alias("by_index"), G.central_cross(GRID, True).alias("by_axes"), *_r("power_spec"))
+
+
 # Radial averages
 
 _AA_OUT = f"SELECT bin, {S.r('k', 'k')}, tau, {S.r('d', 'd')}, {S.r('err', 'err')} FROM aa"
@@ -283,6 +283,26 @@ def aa_extra(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _aa(spark, sf_dir)[1].select("bin", *_r("k", "power_spec", "power_spec_err", "var", "var_err"))
 
 
+def _weighted(name: str, sql: str, weight: Callable[[], Column]) -> None:
+    query(name, S.with_(*TO_SF, S.wave_grid(GRID), S.rings(EDGES, LOW, "true", sql)) + _AA_OUT)(lambda spark, sf_dir: _aa(spark, sf_dir, weight=weight())[0].select("bin", *_r("k"), "tau", *_r("d", "err")))
+
+
+for _kind in ("uniform", "gauss"):
+    _weighted(f"weights_sector_{_kind}", _sector_sql(_kind, 10, 70, 2), lambda k=_kind: G.sector_weight(10, 70, 2, k))
+# A small sphere, whose amplitude is positive over the whole grid.
+_AMPLITUDE = f"0.8 * {4 / 3 * math.pi * 0.5**3!r} * CASE WHEN k = 0 THEN 1.0 / 3 ELSE (sin(k * 0.5) - k * 0.5 * cos(k * 0.5)) / pow(k * 0.5, 3) END"
+for _kind, _e in (("amplitude", _AMPLITUDE), ("intensity", f"4 * pi() * pow({_AMPLITUDE}, 2)")):
+    _weighted(f"form_factor_{_kind}", _e, lambda k=_kind: G.sphere_form_factor(0.5, 0.8, k))
+
+
+MANY = [float(x) for x in np.linspace(LOW, EDGES[-1], 2000)]
+
+
+@query("aa_many_edges", S.with_(*TO_SF, S.wave_grid(GRID), S.rings(MANY, LOW)) + _AA_OUT)
+def aa_many_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _aa(spark, sf_dir, bins=2000)[0].select("bin", *_r("k"), "tau", *_r("d", "err"))
+
+
 LIST = [0.5, 1.0, 1.1, 2.0, 3.3]
 
 
@@ -408,18 +428,19 @@ for _name, _model in MODELS.items():
 FAST, SLOW = [1, 2, 3, 5, 8, 13], [1, 2, 3, 4, 5, 6, 7]
 _G85 = G.Grid.of(8, 5)
 _E85 = _edges(_G85, 4)
+_TWO_LISTS = ([float(x) for x in FAST], [6.0 * x for x in SLOW])
 
 
-def _rate(spark: SparkSession, sf_dir: str, hours: int, n: int, lags: list[int]) -> tuple[DataFrame, DataFrame]:
+def _rate(spark: SparkSession, sf_dir: str, hours: int, n: int, lags: list[int], keep: bool = False) -> tuple[DataFrame, DataFrame]:
     """Radial averages of the event cube at one frame every so many hours."""
     g = G.Grid.of(8, 5, delta_t=float(hours))
     slices = temporal.structure_slices(raster.event_cube(_table(spark, sf_dir, "events"), hours), g, n, lags)
-    return radial.radial_slices(slices, g, bins=4, keep=True)[:2]
+    return radial.radial_slices(slices, g, bins=4, keep=keep)[:2]
 
 
-def _two_rates(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+def _two_rates(spark: SparkSession, sf_dir: str, keep: bool = False) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Hourly and six-hourly radial averages, each with its extras."""
-    return (*_rate(spark, sf_dir, 1, 720, FAST), *_rate(spark, sf_dir, 6, 120, SLOW))
+    return (*_rate(spark, sf_dir, 1, 720, FAST, keep), *_rate(spark, sf_dir, 6, 120, SLOW, keep))
 
 
 def _magnitudes(aa: DataFrame, extra: DataFrame) -> DataFrame:
@@ -445,7 +466,7 @@ def aa_mergesort(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("isf_mergesort", f"SELECT bin, {S.r('k', 'k')}, tau, {S.r('f', 'f')}, {S.r('err', 'err')} FROM ({_rate_sql(1, FAST, _ISF_RATE)} UNION ALL {_rate_sql(6, SLOW, _ISF_RATE)})")
 def isf_mergesort(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a, ea, b, eb = _two_rates(spark, sf_dir)
+    a, ea, b, eb = _two_rates(spark, sf_dir, True)
     return merge.mergesort(_magnitudes(a, ea), _magnitudes(b, eb), "f").select("bin", *_r("k"), "tau", *_r("f", "err"))
 
 
@@ -462,13 +483,13 @@ SELECT bin, {S.r('k', 'k')}, tau, {S.r('v', value)}, {S.r('err', 'err')} FROM me
 @query("aa_melt", _melt_sql("d", "SELECT bin, k, tau, d, err FROM aa"))
 def aa_melt(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, _, b, _ = _two_rates(spark, sf_dir)
-    return merge.melt(a, b).select("bin", *_r("k"), "tau", *_r("d", "err"))
+    return merge.melt(a, b, tau_lists=_TWO_LISTS).select("bin", *_r("k"), "tau", *_r("d", "err"))
 
 
 @query("isf_melt", _melt_sql("f", _ISF_RATE))
 def isf_melt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a, ea, b, eb = _two_rates(spark, sf_dir)
-    return merge.melt(_magnitudes(a, ea), _magnitudes(b, eb), "f").select("bin", *_r("k"), "tau", *_r("f", "err"))
+    a, ea, b, eb = _two_rates(spark, sf_dir, True)
+    return merge.melt(_magnitudes(a, ea), _magnitudes(b, eb), "f", _TWO_LISTS).select("bin", *_r("k"), "tau", *_r("f", "err"))
 
 
 _EXTRA_OUT = f"SELECT bin, {S.r('power_spec', 'power_spec')}, {S.r('power_spec_err', 'power_spec_err')}, {S.r('"var"', '"var"')}, {S.r('var_err', 'var_err')}"
@@ -476,12 +497,12 @@ _EXTRA_OUT = f"SELECT bin, {S.r('power_spec', 'power_spec')}, {S.r('power_spec_e
 
 @query("aa_melt_extra", f"{_EXTRA_OUT} FROM {_rate_sql(6, SLOW, 'SELECT * FROM aa_extra')}")
 def aa_melt_extra(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return merge.melt_extra(*_two_rates(spark, sf_dir)).select("bin", *_r("power_spec", "power_spec_err", "var", "var_err"))
+    return merge.melt_extra(*_two_rates(spark, sf_dir, True)).select("bin", *_r("power_spec", "power_spec_err", "var", "var_err"))
 
 
 @query("aa_mergesort_extra", f"{_EXTRA_OUT} FROM {_rate_sql(6, SLOW, 'SELECT * FROM aa_extra')}")
 def aa_mergesort_extra(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return merge.mergesort_extra(*_two_rates(spark, sf_dir)).select("bin", *_r("power_spec", "power_spec_err", "var", "var_err"))
+    return merge.mergesort_extra(*_two_rates(spark, sf_dir, True)).select("bin", *_r("power_spec", "power_spec_err", "var", "var_err"))
 
 
 TO_TAU = [1.5, 2.5, 4.0, 6.0, 10.0, 15.0]
@@ -494,7 +515,7 @@ SELECT bin, w.tau, {S.r('any_value(k)', 'k')}, {S.r(f'exp(sum(w.w * ln({value}))
 
 @query("aa_resample", _resample_sql("d", S.with_(*TO_AA) + "SELECT bin, k, tau, d, err FROM aa"))
 def aa_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return merge.resample(_aa(spark, sf_dir)[0], TO_TAU).select("bin", *_r("k"), "tau", *_r("d", "err"))
+    return merge.resample(_aa(spark, sf_dir)[0], TO_TAU, tau_lists=[LAGS]).select("bin", *_r("k"), "tau", *_r("d", "err"))
 
 
 @query("aa_resample_own_tau", S.with_(*TO_AA) + f"SELECT bin, tau, {S.r('d', 'd')} FROM aa")
@@ -504,7 +525,7 @@ def aa_resample_own_tau(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("isf_resample", _resample_sql("f", S.with_(*TO_AA) + _ISF_RATE))
 def isf_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return merge.resample(_magnitudes(*_aa(spark, sf_dir, keep=True)[:2]), TO_TAU, "f").select("bin", *_r("k"), "tau", *_r("f", "err"))
+    return merge.resample(_magnitudes(*_aa(spark, sf_dir, keep=True)[:2]), TO_TAU, "f", [LAGS]).select("bin", *_r("k"), "tau", *_r("f", "err"))
 
 
 # Fits: of the rings, and of planted curves whose parameters are aggregates
@@ -529,19 +550,19 @@ _PLANTED = {
 
 
 def _planted(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A curve for each line number, made with known parameters."""
-    rows = _table(spark, sf_dir, "lineitem").groupBy(F.col("l_linenumber").cast("int").alias("bin")).agg(*[F.expr(e).alias(p) for p, e in _PLANTED[name].items()])
+    """A curve for each line number of each return flag, made with known parameters: a sequence for each flag."""
+    rows = _table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("seq_id"), F.col("l_linenumber").cast("int").alias("bin")).agg(*[F.expr(e).alias(p) for p, e in _PLANTED[name].items()])
     rows = rows.withColumn("tau_at", F.explode(F.transform(F.sequence(F.lit(1), F.lit(30)), lambda i: i * 0.4)))
     d = MODELS[name].column(F.col("tau_at"), **{p: F.col(p) for p in _PLANTED[name]})
-    return rows.select(F.lit("s0").alias("seq_id"), "bin", F.col("bin").cast("double").alias("k"), d.alias("d"), F.col("tau_at").alias("tau"), F.lit(1.0).alias("err"))
+    return rows.select("seq_id", "bin", F.col("bin").cast("double").alias("k"), d.alias("d"), F.col("tau_at").alias("tau"), F.lit(1.0).alias("err"))
 
 
 def _planted_sql(name: str) -> str:
-    return f"SELECT CAST(l_linenumber AS INTEGER) AS bin, {', '.join(f'round({e}, 3) + 0.0 AS {p}' for p, e in _PLANTED[name].items())}, true AS success FROM lineitem GROUP BY l_linenumber"
+    return f"SELECT l_returnflag AS seq_id, CAST(l_linenumber AS INTEGER) AS bin, {', '.join(f'round({e}, 3) + 0.0 AS {p}' for p, e in _PLANTED[name].items())}, true AS success FROM lineitem GROUP BY ALL"
 
 
 def _found(fits: DataFrame, name: str) -> DataFrame:
-    return fit.wide(fits, MODELS[name]).select("bin", *[(F.round(p, 3) + 0.0).alias(p) for p in _PLANTED[name]], "success")
+    return fit.wide(fits, MODELS[name]).select("seq_id", "bin", *[(F.round(p, 3) + 0.0).alias(p) for p in _PLANTED[name]], "success")
 
 
 @query("fit_planted_curves", _planted_sql("simple_structure_function"))
@@ -583,10 +604,11 @@ def container_sf_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return container.load(spark, path).where("slice >= 2 AND slice >= 1 AND slice < 5 AND slice IN (0, 2, 3, 4) AND slice IN (2, 3, 4, 5)").select("slice", "tau", "iy", "ix", *_r("d"))
 
 
-@query("container_sf_grid", S.with_(S.wave_grid(G.Grid.of(8, 8, 0.5))) + f"SELECT iy, ix, {S.r('ky', 'ky')}, {S.r('kx', 'kx')}, mult FROM qgrid")
+@query("container_sf_grid", S.with_(*TO_SF, S.wave_grid(G.Grid.of(8, 8, 0.5))) + f"SELECT lag, iy, ix, {S.r('ky', 'ky')}, {S.r('kx', 'kx')}, mult, {S.r('d', 'd')} FROM sf JOIN qgrid USING (iy, ix)")
 def container_sf_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     (path,) = container.save_sf(*_sf(spark, sf_dir), G.Grid.of(8, 8, 0.5), shared_dir(spark, "sf"))
-    return container.grid_of(spark, path).select("iy", "ix", *_r("ky", "kx"), "mult")
+    lag = F.element_at(F.array(*map(F.lit, LAGS)), F.col("slice") + 1).alias("lag")
+    return container.load(spark, path).join(container.grid_of(spark, path), ["iy", "ix"]).select(lag, "iy", "ix", *_r("ky", "kx"), "mult", *_r("d"))
 
 
 @query("container_aa_roundtrip", S.with_(*TO_AA) + _AA_OUT + " WHERE bin >= 1 AND bin <> 3")
@@ -643,11 +665,19 @@ def tiff_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raster.unpack(tiff.read_images(spark, paths)).drop("seq_id")
 
 
-@query("tiff_metadata", "SELECT CAST(8 AS INTEGER) AS width, CAST(8 AS INTEGER) AS height, CAST(64 AS INTEGER) AS bits")
+@query("tiff_metadata", S.with_(S.cube()) + "SELECT CAST(8 AS INTEGER) AS width, CAST(8 AS INTEGER) AS height, CAST(64 AS INTEGER) AS bits, count(DISTINCT t) AS files FROM frames")
 def tiff_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = shared_dir(spark, "tiff")
-    (path,) = tiff.save_frames(raster.pack(_cube(spark, sf_dir).where("t = 5"), 8, 8), folder, dtype="f8")
-    return tiff.read_metadata(spark, path).select(*[F.col("tags")[tag].cast("int").alias(name) for name, tag in (("width", "ImageWidth"), ("height", "ImageLength"), ("bits", "BitsPerSample"))])
+    paths = tiff.save_frames(raster.pack(_cube(spark, sf_dir), 8, 8), shared_dir(spark, "tiff"), dtype="f8")
+    tags = tiff.read_metadata(spark, paths).select(*[F.col("tags")[tag].cast("int").alias(name) for name, tag in (("width", "ImageWidth"), ("height", "ImageLength"), ("bits", "BitsPerSample"))])
+    return tags.groupBy("width", "height", "bits").agg(F.count(F.lit(1)).alias("files"))
+
+
+@query("tiff_pages", S.with_(S.cube()) + _FRAMES_OUT + " WHERE m.range % 3 <> 1")
+def tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One file with a page for each month, of which the filter reads two thirds."""
+    path = tiff.save_stack(raster.pack(_cube(spark, sf_dir), 8, 8), shared_dir(spark, "stack"), "stack.tif", "f8")
+    months = [t for t in range(N_MONTHS) if t % 3 != 1]
+    return raster.unpack(tiff.read_images(spark, path, seq=months)).drop("seq_id")
 
 
 @query("tiff_slices_roundtrip", S.with_(*TO_SF) + "SELECT lag, iy, ix, round(CAST(CAST(d AS FLOAT) AS DOUBLE), 1) + 0.0 AS d FROM (" + _FULL.replace("round(d, 6) + 0.0 AS d", "d") + ")")

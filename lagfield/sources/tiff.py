@@ -15,7 +15,7 @@ from typing import BinaryIO
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, Filter, InputPartition
 
@@ -255,19 +255,29 @@ def read_images(spark: SparkSession, src: str | list[str], seq: list[int] | None
     return out if color_seq is None else out.where(F.col("c").isin(*color_seq))
 
 
-def read_metadata(spark: SparkSession, src: str) -> DataFrame:
-    """(path, tags) of the first page. A folder is not implemented, a missing file is not found, another suffix raises ``RuntimeError``."""
-    if os.path.isdir(src):
-        raise NotImplementedError("metadata of a folder")
-    if ":" not in src.split("/")[0] and not os.path.exists(src):
-        raise FileNotFoundError(src)
-    if src.endswith(".nd2"):
-        raise NotImplementedError("nd2 is a closed format")
-    if not src.endswith(".tif"):
-        raise RuntimeError("metadata are read from .tif files")
-    with open_read(src) as f:
-        tags = pages(f)[0]
-    return spark.createDataFrame([(src, {k: str(v) for k, v in tags.items() if k != "order"})], "path string, tags map<string,string>")
+def read_metadata(spark: SparkSession, src: str | list[str]) -> DataFrame:
+    """(path, tags) of the first page of a file, or of each of a list, which tasks read. A folder is not implemented, a missing file is not found, another suffix raises ``RuntimeError``."""
+    for path in [src] if isinstance(src, str) else src:
+        if path.endswith(".nd2"):
+            raise NotImplementedError("nd2 is a closed format")
+        if isinstance(src, str) and os.path.isdir(path):
+            raise NotImplementedError("metadata of a folder")
+        if isinstance(src, str) and ":" not in path.split("/")[0] and not os.path.exists(path):
+            raise FileNotFoundError(path)
+        if not path.endswith(".tif"):
+            raise RuntimeError("metadata are read from .tif files")
+    schema = pa.schema([("path", pa.string()), ("tags", pa.map_(pa.string(), pa.string()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for path in b.column("path").to_pylist():
+                with open_read(path) as f:
+                    rows.append({"path": path, "tags": [(k, str(v)) for k, v in pages(f)[0].items() if k != "order"]})
+            yield pa.RecordBatch.from_pylist(rows, schema)
+
+    paths = [(p,) for p in ([src] if isinstance(src, str) else src)]
+    return spark.createDataFrame(paths, "path string").mapInArrow(run, "path string, tags map<string,string>")
 
 
 def _save(images: DataFrame, folder: str, names: DataFrame) -> list[str]:
@@ -303,6 +313,50 @@ def save_frames(frames: DataFrame, folder: str, name_of: Callable[[str, int], st
     return _save(_images(frames, dtype), folder, kept(names, "names"))
 
 
+def save_stack(frames: DataFrame, folder: str, name: str, dtype=np.float64) -> str:
+    """frames_packed of one sequence as the pages of one TIFF, in order of t: one task strings the pages together, a page in memory at a time.
+
+    The page directory is worked out beforehand, since frames are of one size (another one raises ``ValueError``): each page is a row of the sink, at its place in the file.
+    """
+    shape = frames.agg(F.count(F.lit(1)), F.min("height"), F.max("height"), F.min("width"), F.max("width"), F.count_distinct("seq_id"), F.count_distinct("t")).first()
+    n, height, _, width, _, sequences, times = shape
+    if not n or shape[1] != shape[2] or shape[3] != shape[4] or sequences != 1 or times != n:
+        raise ValueError("a stack holds one sequence, each frame once, all of one size")
+    one = tiff_bytes([np.zeros((height, width), dtype)])
+    size = len(one) - 8
+    if 8 + size * n >= 1 << 32:
+        raise NotImplementedError("a TIFF file holds 4 GB at most")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                k = b.column("k")[i].as_py()
+                page = np.asarray(b.column("pixels")[i].values, np.float64).astype(dtype).reshape(height, width)
+                content = moved(tiff_bytes([page])[8:], 8 + size * k, k == n - 1)
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([content], pa.binary())], ["k", "content"])
+
+    def moved(page: bytes, to: int, last: bool) -> bytes:
+        """A page of a file of its own, at another place: offsets go with it, and its end names the next page."""
+        raw = bytearray(page)
+        at = struct.unpack_from("<I", one, 4)[0] - 8
+        (entries,) = struct.unpack_from("<H", raw, at)
+        for e in range(at + 2, at + 2 + 12 * entries, 12):
+            tag, kind, count, value = struct.unpack_from("<HHII", raw, e)
+            if tag == 273 or count * struct.calcsize(TYPES[kind]) > 4:
+                struct.pack_into("<I", raw, e + 8, value - 8 + to)
+        struct.pack_into("<I", raw, at + 2 + 12 * entries, 0 if last else to + size + at)
+        return bytes(raw)
+
+    spark = frames.sparkSession
+    spark.dataSource.register(TiffSource)
+    order = kept(frames.select("t").withColumn("k", F.row_number().over(Window.orderBy("t")) - 1), "order")
+    rows = frames.join(order, "t").select(F.col("k").cast("long").alias("k"), "pixels").mapInArrow(run, "k long, content binary")
+    head = spark.createDataFrame([(-1, one[:4] + struct.pack("<I", struct.unpack_from("<I", one, 4)[0]))], "k long, content binary")
+    wire = rows.unionByName(head).select(F.lit(name).alias("name"), (F.col("k") - n - 1).alias("pos"), F.lit(None).cast("double").alias("v"), "content")
+    wire.repartition(1).sortWithinPartitions("pos").write.format("tiff_pages").mode("overwrite").save(folder)
+    return f"{folder.rstrip('/')}/{name}"
+
+
 def save_slices(sf: DataFrame, height: int, width: int, folder: str, names: dict[int, str]) -> list[str]:
     """Lag slices as float32 TIFF in ``folder``, the whole plane each; ``names`` gives a file for every lag. Several sequences raise ``ValueError``: their planes would meet in one file."""
     have = {r["lag"] for r in sf.select("lag").distinct().collect()}

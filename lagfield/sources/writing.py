@@ -25,7 +25,7 @@ class Written(WriterCommitMessage):
 
 class CommittedFiles(DataSourceArrowWriter):
     """Rows (name, pos, v, content), sorted by name and pos, all rows of a name in one partition: ``v`` is written as the file's number ``pos``, holes before it as
-    NaN. ``content`` is written as it is: at -1 before the numbers, else after as many numbers as ``pos`` says, which ends the file. Two values for one position, or one
+    NaN. ``content`` is written as it is: at negative positions before the numbers, else after as many numbers as ``pos`` says, which ends the file. Two values for one position, or one
     beyond the end, raise ``ValueError``.
 
     A task writes into a folder of the write's own, under names of its attempt's own. Nothing is in the target before ``commit``; what tasks left that were
