@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 from ..functions import grid as G
 from ..functions import lags as lag_lists
 from ..functions.models import MODELS
-from ..operators import fit, isf, merge, noise, radial, raster, spectral, temporal
+from ..operators import fit, isf, merge, noise, partial, radial, raster, spectral, temporal
 from ..sources import container, tiff
-from ..sources.shared import shared_dir
+from ..sources.shared import kept, shared_dir
+from ..streaming import stateful
 from . import sql as S
 
 LAGS, N_MONTHS, BINS = [1, 2, 3, 5, 8, 13], 83, 6
@@ -184,6 +185,44 @@ for _how in ("halo", "block_scan", "fft_blocks"):
     )
 
 
+@query("sf_merge_partials", S.with_(EVENTS, S.spectrum(G.Grid.of(8, 5)), S.structure(LAGS)) + _SF_OUT)
+def sf_merge_partials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """States of single days, written apart and merged."""
+    states = partial.part_states(spectral.dft_cells(raster.event_cube(_table(spark, sf_dir, "events")), G.Grid.of(8, 5)), LAGS, 24)
+    folder = shared_dir(spark, "states")
+    states.write.partitionBy("part").parquet(folder)
+    return partial.merged(spark.read.parquet(folder)).select("lag", "tau", "iy", "ix", *_r("d"), "n_pairs")
+
+
+@query("sf_table_function", S.with_(*TO_SF) + f"SELECT lag, iy, ix, {S.r('d', 'd')}, n_pairs FROM sf")
+def sf_table_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    partial.register_table_function(spark)
+    _spectrum(spark, sf_dir).createOrReplaceTempView("lagfield_spectrum")
+    sums = spark.sql(f"SELECT * FROM lag_sums(TABLE(lagfield_spectrum) PARTITION BY (seq_id, iy, ix) ORDER BY (t), ARRAY({', '.join(map(str, LAGS))}))")
+    return partial.merged(sums).select("lag", "iy", "ix", *_r("d"), "n_pairs")
+
+
+HOURS, CHUNK, STEP = 720, 100, 75
+_CHUNKS = f"""pairs AS (SELECT lag, a.iy, a.ix, a.t AS early, b.t AS late, (b.re - a.re) * (b.re - a.re) + (b.im - a.im) * (b.im - a.im) AS d
+  FROM spectrum a CROSS JOIN (SELECT unnest({LAGS}) AS lag) JOIN spectrum b ON b.iy = a.iy AND b.ix = a.ix AND b.t = a.t + lag),
+chunks AS (SELECT -1 AS chunk, -1 AS low, {HOURS} AS high UNION ALL SELECT range, range * {STEP}, range * {STEP} + {CHUNK} FROM range({-(-HOURS // STEP)}))"""
+
+
+@query("sf_stream", S.with_(EVENTS, S.spectrum(G.Grid.of(8, 5)), _CHUNKS) + f"SELECT CAST(chunk AS INTEGER) AS chunk, CAST(lag AS INTEGER) AS lag, iy, ix, {S.r('avg(d)', 'd')}, CAST(count(*) AS INTEGER) AS n_pairs FROM pairs JOIN chunks ON early >= low AND late < high GROUP BY ALL")
+def sf_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly frames that arrive up to 40 hours late, some of them twice, in six batches: the whole sequence (chunk -1) and hopping chunks."""
+    folder = shared_dir(spark, "stream")
+    spectrum = kept(spectral.dft_cells(raster.event_cube(_table(spark, sf_dir, "events")), G.Grid.of(8, 5)), "spectrum")
+    late = F.pmod(F.hash("t"), F.lit(40))
+    again = F.when(F.col("t") % 10 == 3, F.array(late, late + 30)).otherwise(F.array(late))
+    arriving = spectrum.withColumn("_late", F.explode(again)).withColumn("_batch", F.floor((F.col("t") + F.col("_late")) / 120))
+    for k in range(-(-(HOURS + 70) // 120)):
+        arriving.where(F.col("_batch") == k).drop("_late", "_batch").coalesce(1).write.parquet(f"{folder}/arrivals/{k}")
+    stream = spark.readStream.schema(spectrum.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{folder}/arrivals")
+    sums = stateful.run_available(stateful.lagged_sums(stream, LAGS, 3600, "2 days", CHUNK, CHUNK - STEP), folder)
+    return stateful.total(sums).select(F.coalesce("chunk", F.lit(-1)).alias("chunk"), "lag", "iy", "ix", *_r("d"), "n_pairs")
+
+
 @query("sf_dark_frames", S.with_(S.cube(), f"partial AS (SELECT * FROM frames WHERE t % 7 <> 3 UNION ALL SELECT CAST(range AS INTEGER), 0, 0, 0.0 FROM range({N_MONTHS}) WHERE range % 7 = 3)", S.spectrum(GRID, "partial"), S.structure(LAGS)) + _SF_OUT)
 def sf_dark_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     cube = raster.filled_frames(_cube(spark, sf_dir).where("t % 7 <> 3"), N_MONTHS)
