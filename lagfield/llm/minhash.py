@@ -12,13 +12,13 @@
    block, a list of nodes and not of pairs, meets again with the full sets; of the exact links found there a block
    gives one for each two components that it joins, fewer than it has members.
 
-   Buckets with over ``HOT_ROWS`` members outside (a passage that many texts share) are first divided by the code of each other band: a pair at
-   the threshold shares one of those too, but for a probability of about ``MISS``, and texts that have the passage alone in common hardly meet.
+   Buckets with over ``HOT_ROWS`` members outside (a passage that many texts share) are not compared as they are: their members meet anew by rare shingles
+   (``_by_rare``), an exact filter, under which texts that have the passage alone in common do not meet.
 
 So a link between two components is lost only if its sketches share no band or stray by 6 deviations. Measured on simulated pairs at the
 threshold (3,000 each at unions of 20, 40, 60, 100, 150, 200, 400 and 1,000; 24,000 at 85 and as many at 80):
 without a shared band 0 and 0; below 6 deviations 0 and 0 (below 4: 5 and 4, densified bytes not being independent).
-The comparisons of step 4 grow with (members outside the largest component) x (members) of a divided bucket: sketches of 512 bytes, exchanged once for ``BLOCK_ROWS``.
+The comparisons of step 4 grow with (members outside the largest component) x (members) of a bucket of at most ``HOT_ROWS`` outside, or of a group by rare shingle: sketches of 512 bytes, exchanged once for ``BLOCK_ROWS``.
 
 Defined results: null and wordless texts have an empty set and stay alone; fewer than five words are one shingle; rows that repeat
 an id share that id's component if their texts do; null ids are linked with nothing (component null, not kept); an empty table gives an
@@ -41,8 +41,8 @@ from .files import bounded_batches
 from .shingles import BINS, shingle_set, sketch, word_hashes
 
 ROWS, MISS, BLOCK_ROWS, BLOCK_SHINGLES, SEEN = 7, 1e-6, 2000, 1_000_000, 200_000
-#: Members outside the largest component from which a bucket is divided once more by the other bands.
-HOT_ROWS = 20_000
+#: Members outside the largest component from which those of a bucket meet by rare shingles instead; either way gives the same links.
+HOT_ROWS = 2_000
 #: The threshold of the pipeline stage; the query's is 85.
 STAGE_PERCENT = 80
 
@@ -131,20 +131,23 @@ def _possible(percent: int):
     bands, width = banding(percent)
 
     def of_block(name: str, t: pa.Table) -> pa.RecordBatch:
-        rows = {k: t.column(k).to_numpy() for k in ("node", "root", "n", "band", "asks", "outside")}
+        rows = {k: t.column(k).to_numpy() for k in ("node", "root", "n", "band", "asks", "outside", "first")}
         codes = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, BINS)
         other, marked = np.flatnonzero(~rows["asks"]), np.zeros(len(codes), bool)
+        short = other[rows["first"][other]]
         for i in np.flatnonzero(rows["asks"]):
-            near = (codes[other] == codes[i]).sum(1) >= enough
-            small, large = np.minimum(rows["n"][other], rows["n"][i]), np.maximum(rows["n"][other], rows["n"][i])
-            once = ~rows["outside"][other] | (rows["node"][other] > rows["node"][i])
-            hit = other[near & once & (rows["root"][other] != rows["root"][i]) & (100 * small >= percent * large)]
-            if len(hit):
+            # One of a pair has the shingle among its first.
+            held = other if rows["first"][i] else short
+            small, large = np.minimum(rows["n"][held], rows["n"][i]), np.maximum(rows["n"][held], rows["n"][i])
+            once = ~rows["outside"][held] | (rows["node"][held] > rows["node"][i])
+            held = held[once & (rows["root"][held] != rows["root"][i]) & (100 * small >= percent * large)]
+            hit = held[(codes[held] == codes[i]).sum(1) >= enough]
+            if len(hit) and rows["band"][i] >= 0:
                 # A pair is dealt with in the first bucket that it shares.
                 shared = (codes[hit, : bands * width] == codes[i, : bands * width]).reshape(len(hit), bands, width).all(2).argmax(1)
                 hit = hit[shared == rows["band"][i]]
-                marked[hit] = True
-                marked[i] |= len(hit) > 0
+            marked[hit] = True
+            marked[i] |= len(hit) > 0
         at = np.flatnonzero(marked)
         return pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(rows["node"][at]), pa.array(rows["root"][at]), pa.array(rows["asks"][at])], ["block", "node", "root", "asks"])
 
@@ -195,6 +198,29 @@ def _mixed(labelled: DataFrame) -> DataFrame:
     return buckets.select("bucket", F.col("most.root").alias("top"), outside.alias("outside_rows"), blocks(outside, F.col("weight") - F.col("most.w")).alias("ask_blocks"), blocks(F.col("size"), F.col("weight")).alias("all_blocks"))
 
 
+def _by_rare(hot: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """Members (node, n, root) of hot buckets, entered in a group for each of their rare shingles: bucket, band (-1), node, n, root, first.
+
+    Shingles have one order for all, rare ones first. Two sets of sizes x <= y at the threshold t have ceil(2 t x / (1 + t)) shingles in common at least, and ceil(t y): so one of the first
+    x - ceil(2 t x / (1 + t)) + 1 of the smaller is among the first y - ceil(t y) + 1 of the larger. ``first`` marks the shorter prefix; groups in which no member has it
+    hold no pair. A passage that all members share is frequent, stands last, and is in no shorter prefix unless it makes up all but a small part of a text.
+    """
+    nodes = scratch.written(hot.select("node", "n", "root").distinct(), "hot-nodes")
+    some, flag = maybe_among(sets, F.col("node"), nodes, F.col("node"))
+    held = some.where(F.col(flag)).join(nodes, "node").select("node", "n", "root", F.explode("hashes").alias("shingle"))
+    counts = scratch.written(held.groupBy("shingle").agg(F.count(F.lit(1)).alias("rows")), "shingles")
+    total = max(1, nodes.agg(F.sum("n")).first()[0] or 0)
+    ranked = attach_by_key(held.withColumn("shingle", F.col("shingle").cast("string")), counts.withColumn("shingle", F.col("shingle").cast("string")), "shingle", "rows", total, ["node", "shingle"])
+    ordered = ranked.groupBy("node", "n", "root").agg(F.sort_array(F.collect_list(F.struct("rows", "shingle"))).alias("all"))
+    up = lambda a, b: F.floor((a + b - 1) / b)
+    short, long = F.col("n") - up(2 * percent * F.col("n"), F.lit(100 + percent)) + 1, F.col("n") - up(percent * F.col("n"), F.lit(100)) + 1
+    each = ordered.select("node", "n", "root", short.alias("short"), F.posexplode(F.slice("all", F.lit(1), long.cast("int"))).alias("at", "x"))
+    entered = each.where("x.rows > 1").select(F.xxhash64(F.lit("rare"), "x.shingle").alias("bucket"), F.lit(-1).alias("band"), "node", "n", "root", (F.col("at") < F.col("short")).alias("first"))
+    entered = scratch.written(entered, "entered")
+    useful = entered.groupBy("bucket").agg(F.max("first").alias("any"), F.count(F.lit(1)).alias("k")).where("any AND k > 1")
+    return entered.join(useful.select("bucket"), "bucket", "left_semi")
+
+
 def _graph(docs: DataFrame, id_col: str, text_col: str, percent: int, null_ids: bool, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """(marks, graph), both written: marks has a row per row of ``docs`` (doc_id, t: the text's md5, n_shingles, key),
     graph one per class (key in hex, root, component_id: the least id of the component, rows). ``null_ids``: rows without an id are linked too."""
@@ -227,12 +253,11 @@ def _graph(docs: DataFrame, id_col: str, text_col: str, percent: int, null_ids:
     labelled = scratch.written(labelled, "labelled")
     mixed = scratch.written(_mixed(labelled), "mixed")
     hot = mixed.where(F.col("outside_rows") > HOT_ROWS)
+    labelled = labelled.withColumn("first", F.lit(True))
     if not hot.isEmpty():
-        others = F.explode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda k: F.struct(k.alias("k"), code(k).alias("code")))).alias("x")
-        divided = labelled.join(hot.select("bucket"), "bucket").join(classes.select("node", "sketch"), "node").select("bucket", "band", "node", "n", "root", others).where("x.k <> band")
-        divided = scratch.written(divided.select(F.xxhash64("bucket", "x.k", "x.code").alias("bucket"), "band", "node", "n", "root"), "divided")
-        labelled = labelled.join(hot.select("bucket"), "bucket", "left_anti").select(divided.columns).unionByName(divided)
-        mixed = scratch.written(_mixed(labelled), "mixed-divided")
+        rare = _by_rare(labelled.join(hot.select("bucket"), "bucket", "left_semi"), sets, percent, scratch)
+        labelled = labelled.join(hot.select("bucket"), "bucket", "left_anti").select(rare.columns).unionByName(rare)
+        mixed = scratch.written(_mixed(labelled), "mixed-rare")
     inside = scratch.written(labelled.join(mixed, "bucket").withColumn("outside", F.col("root") != F.col("top")), "inside")
     place = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -240,7 +265,7 @@ def _graph(docs: DataFrame, id_col: str, text_col: str, percent: int, null_ids:
     offers = inside.withColumn("j", place("all_blocks")).withColumn("i", each("ask_blocks")).withColumn("asks", F.lit(False))
     sketches, flag = maybe_among(classes.select("node", "sketch"), F.col("node"), inside, F.col("node"))
     blocks = asks.unionByName(offers).join(sketches.where(F.col(flag)), "node")
-    blocks = blocks.select(F.concat_ws("/", "bucket", "i", "j").alias("block"), "band", "node", "root", "n", "asks", "outside", "sketch")
+    blocks = blocks.select(F.concat_ws("/", "bucket", "i", "j").alias("block"), "band", "node", "root", "n", "asks", "outside", "first", "sketch")
     blocks = blocks.repartition("block").sortWithinPartitions("block")
     possible = scratch.written(blocks.mapInArrow(_possible(percent), "block string, node long, root long, asks boolean"), "possible")
     some, flag = maybe_among(sets, F.col("node"), possible, F.col("node"))

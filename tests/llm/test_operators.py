@@ -605,6 +605,39 @@ def test_near_duplicates_chains_and_near_misses(spark, monkeypatch, hot):
     assert {x.doc_id: (x.n_shingles, x.component_id) for x in got} == brute_near(rows)
 
 
+def _comparisons(inside):
+    """Sketches that are compared in the blocks of step 4."""
+    one = lambda c: F.sum(F.when(F.expr(c), 1).otherwise(0))
+    sums = inside.groupBy("bucket").agg(one("outside AND first").alias("a"), one("outside AND NOT first").alias("b"), one("true").alias("m"), one("first").alias("k"))
+    return sums.agg(F.sum(F.col("a") * F.col("m") + F.col("b") * F.col("k"))).first()[0] or 0
+
+
+@pytest.mark.parametrize(("percent", "own"), [(85, 22), (85, 18), (80, 26)])
+def test_texts_that_share_a_passage_hardly_meet(spark, monkeypatch, percent, own):
+    """1,200 texts of one passage and some words of their own, just below the threshold, and 30 real near copies of one of them."""
+    monkeypatch.setattr(minhash, "HOT_ROWS", 100)
+    r = random.Random(own)
+    passage = [f"p{i}" for i in range(182)]
+    rows = [(i, " ".join(passage + [f"w{i}x{r.randint(0, 10**9)}" for _ in range(own)])) for i in range(1200)]
+    near = rows[7][1].split()
+    for k in range(30):
+        rows.append((5000 + k, " ".join([*near[:-3], f"n{k}", f"m{k}"])))
+    seen = {}
+    real = common.Scratch.written
+
+    def keep(self, df, name):
+        seen[name] = out = real(self, df, name)
+        if name == "inside":
+            seen["comparisons"] = _comparisons(out)
+        return out
+
+    monkeypatch.setattr(common.Scratch, "written", keep)
+    got = {x.doc_id: x.component_id for x in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent=percent).collect()}
+    some = rows[:60] + rows[1200:]
+    assert {i: got[i] for i, _ in some} == {i: c for i, (_, c) in brute_near(some, percent).items()} and sum(got[i] == i for i, _ in rows) == 1200
+    assert "hot-nodes" in seen and seen["comparisons"] < 50 * len(rows)
+
+
 @pytest.mark.parametrize("percent", [80, 85])
 def test_near_duplicates_of_short_texts(spark, monkeypatch, percent):
     """Sets too small for the threshold meet in no bucket; the smallest that can reach it are found."""
