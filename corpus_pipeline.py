@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lagfield.llm import exact_dedup, minhash, mixing, quality, sentencepiece_codec
-from lagfield.llm.common import Scratch, read
+from lagfield.llm.common import Scratch, read, tables_of
 
 STAGES = [
     ("quality classifier", quality.stage),
@@ -23,8 +23,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's table. Tables of steps, and of earlier stages, go once the next stage's is written."""
     docs, scratch = read(spark, sf_dir, "documents"), Scratch(spark, "pipeline")
     for name, stage in STAGES:
-        docs = scratch.written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with tables_of() as steps:
+            docs = scratch.written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        for made in steps:
+            made.remove()
         scratch.clear(name.replace(" ", "-"))
     return docs

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,12 +20,29 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Lists that take up every new ``Scratch``; see ``tables_of``.
+_WATCHED: list[list[Scratch]] = []
+
+
+@contextmanager
+def tables_of() -> Iterator[list[Scratch]]:
+    """What is written to the shared folder by way of ``Scratch`` meanwhile, for a caller that removes it once the result is kept elsewhere."""
+    made: list[Scratch] = []
+    _WATCHED.append(made)
+    try:
+        yield made
+    finally:
+        _WATCHED.remove(made)
+
+
 class Scratch:
-    """Tables written in the shared folder, which cut the lineage; ``clear`` removes those that no result reads any more."""
+    """Tables written in the shared folder, which cut the lineage; ``clear`` removes those that no result reads any more, ``remove`` all."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.folder = spark, shared_dir(spark, name)
         self.names: list[str] = []
+        for made in _WATCHED:
+            made.append(self)
 
     def written(self, df: DataFrame, name: str) -> DataFrame:
         self.names.append(name)
@@ -33,10 +53,17 @@ class Scratch:
     def clear(self, *keep: str) -> None:
         for k, name in enumerate(self.names, 1):
             if name and name not in keep:
-                path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{k}-{name}")
-                path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+                self._delete(f"{self.folder}/{k}-{name}")
                 self.names[k - 1] = ""
 
+    def remove(self) -> None:
+        self._delete(self.folder)
+        self.names = [""] * len(self.names)
+
+    def _delete(self, at: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(at)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cuts the lineage: writes ``df`` as Parquet in the shared folder and reads it again."""

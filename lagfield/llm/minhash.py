@@ -22,7 +22,7 @@ The comparisons of step 4 grow with (members outside the largest component) x (m
 
 Defined results: null and wordless texts have an empty set and stay alone; fewer than five words are one shingle; rows that repeat
 an id share that id's component if their texts do; null ids are linked with nothing (component null, not kept); an empty table gives an
-empty result; texts pass whole.
+empty result; texts pass whole; columns beside id and text are not read, whatever their names, and the pipeline stage returns them as they are.
 """
 
 from __future__ import annotations

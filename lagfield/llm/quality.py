@@ -9,7 +9,7 @@ Defined results: a null text counts as empty; empty texts get the curve's value
 belongs to no held-out part (its remainder is null: false); labels other than 0 and 1, or null, are not learnt from; a label for a missing
 id or an id with several labels adds what the join gives; an empty table gives an empty result; with fewer than
 ``LEAST_ROWS`` labelled texts of a class there is nothing to learn from: every text scores the share of good labels (0.5 without any),
-and the pipeline stage rejects nothing. Texts of any length are scored whole.
+and the pipeline stage rejects nothing. Texts of any length are scored whole; other columns stay as they are, whatever their names.
 """
 
 from __future__ import annotations

@@ -13,7 +13,7 @@ Order: by id, then by a hash of the text; rows alike in both have the same ids,
 (id, hash, row), about ``FILE_BYTES`` of text each, so that a repeated id is no file of its own kind.
 
 Defined results: null text counts as empty and gives the end id alone; rows that repeat an id stay rows, next to each
-other in the order; null ids come first; an empty table writes no file and returns no row; long texts pass whole (a block holds one document at least).
+other in the order; null ids come first; an empty table writes no file and returns no row; long texts pass whole (a block holds one document at least); columns beside id and text are not read, whatever their names.
 """
 
 from __future__ import annotations

@@ -11,7 +11,7 @@ equal the library's. A ``unigram`` table of scores may be given instead, for whi
 
 Defined results: null text counts as empty and has no ids; ``▁`` in a text is a space to the model and comes back as
 one (``round_trip`` says false); characters that the model lacks become byte pieces; repeated rows and null ids are rows of their own;
-texts of any length pass whole; an empty table gives an empty result.
+texts of any length pass whole; an empty table gives an empty result; columns beside id and text are not read, whatever their names.
 """
 
 from __future__ import annotations

@@ -9,7 +9,7 @@ next dimensions. Each group returns k rows a query at most; a window over those
 Defined results: components are floor(256 * x) as whole numbers; null vectors, and those with a null or
 non-finite component, take no part; vectors of unlike length are never compared; ties go to the smaller
 id; a query never meets a row of its own id; every row of ``queries`` is a query with ranks of its own, repeated ids too; rows that repeat an id are
-candidates of their own; fewer than k candidates give fewer rows; an empty table gives none. Arithmetic is exact: in doubles for vectors whose
+candidates of their own; fewer than k candidates give fewer rows; an empty table gives none; columns beside id and vector are not read, whatever their names. Arithmetic is exact: in doubles for vectors whose
 sums stay below 2^52, in Python's whole numbers for the others; scores beyond 64 bits count as the nearest 64-bit number.
 """
 

@@ -7,7 +7,7 @@ longest rule wins (then the one with the longer host, then block before allow).
 
 Defined results: a null URL or one without ``://`` has an empty host and path and matches nothing; empty path
 matches only rules with an empty path; repeated rows each get their row; an empty table gives an empty
-result; a URL that no rule fits is allowed. The rule table is broadcast only when it holds at most ``BROADCAST_RULES`` rows (counted);
+result; a URL that no rule fits is allowed; URLs of any length pass whole; columns beside id and URL are not read, whatever their names. The rule table is broadcast only when it holds at most ``BROADCAST_RULES`` rows (counted);
 above that the join is a shuffled one, whose skewed partitions Spark splits.
 """
 

@@ -7,6 +7,7 @@ import re
 import tracemalloc
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -806,12 +807,39 @@ def test_pipeline_stages_act_by_row(spark):
 
 
 def test_pipeline_stages_take_odd_and_empty_tables(spark, odd_docs, no_docs):
-    for _, stage in corpus_pipeline.STAGES:
-        plain = odd_docs.select("doc_id", "text", "lang", "source", "n_chars", "key", "h")
-        stage(spark, plain, SF).collect()
+    stages = dict(corpus_pipeline.STAGES)
+    ids = lambda df: sorted((r.doc_id for r in df.collect()), key=str)
+    want = {
+        # 1 and 2, 5 and 6, 9 and both 10, 14 and 15 have one text each: the largest id stays, once.
+        "exact dedup": [2, 3, 4, 6, None, 8, 10, 11, 12, 13, 15],
+        # 3 is near 1 and 2; texts without words are linked with nothing; the smallest id stays, once.
+        "MinHash near-dedup": [1, 4, 5, 6, None, 8, 9, 11, 12, 13, 14],
+    }
+    for name, found in want.items():
+        out = stages[name](spark, odd_docs, SF)
+        assert ids(out) == sorted(found, key=str) and out.columns == odd_docs.columns and out.where("key <> 'own' OR h <> 0.5 OR n_chars <> 7").isEmpty()
+    model = quality.fit(odd_docs, spark.read.parquet(f"{SF}/labels.parquet"), ~quality.held_out())
+    good = odd_docs if model.constant is not None else odd_docs.where(quality.score_column(spark, model) >= quality.THRESHOLD)
+    assert ids(stages["quality classifier"](spark, odd_docs, SF)) == ids(good)
+    took = Counter({r.doc_id: 0 for r in odd_docs.collect()})
+    for r in mixing.mix(odd_docs).collect():
+        took[r.doc_id] += r.copies
+    assert Counter(ids(stages["mixing sources to target weights"](spark, odd_docs, SF))) == +took
+    ids_of = {r.doc_id: r.n_tokens for r in stages["SentencePiece encoding and decoding"](spark, odd_docs, SF).collect()}
+    assert ids_of[5] == ids_of[6] == 0 and ids_of[4] > 80 and len(ids_of) == 15
+    for stage in stages.values():
         assert stage(spark, no_docs, SF).isEmpty()
 
 
+def test_the_pipeline_leaves_its_last_table_alone(spark):
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:"))
+    before = {f.name for f in shared.iterdir()} if shared.exists() else set()
+    out = corpus_pipeline.run(spark, SF)
+    (folder,) = [f for f in shared.iterdir() if f.name not in before and f.name.startswith("lagfield-")]
+    (table,) = folder.iterdir()
+    assert folder.name.startswith("lagfield-pipeline-") and table.name.startswith("5-") and out.count() > 50
+
+
 def test_queries_without_sql_are_run_here(spark, texts):
     """The token query itself against the library, on the whole table."""
     import sentencepiece
