@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, Filter, InputPartition
 
 from ..functions.grid import Grid, qgrid
-from .shared import Chosen, files_below, kept, open_read
+from .shared import Chosen, files_below, open_read, step_tables
 from .writing import CommittedFiles
 
 #: Fixed values of the format: identifiers, version, header length.
@@ -295,12 +295,12 @@ def _heads(about: DataFrame, name_of: Callable[[str], str], kind: str, ends: Cal
     return about.mapInArrow(run, "seq_id string, name string, head binary, tail binary, total long")
 
 
-def _save(values: DataFrame, heads: DataFrame, folder: str, dtype: np.dtype) -> list[str]:
+def _save(values: DataFrame, heads: DataFrame, folder: str, dtype: np.dtype, keep: Callable[[DataFrame, str], DataFrame]) -> list[str]:
     """Writes (seq_id, pos, v) as one file a sequence: header, values by position (NaN where there is none), the rest. A file is written from its begin
     to its end by one task, a batch in memory at a time; it appears when the whole write is committed."""
     spark = values.sparkSession
     heads = heads.select("seq_id", "name", F.explode(F.array(F.struct(F.lit(-1).cast("long").alias("pos"), F.col("head").alias("content")), F.struct(F.col("total").alias("pos"), F.col("tail").alias("content")))).alias("x"))
-    heads = kept(heads, "heads")
+    heads = keep(heads, "heads")
     rows = values.join(heads.select("seq_id", "name").distinct(), "seq_id").select("name", "pos", F.coalesce("v", F.lit(float("nan"))).alias("v"), F.lit(None).cast("binary").alias("content"))
     rows = rows.unionByName(heads.select("name", "x.pos", F.lit(None).cast("double").alias("v"), "x.content"))
     spark.dataSource.register(ContainerSource)
@@ -313,10 +313,15 @@ def save_sf(sf: DataFrame, extra: DataFrame, grid: Grid, folder: str, name_of: C
 
     A wavevector without a value is NaN; two values for one lag and wavevector raise ``ValueError``.
     """
+    with step_tables(sf.sparkSession) as keep:
+        return _save_sf(sf, extra, grid, folder, name_of, dtype, keep)
+
+
+def _save_sf(sf: DataFrame, extra: DataFrame, grid: Grid, folder: str, name_of: Callable[[str], str], dtype: np.dtype, keep: Callable[[DataFrame, str], DataFrame]) -> list[str]:
     array_format(dtype)
     plane = grid.ny * grid.nxh
     lags = _place(sf.select("seq_id", "lag", "tau").distinct(), ["seq_id"], ["lag"], "place")
-    lags = kept(lags, "lags")
+    lags = keep(lags, "lags")
     about = extra.select("seq_id").distinct().join(lags.groupBy("seq_id").agg(F.sort_array(F.collect_list(F.struct("place", "tau"))).alias("taus")), "seq_id", "left").withColumn("taus", F.coalesce("taus.tau", F.array().cast("array<double>")))
     at = lambda place: place * plane + F.col("iy") * grid.nxh + F.col("ix")
     ky, kx = grid.axes()
@@ -329,7 +334,7 @@ def save_sf(sf: DataFrame, extra: DataFrame, grid: Grid, folder: str, name_of: C
     data = sf.join(lags.select("seq_id", "lag", "place"), ["seq_id", "lag"]).select("seq_id", at(F.col("place")).alias("pos"), F.col("d").alias("v"))
     both = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(c).alias("v")) for k, c in enumerate(("power_spec", "var"))])).alias("x")
     last = extra.select("seq_id", "iy", "ix", both).join(about.select("seq_id", F.size("taus").alias("n")), "seq_id").select("seq_id", at(F.col("n") + F.col("x.k")).alias("pos"), "x.v")
-    return _save(data.unionByName(last), _heads(about, name_of, "sf", ends), folder, dtype)
+    return _save(data.unionByName(last), _heads(about, name_of, "sf", ends), folder, dtype, keep)
 
 
 def save_radial(curves: DataFrame, folder: str, edges: list[float], extra: DataFrame | None = None, kind: str = "aa", name_of: Callable[[str], str] = str, dtype: np.dtype = np.float64) -> list[str]:
@@ -338,12 +343,17 @@ def save_radial(curves: DataFrame, folder: str, edges: list[float], extra: DataF
     A ring's points lie by tau, repeated ones (of merged curves) all kept, those by value. The format has one list of tau: sequences
     whose rings differ in it raise ``ValueError``.
     """
+    with step_tables(curves.sparkSession) as keep:
+        return _save_radial(curves, folder, edges, extra, kind, name_of, dtype, keep)
+
+
+def _save_radial(curves: DataFrame, folder: str, edges: list[float], extra: DataFrame | None, kind: str, name_of: Callable[[str], str], dtype: np.dtype, keep: Callable[[DataFrame, str], DataFrame]) -> list[str]:
     value, cols = ("d" if kind == "aa" else "f"), ["power_spec", "var"]
     array_format(dtype)
     more = 0 if extra is None else len(cols)
     rows = _place(curves.select("seq_id", "bin", "k", "tau", F.col(value).cast("double").alias("v"), F.col("err").cast("double").alias("err")), ["seq_id", "bin"], ["tau", "v", "err"], "place")
     rings = rows.groupBy("seq_id", "bin").agg(F.first("k").alias("k"), F.sort_array(F.collect_list("tau")).alias("taus"), F.count("err").alias("errs"))
-    rings = kept(_place(rings, ["seq_id"], ["bin"], "ring"), "rings")
+    rings = keep(_place(rings, ["seq_id"], ["bin"], "ring"), "rings")
     about = rings.groupBy("seq_id").agg(F.collect_set("taus").alias("lists"), F.sort_array(F.collect_list(F.struct("ring", "k"))).alias("ks"), F.sum("errs").alias("errs"))
     # Checked before any file is begun.
     ragged = about.where(F.size("lists") > 1).select("seq_id").first()
@@ -366,7 +376,7 @@ def save_radial(curves: DataFrame, folder: str, edges: list[float], extra: DataF
     wide = F.col("nt") + more
     pos = F.col("ring") * wide + F.col("place")
     each = F.explode(F.filter(F.array(F.struct(pos.alias("pos"), F.col("v").alias("v")), F.when(F.col("errs") > 0, F.struct((pos + F.col("nk") * wide).alias("pos"), F.col("err").alias("v")))), lambda x: x.isNotNull())).alias("x")
-    return _save(parts.select("seq_id", each).select("seq_id", "x.pos", "x.v"), _heads(about, name_of, kind, ends), folder, dtype)
+    return _save(parts.select("seq_id", each).select("seq_id", "x.pos", "x.v"), _heads(about, name_of, kind, ends), folder, dtype, keep)
 
 
 def grid_of(spark: SparkSession, path: str) -> DataFrame:

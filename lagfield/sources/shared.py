@@ -5,7 +5,8 @@ from __future__ import annotations
 import operator
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from typing import BinaryIO
 
 from pyarrow import fs
@@ -72,6 +73,25 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/lagfield-{name}-{uuid.uuid4().hex[:12]}"
 
 
+@contextmanager
+def step_tables(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """``kept`` for tables that nobody reads afterwards: they are removed at the end."""
+    paths: list[str] = []
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        paths.append(shared_dir(spark, name))
+        df.write.parquet(paths[-1])
+        return spark.read.schema(df.schema).parquet(paths[-1])
+
+    try:
+        yield keep
+    finally:
+        for path in paths:
+            system, at = file_system(path)
+            if system.get_file_info(at).type != fs.FileType.NotFound:
+                system.delete_dir(at)
+
+
 def kept(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once in the shared folder: whatever is derived from it reads it there."""
     path = shared_dir(df.sparkSession, name)

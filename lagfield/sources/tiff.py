@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, Filter, InputPartition
 
 from ..operators.raster import pack, rank_frames
-from .shared import Chosen, kept, open_read
+from .shared import Chosen, open_read, step_tables
 from .writing import CommittedFiles
 
 #: Fixed values of the format: field types (code: struct letter), tag numbers.
@@ -310,7 +310,8 @@ def save_frames(frames: DataFrame, folder: str, name_of: Callable[[str, int], st
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([name_of(*r) for r in zip(*(c.to_pylist() for c in b.columns), strict=True)], pa.string())], ["seq_id", "t", "name"])
 
     names = frames.select("seq_id", F.col("t").cast("int").alias("t")).distinct().mapInArrow(run, "seq_id string, t int, name string")
-    return _save(_images(frames, dtype), folder, kept(names, "names"))
+    with step_tables(frames.sparkSession) as keep:
+        return _save(_images(frames, dtype), folder, keep(names, "names"))
 
 
 def save_stack(frames: DataFrame, folder: str, name: str, dtype=np.float64) -> str:
@@ -349,7 +350,7 @@ def save_stack(frames: DataFrame, folder: str, name: str, dtype=np.float64) -> s
 
     spark = frames.sparkSession
     spark.dataSource.register(TiffSource)
-    order = kept(frames.select("t").withColumn("k", F.row_number().over(Window.orderBy("t")) - 1), "order")
+    order = frames.select("t").withColumn("k", F.row_number().over(Window.orderBy("t")) - 1)
     rows = frames.join(order, "t").select(F.col("k").cast("long").alias("k"), "pixels").mapInArrow(run, "k long, content binary")
     head = spark.createDataFrame([(-1, one[:4] + struct.pack("<I", struct.unpack_from("<I", one, 4)[0]))], "k long, content binary")
     wire = rows.unionByName(head).select(F.lit(name).alias("name"), (F.col("k") - n - 1).alias("pos"), F.lit(None).cast("double").alias("v"), "content")

@@ -86,6 +86,15 @@ def test_a_failing_task_leaves_nothing(spark, tmp_path):
     assert container.save_sf(sf.where("false"), extra.where("false"), g, folder) == []
 
 
+def test_saving_leaves_no_step_tables(spark, tmp_path):
+    base = spark.conf.get("spark.checkpoint.dir").removeprefix("file:")
+    before = set(os.listdir(base)) if os.path.exists(base) else set()
+    container.save_radial(curves(spark, {0: [(1, 1, 0.1)]}), str(tmp_path), [0.0])
+    frames = spark.createDataFrame([("s", 0, 1, 1, [2.0])], "seq_id string, t int, height int, width int, pixels array<double>")
+    tiff.save_frames(frames, str(tmp_path))
+    assert {n for n in set(os.listdir(base)) - before if n.startswith("lagfield-")} == set() and len(os.listdir(tmp_path)) == 2
+
+
 def test_missing_wavevectors_are_nan(spark, tmp_path):
     sf = spark.createDataFrame([("s", 2, 2.0, 1, 1, 5.0)], "seq_id string, lag int, tau double, iy int, ix int, d double")
     extra = spark.createDataFrame([("s", 0, 0, 3.0, 4.0)], "seq_id string, iy int, ix int, power_spec double, var double")
