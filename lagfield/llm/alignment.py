@@ -37,7 +37,7 @@ from .bpe_words import WordCachedBpe, _byte_letters
 from .common import Scratch, read
 from .files import bounded_batches
 
-BLOCK_BYTES, KEPT_PIECES, DUCK_MEMORY = 3 << 20, 300_000, "400MB"
+BLOCK_BYTES, KEPT_PIECES, KEPT_WORDS, DUCK_MEMORY = 3 << 20, 600_000, 100_000, "400MB"
 MARK, PLAIN = "▁", "!-~À-ɏ"
 #: Texts of plain words with single spaces or line feeds between; where any other text may be cut; pieces of one plain word.
 PLAIN_TEXT = re.compile(f"[{PLAIN}]+(?:[ \n][{PLAIN}]+)*")
@@ -62,8 +62,8 @@ CREATE OR REPLACE TABLE held AS SELECT doc, pair, sum(o.n * l.n) AS n FROM occur
 OF_BLOCK = "CREATE OR REPLACE TABLE listed AS SELECT pair, count(*) AS documents, row_number() OVER (ORDER BY pair) - 1 AS place FROM held GROUP BY pair"
 
 
-#: Ids of a piece that does not come back.
-NOTHING = (b"", b"")
+#: What is kept of a piece that does not come back: no ids of A, none of B.
+NOTHING = bytes(4)
 
 
 @dataclass
@@ -79,6 +79,18 @@ class Tokens:
         """From each piece's ids as little-endian 32-bit bytes."""
         return cls(np.frombuffer(b"".join(ids), "<u4").astype(np.int64), np.cumsum([0, *map(len, ids)]) // 4, size)
 
+    @classmethod
+    def of_kept(cls, kept: Sequence[bytes], size_a: np.ndarray, size_b: np.ndarray) -> tuple[Tokens, Tokens]:
+        """Those of A and of B, from each piece's number of A ids, A ids and B ids."""
+        values, counts = np.frombuffer(b"".join(kept), "<u4").astype(np.int64), np.fromiter(map(len, kept), np.int64, len(kept)) // 4
+        first = np.cumsum(counts) - counts
+        n_a = values[first]
+        place = np.arange(len(values)) - np.repeat(first, counts)
+        of_a = place <= np.repeat(n_a, counts)
+        of_b = ~of_a
+        of_a[first] = False
+        return cls(values[of_a], np.r_[0, np.cumsum(n_a)], size_a), cls(values[of_b], np.r_[0, np.cumsum(counts - 1 - n_a)], size_b)
+
     def table(self) -> pa.Table:
         """Token intervals in the bytes of all pieces."""
         stop = np.cumsum(self.size[self.ids])
@@ -103,8 +115,8 @@ class Aligner:
         inner = [t for t in names if len(t) > 1 and not t.startswith("<0x")]
         if any(MARK in t.lstrip(MARK) for t in inner) or any("\n" in t for t in names):
             raise ValueError("a piece of B goes on after a space, or has a line feed in it")
-        self.words, self.special = WordCachedBpe(byte_level, KEPT_PIECES // 2), [t.content for t in self.a.get_added_tokens_decoder().values()]
-        self.kept: dict[str, tuple[bytes, bytes]] = {}
+        self.words, self.special = WordCachedBpe(byte_level, KEPT_WORDS), [t.content for t in self.a.get_added_tokens_decoder().values()]
+        self.kept: dict[str, bytes] = {}
         self.duck = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": DUCK_MEMORY, "temp_directory": "", "autoinstall_known_extensions": False, "autoload_known_extensions": False})
 
     def pieces_of(self, text: str) -> list[str]:
@@ -129,17 +141,18 @@ class Aligner:
         raw = np.fromiter(chain.from_iterable(b), "<u4", int(ends[-1]) // 4).tobytes()
         begins = (ends[:-1] + [0 if p[0] == " " else 4 for p in pieces]).tolist()
         both = list(map(a.__getitem__, pieces)), list(map(raw.__getitem__, map(slice, begins, ends[1:].tolist())))
-        same = self._same(pieces, Tokens.of(both[0], self.size_a), Tokens.of(both[1], self.size_b))
+        of_a = Tokens.of(both[0], self.size_a)
+        same = self._same(pieces, of_a, Tokens.of(both[1], self.size_b))
         # A piece that does not come back has no tokens.
-        self.kept.update(zip(pieces, [(x, y) if ok else NOTHING for x, y, ok in zip(*both, same.tolist(), strict=True)], strict=True))
+        raw = np.diff(of_a.at).astype("<u4").tobytes()
+        self.kept.update(zip(pieces, [raw[4 * k : 4 * k + 4] + x + y if ok else NOTHING for k, (x, y, ok) in enumerate(zip(*both, same.tolist(), strict=True))], strict=True))
 
     def encode(self, pieces: list[str]) -> tuple[Tokens, Tokens]:
         if len(self.kept) > KEPT_PIECES:
             self.kept.clear()
         if new := [p for p in pieces if p not in self.kept]:
             self._learn(new)
-        a, b = zip(*map(self.kept.__getitem__, pieces), strict=True) if pieces else ((), ())
-        return Tokens.of(a, self.size_a), Tokens.of(b, self.size_b)
+        return Tokens.of_kept(list(map(self.kept.__getitem__, pieces)), self.size_a, self.size_b)
 
     def _same(self, pieces: list[str], a: Tokens, b: Tokens) -> np.ndarray:
         """Which pieces come back from the tokens of both."""
