@@ -17,6 +17,8 @@ from ..functions.models import Hint, Model
 RESULT = "seq_id string, bin int, k double, success boolean, params map<string,double>, stderr map<string,double>, chisqr double, redchi double, n_points int, n_free int, varied array<string>, covariance array<array<double>>"
 #: Cosine between residuals and a slope at most, where a fit has settled.
 SETTLED = 1e-4
+#: Damping at the start of a descent, the next where the best before it has not settled or lies at a bound; part of the foretold gain that a step must bring.
+DAMPS, WORTH = (1e-3, 1.0, 100.0), 1e-3
 _OPS = {ast.Add: operator.add, ast.Sub: operator.sub, ast.Mult: operator.mul, ast.Div: operator.truediv, ast.Pow: operator.pow, ast.USub: operator.neg, ast.UAdd: operator.pos}
 _CALLS = {"exp": math.exp, "log": math.log, "sqrt": math.sqrt, "abs": abs, "min": min, "max": max}
 
@@ -72,43 +74,59 @@ def least_squares(model: Model, x: np.ndarray, y: np.ndarray, hints: dict[str, H
             out[:, j] = (off(moved) - r) / h
         return out
 
-    r = off(now)
-    finite = bool(np.isfinite(r).all())
-    cost, damp, success, settled = float(r @ r), 1e-3, finite and not free, False
-    for _ in range(steps if finite and free else 0):
-        j = slopes(now, r)
-        g = j.T @ r
-        active = ((now <= low) & (g > 0)) | ((now >= high) & (g < 0))
-        a = j.T @ j
-        d = np.maximum(np.diag(a), 1e-30)
-        moved = False
-        for _ in range(12):
-            m = a + damp * np.diag(d)
-            m[active], m[:, active] = 0, 0
-            m[active, active] = 1
-            try:
-                step = np.linalg.solve(m, np.where(active, 0, -g))
-            except np.linalg.LinAlgError:
-                damp *= 4
-                continue
-            then = np.clip(now + step, low, high)
-            r2 = off(then)
-            c2 = float(r2 @ r2)
-            if np.isfinite(c2) and c2 < cost:
-                gain, size = cost - c2, np.abs(then - now).max() / max(1e-12, np.abs(now).max())
-                now, r, cost, damp, moved = then, r2, c2, max(damp / 5, 1e-12), True
+    def descend(now: np.ndarray, damp: float) -> tuple[np.ndarray, np.ndarray, float, bool, bool]:
+        """(values, slopes, sum of squares, success, whether a parameter lies at a bound) where the descent from ``now`` ends; the damping follows how near a step's gain comes to the linear model's."""
+        r = off(now)
+        finite = bool(np.isfinite(r).all())
+        cost, grow, success, settled = float(r @ r), 2.0, finite and not free, False
+        for _ in range(steps if finite and free else 0):
+            j = slopes(now, r)
+            g = j.T @ r
+            active = ((now <= low) & (g > 0)) | ((now >= high) & (g < 0))
+            a = j.T @ j
+            d = np.maximum(np.diag(a), 1e-30)
+            moved = False
+            for _ in range(24):
+                m = a + damp * np.diag(d)
+                m[active], m[:, active] = 0, 0
+                m[active, active] = 1
+                try:
+                    step = np.linalg.solve(m, np.where(active, 0, -g))
+                except np.linalg.LinAlgError:
+                    damp, grow = damp * grow, grow * 2
+                    continue
+                then = np.clip(now + step, low, high)
+                r2 = off(then)
+                c2 = float(r2 @ r2)
+                # Of the linear model along the step as the bounds leave it.
+                told = cost - float(np.square(r + j @ (then - now)).sum())
+                if np.isfinite(c2) and c2 < cost and cost - c2 >= WORTH * told:
+                    gain, size = cost - c2, np.abs(then - now).max() / max(1e-12, np.abs(now).max())
+                    damp = max(damp * max(1 / 5, 1 - (2 * gain / max(gain, told) - 1) ** 3), 1e-12)
+                    now, r, cost, grow, moved = then, r2, c2, 2.0, True
+                    break
+                damp, grow = damp * grow, grow * 2
+            if not moved or (gain <= 1e-14 * max(cost, 1e-300) and size < 1e-9):
+                settled = True
                 break
-            damp *= 4
-        if not moved or (gain <= 1e-14 * max(cost, 1e-300) and size < 1e-9):
-            settled = True
-            break
-    j = slopes(now, r) if free else np.zeros((len(x), 0))
-    if settled:
+        j = slopes(now, r) if free else np.zeros((len(x), 0))
         g = j.T @ r
         held = ((now <= low) & (g > 0)) | ((now >= high) & (g < 0))
-        # Against rounding: the residuals' own size, or that of the data where the model meets them.
-        size = np.sqrt(cost) + 1e-8 * float(np.linalg.norm(y if weights is None else y * weights))
-        success = bool(np.isfinite(j).all() and np.isfinite(cost) and (np.abs(g) <= SETTLED * np.linalg.norm(j, axis=0) * size + 1e-300)[~held].all())
+        if settled:
+            # Against rounding: the residuals' own size, or that of the data where the model meets them.
+            size = np.sqrt(cost) + 1e-8 * float(np.linalg.norm(y if weights is None else y * weights))
+            success = bool(np.isfinite(j).all() and np.isfinite(cost) and (np.abs(g) <= SETTLED * np.linalg.norm(j, axis=0) * size + 1e-300)[~held].all())
+        return now, j, cost, success, bool(((now <= low) | (now >= high)).any())
+
+    start = now
+    now, j, cost, success, at_bound = descend(start, DAMPS[0])
+    for damp in DAMPS[1:] if free and np.isfinite(cost) else ():
+        if success and not at_bound:
+            break
+        # Long steps may end in a valley without a floor or at a bound where the model is flat: again, with shorter ones. A fit that settled comes before one that did not.
+        other = descend(start, damp)
+        if (other[3], -other[2]) > (success, -cost):
+            now, j, cost, success, at_bound = other
     err = {p: math.nan for p in hints}
     redchi = cost / max(1, len(x) - len(free))
     cov = np.full((len(free), len(free)), math.nan)
