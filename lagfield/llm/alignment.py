@@ -3,9 +3,9 @@
 A is a byte-level BPE (of a space and the text), B a piece BPE (which puts the space there itself). Both token lists cut the same bytes into intervals.
 
 1. Blocks. A partition's texts are taken in blocks of about ``BLOCK_BYTES``. Texts are cut where neither vocabulary has a token across (a single space or line feed
-   between two plain characters), and every different piece of a block is encoded once. DuckDB holds the token intervals of the pieces: an equi-join of
-   interval ends gives the group ends, window sums number the groups, two ASOF joins give the first and last B token that each A token overlaps and a join
-   on the range between them the links. Links by piece times pieces by document give the linked id pairs of each document.
+   between two plain characters), and every different piece of a block is encoded once. The pieces' bytes lie one after the other: running sums of the
+   ends of A's, of B's and of both's tokens over these bytes give the first and last B token that each A token overlaps (the links) and the groups. Links by
+   piece times pieces by document give the linked id pairs of each document.
 2. Counts. Each block gives one partial count for each of its id pairs (how many of its documents hold the pair); Spark adds them up, and takes each A id's highest count (a
    row an id: as many as A's vocabulary, hence broadcast).
 3. Back. The counts of a block's pairs go back to the block, not to each document: a row for each pair and block is exchanged twice, and
@@ -13,7 +13,7 @@ A is a byte-level BPE (of a space and the text), B a piece BPE (which puts the s
 
 Defined results: null and empty texts, and texts whose tokens do not give back the space and the text (a U+2581 in it), have no tokens: zeros and no groups; special tokens'
 strings are plain text; repeated rows and null ids are rows of their own and count as documents of their own; an empty table gives an empty result; texts pass
-whole, a text larger than a block is a block of its own (memory: about 150 bytes a token of its different pieces); columns beside id and text are not read, whatever their names.
+whole, a text larger than a block is a block of its own (memory: measured 32 bytes a byte of a text of 26 MB); columns beside id and text are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,11 +21,10 @@ from __future__ import annotations
 import hashlib
 import os
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from itertools import chain
 
-import duckdb
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -33,68 +32,84 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe_words import WordCachedBpe, _byte_letters
+from .bpe_words import _MARKS, WORDS_A_CALL, WordCachedBpe, _byte_letters
 from .common import Scratch, read
 from .files import bounded_batches
 
-BLOCK_BYTES, KEPT_PIECES, KEPT_WORDS, DUCK_MEMORY = 3 << 20, 600_000, 100_000, "400MB"
+BLOCK_BYTES, KEPT_PIECES, KEPT_WORDS = 3 << 20, 600_000, 600_000
 MARK, PLAIN = "▁", "!-~À-ɏ"
 #: Texts of plain words with single spaces or line feeds between; where any other text may be cut; pieces of one plain word.
 PLAIN_TEXT = re.compile(f"[{PLAIN}]+(?:[ \n][{PLAIN}]+)*")
 CUT = re.compile(f"(?<=[{PLAIN}])(?=[ \n][{PLAIN}])")
-PLAIN_PIECE = re.compile(f"[ \n][{PLAIN}]+")
+PLAIN_PIECE_RE2 = rf"\A[ \n][{PLAIN}]+\z"
 COUNTS = ("n_a", "n_b", "n_groups", "n_links")
 ALIGNED = f"block long, doc_id long, {', '.join(f'{c} long' for c in COUNTS)}, groups string, at array<int>, n array<int>, pairs array<long>, documents array<int>"
 
-LINKS = """
-CREATE OR REPLACE TABLE links AS
-WITH spans AS (SELECT a.piece, a.id, f.i AS first, l.i AS last FROM a ASOF JOIN b f ON a.begin >= f.begin ASOF JOIN b l ON a.stop > l.begin),
-each AS (SELECT piece, id, unnest(range(first, last + 1)) AS i FROM spans)
-SELECT each.piece, (each.id << 32) | b.id AS pair, count(*) AS n FROM each JOIN b USING (i) GROUP BY ALL"""
+def _places(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """begin[k], begin[k] + 1, ... of every k, ``count[k]`` of them."""
+    return np.repeat(begin - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
 
-ENDS = "CREATE OR REPLACE TABLE ends AS SELECT a.i AS a, b.i AS b FROM a JOIN b ON a.stop = b.stop"
-GROUPS = """
-SELECT count(e.{of}) OVER (ORDER BY x.i ROWS UNBOUNDED PRECEDING) - (e.{of} IS NOT NULL)::INT AS g
-FROM {of} x LEFT JOIN ends e ON x.i = e.{of} ORDER BY x.i"""
 
-OF_DOCUMENTS = """
-CREATE OR REPLACE TABLE held AS SELECT doc, pair, sum(o.n * l.n) AS n FROM occurrences o JOIN links l USING (piece) GROUP BY ALL"""
-OF_BLOCK = "CREATE OR REPLACE TABLE listed AS SELECT pair, count(*) AS documents, row_number() OVER (ORDER BY pair) - 1 AS place FROM held GROUP BY pair"
-
-
-#: What is kept of a piece that does not come back: no ids of A, none of B.
-NOTHING = bytes(4)
+def _sums(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Sums between neighbouring ends."""
+    return np.diff(np.r_[0, np.cumsum(values)][ends])
 
 
 @dataclass
-class Tokens:
-    """Token ids of pieces, one piece after the other: piece k has those from at[k] to at[k + 1]; ``size`` is the bytes of each id of the vocabulary."""
+class Lists:
+    """Lists of numbers, one after the other: list k has those from at[k] to at[k + 1]."""
 
-    ids: np.ndarray
+    values: np.ndarray
     at: np.ndarray
-    size: np.ndarray
 
     @classmethod
-    def of(cls, ids: Sequence[bytes], size: np.ndarray) -> Tokens:
-        """From each piece's ids as little-endian 32-bit bytes."""
-        return cls(np.frombuffer(b"".join(ids), "<u4").astype(np.int64), np.cumsum([0, *map(len, ids)]) // 4, size)
+    def of(cls, values: np.ndarray, count: np.ndarray) -> Lists:
+        return cls(values, np.r_[0, np.cumsum(count)])
 
     @classmethod
-    def of_kept(cls, kept: Sequence[bytes], size_a: np.ndarray, size_b: np.ndarray) -> tuple[Tokens, Tokens]:
-        """Those of A and of B, from each piece's number of A ids, A ids and B ids."""
-        values, counts = np.frombuffer(b"".join(kept), "<u4").astype(np.int64), np.fromiter(map(len, kept), np.int64, len(kept)) // 4
-        first = np.cumsum(counts) - counts
-        n_a = values[first]
-        place = np.arange(len(values)) - np.repeat(first, counts)
-        of_a = place <= np.repeat(n_a, counts)
-        of_b = ~of_a
-        of_a[first] = False
-        return cls(values[of_a], np.r_[0, np.cumsum(n_a)], size_a), cls(values[of_b], np.r_[0, np.cumsum(counts - 1 - n_a)], size_b)
-
-    def table(self) -> pa.Table:
-        """Token intervals in the bytes of all pieces."""
-        stop = np.cumsum(self.size[self.ids])
-        return pa.table({"i": np.arange(len(self.ids)), "piece": np.repeat(np.arange(len(self.at) - 1), np.diff(self.at)), "id": self.ids, "begin": stop - self.size[self.ids], "stop": stop})
+    def of_lists(cls, lists: Sequence[Sequence[int]]) -> Lists:
+        count = np.fromiter(map(len, lists), np.int64, len(lists))
+        return cls.of(np.fromiter(chain.from_iterable(lists), np.int64, int(count.sum())), count)
+
+    @property
+    def count(self) -> np.ndarray:
+        return np.diff(self.at)
+
+    def take(self, k: np.ndarray) -> Lists:
+        count = self.count[k]
+        return Lists.of(self.values[_places(self.at[k], count)], count)
+
+    def then(self, *others: Lists) -> Lists:
+        both = (self, *others)
+        return Lists.of(np.concatenate([x.values for x in both]), np.concatenate([x.count for x in both]))
+
+
+NONE = Lists(np.zeros(0, np.int64), np.zeros(1, np.int64))
+
+
+class Kept:
+    """What has been learned of different strings: ``of`` lists of numbers for each."""
+
+    def __init__(self, of: int):
+        self.forgotten = (pa.array([], pa.large_string()), (NONE,) * of)
+        self.names, self.lists = self.forgotten
+
+    def find(self, names: pa.Array, learn: Callable[[pa.Array], tuple[Lists, ...]], most: int) -> list[Lists]:
+        """Those of different strings; all are forgotten once there are more than ``most``."""
+        if len(self.names) > most:
+            self.names, self.lists = self.forgotten
+        at = pc.index_in(names, self.names)
+        missing = at.is_null().to_numpy(zero_copy_only=False)
+        at = at.fill_null(0).to_numpy().astype(np.int64)
+        if missing.any():
+            new = names.filter(pa.array(missing))
+            at[missing] = len(self.names) + np.arange(len(new))
+            self.names, self.lists = pa.concat_arrays([self.names, new]), tuple(x.then(y) for x, y in zip(self.lists, learn(new), strict=True))
+        return [x.take(at) for x in self.lists]
+
+
+def _texts(of: pa.Array) -> list[str]:
+    return of.to_numpy(zero_copy_only=False).tolist()
 
 
 class Aligner:
@@ -111,13 +126,13 @@ class Aligner:
         names = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.raw_b = [bytes([int(t[3:-1], 16)]) if self.b.is_byte(i) else t.replace(MARK, " ").encode() for i, t in enumerate(names)]
         self.size_a, self.size_b = (np.array([len(x) for x in raw], np.int64) for raw in (self.raw_a, self.raw_b))
+        self.raw_a, self.raw_b = (pa.array(raw, pa.large_binary()) for raw in (self.raw_a, self.raw_b))
         self.decimal = pa.array(map(str, range(max(len(self.raw_a), len(self.raw_b)))), pa.string())
         inner = [t for t in names if len(t) > 1 and not t.startswith("<0x")]
         if any(MARK in t.lstrip(MARK) for t in inner) or any("\n" in t for t in names):
             raise ValueError("a piece of B goes on after a space, or has a line feed in it")
-        self.words, self.special = WordCachedBpe(byte_level, KEPT_WORDS), [t.content for t in self.a.get_added_tokens_decoder().values()]
-        self.kept: dict[str, bytes] = {}
-        self.duck = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": DUCK_MEMORY, "temp_directory": "", "autoinstall_known_extensions": False, "autoload_known_extensions": False})
+        self.words, self.special = WordBpe(byte_level), [t.content for t in self.a.get_added_tokens_decoder().values()]
+        self.kept = Kept(2)
 
     def pieces_of(self, text: str) -> list[str]:
         """Pieces of a space and the text; none for a text that B cannot give back."""
@@ -127,78 +142,145 @@ class Aligner:
             return f" {text}".replace(" ", "\0 ").replace("\n", "\0\n")[1:].split("\0")
         return CUT.split(f" {text}")
 
-    def _learn(self, pieces: list[str]) -> None:
+    def _cut(self, texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+        """The pieces of all texts, and where each text's end."""
+        plain = [PLAIN_TEXT.fullmatch(t) is not None for t in texts]
+        split = [f" {t}".replace(" ", "\0 ").replace("\n", "\0\n")[1:] for t, ok in zip(texts, plain, strict=True) if ok]
+        found = pc.split_pattern(pa.array(split, pa.large_string()), "\0").cast(pa.large_list(pa.large_string()))
+        if len(split) < len(texts):
+            others = pa.array([self.pieces_of(t) for t, ok in zip(texts, plain, strict=True) if not ok], pa.large_list(pa.large_string()))
+            found = pa.concat_arrays([found, others]).take(pa.array(np.argsort(np.argsort(~np.array(plain), kind="stable"))))
+        return found.flatten(), np.r_[0, np.cumsum(pc.list_value_length(found).to_numpy())].astype(np.int64)
+
+    def _learn(self, pieces: pa.Array) -> tuple[Lists, Lists]:
         """A piece begins with the space that B adds by itself, or with a line feed: then B gives back a space of its own, which goes."""
-        text = "\n".join(pieces)
-        special = any(s in text for s in self.special)
-        plain = [p for p in pieces if PLAIN_PIECE.fullmatch(p) and not (special and any(s in p for s in self.special))]
-        others = list(set(pieces).difference(plain))
-        a = dict(zip(plain, self.words.words([p[1:] if p[0] == " " else p for p in plain]), strict=True))
-        for p, e in zip(others, self.a.encode_batch_fast(others, add_special_tokens=False), strict=True):
-            a[p] = np.array(e.ids, "<u4").tobytes()
-        b = self.b.encode([p[1:] if p[0] == " " else p for p in pieces], num_threads=1)
-        ends = 4 * np.cumsum([0, *map(len, b)])
-        raw = np.fromiter(chain.from_iterable(b), "<u4", int(ends[-1]) // 4).tobytes()
-        begins = (ends[:-1] + [0 if p[0] == " " else 4 for p in pieces]).tolist()
-        both = list(map(a.__getitem__, pieces)), list(map(raw.__getitem__, map(slice, begins, ends[1:].tolist())))
-        of_a = Tokens.of(both[0], self.size_a)
-        same = self._same(pieces, of_a, Tokens.of(both[1], self.size_b))
-        # A piece that does not come back has no tokens.
-        raw = np.diff(of_a.at).astype("<u4").tobytes()
-        self.kept.update(zip(pieces, [raw[4 * k : 4 * k + 4] + x + y if ok else NOTHING for k, (x, y, ok) in enumerate(zip(*both, same.tolist(), strict=True))], strict=True))
-
-    def encode(self, pieces: list[str]) -> tuple[Tokens, Tokens]:
-        if len(self.kept) > KEPT_PIECES:
-            self.kept.clear()
-        if new := [p for p in pieces if p not in self.kept]:
-            self._learn(new)
-        return Tokens.of_kept(list(map(self.kept.__getitem__, pieces)), self.size_a, self.size_b)
-
-    def _same(self, pieces: list[str], a: Tokens, b: Tokens) -> np.ndarray:
+        texts = _texts(pieces)
+        fast = pc.match_substring_regex(pieces, PLAIN_PIECE_RE2).to_numpy(zero_copy_only=False)
+        joined = "\n".join(texts)
+        if any(s in joined for s in self.special):
+            fast &= np.array([not any(s in p for s in self.special) for p in texts], bool)
+        a, fast = self.words.lists(pieces, fast)
+        others = [texts[k] for k in np.flatnonzero(~fast).tolist()]
+        slow = Lists.of_lists([e.ids for e in self.a.encode_batch_fast(others, add_special_tokens=False)])
+        a = a.then(slow).take(np.argsort(np.r_[np.flatnonzero(fast), np.flatnonzero(~fast)]))
+        line = pc.starts_with(pieces, "\n").to_numpy(zero_copy_only=False)
+        b = Lists.of_lists(self.b.encode([p if x else p[1:] for p, x in zip(texts, line.tolist(), strict=True)], num_threads=1))
+        if line.any():
+            b = Lists.of(b.values[_places(b.at[:-1] + line, b.count - line)], b.count - line)
+        if not (same := self._same(pieces, a, b)).all():
+            # A piece that does not come back has no tokens.
+            a, b = (Lists.of(x.values[np.repeat(same, x.count)], x.count * same) for x in (a, b))
+        return a, b
+
+    def encode(self, pieces: pa.Array) -> list[Lists]:
+        return self.kept.find(pieces, self._learn, KEPT_PIECES)
+
+    def _same(self, pieces: pa.Array, a: Lists, b: Lists) -> np.ndarray:
         """Which pieces come back from the tokens of both."""
-        raw = [p.encode() for p in pieces]
-        back_a, back_b = (b"".join(map(of.__getitem__, t.ids.tolist())) for of, t in ((self.raw_a, a), (self.raw_b, b)))
-        if back_a == back_b == b"".join(raw):
-            return np.ones(len(raw), bool)
-        one = lambda of, t, k: b"".join([of[i] for i in t.ids[t.at[k] : t.at[k + 1]]])
-        return np.array([one(self.raw_a, a, k) == r == one(self.raw_b, b, k) for k, r in enumerate(raw)], bool)
-
-    def _groups(self, a: Tokens, b: Tokens, n: int) -> tuple[list[str], np.ndarray]:
-        """The group string of every piece and the number of its groups."""
-        self.duck.execute(ENDS)
-        of = [self.duck.execute(GROUPS.format(of=x)).fetchnumpy()["g"] for x in ("a", "b")]
-        total = int(of[0][-1]) + 1 if len(of[0]) else 0
-        begin = [np.searchsorted(g, np.arange(total + 1)) for g in of]
-        ids = [pc.binary_join(_list(self.decimal.take(pa.array(t.ids)), x, pa.string()), ",") for t, x in zip((a, b), begin, strict=True)]
+        back = [_joined(raw, t) for raw, t in ((self.raw_a, a), (self.raw_b, b))]
+        want = pieces.cast(pa.large_binary())
+        return np.logical_and(*[pc.equal(x, want).to_numpy(zero_copy_only=False) for x in back])
+
+    def _overlaps(self, a: Lists, b: Lists) -> tuple[Lists, pa.Array, np.ndarray]:
+        """For every piece: its links (A id << 32 | B id), its group string and the number of its groups.
+
+        Both token lists cut the same bytes, all pieces' one after the other: how many tokens end up to a byte is a running sum over those bytes.
+        """
+        stop_a, stop_b = np.cumsum(self.size_a[a.values]), np.cumsum(self.size_b[b.values])
+        n = int(stop_a[-1]) if len(stop_a) else 0
+        ends_a, ends_b = np.zeros(n + 1, np.int32), np.zeros(n + 1, np.int32)
+        ends_a[stop_a], ends_b[stop_b] = 1, 1
+        both = np.cumsum(ends_a & ends_b)
+        upto = np.cumsum(ends_b)
+        # Of B: those that end after the A token's begin, up to the first that ends at the A token's end or later.
+        first, last = upto[stop_a - self.size_a[a.values]], upto[stop_a - 1]
+        count = (last - first + 1).astype(np.int64)
+        links = (np.repeat(a.values, count) << 32) | b.values[_places(first.astype(np.int64), count)]
+        of_links = Lists(links, np.r_[0, np.cumsum(count)][a.at])
+        # A group ends where both do: the tokens of one have as many such ends before their own last byte.
+        total = int(both[-1])
+        ids = [pc.binary_join(_list(self.decimal.take(pa.array(t.values)), np.searchsorted(both[stop - 1], np.arange(total + 1)), pa.string()), ",") for t, stop in ((a, stop_a), (b, stop_b))]
         groups = pc.binary_join_element_wise(*ids, "|")
-        ends = np.searchsorted(np.repeat(np.arange(n), np.diff(a.at))[begin[0][:-1]], np.arange(n + 1))
-        return pc.binary_join(_list(groups, ends, pa.string()), ";").to_pylist(), np.diff(ends)
+        ends = np.r_[0, both[stop_a]][a.at]
+        return of_links, pc.binary_join(_list(groups, ends, pa.string()), ";"), np.diff(ends)
 
     def block(self, texts: list[str]) -> dict:
         """Counts and group strings of each text, and the linked pairs: ``held`` (text, position, times) over ``pairs`` and ``documents``."""
-        cut = [self.pieces_of(t) for t in texts]
-        number: dict[str, int] = {}
-        places = [np.array([number.setdefault(p, len(number)) for p in c], np.int64) for c in cut]
-        names, d = list(number), self.duck
-        a, b = self.encode(names)
-        if not (some := np.diff(a.at) > 0).all():
+        pieces, ends = self._cut(texts)
+        found = pieces.dictionary_encode()
+        place = found.indices.to_numpy().astype(np.int64)
+        a, b = self.encode(found.dictionary)
+        if not (some := a.count > 0).all():
             # A piece without tokens takes its texts out.
-            places = [p if some[p].all() else p[:0] for p in places]
-        d.register("a", a.table())
-        d.register("b", b.table())
-        d.execute(LINKS)
-        groups, n_groups = self._groups(a, b, len(names))
-        doc = np.repeat(np.arange(len(texts)), [len(p) for p in places])
-        both, times = np.unique(doc * max(1, len(names)) + np.concatenate([np.zeros(0, np.int64), *places]), return_counts=True)
-        d.register("occurrences", pa.table({"doc": both // max(1, len(names)), "piece": both % max(1, len(names)), "n": times}))
-        d.execute(OF_DOCUMENTS)
-        d.execute(OF_BLOCK)
-        pairs, documents = d.execute("SELECT pair, documents FROM listed ORDER BY place").fetchnumpy().values()
-        held = d.execute("SELECT doc, place, n::INT AS n FROM held JOIN listed USING (pair) ORDER BY doc, place").fetchnumpy()
-        per_piece = {"n_a": np.diff(a.at), "n_b": np.diff(b.at), "n_groups": n_groups}
-        counts = {c: np.array([int(v[p].sum()) for p in places], np.int64) for c, v in per_piece.items()}
-        counts["n_links"] = np.bincount(held["doc"], held["n"], len(texts)).astype(np.int64)
-        return counts | {"groups": [";".join([groups[k] for k in p.tolist()]) for p in places], "held": held, "pairs": pairs, "documents": documents}
+            length = np.diff(ends)
+            whole = _sums(~some[place], ends) == 0
+            place, ends = place[np.repeat(whole, length)], np.r_[0, np.cumsum(length * whole)]
+        links, groups, n_groups = self._overlaps(a, b)
+        counts = {c: _sums(v[place], ends) for c, v in {"n_a": a.count, "n_b": b.count, "n_groups": n_groups, "n_links": links.count}.items()}
+        of_texts = pc.binary_join(_list(groups.cast(pa.large_string()).take(pa.array(place)), ends, pa.large_string()), pa.scalar(";", pa.large_string()))
+        pairs, number = np.unique(links.values, return_inverse=True)
+        wide = max(1, len(pairs))
+        # A text's different pieces, with how often it has them; their links as numbers (text, pair, times), sorted: those of a text's pair are neighbours.
+        both, times = np.unique(np.repeat(np.arange(len(texts)), np.diff(ends)) * max(1, len(some)) + place, return_counts=True)
+        doc, piece = np.divmod(both, max(1, len(some)))
+        count, limit = links.count[piece], int(times.max(initial=0)) + 1
+        held, n = np.divmod(np.sort((np.repeat(doc, count) * wide + Lists(number, links.at).take(piece).values) * limit + np.repeat(times, count)), limit)
+        first = np.flatnonzero(np.r_[True, held[1:] != held[:-1]]) if len(held) else np.zeros(0, np.int64)
+        doc, at = np.divmod(held[first], wide)
+        documents = np.bincount(at, minlength=len(pairs))
+        listed = documents > 0
+        at = (np.cumsum(listed) - 1)[at] if len(at) else at
+        return counts | {"groups": of_texts.to_pylist(), "held": {"doc": doc, "place": at, "n": np.add.reduceat(n, first) if len(first) else n}, "pairs": pairs[listed], "documents": documents[listed]}
+
+
+class WordBpe(WordCachedBpe):
+    """Ids of many words of letters and marks at a call."""
+
+    def __init__(self, path: str):
+        super().__init__(path)
+        self.stems = Kept(1)
+
+    def lists(self, pieces: pa.Array, plain: np.ndarray) -> tuple[Lists, np.ndarray]:
+        """Ids of those pieces of letters and marks that are ``plain``, and which they are: the ids of the letters, then those of the marks."""
+        stems = pc.utf8_rtrim(pieces, _MARKS)
+        fast = plain & pc.utf8_is_alpha(pc.utf8_slice_codeunits(stems, 1)).to_numpy(zero_copy_only=False)
+        pieces, stems = pieces.filter(pa.array(fast)), stems.filter(pa.array(fast))
+        tails = pa.array([p[len(s) :] for p, s in zip(_texts(pieces), _texts(stems), strict=True)], pa.large_string()).dictionary_encode()
+        stems = stems.dictionary_encode()
+        (of,) = self.stems.find(stems.dictionary, self._learn_stems, KEPT_WORDS)
+        of = of.then(Lists.of_lists([np.frombuffer(self.whole(t), "<u4").tolist() if t else [] for t in _texts(tails.dictionary)]))
+        parts = of.take(np.stack([stems.indices.to_numpy(), tails.indices.to_numpy() + len(stems.dictionary)], 1).ravel().astype(np.int64))
+        return Lists(parts.values, parts.at[::2]), fast
+
+    def _learn_stems(self, stems: pa.Array) -> tuple[Lists]:
+        """Letters after a space, or after a line feed, which is a token of its own."""
+        words = _texts(stems)
+        line = np.array([w[0] == "\n" for w in words], bool)
+        of = self._letters([w for w in words if w[0] == " "]).then(self._letters([w[1:] for w in words if w[0] != " "]), Lists.of_lists([np.frombuffer(self.line, "<u4").tolist(), []]))
+        place = np.argsort(np.r_[np.flatnonzero(~line), np.flatnonzero(line)])
+        parts = of.take(np.stack([len(words) + ~line, place], 1).ravel())
+        return (Lists(parts.values, parts.at[::2]),)
+
+    def _letters(self, words: list[str]) -> Lists:
+        """Ids of letters, or a space and letters, which the pre-tokenizer leaves whole: line feeds between."""
+        out = NONE
+        for k in range(0, len(words), WORDS_A_CALL):
+            some = words[k : k + WORDS_A_CALL]
+            joined = self.letters[np.frombuffer("\n".join(some).encode(), np.uint8)].tobytes().decode("utf-32-le")
+            ids = np.array(self.words_only.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.int64)
+            is_line = ids == self.line_id
+            count = np.diff(np.r_[-1, np.flatnonzero(is_line), len(ids)]) - 1
+            if len(count) != len(some):
+                raise ValueError("words and line feeds do not agree")
+            out = out.then(Lists.of(ids[~is_line], count))
+        return out
+
+
+def _joined(raw: pa.Array, of: Lists) -> pa.Array:
+    """The bytes of each list's tokens."""
+    data = raw.take(pa.array(of.values))
+    offsets = np.frombuffer(data.buffers()[1], np.int64, len(data) + 1)[of.at] if len(data) else np.zeros(len(of.at), np.int64)
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(of.at) - 1, [None, pa.py_buffer(np.ascontiguousarray(offsets)), data.buffers()[2]])
 
 
 _OF: dict[tuple[str, str], Aligner] = {}

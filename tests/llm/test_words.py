@@ -2,11 +2,15 @@
 
 import hashlib
 import random
+import re
+import time
 import zlib
 from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -229,6 +233,31 @@ def test_alignment_of_empty_tables_and_forgotten_pieces(spark, no_docs, texts, l
     assert [g for t in some for g in of.block([t])["groups"]] == want and of.block([])["groups"] == []
 
 
+def test_alignment_takes_little_more_than_the_libraries():
+    """A block of new pieces against the two libraries on its different words alone: 2.2 times their CPU time when each piece was handled in Python and joined in SQL."""
+    r, ratios = random.Random(1), []
+    for _ in range(4):
+        many = ["".join(r.choices(["th", "er", "ou", "an", "st", "ei", "qu", "la", "ch", "ión"], k=r.randint(2, 5))) + r.choice(["", ".", ","]) for _ in range(40_000)]
+        of, other = alignment.Aligner(BPE, PIECES), alignment.Aligner(BPE, PIECES)
+        of.block([" ".join(many[:50])])
+        at = [time.process_time()]
+        other.a.encode_batch_fast([f" {w}" for w in sorted(set(many))], add_special_tokens=False), other.b.encode(sorted(set(many)), num_threads=1)
+        at.append(time.process_time())
+        of.block([" ".join(many[k : k + 200]) for k in range(0, len(many), 200)])
+        at.append(time.process_time())
+        ratios.append((at[2] - at[1]) / (at[1] - at[0]))
+    assert min(ratios) < 1.7, ratios
+
+
+def test_alignment_learns_letters_as_python_has_them(libraries):
+    plain = [chr(c) for c in range(0x250) if re.fullmatch(f"[{alignment.PLAIN}]", chr(c))]
+    assert pc.utf8_is_alpha(pa.array(plain)).to_pylist() == [c.isalpha() for c in plain]
+    assert pc.match_substring_regex(pa.array([f" {c}" for c in map(chr, range(0x3000)) if c != "\0"]), alignment.PLAIN_PIECE_RE2).to_pylist() == [c in plain for c in map(chr, range(1, 0x3000))]
+    rows = [(k, f"x{c}y a{c} {c} {c}{c}b\n{c}") for k, c in enumerate(plain)]
+    want = {x[0]: x[5] for x in brute_alignment(rows, libraries)[0]}
+    assert alignment.Aligner(BPE, PIECES).block([t for _, t in rows])["groups"] == [want[k] for k, _ in rows]
+
+
 # 13 quality rules
 
 
