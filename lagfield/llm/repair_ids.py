@@ -34,7 +34,7 @@ from .common import read, shared_dir
 from .files import bounded_batches, one_task_each, open_fs, replacing
 
 BLOCK_IDS, LEAST, SHARE, LOW, END_ID = 1 << 19, 8, 0.1, 4, 2
-FILE_BYTES, TABLE_IDS = 128 << 20, 1 << 24
+FILE_BYTES, TEXT_BYTES, TABLE_IDS = 128 << 20, 8 << 20, 1 << 24
 MAGIC = b"RPGRAM02"
 HEAD = struct.Struct("<8sBQIQI")
 
@@ -222,6 +222,19 @@ def blocks(stream: BinaryIO) -> Iterator[Block]:
         yield Block(stream, head)
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of about ``TEXT_BYTES`` at least, none without rows: each different piece of a batch is looked up once."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if b.num_rows:
+            held.append(b)
+        if sum(x.nbytes for x in held) >= TEXT_BYTES:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
 def write_ids(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[str, int]]:
     """Encodes and writes the documents in ascending order of their ids; returns (path, ids before it) for each file in this order."""
     spark = docs.sparkSession
@@ -234,25 +247,24 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_i
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, part = word_cached(tokenizer), TaskContext.get().partitionId()
-        path, end = f"{folder}/part-{part:05d}.ids", np.array([END_ID], "<u4").tobytes()
-        batch = next(batches, None)
-        while batch is not None and not batch.num_rows:
-            batch = next(batches, None)
-        if batch is None:
+        path, some = f"{folder}/part-{part:05d}.ids", _gathered(batches)
+        rows = next(some, None)
+        if rows is None:
             return
         total = 0
         with replacing(path) as out:
             ids, held, size = [], [], 0
-            while batch is not None:
-                for d, x in zip(batch.column("doc_id").to_pylist(), bpe.encode_batch(batch.column("text").to_pylist()), strict=True):
+            while rows is not None:
+                encoded, at = bpe.encode(rows.column("text"), END_ID)
+                for d, x in zip(rows.column("doc_id").to_pylist(), np.split(encoded, at[1:-1]), strict=True):
                     ids.append(d)
-                    held.append(np.frombuffer(x + end, "<u4"))
-                    size += len(held[-1])
+                    held.append(x)
+                    size += len(x)
                     if size >= BLOCK_IDS:
                         write_block(out, ids, held)
                         total += size
                         ids, held, size = [], [], 0
-                batch = next(batches, None)
+                rows = next(some, None)
             if ids:
                 write_block(out, ids, held)
                 total += size

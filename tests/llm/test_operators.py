@@ -2,6 +2,7 @@
 
 import hashlib
 import io
+import itertools
 import random
 import re
 import tracemalloc
@@ -12,6 +13,7 @@ from pathlib import Path
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -473,6 +475,34 @@ def test_word_cached_bpe_with_few_kept_words_and_short_calls(texts, monkeypatch)
     assert b.encode_batch([]) == []
 
 
+def test_word_cached_bpe_looks_each_piece_of_a_call_up_once(texts):
+    """The check's 412 CPU seconds a GB were mostly look-ups of every word of every text."""
+
+    class Counted(dict):
+        looked_up = 0
+
+        def get(self, *of):
+            self.looked_up += 1
+            return super().get(*of)
+
+    b = WordCachedBpe(BPE)
+    b.kept = Counted()
+    some = ["one two, two one\none (two) two!"] * 3000
+    assert b.encode_batch(some) == [b.whole(some[0])] * 3000 and b.kept.looked_up <= 6
+
+
+def test_word_cached_bpe_in_arrays_with_an_end(texts):
+    b, t = WordCachedBpe(BPE), Tokenizer.from_file(BPE)
+    white = ["".join(x) for n in range(5) for x in itertools.product(" \na\t\xa0", repeat=n)]
+    for some in (white, [*odd_texts(500), "<|endoftext|>", "a <|endoftext|> b", "", *texts.values()], ["", ""], ["日本 語"], []):
+        some = [x or "" for x in some]
+        want = [t.encode(x, add_special_tokens=False).ids for x in some]
+        for end in (None, 2):
+            ids, at = b.encode(pa.array(some, pa.string()), end)
+            assert [x.tolist() for x in (ids[i:j] for i, j in zip(at[:-1], at[1:], strict=True))] == [w + [end] * (end is not None) for w in want] and at[0] == 0 and at[-1] == len(ids)
+    assert b.encode(pa.array(["x"] * 3 + ["y z"]).slice(2))[1].tolist() == [0, 1, 3]
+
+
 def test_token_ids_files(spark, odd_docs, no_docs):
     got = repair_ids.read_ids(spark, repair_ids.write_ids(odd_docs, common.shared_dir(spark, "t"), BPE), with_ids=True).toPandas().sort_values("start")
     t, start = Tokenizer.from_file(BPE), 0
