@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 #: agree about letters, numbers and white space, or with three of white space together, or two at the end.
 _SPACE = r"[\t-\r \x{a0}]"
 WHOLE_RE2 = rf"[^\t-\r\x20-\x7e\x{{a0}}-\x{{24f}}\x{{2010}}-\x{{2027}}]|{_SPACE}{_SPACE}(?:{_SPACE}|\z)|\A{_SPACE}(?:{_SPACE}|\z)"
-KEPT_WORDS, KEPT_BYTES, WORDS_A_CALL = 1_500_000, 1 << 27, 1 << 14
+KEPT_WORDS, KEPT_BYTES, WORDS_A_CALL = 700_000, 1 << 27, 1 << 14
 _MARKS = ".,;:!?%$&*#|()[]{}\"/-_+=<>@~^"
 
 

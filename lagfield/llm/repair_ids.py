@@ -34,7 +34,7 @@ from .common import read, shared_dir
 from .files import bounded_batches, one_task_each, open_fs, replacing
 
 BLOCK_IDS, LEAST, SHARE, LOW, END_ID = 1 << 19, 8, 0.1, 4, 2
-FILE_BYTES, TEXT_BYTES, TABLE_IDS = 128 << 20, 8 << 20, 1 << 24
+FILE_BYTES, TEXT_BYTES, TABLE_IDS = 128 << 20, 4 << 20, 1 << 24
 MAGIC = b"RPGRAM02"
 HEAD = struct.Struct("<8sBQIQI")
 
